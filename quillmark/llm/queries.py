@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe
+from quillmark.llm import bpe, splitting
 from quillmark.shared import load
 
 
@@ -14,8 +14,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(load(spark, sf_dir, "documents"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_corpus(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids}
+    return {"p8_ids": p8_ids, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
