@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, splitting
+from quillmark.llm import bpe, leakage, splitting
 from quillmark.shared import load
 
 
@@ -14,6 +14,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(load(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p10_found": p10_found, "p10_pieces": p10_pieces}
+    return {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
