@@ -42,3 +42,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with at least one row in so many is hot: there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with one fact per key, safe under hot keys.
+
+    ``weight`` is a column of ``facts``: how many rows have the key. Keys that
+    hold more than a thousandth of all rows are at most ``HOT_KEYS``, so their
+    facts are broadcast whatever the data's size; all other keys meet in a
+    shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) * HOT_KEYS >= F.lit(total)
+    hot, cold = facts.where(is_hot), facts.where(~is_hot)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
