@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, leakage, splitting
+from quillmark.llm import bpe, distinctive, leakage, reading, splitting
 from quillmark.shared import load
 
 
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "readability"), load(spark, sf_dir, "reading_labels"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_levels(spark, sf_dir).select("doc_id", "reading_level")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.most_characteristic(load(spark, sf_dir, "cluster_descriptions"), ["paper_id", "section"]).withColumnRenamed("term", "ngram")
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.scores(load(spark, sf_dir, "cluster_descriptions"), ["paper_id", "section"]).withColumnRenamed("term", "ngram")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -28,7 +44,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_pieces": p10_pieces}
+    own = (p3_found, p3_levels, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
