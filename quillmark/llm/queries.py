@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, distinctive, leakage, reading, splitting
+from quillmark.llm import bpe, distinctive, leakage, reading, sentences, splitting
 from quillmark.shared import load
 
 
@@ -18,6 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_levels(spark, sf_dir).select("doc_id", "reading_level")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(load(spark, sf_dir, "sentences")).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.most_characteristic(load(spark, sf_dir, "cluster_descriptions"), ["paper_id", "section"]).withColumnRenamed("term", "ngram")
 
@@ -44,7 +48,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p3_found, p3_levels, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
+    own = (p3_found, p3_levels, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 
