@@ -24,12 +24,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-ALPHA = r"(?<![\p{L}\p{M}\p{N}_])[a-zA-Z]++(?![\p{L}\p{M}\p{N}_])"
+def joined_words(text: Column) -> Column:
+    """Lower-cased tokens of ASCII letters, each between single blanks (' ' if none).
+
+    A token with any other letter, mark, digit or underscore is left out.
+    """
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9_\p{L}\p{M}\p{N}]++", " "), F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(spaced, " [a-z]*+[^a-z ][^ ]*+(?= )", ""), " {2,}", " ")
 
 
 def alpha_words(text: Column) -> Column:
-    """Tokens of ASCII letters only, as written."""
-    return F.regexp_extract_all(text, F.lit(ALPHA), F.lit(0))
+    """Lower-cased tokens of ASCII letters only."""
+    return F.filter(F.split(joined_words(text), " "), lambda w: w != "")
 
 
 def let(value: Column, use) -> Column:
@@ -55,17 +61,17 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(word) == 0, 0).otherwise(F.greatest(groups + change, F.lit(1)))
 
 
-# The same counts over lower-case words joined by blanks, so that no expression
+# The same counts over lower-case words between blanks, so that no expression
 # runs per word: vowel groups, words without any, silent endings of words with
 # two or more groups, hiatus endings; then words of three syllables or more.
 _V, _C = "[aeiouy]", "[^aeiouy ]"
-_GROUPS = f"{_V}+"
-_NO_VOWEL = f"(?<![a-z]){_C}++(?![a-z])"
-_SILENT_WORD = f"(?<![a-z])(?={_C}*{_V}++{_C}++{_V})[a-z]*{SILENT[:-1]}(?![a-z])"
-_HIATUS_WORD = f"{HIATUS[:-1]}(?![a-z])"
-_LONG = f"(?<![a-z])(?:{_C}*{_V}++){{3}}"
-_THREE_SILENT = f"(?<![a-z])(?={_C}*{_V}++{_C}++{_V}++{_C}++{_V}++{_C}*(?![a-z]))[a-z]*{SILENT[:-1]}(?![a-z])"
-_TWO_HIATUS = f"(?<![a-z])(?={_C}*{_V}++{_C}++{_V}++{_C}*(?![a-z]))[a-z]*{HIATUS[:-1]}(?![a-z])"
+_GROUPS = f"{_V}++"
+_NO_VOWEL = f" {_C}++(?= )"
+_SILENT_WORD = f" (?={_C}*+{_V}++{_C}++{_V})[a-z]*{SILENT[:-1]}(?= )"
+_HIATUS_WORD = f"{HIATUS[:-1]}(?= )"
+_LONG = f" (?:{_C}*+{_V}++){{3}}"
+_THREE_SILENT = f" (?={_C}*+{_V}++{_C}++{_V}++{_C}++{_V}++{_C}*+ )[a-z]*{SILENT[:-1]}(?= )"
+_TWO_HIATUS = f" (?={_C}*+{_V}++{_C}++{_V}++{_C}*+ )[a-z]*{HIATUS[:-1]}(?= )"
 
 
 def readability(text: Column) -> Column:
@@ -80,11 +86,12 @@ def readability(text: Column) -> Column:
             c["s"],
             c["w"],
             (n(_GROUPS) + n(_NO_VOWEL) - n(_SILENT_WORD) + n(_HIATUS_WORD)).alias("y"),
-            (F.length(c["j"]) - c["w"] + 1).alias("c"),
+            (F.length(c["j"]) - c["w"] - 1).alias("c"),
             (n(_LONG) - n(_THREE_SILENT) + n(_TWO_HIATUS)).alias("x"),
         )
 
-    words = let(alpha_words(text), lambda w: F.struct(n_sentences(text).alias("s"), F.size(w).alias("w"), F.lower(F.array_join(w, " ")).alias("j")))
+    blanks = lambda j: F.length(j) - F.length(F.replace(j, F.lit(" "), F.lit("")))
+    words = let(joined_words(text), lambda j: F.struct(n_sentences(text).alias("s"), (blanks(j) - 1).alias("w"), j.alias("j")))
     return let(let(words, counted), _indices)
 
 
