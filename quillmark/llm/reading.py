@@ -61,6 +61,10 @@ def prose(text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+#: Text without any of the function words can't be English; most other pages end here.
+ANY_ENGLISH = rf"(?i)(?<![a-z])(?:{'|'.join(ENGLISH)})(?![a-z])"
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
@@ -105,7 +109,7 @@ def seeds(docs: DataFrame, stored: DataFrame, labels: DataFrame | None, key: str
     as many words) or whose raters' majority differs are left out."""
     n = docs.count()
     chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    few = docs.where((F.length(text) > 0) & (chance * n < sample))
+    few = docs.where((F.length(text) > 0) & (chance * n < sample) & F.col(text).rlike(ANY_ENGLISH))
     judged = few.select(F.col(key), prose(F.col(text)).alias("p")).select(key, "p", _words(F.col("p")).alias("words"))
     own = judged.mapInArrow(_english_only, judged.schema)
     levelled = own.select(key, "words", level_of(readability(F.col("p"))["flesch_kincaid_grade"]).alias("level"))
@@ -156,5 +160,5 @@ def reading_levels(docs: DataFrame, stored: DataFrame, labels: DataFrame | None
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([LEVELS[b] for b in best], pa.string()), pa.array(post[keep, best]), pa.array(n[keep], pa.int32())], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.where(F.length(text) > 0).select(F.col(key), _words(prose(F.col(text))).alias("w"))
+    own = docs.where((F.length(text) > 0) & F.col(text).rlike(ANY_ENGLISH)).select(F.col(key), _words(prose(F.col(text))).alias("w"))
     return own.mapInArrow(score, f"{key} {kind}, reading_level string, posterior double, n_words int")
