@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import bpe, distinctive, leakage, noise, reading, sentences, splitting
+from quillmark.llm import bpe, distinctive, leakage, names, noise, reading, sentences, splitting
 from quillmark.shared import load
 
 
@@ -22,6 +22,14 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir).repaired().distinct()
 
 
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.entities(load(spark, sf_dir, "authors"), load(spark, sf_dir, "matched_citations"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked(p2_entities(spark, sf_dir))
+
+
 def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "readability"), load(spark, sf_dir, "reading_labels"))
 
@@ -60,7 +68,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_repaired, p3_found, p3_levels, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
+    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 
