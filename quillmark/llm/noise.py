@@ -26,7 +26,7 @@ from quillmark.shared import join_hot, written
 # Signs that scanning puts in place of letters, and letter groups it confuses.
 SIGNS = {"0": "o", "1": "l", "5": "s", "9": "g", "†": "t", "â": "a"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"))
+GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("im", "nn"), ("li", "h"))
 CONFUSED = {"c": "e", "i": "l", "h": "b"}
 HYPHENS = "-‐¬­"
 
@@ -37,7 +37,7 @@ BREAK = rf"(\p{{L}}+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(\p{{L}}+)"
 #: Words that may be the right spelling; least ratio of its count to the wrong one's.
 TRUSTED, RATIO = 4, 5
 #: q-gram size, least Jaccard similarity of skeletons, words and lines in the training samples.
-Q, SIMILAR, SAMPLE = 3, 0.8, 3_000
+Q, SIMILAR, SAMPLE = 4, 0.8, 3_000
 #: Most frequent clean words, left out before the words are shuffled (a bounded broadcast).
 COMMON = 20_000
 
@@ -77,15 +77,16 @@ def joined(text: Column) -> Column:
 
 
 def row_words(rows: DataFrame) -> DataFrame:
-    """(record_kind, record_id, words): lower-cased words of each row, codes left out."""
-    found = F.filter(F.regexp_extract_all(joined(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(CODE))
-    return rows.select("record_kind", "record_id", F.transform(found, lambda w: F.lower(w)).alias("words"))
+    """(record_kind, record_id, words): words and codes of each row, as written."""
+    return rows.select("record_kind", "record_id", F.regexp_extract_all(joined(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
     """(word, n, skeleton, signs): every distinct word, how often it stands, its
     skeleton, and its number of signs of misreading."""
-    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    written_so = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # codes are told by their capitals, so they go before the case does
+    counted = written_so.where(~F.col("word").rlike(CODE)).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     signs = F.length("word") - F.length(F.translate("word", "".join(SIGNS) + "".join(LIGATURES), ""))
     return counted.select("word", "n", skeleton(F.col("word")).alias("skeleton"), signs.alias("signs"))
 
@@ -113,7 +114,8 @@ def candidates(words: DataFrame) -> DataFrame:
     right = index.join(best, "skeleton").select(F.explode("prefix").alias("g"), F.col("skeleton").alias("skeleton_r"), F.col("gs").alias("gs_r"), "right", "n_right")
     left = index.select(F.explode("prefix").alias("g"), "skeleton", "gs")
     shared = F.size(F.array_intersect("gs", "gs_r"))
-    near = left.join(right, "g").where((shared >= SIMILAR * (F.size("gs") + F.size("gs_r") - shared)) & (F.col("skeleton") != F.col("skeleton_r")))
+    a, b = F.size("gs"), F.size("gs_r")
+    near = left.join(right, "g").where((a >= b * SIMILAR) & (b >= a * SIMILAR)).drop("g").distinct().where((shared >= SIMILAR * (F.size("gs") + F.size("gs_r") - shared)) & (F.col("skeleton") != F.col("skeleton_r")))
     pairs = near.select("skeleton", "right", "n_right").unionByName(best.select("skeleton", "right", "n_right")).distinct()
     out = words.select("word", "n", "signs", "skeleton").join(pairs, "skeleton").where((F.col("word") != F.col("right")) & (F.col("n_right") >= RATIO * F.col("n")))
     # a sign of misreading is its own evidence: the folded word is a candidate, too
@@ -294,8 +296,8 @@ class Judgement:
     def misread(self) -> DataFrame:
         """(record_kind, record_id, word, right) of every misread word in a row."""
         common = self.vocabulary.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).select("word")
-        own = self.words.select("record_kind", "record_id", F.explode(F.array_distinct("words")).alias("word"))
-        rare = own.join(F.broadcast(common), "word", "left_anti")
+        own = self.words.select("record_kind", "record_id", F.explode(F.array_distinct("words")).alias("as_written")).withColumn("word", F.lower("as_written"))
+        rare = own.join(F.broadcast(common), "word", "left_anti").where(~F.col("as_written").rlike(CODE)).drop("as_written")
         return join_hot(rare, self.corrections, ["word"], "n").select("record_kind", "record_id", "word", "right")
 
     def with_signs(self) -> DataFrame:
