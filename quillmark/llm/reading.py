@@ -25,32 +25,28 @@ BORDERS = (6.0, 12.5)
 #: Least words of prose; least share of English function words among them.
 LEAST_WORDS, ENGLISH_SHARE = 60, 0.06
 #: Pages in the training sample, words in the models, their additive smoothing.
-SAMPLE, VOCABULARY, SMOOTHING = 20_000, 200_000, 0.1
+SAMPLE, VOCABULARY, SMOOTHING = 6_000, 200_000, 0.1
 
 # Frequent English function words that are no words of the other languages here.
 ENGLISH = ("the", "of", "and", "to", "was", "is", "it", "that", "with", "for", "by", "at", "from", "they", "we", "on", "were", "its", "this", "which", "before", "after", "until", "under", "near", "although", "whereas", "throughout")
 
-# Markup, in the order of its removal.
+# Markup, in the order of its removal; each pass looks for one sign only.
 MARKUP = [
-    (r"(?s)<!--.*?(?:-->|\z)", " "),
-    (r"<ref[^<>]*/>", " "),
-    # an unclosed reference ends with its line
-    (r"<ref[^<>]*>[^<\n]*(?:<(?!/?ref)[^<\n]*)*(?:</ref>)?", " "),
-    (r"(?s)<(gallery|math|code|pre|syntaxhighlight|timeline)[^<>]*>.*?(?:</\1>|\z)", " "),
-    (r"(?s)(?m:^)\{\|.*?(?:\|\}|\z)", " "),
-    (r"\{\{\{[^{}]*\}\}\}", " "),
-    (r"\{\{[^{}]*\}\}", " "),
-    (r"\{\{[^{}]*\}\}", " "),
-    (r"\{\{[^{}]*\}\}", " "),
-    (r"</?[a-zA-Z][^<>]*>", " "),
+    # comments; references (an unclosed one ends with its line); blocks without prose; other tags
+    (
+        r"<(?:!--(?s:.*?)(?:-->|\z)|ref(?:[^<>]*/>|[^<>]*>[^<\n]*(?:<(?!/?ref)[^<\n]*)*(?:</ref>)?)"
+        r"|(gallery|math|code|pre|syntaxhighlight|timeline)[^<>]*>(?s:.*?)(?:</\1>|\z)|/?[a-zA-Z][^<>]*>)",
+        " ",
+    ),
+    # headings, lists, and the lines of tables and templates
     (r"(?m)^[ \t]*[*#:;=|!{}].*$", ""),
-    (r"\[\[[^\[\]|]*:[^\[\]]*\]\]", " "),
-    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"),
-    (r"\[[a-z]+://[^\s\]]*\s?([^\]]*)\]", "$1"),
-    (r"'{2,}|&nbsp;|&[a-z]+;", " "),
+    (r"\{{2,3}[^{}]*\}{2,3}", " "),
+    (r"\{{2,3}[^{}]*\}{2,3}", " "),
+    # categories and files; links; addresses
+    (r"\[(?:\[[^\[\]|]*:[^\[\]]*\]\]|\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]|[a-z]+://[^\s\]]*\s?([^\]]*)\])", "$1$2"),
+    (r"'{2,}|&[a-z]+;", " "),
 ]
 
-
 #: A line of prose holds the end of a sentence.
 SENTENCE = r"[\p{L}\p{N}][)\]\"'’”]{0,3}[.!?…]+(?:[\s\"'’”)]|$)"
 
@@ -113,7 +109,8 @@ def seeds(docs: DataFrame, stored: DataFrame, labels: DataFrame | None, key: str
     judged = few.select(F.col(key), prose(F.col(text)).alias("p")).select(key, "p", _words(F.col("p")).alias("words"))
     own = judged.mapInArrow(_english_only, judged.schema)
     levelled = own.select(key, "words", level_of(readability(F.col("p"))["flesch_kincaid_grade"]).alias("level"))
-    checked = levelled.join(trusted_levels(stored).withColumnRenamed("doc_id", key), key, "left")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) * n < sample
+    checked = levelled.join(trusted_levels(stored.where(drawn)).withColumnRenamed("doc_id", key), key, "left")
     checked = checked.where(F.col("stored_level").isNull() | (F.col("stored_level") == F.col("level")) | (F.abs(F.col("stored_words") / F.size("words") - 1) > 0.1))
     if labels is not None:
         majority = labels.where(F.col("grade_band").isin(*LEVELS)).groupBy("doc_id").agg(F.mode("grade_band", True).alias("rated"), F.count("*").alias("raters")).where(F.col("raters") > 1).withColumnRenamed("doc_id", key)
