@@ -62,13 +62,19 @@ def is_author(hit: Column, name: str) -> Column:
 def scanned(text: Column, citation_type: str = "all") -> Column:
     """Array of all hits of all patterns; ids number the hits of a pattern before
     false ones are dropped, so they may have gaps."""
+    def item(name: str, order: int):
+        return lambda h: F.struct(
+            h["start_pos"].alias("start_pos"), (h["start_pos"] - h["end_pos"]).alias("negative"), F.lit(order).alias("ord"), h["end_pos"].alias("end_pos"),
+            F.lit(name).alias("citation_type"), F.concat(F.lit(name + "_"), h["k"].cast("string")).alias("citation_id"), h["hit"].alias("citation_text"),
+        )
+
+    def true_hit(name: str):
+        return lambda h: is_author(h["hit"], name)
+
     parts = []
     for order, (name, pattern) in enumerate(PATTERNS.items()):
         if name in SUBSETS[citation_type]:
-            hits = F.filter(located(text, pattern), lambda h, n=name: is_author(h["hit"], n))
-            parts.append(F.transform(hits, lambda h, n=name, o=order: F.struct(
-                h["start_pos"].alias("start_pos"), (h["start_pos"] - h["end_pos"]).alias("negative"), F.lit(o).alias("ord"), h["end_pos"].alias("end_pos"),
-                F.lit(n).alias("citation_type"), F.concat(F.lit(n + "_"), h["k"].cast("string")).alias("citation_id"), h["hit"].alias("citation_text"))))
+            parts.append(F.transform(F.filter(located(text, pattern), true_hit(name)), item(name, order)))
     return F.concat(*parts)
 
 

@@ -56,7 +56,10 @@ def word_arrays(words: DataFrame, keys: list[str]) -> DataFrame:
 def top_ngrams(arrays: DataFrame, keys: list[str], sizes: tuple[int, ...] = (1, 2, 3), k: int = 15) -> DataFrame:
     """The ``k`` most frequent n-grams of each size; shares are of the total for
     single words and of the top ``k`` for longer ones. Ties by n-gram."""
-    grams = F.concat(*[F.transform(ngrams(F.col("words"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"))) for n in sizes])
+    def sized(n: int) -> Column:
+        return F.transform(ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+
+    grams = F.concat(*[sized(n) for n in sizes])
     counted = arrays.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.ngram").agg(F.count("*").alias("cnt"))
     w = Window.partitionBy(*keys, "n")
     ranked = counted.withColumn("total", F.sum("cnt").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("cnt"), "ngram"))).where(F.col("rank") <= k)

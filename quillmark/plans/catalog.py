@@ -4,12 +4,424 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmark.functions import names, text as tx
+from quillmark.operators import citations as ci
+from quillmark.operators import clusters as cl
+from quillmark.operators import layout as la
+from quillmark.operators import matching as ma
+from quillmark.operators import moves as mo
+from quillmark.operators import nested as ne
+from quillmark.operators import network as nw
+from quillmark.operators import references as re_
+from quillmark.operators import sections as se
+from quillmark.operators import words as wo
+from quillmark.plans import inputs as inp
+from quillmark.shared import load
+from quillmark.sources import index as ix
+
+SELECTED = ("museum", "valley", "market", "central valley", "second flood", "old bridge")
+
+
+# Words --------------------------------------------------------------------------
+
+
+def readability_indices(spark, d):
+    return load(spark, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+def syllable_counts(spark, d):
+    w = load(spark, d, "documents").where(F.length("text") > 0).select(F.explode(F.array_distinct(tx.alpha_words(F.col("text")))).alias("word")).distinct()
+    return w.select("word", tx.syllables(F.col("word")).alias("n_syllables"))
+
+
+def text_stats(spark, d):
+    return wo.text_stats(load(spark, d, "documents"))
+
+
+def _paper_words(spark, d, **more):
+    s = load(spark, d, "sentences").select("paper_id", "sentence_id", "text").distinct()
+    return wo.word_rows(s, ["paper_id", "sentence_id"], **more)
+
+
+def word_frequencies(spark, d):
+    return wo.word_frequencies(_paper_words(spark, d, min_length=3), ["paper_id"])
+
+
+def stopword_antijoin(spark, d):
+    return _paper_words(spark, d, stopwords=wo.stopword_table(spark)).groupBy("paper_id").agg(F.count("*").alias("n_words"), F.countDistinct("word").alias("n_unique"))
+
+
+def ngram_top15(spark, d):
+    arrays = wo.word_arrays(_paper_words(spark, d, stopwords=wo.stopword_table(spark)), ["paper_id", "sentence_id"])
+    return wo.top_ngrams(arrays, ["paper_id"])
+
+
+def lexical_diversity(spark, d):
+    return wo.lexical_diversity(_paper_words(spark, d), ["paper_id"])
+
+
+def _selected(spark):
+    return spark.createDataFrame([(w,) for w in SELECTED], "word string")
+
+
+def word_distribution_segments(spark, d):
+    parts = wo.segments(load(spark, d, "documents"), 10)
+    return wo.word_distribution(parts, _selected(spark), ["doc_id", "segment"], wo.stopword_table(spark))
+
+
+def word_distribution_sections(spark, d):
+    return wo.word_distribution(inp.sections(spark, d), _selected(spark), ["doc_id", "section"], wo.stopword_table(spark))
+
+
+def word_distribution_dense(spark, d):
+    parts = inp.sections(spark, d)
+    return wo.dense(wo.word_distribution(parts, _selected(spark), ["doc_id", "section"], wo.stopword_table(spark)), parts, _selected(spark), ["doc_id", "section"])
+
+
+# Clusters -----------------------------------------------------------------------
+
+
+def tfidf_by_section(spark, d):
+    return cl.tf_idf(inp.terms(spark, d), ["paper_id"])
+
+
+def tfidf_top_n(spark, d):
+    return cl.top_terms(tfidf_by_section(spark, d), ["paper_id"]).select("paper_id", "section", "ngram", "n", "tf_idf", "rank")
+
+
+def cluster_summary(spark, d):
+    return cl.section_summary(cl.top_terms(tfidf_by_section(spark, d), ["paper_id"], k=5), ["paper_id"])
+
+
+def tfidf_heatmap(spark, d):
+    return cl.heatmap_terms(cl.top_terms(tfidf_by_section(spark, d), ["paper_id"]), ["paper_id"])
+
+
+def reference_titles(spark, d):
+    return load(spark, d, "matched_citations").where(F.col("ref_full_text").isNotNull()).select("mapping_id", cl.title_of(F.col("ref_full_text")).alias("title")).distinct()
+
+
+# Citations ----------------------------------------------------------------------
+
+
+def citation_scan(spark, d):
+    return ci.scan(inp.papers(spark, d), sweep=False).drop("citation_ord")
+
+
+def citation_sweep(spark, d):
+    return ci.scan(inp.papers(spark, d))
+
+
+def citation_expand(spark, d):
+    return ci.expand(citation_sweep(spark, d)).drop("part")
+
+
+def _standard(spark, d):
+    return ci.standardize(ci.expand(citation_sweep(spark, d)))
+
+
+def citation_standardize(spark, d):
+    return _standard(spark, d).select("doc_id", "citation_id", "author_part", "year_part", "citation_text_clean")
+
+
+def citation_types(spark, d):
+    return ci.type_distribution(citation_sweep(spark, d))
+
+
+def narrative_ratio(spark, d):
+    return ci.narrative_ratio(citation_sweep(spark, d))
+
+
+def citation_density(spark, d):
+    return ci.density(inp.papers(spark, d), citation_sweep(spark, d))
+
+
+def citation_segments(spark, d):
+    return ci.map_to_segments(citation_sweep(spark, d)).select("doc_id", "citation_id", "start_pos", "segment")
+
+
+def _five_parts(spark, d):
+    """Each paper's text cut into five sections of equal length."""
+    names_ = F.array(*[F.lit(n) for n in inp.PARTS])
+    t = inp.papers(spark, d).select("doc_id", tx.squash(F.col("text")).alias("t"))
+    size = F.ceil(F.length("t") / len(inp.PARTS)).cast("int")
+    return t.select("doc_id", "t", F.posexplode(names_).alias("i", "section"), size.alias("s")).select("doc_id", (F.col("i") + 1).alias("section_ord"), "section", F.col("t").substr(F.col("i") * F.col("s") + 1, F.col("s")).alias("text"))
+
+
+def citation_sections(spark, d):
+    return ci.map_to_sections(citation_sweep(spark, d), _five_parts(spark, d)).select("doc_id", "citation_id", "section")
+
+
+def section_distribution(spark, d):
+    return ci.section_distribution(citation_sections(spark, d), _five_parts(spark, d))
+
+
+def citation_contexts(spark, d):
+    return ci.contexts(inp.papers(spark, d), citation_sweep(spark, d))
+
+
+def _pairs(spark, d):
+    c = citation_sweep(spark, d).withColumn("ord", F.col("citation_ord")).withColumn("citation", F.col("citation_text"))
+    return ci.cooccurrence(c, 1000)
+
+
+def citation_cooccurrence(spark, d):
+    return _pairs(spark, d)
+
+
+def network_edges(spark, d):
+    return nw.edges(_pairs(spark, d), 600).drop("type1", "type2")
+
+
+def _nodes(spark, d, pairs):
+    c = ci.map_to_sections(citation_sweep(spark, d), _five_parts(spark, d)).withColumn("ord", F.col("citation_ord")).withColumn("citation", F.col("citation_text"))
+    return nw.nodes(pairs, c, 2)
+
+
+def network_nodes(spark, d):
+    return _nodes(spark, d, nw.edges(_pairs(spark, d), 600))
+
+
+def network_stats(spark, d):
+    pairs = nw.edges(_pairs(spark, d), 600)
+    kept = _nodes(spark, d, pairs)
+    return nw.stats(kept, nw.surviving(pairs, kept))
+
+
+# References and matching --------------------------------------------------------
+
+
+def _page_refs(spark, d):
+    """(doc_id, ref_ord, ref_full_text): reference strings of each paper."""
+    r = load(spark, d, "matched_citations").where(F.length("ref_full_text") >= 15).select(F.col("paper_id").alias("doc_id"), tx.squash(F.col("ref_full_text")).alias("ref_full_text")).distinct()
+    return r.withColumn("ref_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_full_text")))
+
+
+def reference_format(spark, d):
+    return re_.reference_format(_page_refs(spark, d))
+
+
+def reference_parse(spark, d):
+    return re_.parse(_page_refs(spark, d))
+
+
+def reference_years(spark, d):
+    return reference_parse(spark, d).select("doc_id", "ref_ord", "ref_format", "ref_year")
+
+
+def author_normalize(spark, d):
+    a = load(spark, d, "authors").where(F.col("family_name").isNotNull()).select("family_name").distinct()
+    return a.select("family_name", names.normal_author(F.col("family_name")).alias("normal_name"))
+
+
+def author_match(spark, d):
+    c = load(spark, d, "matched_citations").where(F.col("ref_authors").isNotNull()).select("cite_author", F.regexp_extract("ref_authors", r"(\p{Lu}[\p{L}'-]{2,})", 1).alias("ref_name")).distinct()
+    return c.select("cite_author", "ref_name", names.names_match(F.col("cite_author"), F.col("ref_name")).alias("same"))
+
+
+def reference_enrich(spark, d):
+    r = load(spark, d, "crossref_refs").dropDuplicates(["ref_row_id"])
+    index = r.select(F.col("paper_id").alias("doc_id"), F.col("ref_row_id").cast("string").alias("ref_id"), F.col("ref_full").alias("ref_full_text"), "ref_year", F.regexp_extract("author", r"(\p{Lu}[\p{L}'-]{2,})", 1).alias("ref_first_author"), F.lit(None).cast("string").alias("ref_second_author"), F.lit(None).cast("int").alias("n_authors"))
+    return re_.enrich(index, inp.references(spark, d))
+
+
+def works_completion(spark, d):
+    r = load(spark, d, "crossref_refs").where(F.col("doi").isNotNull()).dropDuplicates(["ref_row_id"])
+    author = F.regexp_extract("author", r"(\p{Lu}[\p{L}'-]{2,})", 1)
+    refs = r.select(F.col("paper_id").alias("doc_id"), F.col("ref_row_id").alias("ref_id"), "doi", F.nullif(author, F.lit("")).alias("ref_first_author"), "ref_year", F.col("journal").alias("ref_journal"), F.lit(None).cast("int").alias("n_authors"))
+    works = r.select("doi", F.col("ref_row_id").alias("work_id"), F.col("article_title").alias("title"), F.nullif(F.regexp_extract("ref_year", r"(\d{4})", 1), F.lit("")).cast("int").alias("publication_year"), F.col("journal").alias("source_display_name"), F.nullif(author, F.lit("")).alias("first_author"), F.lit(None).cast("int").alias("n_authors"))
+    return re_.complete_from_works(refs, works)
+
+
+def match_numbered(spark, d):
+    return ma.match_numbered(inp.citations(spark, d), inp.references(spark, d))
+
+
+def match_narrative(spark, d):
+    return ma.match_narrative(inp.citations(spark, d), inp.references(spark, d))
+
+
+def match_quality(spark, d):
+    both = match_numbered(spark, d).select("match_confidence").unionByName(match_narrative(spark, d).select("match_confidence"))
+    return ma.match_quality(both)
+
+
+# Moves --------------------------------------------------------------------------
+
+
+def sentence_segments(spark, d):
+    return mo.segment(inp.sections(spark, d))
+
+
+def move_rules(spark, d):
+    s = load(spark, d, "sentences").where(F.length("text") > 0).select("sentence_id", "section", "text", "position_pct").distinct()
+    return mo.rule_based(s.withColumn("section", F.coalesce("section", F.lit("")))).select("sentence_id", "taxonomy_type", "move_rule", "step_rule", "conf_rule")
+
+
+def move_reconcile(spark, d):
+    s = load(spark, d, "sentences").where(F.length("text") > 0).select("sentence_id", "section", "text", "position_pct", "move", "step", "confidence").distinct()
+    ruled = mo.rule_based(s.withColumn("section", F.coalesce("section", F.lit("")))).withColumn("move_rule", F.substring("move_rule", 1, 2))
+    return mo.reconcile(ruled.withColumnsRenamed({"move": "move_llm", "step": "step_llm", "confidence": "conf_llm"})).select("sentence_id", "move", "step", "confidence", "method")
+
+
+def _stored_moves(spark, d):
+    s = load(spark, d, "sentences").select("paper_id", F.coalesce(F.trim("section"), F.lit("Unnamed")).alias("section"), "sentence_id", "move", "step", "confidence", "method").distinct()
+    return s
+
+
+def move_blocks(spark, d):
+    return mo.blocks(_stored_moves(spark, d), ["paper_id", "section"], "sentence_id")
+
+
+def move_flow(spark, d):
+    return mo.flow(_stored_moves(spark, d), ["paper_id", "section"], "sentence_id")
+
+
+def move_distribution(spark, d):
+    return mo.distribution(_stored_moves(spark, d), ["paper_id", "section"], ["move"])
+
+
+def step_distribution(spark, d):
+    return mo.distribution(_stored_moves(spark, d), ["paper_id", "section"], ["move", "step"])
+
+
+def method_breakdown(spark, d):
+    return _stored_moves(spark, d).groupBy("method").agg(F.count("*").alias("n"))
+
+
+# Structure and layout -----------------------------------------------------------
+
+
+def _wiki_as_paper(spark, d):
+    """Documents with their wiki headings as plain heading lines."""
+    t = F.regexp_replace("text", r"(?m)^==+\s*(.*?)\s*==+\s*$", "\nResults\n")
+    return load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.concat(F.lit("Introduction\n"), t, F.lit("\n\nReferences\nnone")).alias("text"))
+
+
+def section_split(spark, d):
+    docs = _wiki_as_paper(spark, d).withColumn("text", F.concat(F.lit("\n\n"), F.col("text")))
+    return se.split_sections(docs).select("doc_id", "section_ord", "section", F.length("text").alias("n_chars"))
+
+
+def references_normalize(spark, d):
+    r = _page_refs(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "ref_full_text"))), lambda x: x["ref_full_text"]), "\n\n").alias("text"))
+    return se.reference_blocks(r)
+
+
+def markdown_sections(spark, d):
+    t = F.regexp_replace("text", r"(?m)^==+\s*(.*?)\s*==+\s*$", "## $1")
+    return se.markdown_sections(load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.lit(1).alias("chunk_ord"), t.alias("text"))).select("doc_id", "section", F.length("text").alias("n_chars"))
+
+
+def table_removal(spark, d):
+    return load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", se.without_tables(F.col("text")).alias("text"))
+
+
+def figure_caption_removal(spark, d):
+    return load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", se.without_figure_captions(F.regexp_replace("text", r"(?m)^\* ", "Figure 1: ")).alias("text"))
+
+
+def superscript_convert(spark, d):
+    return load(spark, d, "sentences").where(F.length("text") > 0).select("sentence_id", se.superscript_citations(F.col("text")).alias("text")).distinct()
+
+
+def running_headers(spark, d):
+    docs = inp.papers(spark, d).select("doc_id", F.regexp_replace("text", r"\. ", "\n12\n\nAnnals of Applied Acoustics, the second volume of it\n").alias("text"))
+    return se.running_headers(docs)
+
+
+def line_binning(spark, d):
+    return la.lines(inp.boxes(spark, d)).select("doc_id", "page", "line_y", "line", "n_words")
+
+
+def column_gutter(spark, d):
+    return la.gutter(inp.boxes(spark, d)).select("doc_id", "page", F.round("threshold", 4).alias("threshold"))
+
+
+def global_gutter(spark, d):
+    return la.global_gutter(inp.boxes(spark, d)).select("doc_id", F.round("threshold", 4).alias("threshold"), "n_pages")
+
+
+def page_text(spark, d):
+    b = inp.boxes(spark, d)
+    lined = la.column_lines(b, la.global_gutter(b))
+    texts = la.page_text(lined, ["doc_id", "page", "column"])
+    return la.joined_pages(texts.select("doc_id", (F.col("page") * 10 + F.col("column")).alias("page"), "text"))
+
+
+# Sources ------------------------------------------------------------------------
+
+
+def _messages(spark, d):
+    """Index messages as JSON, one per paper."""
+    m = load(spark, d, "main_metadata").groupBy("paper_id").agg(F.max_by(F.struct("doi", "title", "journal_title", "publisher", "publication_year", "volume", "issue", "pages", "issn", "work_type", "url"), "fetched_at").alias("m"))
+    a = load(spark, d, "authors").dropDuplicates(["author_id"]).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("author_ord", "author_id", "given_name", "family_name", "orcid"))).alias("a"))
+    rows = m.join(a, "paper_id", "left")
+    body = F.struct(
+        F.col("m.doi").alias("DOI"), F.array("m.title").alias("title"), F.array("m.journal_title").alias("container-title"), F.col("m.publisher").alias("publisher"),
+        F.struct(F.array(F.array("m.publication_year")).alias("date-parts")).alias("issued"), F.col("m.volume").alias("volume"), F.array("m.issn").alias("ISSN"), F.col("m.work_type").alias("type"),
+        F.transform("a", lambda x: F.struct(x["given_name"].alias("given"), x["family_name"].alias("family"), F.concat(F.lit("https://orcid.org/"), x["orcid"]).alias("ORCID"))).alias("author"),
+    )
+    return ix.messages(rows.select(F.col("paper_id").alias("doc_id"), F.to_json(body).alias("message")))
+
+
+def index_metadata(spark, d):
+    return ix.message_metadata(_messages(spark, d)).select("doc_id", "doi", "title", "journal_title", "publisher", "publication_year", "volume", "issn", "work_type")
+
+
+def index_authors(spark, d):
+    return ix.message_authors(_messages(spark, d)).select("doc_id", "author_ord", "given_name", "family_name", "orcid")
+
+
+def document_info(spark, d):
+    m = load(spark, d, "main_metadata").groupBy("paper_id").agg(F.max_by(F.struct("doi", "title", "journal_title", "url", "fetched_at"), "fetched_at").alias("m"))
+    keys = F.map_from_arrays(F.array(F.lit("Title"), F.lit("WPS-ARTICLEDOI"), F.lit("Subject"), F.lit("Creator")), F.array(F.coalesce("m.title", F.lit("")), F.coalesce("m.doi", F.lit("")), F.concat(F.coalesce("m.journal_title", F.lit("")), F.lit(", volume 1")), F.lit("pdfTeX")))
+    info = m.select(F.col("paper_id").alias("doc_id"), keys.alias("keys"), F.lit("").alias("metadata"), F.col("m.fetched_at").alias("created"), F.col("m.fetched_at").alias("modified"))
+    return ix.info_fields(info)
+
+
+# Nested values ------------------------------------------------------------------
+
+
+def p6_found(spark, d):
+    return ne.child_items(load(spark, d, "authors"), load(spark, d, "crossref_refs"), load(spark, d, "main_metadata"))
+
+
+def p6_affiliations(spark, d):
+    e = ne.emit(load(spark, d, "authors").select("author_id", "affiliation").distinct(), "author_id", "affiliation", ne.AFFILIATION)
+    return ne.child_table(e, "affiliation", "name string, text string, place struct<city:string,country:string>").select("item_id", "root_id", F.col("ord1"), F.coalesce("name", "text").alias("name"), "place.city", "place.country")
+
+
+# Bundle -------------------------------------------------------------------------
+
+
+def analysis_summary(spark, d):
+    """One row per paper: words, citations, narrative share, matches."""
+    from quillmark.plans.analysis import ContentAnalysis
+
+    return ContentAnalysis(inp.papers(spark, d), inp.references(spark, d)).summary()
+
+
+QUERIES = (
+    readability_indices, syllable_counts, text_stats, word_frequencies, stopword_antijoin, ngram_top15, lexical_diversity, word_distribution_segments, word_distribution_sections, word_distribution_dense,
+    tfidf_by_section, tfidf_top_n, cluster_summary, tfidf_heatmap, reference_titles,
+    citation_scan, citation_sweep, citation_expand, citation_standardize, citation_types, narrative_ratio, citation_density, citation_segments, citation_sections, section_distribution, citation_contexts,
+    citation_cooccurrence, network_edges, network_nodes, network_stats,
+    reference_format, reference_parse, reference_years, author_normalize, author_match, reference_enrich, works_completion, match_numbered, match_narrative, match_quality,
+    sentence_segments, move_rules, move_reconcile, move_blocks, move_flow, move_distribution, step_distribution, method_breakdown,
+    section_split, references_normalize, markdown_sections, table_removal, figure_caption_removal, superscript_convert, running_headers, line_binning, column_gutter, global_gutter, page_text,
+    index_metadata, index_authors, document_info, p6_found, p6_affiliations, analysis_summary,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillmark.plans.oracle import SQL
+
+    return dict(SQL)
