@@ -127,7 +127,7 @@ def blocks(sentences: DataFrame, keys: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     same = F.col("move").eqNullSafe(F.lag("move").over(w)) & F.col("step").eqNullSafe(F.lag("step").over(w)) & F.lag(order).over(w).isNotNull()
     runs = sentences.withColumn("_new", (~same).cast("int")).withColumn("block", F.sum("_new").over(w))
-    return runs.groupBy(*keys, "block").agg(F.first("move").alias("move"), F.first("step").alias("step"), F.min(order).alias("first_sentence"), F.max(order).alias("last_sentence"), F.count("*").alias("n_sentences"), F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+    return runs.groupBy(*keys, "block").agg(F.first("move").alias("move"), F.first("step").alias("step"), F.min(order).alias("first_sentence"), F.max(order).alias("last_sentence"), F.count("*").alias("n_sentences"), F.round(F.avg("confidence") + 1e-9, 3).alias("avg_confidence"))
 
 
 def distribution(sentences: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

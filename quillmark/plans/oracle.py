@@ -1 +1,234 @@
+"""SQL twins of the catalogue's queries for DuckDB."""
+
+from __future__ import annotations
+
+from quillmark.functions import names
+from quillmark.operators import moves
+from quillmark.operators.citations import NON_AUTHORS, PATTERNS
+from quillmark.operators.words import STOPWORDS
+from quillmark.plans.inputs import BOXES, PAPERS, PARTS, SECTIONS, TERMS
+
 SQL: dict[str, str] = {}
+_W = r"[\p{L}\p{M}\p{N}_]+"
+_STOP = "('" + "', '".join(STOPWORDS) + "')"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _syl(w: str) -> str:
+    n = f"len(regexp_extract_all({w}, '[aeiouy]+'))"
+    silent = f"(({w} LIKE '%e' AND NOT regexp_matches({w}, '[^aeiouy]le$')) OR ({w} LIKE '%ed' AND NOT regexp_matches({w}, '[td]ed$|ied$')) OR ({w} LIKE '%es' AND NOT regexp_matches({w}, '[aeiou]les$|ies$|ues$')))"
+    hiatus = f"(regexp_matches({w}, 'i[aou][ns]$') AND NOT regexp_matches({w}, '[aeiou]i[aou][ns]$'))"
+    return f"greatest(1, {n} + CASE WHEN {silent} AND {n} > 1 THEN -1 WHEN {hiatus} THEN 1 ELSE 0 END)"
+
+
+SQL["readability_indices"] = f"""
+WITH a AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{_W}'), lambda w: regexp_matches(w, '^[a-z]+$')) AS ws,
+  len(list_filter(regexp_split_to_array(trim(text), '[.!?]+\\s+|[.!?]+$'), lambda s: length(trim(s)) > 0)) AS s FROM documents),
+b AS (SELECT doc_id, s, len(ws) AS w, list_sum(list_transform(ws, lambda x: length(x))) AS c, list_transform(ws, lambda x: {_syl('x')}) AS sy FROM a),
+c AS (SELECT doc_id, s, w, c, list_sum(sy) AS y, len(list_filter(sy, lambda n: n >= 3)) AS x, s > 0 AND w > 0 AS good FROM b)
+SELECT doc_id, CASE WHEN good THEN round(0.39 * (w / s) + 11.8 * (y / w) - 15.59 + 1e-9, 2) + 0.0 END AS flesch_kincaid_grade, CASE WHEN good THEN round(206.835 - 1.015 * (w / s) - 84.6 * (y / w) + 1e-9, 2) + 0.0 END AS flesch_reading_ease,
+ CASE WHEN good THEN round(4.71 * (c / w) + 0.5 * (w / s) - 21.43 + 1e-9, 2) + 0.0 END AS automated_readability_index, CASE WHEN good THEN round(0.4 * (w / s + x / w * 100) + 1e-9, 2) + 0.0 END AS gunning_fog_index,
+ CASE WHEN good THEN s END AS n_sentences, CASE WHEN good THEN w END AS n_words, CASE WHEN good THEN y END AS n_syllables, CASE WHEN good THEN c END AS n_characters, CASE WHEN good THEN x END AS n_complex_words,
+ CASE WHEN good THEN round(w / s + 1e-9, 2) + 0.0 END AS avg_sentence_length, CASE WHEN good THEN round(y / w + 1e-9, 2) + 0.0 END AS avg_syllables_per_word, CASE WHEN good THEN round(x / w * 100 + 1e-9, 2) + 0.0 END AS pct_complex_words FROM c"""
+SQL["syllable_counts"] = f"""
+SELECT word, {_syl('word')} AS n_syllables FROM (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '{_W}'), lambda w: regexp_matches(w, '^[a-z]+$'))) AS word FROM documents)"""
+_SQ = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+SQL["text_stats"] = f"""
+SELECT doc_id, length(t) AS n_chars, len(regexp_split_to_array(t, '\\s+')) AS n_words, len(regexp_split_to_array(t, '[.!?]+')) AS n_sentences,
+ round(len(regexp_split_to_array(t, '\\s+')) / len(regexp_split_to_array(t, '[.!?]+')), 2) AS avg_words_per_sentence FROM (SELECT doc_id, {_SQ} AS t FROM documents WHERE text IS NOT NULL)"""
+
+
+def _words(keys: str, source: str, least: int = 1, stop: bool = False, numbers: bool = False) -> str:
+    """CTE ``w``: keys, pos, word."""
+    return f"""w AS (SELECT * FROM (SELECT {keys}, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT {keys}, regexp_extract_all(lower(text), '{_W}') AS ws FROM {source}))
+  WHERE length(word) >= {least}{"" if numbers else " AND NOT regexp_matches(word, '^[0-9]+$')"}{f" AND word NOT IN {_STOP}" if stop else ""})"""
+
+
+_S = "(SELECT DISTINCT paper_id, sentence_id, text FROM sentences WHERE text IS NOT NULL)"
+SQL["word_frequencies"] = f"""
+WITH {_words('paper_id, sentence_id', _S, 3)}, n AS (SELECT paper_id, word, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT paper_id, word, n, round(n / sum(n) OVER (PARTITION BY paper_id), 6) AS frequency, row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, word) AS rank FROM n"""
+SQL["stopword_antijoin"] = f"""WITH {_words('paper_id, sentence_id', _S, stop=True)} SELECT paper_id, count(*) AS n_words, count(DISTINCT word) AS n_unique FROM w GROUP BY 1"""
+SQL["lexical_diversity"] = f"""
+WITH {_words('paper_id, sentence_id', _S)} SELECT paper_id, count(*) AS n_words, count(DISTINCT word) AS n_unique, round(count(DISTINCT word) / count(*), 6) AS lexical_diversity FROM w GROUP BY 1"""
+
+
+def _grams(keys: str, sizes=(1, 2, 3)) -> str:
+    """CTE ``g``: keys, n, ngram from arrays ``a`` (keys, ws)."""
+    return "g AS (" + " UNION ALL ".join(f"SELECT {keys}, {n} AS n, unnest(list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n} - 1], ' '))) AS ngram FROM a WHERE len(ws) >= {n}" for n in sizes) + ")"
+
+
+SQL["ngram_top15"] = f"""
+WITH {_words('paper_id, sentence_id', _S, stop=True)}, a AS (SELECT paper_id, sentence_id, list(word ORDER BY pos) AS ws FROM w GROUP BY 1, 2), {_grams('paper_id')},
+c AS (SELECT paper_id, n, ngram, count(*) AS cnt FROM g GROUP BY 1, 2, 3), r AS (SELECT *, sum(cnt) OVER (PARTITION BY paper_id, n) AS total, row_number() OVER (PARTITION BY paper_id, n ORDER BY cnt DESC, ngram) AS rank FROM c)
+SELECT paper_id, n, ngram, cnt, rank, round(cnt / CASE WHEN n = 1 THEN total ELSE sum(cnt) OVER (PARTITION BY paper_id, n) END, 6) AS frequency FROM r WHERE rank <= 15"""
+_SEL = "('museum', 'valley', 'market', 'central valley', 'second flood', 'old bridge')"
+
+
+def _distribution(keys: str, source: str) -> str:
+    on = " AND ".join(f"a.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    return f"""{_words(keys, source, stop=True, numbers=True)}, a AS (SELECT {keys}, list(word ORDER BY pos) AS ws FROM w GROUP BY ALL), {_grams(keys)},
+  c AS (SELECT {keys}, ngram AS word, count(*) AS count FROM g WHERE ngram IN {_SEL} GROUP BY ALL),
+  dist AS (SELECT c.*, len(ws) AS total_words, round(count / len(ws), 6) AS relative_frequency FROM c JOIN a ON {on})"""
+
+
+_SEG = f"""seg AS (SELECT doc_id, s AS segment, substring(t, (s - 1) * k + 1, k) AS text FROM (SELECT doc_id, t, CAST(ceil(length(t) / 10) AS INT) AS k, unnest(range(1, 11)) AS s FROM (SELECT doc_id, {_SQ} AS t FROM documents WHERE length(trim(text)) > 0)))"""
+SQL["word_distribution_segments"] = f"WITH {_SEG}, {_distribution('doc_id, segment', 'seg')} SELECT * FROM dist"
+SQL["word_distribution_sections"] = f"WITH {SECTIONS}, {_distribution('doc_id, section', 'sections')} SELECT * FROM dist"
+SQL["word_distribution_dense"] = f"""WITH {SECTIONS}, {_distribution('doc_id, section', 'sections')}
+SELECT s.doc_id, s.section, t.word, coalesce(d.count, 0) AS count, coalesce(d.relative_frequency, 0.0) AS relative_frequency FROM (SELECT DISTINCT doc_id, section FROM sections) s, (SELECT unnest(['museum', 'valley', 'market', 'central valley', 'second flood', 'old bridge']) AS word) t
+LEFT JOIN dist d ON s.doc_id = d.doc_id AND s.section = d.section AND t.word = d.word"""
+
+_TFIDF = f"""{TERMS}, tot AS (SELECT paper_id, section, sum(n) AS total, count(*) OVER (PARTITION BY paper_id) AS ns FROM terms GROUP BY 1, 2),
+ dfs AS (SELECT *, count(*) OVER (PARTITION BY paper_id, ngram) AS df FROM terms),
+ tfidf AS (SELECT d.paper_id, d.section, d.ngram, d.n, round(d.n / total, 6) AS tf, round(ln(ns / df), 6) AS idf, round(d.n / total * ln(ns / df), 6) AS tf_idf FROM dfs d JOIN tot t ON d.paper_id = t.paper_id AND d.section = t.section)"""
+SQL["tfidf_by_section"] = f"WITH {_TFIDF} SELECT * FROM tfidf"
+_TOP = lambda k: f"top AS (SELECT * FROM (SELECT paper_id, section, ngram, n, tf_idf, row_number() OVER (PARTITION BY paper_id, section ORDER BY tf_idf DESC, ngram) AS rank FROM tfidf) WHERE rank <= {k})"
+SQL["tfidf_top_n"] = f"WITH {_TFIDF}, {_TOP(10)} SELECT * FROM top"
+SQL["cluster_summary"] = f"WITH {_TFIDF}, {_TOP(5)} SELECT paper_id, section, string_agg(ngram, ', ' ORDER BY rank) AS top_terms, count(*) AS n_terms FROM top GROUP BY 1, 2"
+SQL["tfidf_heatmap"] = f"""WITH {_TFIDF}, {_TOP(10)}, k AS (SELECT paper_id, count(DISTINCT section) AS k FROM top GROUP BY 1),
+t AS (SELECT top.paper_id, ngram, max(CASE WHEN rank <= greatest(1, floor(20 / k)) THEN 1 ELSE 0 END) AS first, max(tf_idf) AS score FROM top JOIN k ON top.paper_id = k.paper_id GROUP BY 1, 2)
+SELECT paper_id, ngram, score, term_rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY first DESC, score DESC, ngram) AS term_rank FROM t) WHERE term_rank <= 20"""
+
+# Citations ------------------------------------------------------------------------
+_non = "(" + ", ".join(map(_q, NON_AUTHORS)) + ")"
+
+
+def _hits() -> str:
+    parts = []
+    for order, (name, pattern) in enumerate(PATTERNS.items()):
+        keep = f" WHERE regexp_extract(hit, '\\(?([A-Z][A-Za-z''-]+)', 1) NOT IN {_non}" if "narrative" in name or "author_year" in name else ""
+        parts.append(f"""SELECT doc_id, {order} AS ord, {_q(name)} AS citation_type, {_q(name + '_')} || k AS citation_id, hit AS citation_text, start_pos, start_pos + length(hit) - 1 AS end_pos FROM (
+   SELECT doc_id, k, hs[k] AS hit, 1 + coalesce(list_sum(list_transform(gs[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hs[1:k - 1], lambda x: length(x))), 0) AS start_pos FROM (
+    SELECT doc_id, hs, gs, unnest(range(1, len(hs) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(t, {_q(pattern)}) AS hs, regexp_split_to_array(t, {_q(pattern)}) AS gs FROM sq))){keep}""")
+    return f"{PAPERS}, sq AS (SELECT doc_id, {_SQ} AS t FROM papers), hits AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_HITS = _hits()
+SQL["citation_scan"] = f"WITH {_HITS} SELECT doc_id, citation_type, citation_id, citation_text, CAST(start_pos AS INT) AS start_pos, CAST(end_pos AS INT) AS end_pos FROM hits"
+_SWEEP = f"""{_HITS}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_pos, start_pos - end_pos, ord) AS rn FROM hits),
+ nxt AS MATERIALIZED (SELECT a.doc_id, a.rn, min(b.rn) AS nx FROM ranked a LEFT JOIN ranked b ON a.doc_id = b.doc_id AND b.start_pos >= a.end_pos AND b.rn > a.rn GROUP BY 1, 2),
+ walk AS (SELECT doc_id, CAST(1 AS BIGINT) AS rn FROM ranked WHERE rn = 1 UNION ALL SELECT w.doc_id, n.nx FROM walk w JOIN nxt n ON w.doc_id = n.doc_id AND w.rn = n.rn WHERE n.nx IS NOT NULL),
+ swept AS (SELECT r.doc_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.rn) AS citation_ord, citation_type, citation_id, citation_text, CAST(start_pos AS INT) AS start_pos, CAST(end_pos AS INT) AS end_pos FROM ranked r JOIN walk w ON r.doc_id = w.doc_id AND r.rn = w.rn)"""
+_WITH = f"WITH RECURSIVE {_SWEEP}"
+SQL["citation_sweep"] = f"{_WITH} SELECT * FROM swept"
+_EXP = r""", expanded AS (SELECT doc_id, citation_ord, citation_type, citation_id, citation_text, start_pos, end_pos, NULL AS original_complex_citation FROM swept WHERE citation_type NOT IN ('complex_multiple_citations', 'multiple_citations_semicolon')
+ UNION ALL SELECT doc_id, citation_ord, 'parsed_from_multiple', 'parsed_multiple_' || citation_ord || '_' || j, '(' || trim(p[j]) || ')', start_pos, end_pos, citation_text FROM (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM (
+   SELECT *, regexp_split_to_array(regexp_replace(regexp_replace(citation_text, '^\((?:see\s+)?(?:e\.g\.\s+)?(?:cf\.\s+)?(?:compare\s+)?', ''), '\)$', ''), '\s*;\s*') AS p FROM swept WHERE citation_type IN ('complex_multiple_citations', 'multiple_citations_semicolon')))
+ WHERE regexp_matches(p[j], '\d{4}'))"""
+SQL["citation_expand"] = f"{_WITH}{_EXP} SELECT * FROM expanded"
+_STD = r""", std AS (SELECT *, CASE WHEN citation_type LIKE '%narrative%' THEN regexp_extract(citation_text, '^([^(]+)', 1) END AS author_part, CASE WHEN citation_type LIKE '%narrative%' THEN nullif(regexp_extract(citation_text, '(\(\d{4}[a-z]?\))', 1), '') END AS year_part FROM expanded)"""
+SQL["citation_standardize"] = f"{_WITH}{_EXP}{_STD} SELECT doc_id, citation_id, author_part, year_part, coalesce('(' || trim(author_part) || ', ' || translate(year_part, '()', '') || ')', citation_text) AS citation_text_clean FROM std"
+SQL["citation_types"] = f"{_WITH} SELECT doc_id, citation_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id) * 100, 2) AS percentage FROM swept GROUP BY 1, 2"
+SQL["narrative_ratio"] = f"""{_WITH} SELECT doc_id, count(*) AS total_citations, sum(CASE WHEN citation_type LIKE '%narrative%' THEN 1 ELSE 0 END) AS narrative_citations, sum(CASE WHEN citation_type LIKE '%narrative%' THEN 0 ELSE 1 END) AS parenthetical_citations,
+ round(sum(CASE WHEN citation_type LIKE '%narrative%' THEN 1 ELSE 0 END) / count(*) * 100, 2) AS narrative_percentage FROM swept GROUP BY 1"""
+SQL["citation_density"] = f"""{_WITH} SELECT s.doc_id, w AS total_words, coalesce(n, 0) AS n_citations, round(coalesce(n, 0) / w * 1000, 2) AS citations_per_1000_words, CASE WHEN n > 0 THEN round(w / n, 2) END AS avg_words_between_citations
+ FROM (SELECT doc_id, len(regexp_split_to_array(t, '\\s+')) AS w FROM sq) s LEFT JOIN (SELECT doc_id, count(*) AS n FROM swept GROUP BY 1) c ON s.doc_id = c.doc_id"""
+SQL["citation_segments"] = f"""{_WITH}, b AS (SELECT *, min(start_pos) OVER (PARTITION BY doc_id) AS lo, max(start_pos) OVER (PARTITION BY doc_id) AS hi FROM swept)
+SELECT doc_id, citation_id, start_pos, 'Segment ' || CASE WHEN start_pos = lo THEN 1 ELSE CAST(least(10, ceil((start_pos - lo) / ((hi - lo) / 10))) AS INT) END AS segment FROM b"""
+_PARTS = f""", fivep AS (SELECT doc_id, t, CAST(ceil(length(t) / {len(PARTS)}) AS INT) AS k, unnest(range({len(PARTS)})) AS i FROM sq),
+ five AS (SELECT doc_id, i + 1 AS section_ord, [{', '.join(map(_q, PARTS))}][i + 1] AS section, length(trim(substring(t, i * k + 1, k))) + 1 AS size FROM fivep),
+ spans AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY section_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM five),
+ placed AS (SELECT c.*, coalesce(s.section, 'Unknown') AS section FROM swept c LEFT JOIN spans s ON c.doc_id = s.doc_id AND c.start_pos BETWEEN s.before + 1 AND s.before + s.size)"""
+SQL["citation_sections"] = f"{_WITH}{_PARTS} SELECT doc_id, citation_id, section FROM placed"
+SQL["section_distribution"] = f"""{_WITH}{_PARTS}, n AS (SELECT doc_id, section, count(*) AS n FROM placed GROUP BY 1, 2), e AS (SELECT coalesce(f.doc_id, n.doc_id) AS doc_id, coalesce(f.section, n.section) AS section, coalesce(n, 0) AS n FROM five f FULL JOIN n ON f.doc_id = n.doc_id AND f.section = n.section)
+SELECT doc_id, section, n, CASE WHEN sum(n) OVER (PARTITION BY doc_id) > 0 THEN round(n / sum(n) OVER (PARTITION BY doc_id) * 100, 2) ELSE 0.0 END AS percentage FROM e"""
+SQL["citation_contexts"] = f"""{_WITH}, nx AS (SELECT a.doc_id, a.citation_id, min(b.start_pos) AS following FROM swept a LEFT JOIN swept b ON a.doc_id = b.doc_id AND b.start_pos > a.end_pos GROUP BY 1, 2),
+x AS (SELECT s.*, regexp_extract_all(substring(t, 1, s.start_pos - 1), '{_W}') AS b, regexp_extract_all(substring(t, s.end_pos + 1, coalesce(following - s.end_pos - 1, length(t))), '{_W}') AS a FROM swept s JOIN sq ON s.doc_id = sq.doc_id JOIN nx ON s.doc_id = nx.doc_id AND s.citation_id = nx.citation_id),
+y AS (SELECT *, array_to_string(b[greatest(len(b) - 9, 1):len(b)], ' ') AS words_before, array_to_string(a[1:10], ' ') AS words_after FROM x)
+SELECT doc_id, citation_id, citation_type, citation_text, start_pos, end_pos, words_before, words_after, trim(words_before || ' ' || citation_text || ' ' || words_after) AS full_context, len(b) + len(a) AS context_word_count, least(len(b), 10) + least(len(a), 10) AS window_word_count,
+ citation_type LIKE '%narrative%' AS is_narrative, citation_type = 'parsed_from_multiple' AS is_parsed_multiple FROM y"""
+_PAIRS = """, pairs AS (SELECT a.doc_id, a.citation_ord AS ord1, b.citation_ord AS ord2, a.citation_text AS citation1, b.citation_text AS citation2, b.start_pos - a.end_pos AS distance, a.citation_type AS type1, b.citation_type AS type2
+ FROM swept a JOIN swept b ON a.doc_id = b.doc_id AND a.citation_ord < b.citation_ord AND b.start_pos - a.end_pos <= 1000)"""
+SQL["citation_cooccurrence"] = f"{_WITH}{_PAIRS} SELECT * FROM pairs"
+_EDGES = ", edges AS (SELECT doc_id, ord1, ord2, citation1, citation2, distance, round(greatest(0.5, 3 - abs(distance) / 200), 3) AS width, CASE WHEN abs(distance) <= 300 THEN 'near' WHEN abs(distance) <= 600 THEN 'medium' ELSE 'far' END AS distance_class FROM pairs WHERE abs(distance) <= 600)"
+SQL["network_edges"] = f"{_WITH}{_PAIRS}{_EDGES} SELECT * FROM edges"
+_NODES = """, deg AS (SELECT doc_id, citation, count(*) AS connections FROM (SELECT doc_id, citation1 AS citation FROM edges UNION ALL SELECT doc_id, citation2 FROM edges) GROUP BY 1, 2 HAVING count(*) >= 2),
+ fs AS (SELECT doc_id, citation_text AS citation, section, min(citation_ord) AS o FROM placed GROUP BY 1, 2, 3), sn AS (SELECT doc_id, citation, string_agg(section, ', ' ORDER BY o, section) AS sections, count(*) AS n_sections, first(section ORDER BY o, section) AS primary_section FROM fs GROUP BY 1, 2),
+ nodes AS (SELECT d.doc_id, d.citation, connections, sections, n_sections, primary_section, round(least(greatest(15 + connections * 3, 15), 40) / 2, 3) AS size, CASE WHEN n_sections > 1 THEN 3 ELSE 1 END AS border,
+  CASE WHEN length(d.citation) > 25 THEN substring(d.citation, 1, 22) || '...' ELSE d.citation END AS label FROM deg d LEFT JOIN sn ON d.doc_id = sn.doc_id AND d.citation = sn.citation)"""
+SQL["network_nodes"] = f"{_WITH}{_PAIRS}{_EDGES}{_PARTS}{_NODES} SELECT * FROM nodes"
+SQL["network_stats"] = f"""{_WITH}{_PAIRS}{_EDGES}{_PARTS}{_NODES}, kept AS (SELECT * FROM edges e WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = e.doc_id AND n.citation = e.citation1) AND EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = e.doc_id AND n.citation = e.citation2))
+SELECT a.doc_id, n_nodes, multi_section_nodes, coalesce(n_edges, 0) AS n_edges, avg_distance FROM (SELECT doc_id, count(*) AS n_nodes, sum(CASE WHEN n_sections > 1 THEN 1 ELSE 0 END) AS multi_section_nodes FROM nodes GROUP BY 1) a
+LEFT JOIN (SELECT doc_id, count(*) AS n_edges, round(avg(abs(distance)), 1) AS avg_distance FROM kept GROUP BY 1) b ON a.doc_id = b.doc_id"""
+
+# References -----------------------------------------------------------------------
+_REFS = r"""prefs AS (SELECT doc_id, t AS ref_full_text, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS ref_ord FROM (SELECT DISTINCT paper_id AS doc_id, trim(regexp_replace(ref_full_text, '\s+', ' ', 'g')) AS t FROM matched_citations WHERE length(ref_full_text) >= 15)),
+ fcount AS (SELECT doc_id, sum(CASE WHEN regexp_matches(ref_full_text, '\(\d{4}[a-z]?\)') THEN 1 ELSE 0 END) AS p, sum(CASE WHEN regexp_matches(ref_full_text, ',\s*\d{4}[a-z]?\.') THEN 1 ELSE 0 END) AS b, sum(CASE WHEN regexp_matches(ref_full_text, '^\[?\d+\]?\.?\s') THEN 1 ELSE 0 END) AS m FROM prefs WHERE ref_ord <= 10 GROUP BY 1),
+ fmt AS (SELECT doc_id, CASE WHEN m >= p AND m >= b AND m >= 2 THEN 'numbered' WHEN b > p THEN 'author_year_bare' ELSE 'author_year_paren' END AS ref_format FROM fcount)"""
+SQL["reference_format"] = f"WITH {_REFS} SELECT * FROM fmt"
+SQL["reference_years"] = rf"""WITH {_REFS}, y AS (SELECT r.*, ref_format, nullif(regexp_extract(ref_full_text, '\((\d{{4}}[a-z]?)\)', 1), '') AS a, nullif(regexp_extract(ref_full_text, ',\s(\d{{4}}[a-z]?)\.', 1), '') AS b, nullif(regexp_extract(ref_full_text, '(?:^|[^\p{{L}}\p{{N}}_])((?:1[89]\d{{2}}|20[0-2]\d)[a-z]?)[.,;)\s]', 1), '') AS c FROM prefs r JOIN fmt ON r.doc_id = fmt.doc_id),
+z AS (SELECT *, CASE WHEN ref_format = 'author_year_bare' THEN coalesce(b, a, c) ELSE coalesce(a, b, c) END AS yr FROM y)
+SELECT doc_id, ref_ord, ref_format, CASE WHEN CAST(yr[1:4] AS INT) BETWEEN 1800 AND 2027 THEN yr END AS ref_year FROM z"""
+
+
+def _plain(x: str) -> str:
+    return f"replace(replace(replace(translate({x}, '{names.ACCENTED}', '{names.FOLDED}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+
+
+def _normal(x: str) -> str:
+    s = f"regexp_replace({_plain(f'lower(trim({x}))')}, '{names.PARTICLE}', '')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({s}, '-', ' ', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+SQL["author_normalize"] = f"SELECT DISTINCT family_name, {_normal('family_name')} AS normal_name FROM authors WHERE family_name IS NOT NULL"
+SQL["author_match"] = rf"""
+WITH c AS (SELECT DISTINCT cite_author, regexp_extract(ref_authors, '(\p{{Lu}}[\p{{L}}''-]{{2,}})', 1) AS ref_name FROM matched_citations WHERE ref_authors IS NOT NULL), n AS (SELECT *, {_normal('cite_author')} AS x, {_normal('ref_name')} AS y FROM c),
+m AS (SELECT *, CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i])) END AS ex FROM n)
+SELECT cite_author, ref_name, coalesce(length(x) > 0 AND length(y) > 0 AND (x = y OR contains(x, y) OR contains(y, x) OR (length(x) = length(y) AND ex <= CASE WHEN length(x) > 5 THEN 2 ELSE 1 END)
+ OR (least(length(x), length(y)) / greatest(length(x), length(y)) >= 0.7 AND 1 - levenshtein(x, y) / greatest(length(x), length(y)) >= 0.8)), false) AS same FROM m"""
+
+# Moves ----------------------------------------------------------------------------
+_STORED = "st AS (SELECT DISTINCT paper_id, coalesce(trim(section), 'Unnamed') AS section, sentence_id, move, step, confidence, method FROM sentences)"
+SQL["move_distribution"] = f"WITH {_STORED} SELECT paper_id, section, move, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY paper_id, section) * 100, 1) AS pct FROM st GROUP BY 1, 2, 3"
+SQL["step_distribution"] = f"WITH {_STORED} SELECT paper_id, section, move, step, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY paper_id, section) * 100, 1) AS pct FROM st GROUP BY 1, 2, 3, 4"
+SQL["method_breakdown"] = f"WITH {_STORED} SELECT method, count(*) AS n FROM st GROUP BY 1"
+SQL["move_blocks"] = f"""WITH {_STORED}, f AS (SELECT *, CASE WHEN lag(sentence_id) OVER w IS NOT NULL AND move IS NOT DISTINCT FROM lag(move) OVER w AND step IS NOT DISTINCT FROM lag(step) OVER w THEN 0 ELSE 1 END AS new FROM st WINDOW w AS (PARTITION BY paper_id, section ORDER BY sentence_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY paper_id, section ORDER BY sentence_id ROWS UNBOUNDED PRECEDING) AS block FROM f)
+SELECT paper_id, section, block, any_value(move) AS move, any_value(step) AS step, min(sentence_id) AS first_sentence, max(sentence_id) AS last_sentence, count(*) AS n_sentences, round(avg(confidence) + 1e-9, 3) AS avg_confidence FROM b GROUP BY 1, 2, 3"""
+SQL["move_flow"] = f"""WITH {_STORED}, f AS (SELECT *, lag(sentence_id) OVER w IS NULL OR move IS DISTINCT FROM lag(move) OVER w AS keep FROM st WINDOW w AS (PARTITION BY paper_id, section ORDER BY sentence_id))
+SELECT paper_id, section, string_agg(coalesce(move, 'Unclassified'), ' -> ' ORDER BY sentence_id) AS flow_pattern FROM f WHERE keep GROUP BY 1, 2"""
+
+
+def _move_rules() -> str:
+    tax = """CASE WHEN regexp_matches(s, 'introduction|\\bintro\\b') THEN 'introduction' WHEN regexp_matches(s, 'literature|related work|background|state of the art|theoretical framework|review') THEN 'literature_review'
+ WHEN regexp_matches(s, 'discussion|conclusion|implication|closing remarks') THEN 'discussion' WHEN regexp_matches(s, 'method|material|experimental|procedure|design|data collection') THEN NULL ELSE 'introduction' END"""
+    bonus = {("introduction", "M1"): "p <= 40|0.15", ("introduction", "M2"): "p > 30 AND p <= 70|0.15", ("introduction", "M3"): "p > 60|0.2", ("discussion", "M1"): "p <= 50|0.15", ("discussion", "M2"): "p > 40 AND p <= 80|0.1", ("discussion", "M3"): "p > 60|0.2", ("literature_review", "M1"): "p <= 30|0.15", ("literature_review", "M3"): "p > 70|0.15"}
+    parts = []
+    for o, (t, move, label, step, weight, cues) in enumerate(moves.LEXICON):
+        hits = " + ".join(f"CAST(regexp_matches(l, {_q(c)}) AS INT)" for c in cues)
+        when, add = (bonus.get((t, move)) or "false|0.0").split("|")
+        cited = "CASE WHEN cited THEN 0.15 ELSE 0.0 END" if any(x in step for x in ("Reviewing", "Summarizing", "Comparing")) else "0.0"
+        parts.append(f"SELECT sentence_id, {o} AS o, {_q(move + ': ' + label)} AS move, {_q(step)} AS step, ({hits}) AS h, least(1.0, least(1.0, CAST({hits} AS DOUBLE) * {weight} * 0.5) + CASE WHEN {when} THEN {add} ELSE 0.0 END + {cited}) AS score FROM base WHERE tax = '{t}'")
+    return rf"""src AS (SELECT DISTINCT sentence_id, coalesce(section, '') AS section, text, position_pct AS p FROM sentences WHERE length(text) > 0),
+ pre AS (SELECT *, lower(section) AS s, lower(text) AS l, regexp_matches(text, '\([A-Z][a-z]+.*?(19|20)\d{{2}}\)|[A-Z][a-z]+\s+(et\s+al\.?\s+)?\((19|20)\d{{2}}\)') OR regexp_matches(text, '\[\d+[,;\-\d\s]*\]') AS cited FROM src),
+ base AS (SELECT *, {tax} AS tax FROM pre), scored AS ({" UNION ALL ".join(parts)}), best AS (SELECT sentence_id, arg_max(struct_pack(m := move, t := step, c := score), struct_pack(c := score, k := -o)) AS b FROM scored WHERE h > 0 GROUP BY 1)"""
+
+
+SQL["move_rules"] = f"WITH {_move_rules()} SELECT base.sentence_id, tax AS taxonomy_type, b.m AS move_rule, b.t AS step_rule, coalesce(round(b.c, 3), 0.0) AS conf_rule FROM base LEFT JOIN best ON base.sentence_id = best.sentence_id"
+SQL["move_reconcile"] = f"""WITH {_move_rules()}, st AS (SELECT DISTINCT sentence_id, move AS ml, step AS sl, confidence AS cl FROM sentences WHERE length(text) > 0), j AS (SELECT st.*, b.m[1:2] AS mr, b.t AS sr, coalesce(round(b.c, 3), 0.0) AS cr FROM st LEFT JOIN best ON st.sentence_id = best.sentence_id)
+SELECT sentence_id, coalesce(ml, mr, 'Unclassified') AS move, CASE WHEN ml IS NOT NULL THEN sl ELSE sr END AS step, round(CASE WHEN mr = ml THEN least(1.0, (cr + cl) / 2 + 0.15) WHEN mr IS NOT NULL AND ml IS NOT NULL THEN cl * 0.85 WHEN ml IS NOT NULL THEN cl WHEN mr IS NOT NULL THEN cr ELSE 0.0 END, 3) AS confidence,
+ CASE WHEN mr = ml THEN 'rule+llm' WHEN ml IS NOT NULL THEN 'llm' WHEN mr IS NOT NULL THEN 'rule' ELSE 'none' END AS method FROM j"""
+
+# Layout ---------------------------------------------------------------------------
+_TOL = f"""{BOXES}, ys AS (SELECT DISTINCT doc_id, page, y FROM boxes), gp AS (SELECT doc_id, page, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) AS gap FROM ys), mid AS (SELECT doc_id, page, quantile_cont(gap, 0.5) AS mid FROM gp WHERE gap IS NOT NULL GROUP BY 1, 2),
+ sm AS (SELECT g.doc_id, g.page, quantile_cont(gap, 0.5) AS m FROM gp g JOIN mid ON g.doc_id = mid.doc_id AND g.page = mid.page WHERE gap <= mid GROUP BY 1, 2), nn AS (SELECT doc_id, page, count(*) AS n FROM boxes GROUP BY 1, 2),
+ tol AS (SELECT nn.doc_id, nn.page, CASE WHEN n < 10 THEN 4.0 ELSE coalesce(least(greatest(ceil(m * 1.5), 2), 8), 4.0) END AS tol FROM nn LEFT JOIN sm ON nn.doc_id = sm.doc_id AND nn.page = sm.page)"""
+SQL["line_binning"] = f"WITH {_TOL} SELECT b.doc_id, b.page, round_even(y / tol, 0) * tol AS line_y, string_agg(text, ' ' ORDER BY x, word_ord) AS line, count(*) AS n_words FROM boxes b JOIN tol t ON b.doc_id = t.doc_id AND b.page = t.page GROUP BY 1, 2, 3"
+_GUT = f"""{BOXES}, r AS (SELECT *, count(*) OVER w AS k, sum(x) OVER w AS s, count(*) OVER (PARTITION BY doc_id, page) AS n, sum(x) OVER (PARTITION BY doc_id, page) AS t FROM boxes WINDOW w AS (PARTITION BY doc_id, page ORDER BY x, word_ord ROWS UNBOUNDED PRECEDING)),
+ sp AS (SELECT doc_id, page, arg_max(struct_pack(l := s / k, r := (t - s) / (n - k), n := n, k := k), struct_pack(sc := s * s / k + (t - s) * (t - s) / (n - k), x := x, k := k)) AS b FROM r WHERE k < n GROUP BY 1, 2),
+ bins AS (SELECT doc_id, page, b, unnest(range(1, 50)) AS bin FROM sp),
+ cnt AS (SELECT x.doc_id, x.page, CAST(least(floor((x.x - b.l) / ((b.r - b.l) / 49)) + 1, 49) AS INT) AS bin, count(*) AS m FROM boxes x JOIN sp ON x.doc_id = sp.doc_id AND x.page = sp.page WHERE x.x BETWEEN b.l AND b.r GROUP BY 1, 2, 3),
+ bb AS (SELECT bins.doc_id, bins.page, any_value(b) AS b, min(struct_pack(m := coalesce(m, 0), bin := bins.bin)) AS best FROM bins LEFT JOIN cnt ON bins.doc_id = cnt.doc_id AND bins.page = cnt.page AND bins.bin = cnt.bin GROUP BY 1, 2),
+ gut AS (SELECT doc_id, page, b.n AS n, b.k AS n_left, CASE WHEN b.n < 2 THEN (b.l + b.r) / 2 ELSE b.l + best.bin * (b.r - b.l) / 49 END AS threshold FROM bb)"""
+SQL["column_gutter"] = f"WITH {_GUT} SELECT doc_id, page, round(threshold, 4) AS threshold FROM gut"
+
+# Sources --------------------------------------------------------------------------
+_LATEST = "SELECT paper_id, arg_max(struct_pack(doi, title, journal_title, publisher, publication_year, volume, issn, work_type, fetched_at), fetched_at) AS m FROM main_metadata GROUP BY 1"
+SQL["index_metadata"] = f"SELECT paper_id AS doc_id, m.doi AS doi, m.title AS title, m.journal_title AS journal_title, m.publisher AS publisher, m.publication_year AS publication_year, m.volume AS volume, m.issn AS issn, m.work_type AS work_type FROM ({_LATEST})"
+SQL["document_info"] = rf"""
+SELECT paper_id AS doc_id, nullif(trim(m.title), '') AS title, NULL AS authors, nullif(trim(regexp_extract(coalesce(m.journal_title, '') || ', volume 1', '^(.*?)(?:,|\s+doi)', 1)), '') AS journal,
+ coalesce(nullif(regexp_extract(coalesce(m.journal_title, ''), '((?:19|20)\d{{2}})', 1), ''), CAST(year(m.fetched_at) AS VARCHAR)) AS year, nullif(regexp_extract(coalesce(m.doi, ''), '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), '') AS doi FROM ({_LATEST})"""
