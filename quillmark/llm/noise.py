@@ -30,7 +30,7 @@ GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("im", "nn"), ("li
 CONFUSED = {"c": "e", "i": "l", "h": "b"}
 HYPHENS = "-‐¬­"
 
-WORD = r"[\p{IsLatin}\p{M}\p{N}†]+"
+WORD = r"[0-9A-Za-z†À-ÖØ-öø-ɏ̀-ͯﬀ-ﬆ]+"
 #: Codes and numbers are no words: fewer than three letters, or capitals before digits.
 CODE = r"^(?:(?:[^\p{L}]*\p{L}){0,2}[^\p{L}]*|\p{Lu}+\p{N}+[\p{Lu}\p{N}]*|\p{N}+\p{Lu}*)$"
 BREAK = rf"(\p{{L}}+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(\p{{L}}+)"
@@ -73,7 +73,7 @@ def skeleton_text(word: str) -> str:
 
 def joined(text: Column) -> Column:
     """Hyphenated line ends joined; what stands there on purpose is judged elsewhere."""
-    return F.regexp_replace(text, rf"(?<=\p{{L}})[{HYPHENS}][ \t]*\r?\n[ \t]*(?=\p{{L}})", "")
+    return F.when(text.contains("\n"), F.regexp_replace(text, rf"[{HYPHENS}](?<=\p{{L}}.)[ \t]*\r?\n[ \t]*(?=\p{{L}})", "")).otherwise(text)
 
 
 def row_words(rows: DataFrame) -> DataFrame:
@@ -259,10 +259,10 @@ def pair_model(words: list[str], compounds: list[str]) -> Boosted:
 
 def broken_words(rows: DataFrame, words: DataFrame, sample: list[str]) -> DataFrame:
     """(record_kind, record_id) of rows with a word broken across lines."""
-    found = rows.where(F.col("text").rlike(BREAK)).select("record_kind", "record_id", F.explode(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0))).alias("at"))
+    found = rows.where(F.col("text").contains("\n") & F.col("text").rlike(rf"[{HYPHENS}][ \t]*\r?\n")).select("record_kind", "record_id", F.explode(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0))).alias("at"))
     parts = found.select("record_kind", "record_id", *[F.regexp_extract("at", BREAK, i + 1).alias(c) for i, c in enumerate(("left", "sign", "rest"))])
     pairs = parts.select("left", "sign", "rest").distinct()
-    compound = rows.where(F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("c")).groupBy(F.lower("c").alias("compound")).agg(F.count("*").alias("n_compound"))
+    compound = rows.where(F.col("text").contains("-") & F.col("text").rlike(r"-(?<=\p{L}-)\p{L}")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("c")).groupBy(F.lower("c").alias("compound")).agg(F.count("*").alias("n_compound"))
     counted = pairs.withColumn("word", F.lower(F.concat("left", "rest"))).join(words.select("word", "n"), "word", "left").withColumn("compound", F.lower(F.concat_ws("-", "left", "rest"))).join(compound, "compound", "left")
     log = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(0)).cast("double"))
     lower = (F.substring("rest", 1, 1) == F.lower(F.substring("rest", 1, 1))) | (F.col("left") == F.upper("left"))
