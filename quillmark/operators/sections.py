@@ -29,6 +29,10 @@ def plain_ligatures(text: Column) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), LIGATURES, text)
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def heads(text: Column, names=SECTION_NAMES) -> Column:
     """Array of (start_pos, end_pos, name): heading lines after a blank line, numbered or not."""
     line = r"(?im)(?:(?<=\n\n)|(?<=\A))[ \t]*(?:\d+(?:\.\d+)*\.?[ \t]+)?(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")[ \t]*(?=\n|\z)"
@@ -44,9 +48,9 @@ def split_sections(docs: DataFrame, text: str = "text", names=SECTION_NAMES) ->
     """
     found = docs.select("doc_id", F.col(text).alias("t"), heads(F.col(text), names).alias("h"))
     size = F.size("h")
-    nexts = F.transform("h", lambda x, i: F.struct((i + 1).alias("k"), x["name"].alias("name"), F.trim(F.col("t").substr(x["end_pos"] + 1, F.coalesce(F.get("h", i + 1)["start_pos"], F.length("t") + 1) - x["end_pos"] - 1)).alias("text")))
+    nexts = F.transform("h", lambda x, i: F.struct((i + 1).alias("k"), x["name"].alias("name"), _stripped(F.col("t").substr(x["end_pos"] + 1, F.coalesce(F.get("h", i + 1)["start_pos"], F.length("t") + 1) - x["end_pos"] - 1)).alias("text")))
     first = F.get("h", F.lit(0))["start_pos"]
-    preface = F.trim(F.col("t").substr(F.lit(1), first - 1))
+    preface = _stripped(F.col("t").substr(F.lit(1), first - 1))
     lead = F.when((first > 100) & (F.length(preface) > 50), F.array(F.struct(F.lit(0).alias("k"), F.lit("Preface").alias("name"), preface.alias("text")))).otherwise(F.slice(nexts, 1, 0))
     rows = found.select("doc_id", F.when(size > 0, F.concat(lead, nexts)).otherwise(F.array(F.struct(F.lit(1).alias("k"), F.lit("Full_text").alias("name"), F.col("t").alias("text")))).alias("s"))
     rows = rows.select("doc_id", F.explode("s").alias("x")).select("doc_id", "x.*").where(F.length("text") > 0).withColumn("name", F.when(F.lower("name") == "bibliography", "References").otherwise(F.col("name")))
