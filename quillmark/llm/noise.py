@@ -290,14 +290,15 @@ class Judgement:
         self.corrections = written(corrections(self.vocabulary), "noise-corrections")
         n = max(self.rows.count(), 1)
         chance = F.pmod(F.xxhash64("record_kind", "record_id"), F.lit(1 << 30)) / float(1 << 30)
-        lines = self.rows.where(F.col("text").rlike(r"[\n\x0c]") & (chance * n < 10 * SAMPLE)).select(F.substring("text", 1, 2000)).limit(SAMPLE)
+        lines = self.rows.where(F.col("text").rlike(r"[\n\x0c]") & (chance * n < 10 * SAMPLE)).select("text").limit(SAMPLE)
         self.lines = rows.sparkSession.sparkContext.broadcast(line_model([r[0] for r in lines.collect()]))
 
     def misread(self) -> DataFrame:
         """(record_kind, record_id, word, right) of every misread word in a row."""
-        common = self.vocabulary.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON).select("word")
-        own = self.words.select("record_kind", "record_id", F.explode(F.array_distinct("words")).alias("as_written")).withColumn("word", F.lower("as_written"))
-        rare = own.join(F.broadcast(common), "word", "left_anti").where(~F.col("as_written").rlike(CODE)).drop("as_written")
+        clean = self.vocabulary.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
+        common = clean.select(F.explode(F.array_distinct(F.array("word", F.initcap("word"), F.upper("word")))).alias("as_written"))
+        own = self.words.select("record_kind", "record_id", F.explode("words").alias("as_written"))
+        rare = own.join(F.broadcast(common), "as_written", "left_anti").where(~F.col("as_written").rlike(CODE)).select("record_kind", "record_id", F.lower("as_written").alias("word")).distinct()
         return join_hot(rare, self.corrections, ["word"], "n").select("record_kind", "record_id", "word", "right")
 
     def with_signs(self) -> DataFrame:
