@@ -101,8 +101,16 @@ def superscript_citations(text: Column) -> Column:
 
 
 def spaced_headers(text: Column) -> Column:
-    """Headers written with blanks between capitals, put together ('R E S U L T S')."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)(?<=^|[A-Z]) (?=[A-Z](?: [A-Z]){2,}[ \t]*$)", ""), r"(?m)(?<=[A-Z]{3}) (?=[A-Z](?: [A-Z])?[ \t]*$)|(?<=^[A-Z]{1,40}) (?=[A-Z]$)", "")
+    """Lines of letter-spaced capitals put together ('R E S U L T S'): four groups or
+    more of up to four letters, half of them of one or two, seven characters in all."""
+
+    def line(x: Column) -> Column:
+        groups = F.split(F.trim(x), " ")
+        short = F.size(F.filter(groups, lambda g: F.length(g) <= 2))
+        spaced = x.rlike(r"^\s*(?:[A-Z]{1,4} ){3,}[A-Z]{1,4}\s*$") & (short * 2 >= F.size(groups)) & (F.length(F.trim(x)) >= 7)
+        return F.when(spaced, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
 
 def running_headers(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -178,6 +186,6 @@ def markdown_sections(chunks: DataFrame) -> DataFrame:
     free = F.coalesce(F.length(F.trim(F.lag("line").over(w))) == 0, F.lit(True))
     head = F.col("line").rlike(r"^##\s+[A-Z0-9]") | (F.col("line").rlike(r"^#\s+[A-Z]") & free)
     rows = lines.withColumn("head", head).withColumn("g", F.sum(F.col("head").cast("int")).over(w))
-    parts = rows.groupBy("doc_id", "g").agg(F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^#+", "")))).alias("section"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))), lambda x: x["line"]), "\n")).alias("text"))
+    parts = rows.groupBy("doc_id", "g").agg(F.max(F.when(F.col("head"), F.trim(F.regexp_replace("line", "^#+", "")))).alias("section"), _stripped(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("i", "line")))), lambda x: x["line"]), "\n")).alias("text"))
     parts = parts.withColumn("section", F.coalesce("section", F.lit("Preamble"))).where((F.col("g") > 0) | (F.length("text") > 10))
     return parts.groupBy("doc_id", "section").agg(F.max_by("text", "g").alias("text"), F.max("g").alias("section_ord"))

@@ -11,7 +11,7 @@ from quillmark.operators import citations as ci
 from quillmark.operators import matching, network, words
 
 
-class ContentAnalysis:
+class PaperAnalysis:
     """Tables of an analysis; each is planned when asked for and runs when used.
 
     ``docs``: (doc_id, text); ``references``: (doc_id, ref_ord, ref_id, ref_year,

@@ -400,9 +400,9 @@ def p6_affiliations(spark, d):
 
 def analysis_summary(spark, d):
     """One row per paper: words, citations, narrative share, matches."""
-    from quillmark.plans.analysis import ContentAnalysis
+    from quillmark.plans.analysis import PaperAnalysis
 
-    return ContentAnalysis(inp.papers(spark, d), inp.references(spark, d)).summary()
+    return PaperAnalysis(inp.papers(spark, d), inp.references(spark, d)).summary()
 
 
 QUERIES = (
