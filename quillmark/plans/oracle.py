@@ -232,3 +232,15 @@ SQL["index_metadata"] = f"SELECT paper_id AS doc_id, m.doi AS doi, m.title AS ti
 SQL["document_info"] = rf"""
 SELECT paper_id AS doc_id, nullif(trim(m.title), '') AS title, NULL AS authors, nullif(trim(regexp_extract(coalesce(m.journal_title, '') || ', volume 1', '^(.*?)(?:,|\s+doi)', 1)), '') AS journal,
  coalesce(nullif(regexp_extract(coalesce(m.journal_title, ''), '((?:19|20)\d{{2}})', 1), ''), CAST(year(m.fetched_at) AS VARCHAR)) AS year, nullif(regexp_extract(coalesce(m.doi, ''), '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), '') AS doi FROM ({_LATEST})"""
+SQL["index_authors"] = """
+WITH a AS (SELECT DISTINCT ON (author_id) author_id, paper_id, author_ord, given_name, family_name, orcid FROM authors)
+SELECT a.paper_id AS doc_id, CAST(row_number() OVER (PARTITION BY a.paper_id ORDER BY author_ord, author_id) AS INT) AS author_ord, given_name, family_name, regexp_replace(orcid, '^https?://orcid\\.org/', '') AS orcid
+FROM a WHERE paper_id IN (SELECT paper_id FROM main_metadata)"""
+SQL["reference_titles"] = r"""
+SELECT DISTINCT mapping_id, coalesce(nullif(trim(regexp_extract(ref_full_text, '\(\d{4}[a-z]?\)\.?\s*([^.]+)', 1)), ''), trim(regexp_split_to_array(ref_full_text, '\.\s')[2])) AS title FROM matched_citations WHERE ref_full_text IS NOT NULL"""
+_CITES = "cites AS (SELECT paper_id AS doc_id, CAST(mapping_id AS VARCHAR) AS citation_id, min(struct_pack(a := citation_type, b := citation_text, c := citation_text_clean)) AS c FROM matched_citations WHERE citation_text IS NOT NULL GROUP BY 1, 2)"
+SQL["match_numbered"] = rf"""WITH {_CITES}, n AS (SELECT doc_id, citation_id, regexp_extract_all(c.b, '\d+') AS ns FROM cites WHERE c.a LIKE 'numbered\_%' ESCAPE '\'),
+ u AS (SELECT doc_id, citation_id, unnest(range(len(ns))) AS number_ord, unnest(ns) AS number FROM n UNION ALL SELECT doc_id, citation_id, 0, NULL FROM n WHERE len(ns) = 0),
+ r AS (SELECT DISTINCT paper_id AS doc_id, matched_ref_id AS ref_id FROM matched_citations WHERE matched_ref_id IS NOT NULL)
+SELECT u.doc_id, citation_id, number_ord, ref_id AS matched_ref_id, CASE WHEN number IS NULL THEN 'no_match_missing_number' WHEN ref_id IS NULL THEN 'no_match_numbered' ELSE 'high_numbered' END AS match_confidence
+FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND r.ref_id = 'REF_' || CAST(CAST(number AS BIGINT) AS VARCHAR)"""
