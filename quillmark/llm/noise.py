@@ -298,7 +298,9 @@ class Judgement:
         clean = self.vocabulary.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
         common = clean.select(F.explode(F.array_distinct(F.array("word", F.initcap("word"), F.upper("word")))).alias("as_written"))
         own = self.words.select("record_kind", "record_id", F.explode("words").alias("as_written"))
-        rare = own.join(F.broadcast(common), "as_written", "left_anti").where(~F.col("as_written").rlike(CODE)).select("record_kind", "record_id", F.lower("as_written").alias("word")).distinct()
+        few = own.join(F.broadcast(common), "as_written", "left_anti").where(~F.col("as_written").rlike(CODE)).select("record_kind", "record_id", F.lower("as_written").alias("word"))
+        # written, since the join below reads it twice
+        rare = written(few, "noise-rare")
         return join_hot(rare, self.corrections, ["word"], "n").select("record_kind", "record_id", "word", "right")
 
     def with_signs(self) -> DataFrame:
