@@ -29,6 +29,8 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("im", "nn"), ("li", "h"))
 CONFUSED = {"c": "e", "i": "l", "h": "b"}
 HYPHENS = "-‐¬­"
+#: Characters that are evidence of misreading inside a word, whether or not their letter is known.
+ODD = "".join(dict.fromkeys([*SIGNS, *LIGATURES, *"0123456789"]))
 
 WORD = r"[0-9A-Za-z†À-ÖØ-öø-ɏ̀-ͯﬀ-ﬆ]+"
 #: Codes and numbers are no words: fewer than three letters, or capitals before digits.
@@ -36,8 +38,8 @@ CODE = r"^(?:(?:[^\p{L}]*\p{L}){0,2}[^\p{L}]*|\p{Lu}+\p{N}+[\p{Lu}\p{N}]*|\p{N}+
 BREAK = rf"(\p{{L}}+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(\p{{L}}+)"
 #: Words that may be the right spelling; least ratio of its count to the wrong one's.
 TRUSTED, RATIO = 4, 5
-#: q-gram size, least Jaccard similarity of skeletons, words and lines in the training samples.
-Q, SIMILAR, SAMPLE = 4, 0.8, 3_000
+#: q-gram size; words and lines in the training samples.
+Q, SAMPLE = 3, 3_000
 #: Most frequent clean words, left out before the words are shuffled (a bounded broadcast).
 COMMON = 20_000
 
@@ -58,6 +60,12 @@ def skeleton(word: Column) -> Column:
     return F.translate(out, "".join(CONFUSED), "".join(CONFUSED.values()))
 
 
+def forms(word: Column) -> Column:
+    """What the search compares: the skeleton, and letter by letter the word without
+    joined groups, where one exchanged character stays one."""
+    return F.array_distinct(F.array(skeleton(word), F.translate(folded(word), "".join(CONFUSED), "".join(CONFUSED.values()))))
+
+
 def fold_text(word: str) -> str:
     for sign, letters in (SIGNS | LIGATURES).items():
         word = word.replace(sign, letters)
@@ -71,6 +79,10 @@ def skeleton_text(word: str) -> str:
     return word.translate(str.maketrans(CONFUSED))
 
 
+def forms_text(word: str) -> set[str]:
+    return {skeleton_text(word), fold_text(word).translate(str.maketrans(CONFUSED))}
+
+
 def joined(text: Column) -> Column:
     """Hyphenated line ends joined; what stands there on purpose is judged elsewhere."""
     return F.when(text.contains("\n"), F.regexp_replace(text, rf"[{HYPHENS}](?<=\p{{L}}.)[ \t]*\r?\n[ \t]*(?=\p{{L}})", "")).otherwise(text)
@@ -87,48 +99,75 @@ def vocabulary(words: DataFrame) -> DataFrame:
     written_so = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # codes are told by their capitals, so they go before the case does
     counted = written_so.where(~F.col("word").rlike(CODE)).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
-    signs = F.length("word") - F.length(F.translate("word", "".join(SIGNS) + "".join(LIGATURES), ""))
+    signs = F.length("word") - F.length(F.translate("word", ODD, ""))
     return counted.select("word", "n", skeleton(F.col("word")).alias("skeleton"), signs.alias("signs"))
 
 
+def _padded(s: Column) -> Column:
+    return F.concat(F.lit("^" * (Q - 1)), s, F.lit("$" * (Q - 1)))
+
+
+def _places(s: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(s) + (Q - 1))
+
+
 def _grams(s: Column) -> Column:
-    padded = F.concat(F.lit("^"), s, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: padded.substr(i, F.lit(Q))))
+    return F.array_distinct(F.transform(_places(s), lambda i: _padded(s).substr(i, F.lit(Q))))
 
 
 def candidates(words: DataFrame) -> DataFrame:
     """(word, right, n, n_right, signs): pairs of a word and a more frequent clean
-    one with similar skeletons, from an inverted join on q-grams.
+    one with forms at most one character apart, from an inverted join on q-grams.
 
-    Only the rarest q-grams of a skeleton are indexed: two sets of similarity
-    ``SIMILAR`` share one of their rarest, so no pair is lost by this.
+    One exchanged, lost or added character breaks at most ``Q`` q-grams, so one of
+    the ``Q + 1`` rarest of each form is left in both, as far from the start or
+    from the end as before: no pair of two or more characters is lost.
     """
-    skeletons = words.groupBy("skeleton").agg(F.max(F.struct(F.when(F.col("signs") == 0, F.col("n")).otherwise(0).alias("n"), "word")).alias("top")).where(F.length("skeleton") >= Q)
-    grams = skeletons.select("skeleton", F.explode(_grams(F.col("skeleton"))).alias("g"))
+    own = written(words.select("word", "n", "signs", F.explode(forms(F.col("word"))).alias("form")).where(F.length("form") > 0), "noise-forms")
+    grams = own.select("form").distinct().select("form", F.explode(_grams(F.col("form"))).alias("g"))
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = grams.join(rarity, "g").groupBy("skeleton").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
-    size = F.size("gs")
-    prefix = F.transform(F.slice("gs", F.lit(1), (size - F.ceil(size * SIMILAR) + 1).cast("int")), lambda x: x["g"])
-    index = written(ranked.select("skeleton", F.transform("gs", lambda x: x["g"]).alias("gs"), prefix.alias("prefix")), "noise-grams")
-    best = skeletons.where(F.col("top.n") >= TRUSTED).select("skeleton", F.col("top.word").alias("right"), F.col("top.n").alias("n_right"))
-    right = index.join(best, "skeleton").select(F.explode("prefix").alias("g"), F.col("skeleton").alias("skeleton_r"), F.col("gs").alias("gs_r"), "right", "n_right")
-    left = index.select(F.explode("prefix").alias("g"), "skeleton", "gs")
-    shared = F.size(F.array_intersect("gs", "gs_r"))
-    a, b = F.size("gs"), F.size("gs_r")
-    near = left.join(right, "g").where((a >= b * SIMILAR) & (b >= a * SIMILAR)).drop("g").distinct().where((shared >= SIMILAR * (F.size("gs") + F.size("gs_r") - shared)) & (F.col("skeleton") != F.col("skeleton_r")))
-    pairs = near.select("skeleton", "right", "n_right").unionByName(best.select("skeleton", "right", "n_right")).distinct()
-    out = words.select("word", "n", "signs", "skeleton").join(pairs, "skeleton").where((F.col("word") != F.col("right")) & (F.col("n_right") >= RATIO * F.col("n")))
+    rarest = grams.join(rarity, "g").groupBy("form").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, Q + 1), lambda x: x["g"]).alias("prefix"))
+    gram = lambda i: _padded(F.col("form")).substr(i, F.lit(Q))
+    kept = F.filter(_places(F.col("form")), lambda i: F.array_contains("prefix", gram(i)))
+    keys = F.flatten(F.transform(kept, lambda i: F.array(F.xxhash64(gram(i), i), F.xxhash64(gram(i), i - F.length("form") - Q))))
+    index = written(own.join(rarest, "form").select("word", "n", "signs", "form", F.explode(keys).alias("key")), "noise-grams")
+    right = index.where((F.col("signs") == 0) & (F.col("n") >= TRUSTED)).select("key", F.col("form").alias("form_r"), F.col("word").alias("right"), F.col("n").alias("n_right"))
+    near = index.join(right, "key").where((F.col("n_right") >= RATIO * F.col("n")) & (F.col("word") != F.col("right")) & (F.levenshtein("form", "form_r", 1) >= 0))
+    out = near.select("word", "n", "signs", "right", "n_right").distinct()
     # a sign of misreading is its own evidence: the folded word is a candidate, too
     other = "".join(k for k in (*SIGNS, *LIGATURES) if k != "â")
-    own = words.where(F.length(F.translate("word", other, "")) < F.length("word")).select("word", "n", "signs", folded(F.col("word")).alias("right"), F.lit(0).cast("bigint").alias("n_right"))
-    return out.select("word", "n", "signs", "right", "n_right").unionByName(own)
+    alone = words.where(F.length(F.translate("word", other, "")) < F.length("word")).select("word", "n", "signs", folded(F.col("word")).alias("right"), F.lit(0).cast("bigint").alias("n_right"))
+    return out.unionByName(alone)
+
 
+#: Of the characters between the nearest forms, an unlisted sign explains one; it stands for a letter, so it makes no word longer.
+FEATURES = ("unexplained", "letters apart", "signs", "length", "same start", "same letters", "unlisted", "sign inside", "longer by sign")
+UNLISTED = "".join(c for c in ODD if c not in SIGNS and c not in LIGATURES)
 
-FEATURES = ("skeletons apart", "letters apart", "signs", "length", "same start", "same letters")
+
+INSIDE = re.compile(rf"[a-zà-ɏ][{ODD}]+[a-zà-ɏ]")
 
 
 def features(word: Column, right: Column, signs: Column) -> list[Column]:
-    return [F.levenshtein(skeleton(word), skeleton(right)), F.levenshtein(folded(word), right), signs, F.length(word), (F.substring(word, 1, 1) == F.substring(right, 1, 1)).cast("int"), (F.array_sort(F.split(word, "")) == F.array_sort(F.split(right, ""))).cast("int")]
+    unlisted = F.length(word) - F.length(F.translate(word, UNLISTED, ""))
+    apart = F.array_min(F.flatten(F.transform(forms(word), lambda a: F.transform(forms(right), lambda b: F.levenshtein(a, b)))))
+    return [
+        F.greatest(apart - unlisted, F.lit(0)), F.levenshtein(folded(word), right), signs, F.length(word), (F.substring(word, 1, 1) == F.substring(right, 1, 1)).cast("int"), (F.array_sort(F.split(word, "")) == F.array_sort(F.split(right, ""))).cast("int"),
+        unlisted, word.rlike(INSIDE.pattern).cast("int"), F.when(unlisted > 0, F.length(folded(word)) - F.length(right)).otherwise(0),
+    ]
+
+
+def apart_text(word: str, right: str) -> int:
+    return min(_distance(a, b) for a in forms_text(word) for b in forms_text(right))
+
+
+def features_text(word: str, right: str) -> list[int]:
+    """The same of two strings."""
+    unlisted = sum(c in UNLISTED for c in word)
+    return [
+        max(apart_text(word, right) - unlisted, 0), _distance(fold_text(word), right), sum(c in ODD for c in word), len(word), int(word[:1] == right[:1]), int(sorted(word) == sorted(right)),
+        unlisted, int(INSIDE.search(word) is not None), len(fold_text(word)) - len(right) if unlisted else 0,
+    ]
 
 
 def _distance(a: str, b: str) -> int:
@@ -150,6 +189,18 @@ def _misread(word: str, rng: random.Random) -> str:
     return word
 
 
+def _unlisted(word: str, rng: random.Random) -> str:
+    """One letter read as a sign that no list ties to it."""
+    i = rng.randrange(len(word))
+    return word[:i] + rng.choice("2346789") + word[i + 1 :]
+
+
+def _code(word: str, rng: random.Random) -> str:
+    """A name with a number, on purpose, or a number that lost its blank."""
+    number = "".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 3)))
+    return number + word if rng.random() < 0.3 else word[: rng.randrange(1, len(word) + 1)] + number
+
+
 def _mistyped(word: str, rng: random.Random) -> str:
     i = rng.randrange(len(word) - 1)
     kind = rng.randrange(4)
@@ -162,18 +213,27 @@ def _mistyped(word: str, rng: random.Random) -> str:
     return word[:i] + rng.choice("abdefghjkmnoprstuvwxyz") + word[i + 1 :]
 
 
+def _exchanged(word: str, rng: random.Random) -> str:
+    """Two neighbours exchanged that are confused in scans, too, so that forms stay equal."""
+    at = [i for i in range(len(word) - 1) if word[i] != word[i + 1] and CONFUSED.get(word[i], word[i]) == CONFUSED.get(word[i + 1], word[i + 1])]
+    i = rng.choice(at) if at else 0
+    return word[:i] + word[i + 1] + word[i] + word[i + 2 :] if at else word
+
+
 def ranking(sample: list[str]) -> Boosted:
-    """Ranks a replacement: misread words against mistyped ones of the sample."""
+    """Ranks a replacement: misread words against mistyped ones and codes of the sample."""
     rng = random.Random(7)
     x, y = [], []
     for word in sample:
-        for label, make in ((1, _misread), (0, _mistyped)):
-            wrong = make(word, rng)
-            if wrong != word:
-                signs = sum(c in SIGNS or c in LIGATURES for c in wrong)
-                x.append([_distance(skeleton_text(wrong), skeleton_text(word)), _distance(fold_text(wrong), word), signs, len(wrong), int(wrong[:1] == word[:1]), int(sorted(wrong) == sorted(word))])
+        # slips twice: those that look like misreading are few among them
+        for label, make in ((1, _misread), (1, _unlisted), (0, _mistyped), (0, _mistyped), (0, _exchanged), (0, _code)):
+            wrong, right = make(word, rng), word
+            if make is _code and word not in wrong:
+                right = word[: len(wrong)]  # the word a number at the end makes it look like
+            if wrong != right and apart_text(wrong, right) <= 1:  # what the search can find
+                x.append(features_text(wrong, right))
                 y.append(label)
-    return Boosted().fit(np.array(x).reshape(-1, len(FEATURES)), np.array(y))
+    return Boosted(rounds=80).fit(np.array(x).reshape(-1, len(FEATURES)), np.array(y))
 
 
 def corrections(words: DataFrame) -> DataFrame:

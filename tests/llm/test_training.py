@@ -171,6 +171,28 @@ def test_noise(spark):
     assert fixed[900] == "The museum was lost." and fixed[902] == "The harbour was lost in it." and fixed[904] == "The old market was lost." and fixed[905] == "The timber was lost."
 
 
+def test_noise_candidates_at_every_length(spark):
+    rng = random.Random(2)
+    right = ["of", "the", "boat", "river", "market", "letters", "historic", "archivist", "settlement", "observatory", "architecture", "administration"]
+    wrong = {}
+    for word in right:
+        for i in range(len(word)):
+            wrong[word[:i] + rng.choice("kqz") + word[i + 1 :]] = word
+    rows = [([w] * 50,) for w in right] + [([w],) for w in wrong]
+    got = {(r.word, r.right) for r in noise.candidates(noise.vocabulary(spark.createDataFrame(rows, "words array<string>"))).collect()}
+    assert {(w, r) for w, r in wrong.items() if len(w) > 2} <= got
+
+
+def test_noise_unlisted_sign(spark):
+    words = ["museum", "market", "valley", "timber", "harbour", "session", "modern", "border", "public", "region"]
+    rows = [("sentence", i, f"The {w} of the old {v} was lost.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
+    rows += [("sentence", 900, "The m4rket was lost."), ("sentence", 901, "The old modu1es and sess7on were lost."), ("sentence", 902, "The market2 was lost."), ("sentence", 903, "The markat was lost."), ("sentence", 904, "The 6market was lost.")]
+    judged = noise.Judgement(spark.createDataFrame(rows, "record_kind string, record_id long, text string"))
+    assert {r.record_id for r in judged.found().collect()} == {900, 901}
+    fixed = {r.record_id: r.repaired_text for r in judged.repaired().collect()}
+    assert fixed[900] == "The market was lost." and "session" in fixed[901]
+
+
 def test_boost_learns_and():
     import numpy as np
 
