@@ -160,6 +160,15 @@ def test_works(spark):
     assert works.match(cites.limit(0), refs).count() == 0
 
 
+def test_works_misread_at_place_and_author(spark):
+    # place misread at both ends, author at the first letter; others sort between
+    cites = spark.createDataFrame([(1, "Bmithson, J. (1984). Survey of narrow timber precipitation in Craneberq. Journal of River Engineering, 57, 310-320.")], "mapping_id long, ref_full_text string")
+    r = [(10, "Survey of narrow timber precipitation in Graneberg", "Smithson J", "1984", "Journal of River Engineering", "57", "310", None)]
+    r += [(100 + i, f"Notes on {w} regular council accounting in E{w}n", "Miller K", str(1900 + i), "Journal of River Engineering", str(i), "10", None) for i, w in enumerate("".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 9, 5)) for i in range(40))]
+    refs = spark.createDataFrame(r, "ref_row_id long, article_title string, author string, ref_year string, journal string, volume string, first_page string, ref_full string")
+    assert {(x.mapping_id, x.ref_row_id) for x in works.match(cites, refs).collect()} == {(1, 10)}
+
+
 def test_noise(spark):
     words = ["museum", "market", "valley", "timber", "harbour", "session", "modern", "border", "public", "region"]
     rows = [("sentence", i, f"The {w} of the old {v} was lost in the long-term plan.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
