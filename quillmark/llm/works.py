@@ -256,11 +256,10 @@ def confidence(x: Column, y: Column) -> Column:
 
 
 def _sig(source: Column) -> Column:
-    """Id of a row's signature: its place, its kind and the beginnings of the last
-    two words of its head."""
-    words = F.split("head", " ")
-    start = lambda k: F.substring(F.coalesce(F.get(words, F.size(words) - k), F.lit("")), 1, 3)
-    return F.xxhash64(source, "place", "kind", start(2), start(1))
+    """Id of a row's signature: its whole head, its place and its kind; without a
+    place, where one title may be several works, its author, year and volume, too."""
+    cited = [F.when(F.length("place") == 0, F.col(f)).otherwise("") for f in ("author", "year", "volume")]
+    return F.xxhash64(source, "head", "place", "kind", *cited)
 
 
 def signatures(rows: DataFrame, source: str) -> DataFrame:

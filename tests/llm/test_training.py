@@ -169,6 +169,16 @@ def test_works_misread_at_place_and_author(spark):
     assert {(x.mapping_id, x.ref_row_id) for x in works.match(cites, refs).collect()} == {(1, 10)}
 
 
+def test_works_sharing_word_starts(spark):
+    # one place and equal word starts, or no place and one title, are not yet one work
+    cites = spark.createDataFrame([(1, "Smith, J. (1950). Notes on public railway reconstruction in Graneberg. Journal of River Engineering, 5, 10-20."), (2, "Olsson, K. (1990). Survey of private raising recovery in Graneberg. Annals of Soil Science, 61, 300-310.")], "mapping_id long, ref_full_text string")
+    r = [(10, "Notes on public railway reconstruction in Graneberg", "Smith J", "1950", "Journal of River Engineering", "5", "10", None), (11, "Survey of private raising recovery in Graneberg", "Olsson K", "1990", "Annals of Soil Science", "61", "300", None)]
+    fields = "ref_row_id long, article_title string, author string, ref_year string, journal string, volume string, first_page string, ref_full string"
+    assert {(x.mapping_id, x.ref_row_id) for x in works.match(cites, spark.createDataFrame(r, fields)).collect()} == {(1, 10), (2, 11)}
+    bare = [(i, "Notes on public railway reconstruction", f"{a} J", y, None, v, None, None) for i, a, y, v in ((20, "Smith", "1950", "5"), (21, "Olsson", "1990", "61"), (22, "Smith", "1950", "5"))]
+    assert works.signatures(works.read_references(spark.createDataFrame(bare, fields)), "r").count() == 2
+
+
 def test_noise(spark):
     words = ["museum", "market", "valley", "timber", "harbour", "session", "modern", "border", "public", "region"]
     rows = [("sentence", i, f"The {w} of the old {v} was lost in the long-term plan.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
