@@ -24,7 +24,7 @@ from quillmark.llm.sentences import FURNITURE
 from quillmark.shared import join_hot, written
 
 # Signs that scanning puts in place of letters, and letter groups it confuses.
-SIGNS = {"0": "o", "1": "l", "5": "s", "9": "g", "†": "t", "â": "a"}
+SIGNS = {"0": "o", "1": "l", "5": "s", "8": "b", "9": "g", "†": "t", "â": "a"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("im", "nn"), ("li", "h"))
 CONFUSED = {"c": "e", "i": "l", "h": "b"}
@@ -33,7 +33,7 @@ HYPHENS = "-‐¬­"
 ODD = "".join(dict.fromkeys([*SIGNS, *LIGATURES, *"0123456789"]))
 
 WORD = r"[0-9A-Za-z†À-ÖØ-öø-ɏ̀-ͯﬀ-ﬆ]+"
-#: Codes and numbers are no words: fewer than three letters, or capitals before digits.
+#: Codes and numbers are no words (fewer than three letters, or capitals before digits), unless ``no_codes`` knows the word.
 CODE = r"^(?:(?:[^\p{L}]*\p{L}){0,2}[^\p{L}]*|\p{Lu}+\p{N}+[\p{Lu}\p{N}]*|\p{N}+\p{Lu}*)$"
 BREAK = rf"(\p{{L}}+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(\p{{L}}+)"
 #: Words that may be the right spelling; least ratio of its count to the wrong one's.
@@ -96,13 +96,40 @@ def row_words(rows: DataFrame) -> DataFrame:
 def vocabulary(words: DataFrame) -> DataFrame:
     """(word, n, skeleton, signs): every distinct word, how often it stands, its
     skeleton, and its number of signs of misreading."""
-    written_so = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return of_spellings(spellings(words))
+
+
+def spellings(words: DataFrame) -> DataFrame:
+    """(word, n): every distinct word and code as written."""
+    return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def of_spellings(written_so: DataFrame) -> DataFrame:
+    """The vocabulary of the words as written, without codes.
+
+    Letters alone need three: in shorter ones nothing tells misreading from initials.
+    """
     # codes are told by their capitals, so they go before the case does
     counted = written_so.where(~F.col("word").rlike(CODE)).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     signs = F.length("word") - F.length(F.translate("word", ODD, ""))
     return counted.select("word", "n", skeleton(F.col("word")).alias("skeleton"), signs.alias("signs"))
 
 
+def maybe_misread(word: Column) -> Column:
+    """Codes that may be words: signs count as letters, of which there are three at least."""
+    return (F.length(word) >= 3) & word.rlike(r"\p{L}") & word.rlike(f"[{''.join(SIGNS)}]")
+
+
+def no_codes(written_so: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, right, n): what looks like a code, but is a known word with its signs
+    read as letters. Short ones need a trusted word and more letters than signs."""
+    told = written_so.where(F.col("word").rlike(CODE) & maybe_misread(F.col("word"))).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).withColumn("right", folded(F.col("word")))
+    known = words.where("signs = 0").select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    signs = F.length("word") - F.length(F.translate("word", ODD, ""))
+    sure = (F.length("right") >= 5) | ((F.col("n_right") >= TRUSTED) & (F.col("n_right") >= RATIO * F.col("n")))
+    return told.join(known, "right").where((F.col("n_right") >= F.col("n")) & (signs * 2 < F.length("word")) & sure).select("word", "right", "n")
+
+
 def _padded(s: Column) -> Column:
     return F.concat(F.lit("^" * (Q - 1)), s, F.lit("$" * (Q - 1)))
 
@@ -345,9 +372,11 @@ class Judgement:
     def __init__(self, rows: DataFrame):
         self.rows = rows.where(F.length("text") > 0)
         self.words = row_words(self.rows)
-        self.vocabulary = written(vocabulary(self.words), "noise-words")
+        spelled = written(spellings(self.words), "noise-spellings")
+        self.vocabulary = written(of_spellings(spelled), "noise-words")
         self.sample = [r[0] for r in self.vocabulary.where((F.col("n") >= TRUSTED) & F.col("word").rlike("^[a-z]{5,}$")).orderBy(F.xxhash64("word")).limit(SAMPLE).select("word").collect()]
-        self.corrections = written(corrections(self.vocabulary), "noise-corrections")
+        told = corrections(self.vocabulary).withColumn("code", F.lit(False)).unionByName(no_codes(spelled, self.vocabulary).withColumn("code", F.lit(True)))
+        self.corrections = written(told, "noise-corrections")
         n = max(self.rows.count(), 1)
         chance = F.pmod(F.xxhash64("record_kind", "record_id"), F.lit(1 << 30)) / float(1 << 30)
         lines = self.rows.where(F.col("text").rlike(r"[\n\x0c]") & (chance * n < 10 * SAMPLE)).select("text").limit(SAMPLE)
@@ -355,13 +384,13 @@ class Judgement:
 
     def misread(self) -> DataFrame:
         """(record_kind, record_id, word, right) of every misread word in a row."""
-        clean = self.vocabulary.join(self.corrections.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
+        clean = self.vocabulary.join(self.corrections.where("not code").select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
         common = clean.select(F.explode(F.array_distinct(F.array("word", F.initcap("word"), F.upper("word")))).alias("as_written"))
         own = self.words.select("record_kind", "record_id", F.explode("words").alias("as_written"))
-        few = own.join(F.broadcast(common), "as_written", "left_anti").where(~F.col("as_written").rlike(CODE)).select("record_kind", "record_id", F.lower("as_written").alias("word"))
+        few = own.join(F.broadcast(common), "as_written", "left_anti").withColumn("code", F.col("as_written").rlike(CODE)).where(~F.col("code") | maybe_misread(F.col("as_written"))).select("record_kind", "record_id", F.lower("as_written").alias("word"), "code")
         # written, since the join below reads it twice
         rare = written(few, "noise-rare")
-        return join_hot(rare, self.corrections, ["word"], "n").select("record_kind", "record_id", "word", "right")
+        return join_hot(rare, self.corrections, ["word", "code"], "n").select("record_kind", "record_id", "word", "right")
 
     def with_signs(self) -> DataFrame:
         """Rows with ligature signs, or â outside of text that has French function words."""

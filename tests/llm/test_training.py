@@ -212,6 +212,17 @@ def test_noise_unlisted_sign(spark):
     assert fixed[900] == "The market was lost." and "session" in fixed[901]
 
 
+def test_noise_codes_that_are_words(spark):
+    words = ["laboratory", "market", "valley", "timber", "harbour", "session", "modern", "border", "public", "region"]
+    rows = [("sentence", i, f"The {w} was lost for the {v}.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
+    rows += [("sentence", 900, "THE LA8ORATORY was lost."), ("sentence", 901, "It was lost f0r the market."), ("sentence", 902, "†he market was lost."), ("sentence", 903, "The 8ORDER was lost."), ("sentence", 904, "The tbe was K45 in H2O of 1850, 5th of A1, 10S.")]
+    judged = noise.Judgement(spark.createDataFrame(rows, "record_kind string, record_id long, text string"))
+    assert {900, 901, 902, 903} <= {r.record_id for r in judged.found().collect()}
+    got = {(r.record_id, r.word, r.right) for r in judged.misread().collect()}
+    assert {(900, "la8oratory", "laboratory"), (901, "f0r", "for"), (902, "†he", "the"), (903, "8order", "border")} <= got and not {w for i, w, _ in got if i == 904} - {"tbe"}
+    assert ("tbe", "the") in {(r.word, r.right) for r in noise.candidates(judged.vocabulary).collect()}
+
+
 def test_boost_learns_and():
     import numpy as np
 
