@@ -66,10 +66,11 @@ def forms(word: Column) -> Column:
     return F.array_distinct(F.array(skeleton(word), F.translate(folded(word), "".join(CONFUSED), "".join(CONFUSED.values()))))
 
 
+_FOLDED = str.maketrans(SIGNS | LIGATURES)
+
+
 def fold_text(word: str) -> str:
-    for sign, letters in (SIGNS | LIGATURES).items():
-        word = word.replace(sign, letters)
-    return word
+    return word.translate(_FOLDED)
 
 
 def skeleton_text(word: str) -> str:

@@ -38,12 +38,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_levels(spark, sf_dir).select("doc_id", "reading_level")
 
 
-def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return works.match(load(spark, sf_dir, "matched_citations"), load(spark, sf_dir, "crossref_refs"))
+def p4_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return works.work_members(load(spark, sf_dir, "matched_citations"), load(spark, sf_dir, "crossref_refs"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_matches(spark, sf_dir).select("mapping_id", "ref_row_id")
+    return works.match(load(spark, sf_dir, "matched_citations"), load(spark, sf_dir, "crossref_refs")).select("mapping_id", "ref_row_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_matches, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
+    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_works, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 

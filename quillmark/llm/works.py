@@ -1,9 +1,10 @@
 """Matching cited works across two tables without a shared key.
 
-Rows with equal title signatures are one signature. Signatures are sorted by
-several composite keys; within a sliding window neighbours are compared by
-weighted field similarities. Signatures of one table that agree form its works;
-works of the two tables are assigned one to one by confidence, and all rows of
+Rows with equal titles are one node, unless their authors, years and volumes
+contradict the title's usual ones. Nodes are sorted by several composite keys;
+within a sliding window neighbours are compared by weighted field similarities.
+Nodes of one table that agree form its works; works of the two tables are
+assigned one to one so that the total confidence is largest, and all rows of
 assigned works are pairs.
 """
 
@@ -13,43 +14,61 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.names import components, plain
 from quillmark.llm.noise import HYPHENS, fold_text
 from quillmark.llm.sentences import FURNITURE
-from quillmark.shared import written
+from quillmark.shared import join_hot, written
 
-#: Neighbours compared on each side, least confidence of a match, rows in a chunk of a sort.
-WINDOW, LEAST, CHUNK = 8, 0.8, 2_000
-#: Weights of the fields; fields missing on either side don't count.
-WEIGHTS = {"place": 0.35, "head": 0.3, "author": 0.15, "year": 0.08, "volume": 0.12, "page": 0.08, "journal": 0.07}
+#: Neighbours compared on each side, least confidence of a match.
+WINDOW, LEAST = 8, 0.8
+#: Weights of the fields; fields missing on either side don't count. The tail is a title's last word.
+WEIGHTS = {"tail": 0.35, "head": 0.3, "author": 0.15, "year": 0.08, "volume": 0.12, "page": 0.08, "journal": 0.07}
+#: Least similarity of two tails, and of two authors that don't contradict each other.
+TAIL, AUTHOR = 0.75, 0.5
+#: Pairs of works in a component up to which it is assigned by the exact method, else by an auction; the auction's least raise.
+EXACT, RAISE = 2_000, 0.01
 
 KIND = re.compile(r"\b(?:(reply|response)|(erratum|corrigendum|correction)|(comment)|part\s+([ivx]+|\d+|two|three)|(?<=\s)(ii|iii|iv)(?=\W|$))", re.I)
 _TITLE = re.compile(r"(?<![^\W_])(?:[A-ZÀ-Ý0-9†ŠŽŁ][\w†’'-]*|[“\"]\s*\w[\w†]*)(?:\s+[a-zà-ÿ0-9†ﬀ-ﬆ][\w†-]*){2,}(?:\s+[A-ZÀ-Ý0-9†ŠŽŁ][\w†-]*)?")
 _YEAR = re.compile(r"(?<!\d)(1[6-9]\d\d|20\d\d)(?=[a-z]?(?!\d))")
+_MAIN = re.compile(r"[:.?!]\s|[:.?!]$|,\s(?=part\b)", re.I)
+_WORDS = re.compile(r"[^\W_]+")
+_BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n\s*(?=[^\W\d_])")
+_MARKUP = re.compile(r"</?[a-z]+>")
+# what follows the title up to the journal: a subtitle, a part
+_TAIL = re.compile(r"(?:\s(?:II|III|IV)\b)?(?:\s*(?::[^.,\"”]*|,\s*Part\s\w+|\.\s(?:Reply|Erratum|Comment)\b))*(?:\s(?:II|III|IV)\b)?", re.I)
+_JOURNAL = re.compile(r"[\s.,\"”]*([^\d,]*[^\d\W][.]?)")
+_VOL = re.compile(r"\bvol\b.*", re.I)
+_VOLUME = re.compile(r"vol\.?\s*(\d+)|,\s*(\d+)\s*\(|,\s*(\d+),|\s(\d+)\s*:|\s(\d+)\s\(")
+_PAGE = re.compile(r"(\d+)\s*[-–—]\s*\d+\W*$|p\.\s*(\d+)\W*$")
+_NEXT = re.compile(r",|;|&|\(|\band\b|\bet\s+al\b", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_LABEL = re.compile(r"^\[\d+\]\s*")
+_ET_AL = re.compile(r"\bet\s+al\b", re.I)
+
+FIELDS = ("title", "kind", "author", "year", "volume", "page", "journal")
 
 
 def cleaned(text: str) -> str:
     """Scanned text in one line: furniture out, broken words joined, markup off."""
     if "\n" in text or "\x0c" in text:
-        text = FURNITURE.sub("", text)
-        text = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n\s*(?=[^\W\d_])", "", text)
+        text = _BROKEN.sub("", FURNITURE.sub("", text))
     if "<" in text:
-        text = re.sub(r"</?[a-z]+>", "", text)
+        text = _MARKUP.sub("", text)
     return " ".join(text.split())
 
 
-def title_key(title: str) -> tuple[str, str]:
-    """(head, place): folded words before and after the last ' in ' of the main title."""
-    main = re.split(r"[:.?!]\s|[:.?!]$|,\s(?=part\b)", title, flags=re.I)[0]
-    words = re.findall(r"[^\W_]+", plain(fold_text(re.sub(KIND, " ", main))))
-    if "in" in words[1:]:
-        k = len(words) - 1 - words[::-1].index("in")
-        return " ".join(words[:k]), "".join(words[k + 1 :])
-    return " ".join(words), ""
+def title_key(title: str) -> str:
+    """Folded words of the main title, without those that name a part or reply."""
+    main = _MAIN.split(KIND.sub(" ", title), maxsplit=1)[0]
+    return " ".join(_WORDS.findall(plain(fold_text(main))))
 
 
 def kind_of(text: str) -> str:
@@ -75,29 +94,25 @@ def journal_key(text: str) -> str:
 def parse_text(text: str) -> dict:
     """Fields of a reference in running text, whichever its style."""
     s = cleaned(text)
-    out = dict.fromkeys(("head", "place", "kind", "author", "year", "volume", "page", "journal"), "")
+    out = dict.fromkeys(FIELDS, "")
     # in capitals 'et al' cannot start or carry on a title
     m = _TITLE.search(_ET_AL.sub(lambda x: x.group().upper(), s) if " al" in s else s)
     if not m:
         return out | {"author": _family(_LABEL.sub("", s))}
-    before, after = s[: m.start()], s[m.end() :]
-    title = s[m.start() : m.end()]
-    out["head"], out["place"] = title_key(title)
-    if not out["place"] and (last := title.split()[-1])[:1].isupper():  # 'in' was lost
-        out["head"], out["place"] = " ".join(out["head"].split()[:-1]), plain(fold_text(last))
-    # what follows the place up to the journal: a subtitle, a part
-    tail = re.match(r"(?:\s(?:II|III|IV)\b)?(?:\s*(?::[^.,\"”]*|,\s*Part\s\w+|\.\s(?:Reply|Erratum|Comment)\b))*(?:\s(?:II|III|IV)\b)?", after, re.I)
-    rest = after[tail.end() :] if tail else after
-    out["kind"] = kind_of(" " + title + " " + (tail.group() if tail else ""))
+    before, title, after = s[: m.start()], s[m.start() : m.end()], s[m.end() :]
+    out["title"] = title_key(title)
+    tail = _TAIL.match(after).group()
+    rest = after[len(tail) :]
+    out["kind"] = kind_of(" " + title + " " + tail)
     out["author"] = _family(_LABEL.sub("", before))
-    years = _YEAR.findall(before[-12:] + " | " + rest)
-    out["year"] = years[0] if years else ""
-    j = re.match(r"[\s.,\"”]*([^\d,]*[^\d\W][.]?)", rest)
-    out["journal"] = journal_key(re.sub(r"\bvol\b.*", "", j[1], flags=re.I)) if j else ""
-    v = re.search(r"vol\.?\s*(\d+)|,\s*(\d+)\s*\(|,\s*(\d+),|\s(\d+)\s*:|\s(\d+)\s\(", rest)
-    out["volume"] = next((x for x in v.groups() if x), "") if v else ""
-    p = re.search(r"(\d+)\s*[-–—]\s*\d+\W*$|p\.\s*(\d+)\W*$", rest)
-    out["page"] = next((x for x in p.groups() if x), "") if p else ""
+    year = _YEAR.search(before[-12:]) or _YEAR.search(rest)
+    out["year"] = year[1] if year else ""
+    j = _JOURNAL.match(rest)
+    out["journal"] = journal_key(_VOL.sub("", j[1])) if j else ""
+    v = _VOLUME.search(rest)
+    out["volume"] = v[v.lastindex] if v else ""
+    p = _PAGE.search(rest[-24:])
+    out["page"] = p[p.lastindex] if p else ""
     return out
 
 
@@ -109,18 +124,12 @@ def _family(authors: str) -> str:
     return max(words, key=len) if words else ""
 
 
-_NEXT = re.compile(r",|;|&|\(|\band\b|\bet\s+al\b", re.I)
-_LETTERS = re.compile(r"[^\W\d_]+")
-_LABEL = re.compile(r"^\[\d+\]\s*")
-_ET_AL = re.compile(r"\bet\s+al\b", re.I)
-
-
 def parse_fields(title, author, year, journal, volume, page, text) -> dict:
     """Fields of an index entry; what the entry lacks is read from its text."""
-    out = parse_text(text) if text and text.strip() else dict.fromkeys(("head", "place", "kind", "author", "year", "volume", "page", "journal"), "")
+    out = parse_text(text) if text and text.strip() else dict.fromkeys(FIELDS, "")
     if title and title.strip():
         t = cleaned(title)
-        out["head"], out["place"] = title_key(t)
+        out["title"] = title_key(t)
         out["kind"] = kind_of(" " + t) or out["kind"]
     if author and author.strip() and not out["author"]:
         out["author"] = _family(_first_of(author))
@@ -152,79 +161,32 @@ def _first_of(value: str) -> str:
     return value
 
 
-FIELDS = ("head", "place", "kind", "author", "year", "volume", "page", "journal")
-
-
-def _parsed(df: DataFrame, parse, n: int) -> DataFrame:
-    """(id, fields) by ``parse`` over the other ``n`` columns."""
+def _parsed(df: DataFrame, parse, source: str) -> DataFrame:
+    """(source, id, fields) by ``parse`` over the columns after the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1 : n + 1]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[f] for r in rows], pa.string()) for f in FIELDS)], names=["id", *FIELDS])
+            rows = [parse(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
+            fields = [pa.array([r[f] for r in rows], pa.string()) for f in FIELDS]
+            yield pa.RecordBatch.from_arrays([pa.repeat(source, batch.num_rows), batch.column(0), *fields], names=["source", "id", *FIELDS])
 
-    return df.mapInArrow(run, "id bigint, " + ", ".join(f"{f} string" for f in FIELDS))
+    return df.mapInArrow(run, "source string, id bigint, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
 def read_citations(citations: DataFrame) -> DataFrame:
-    """Rows with a reference text; equal rows count once."""
-    return _parsed(citations.where(F.length(F.trim("ref_full_text")) > 0).select(F.col("mapping_id").alias("id"), "ref_full_text").distinct(), parse_text, 1)
+    """Fields of the rows with a reference text."""
+    return _parsed(citations.where(F.length(F.trim("ref_full_text")) > 0).select(F.col("mapping_id").alias("id"), "ref_full_text"), parse_text, "c")
 
 
 def read_references(refs: DataFrame) -> DataFrame:
-    """Index entries with any field; equal rows count once."""
+    """Fields of the index entries."""
     columns = ("article_title", "author", "ref_year", "journal", "volume", "first_page", "ref_full")
-    return _parsed(refs.select(F.col("ref_row_id").alias("id"), *columns).distinct(), parse_fields, len(columns))
-
-
-def ranked(rows: DataFrame, key: Column, label: str) -> DataFrame:
-    """``rows`` with their global place ``r`` in the order of ``key``.
+    return _parsed(refs.select(F.col("ref_row_id").alias("id"), *columns), parse_fields, "r")
 
-    Range partitions are sorted where they are; only the partitions' row counts
-    meet on the driver.
-    """
-    ordered = rows.withColumn("_k", key).repartitionByRange("_k", "sig").sortWithinPartitions("_k", "sig").drop("_k").withColumn("_m", F.monotonically_increasing_id())
-    fixed = written(ordered, label)
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    counts = sorted((p, n) for p, n in fixed.groupBy(part.alias("p")).count().collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    offsets = rows.sparkSession.createDataFrame(starts, "p bigint, start bigint")
-    return fixed.withColumn("p", part.cast("bigint")).join(F.broadcast(offsets), "p").withColumn("r", F.col("start") + place).drop("p", "start", "_m")
-
-
-def neighbours(rows: DataFrame, keys: list[Column], window: int = WINDOW) -> DataFrame:
-    """(x, y): structs of signatures within ``window`` places in the order of any key.
-
-    Each sort is cut into chunks that overlap by a window, so no task holds more
-    than a chunk whatever the keys are.
-    """
-    parts = []
-    for i, key in enumerate(keys):
-        placed = ranked(rows, key, f"works-sort{i}")
-        chunk = (F.col("r") / CHUNK).cast("bigint")
-        at = F.when((F.col("r") % CHUNK < window) & (F.col("r") >= CHUNK), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-        me = F.struct(*rows.columns)
-        spread = placed.select("r", me.alias("x"), F.explode(at).alias("chunk"), chunk.alias("own"))
-        after = F.collect_list("x").over(Window.partitionBy("chunk").orderBy("r").rowsBetween(1, window))
-        # most neighbours differ in part or place: they go before they become rows
-        near = spread.withColumn("ys", after).where("chunk = own").select("x", F.filter("ys", lambda y: may_match(F.col("x"), y)).alias("ys"))
-        parts.append(near.select("x", F.explode("ys").alias("y")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+# Nodes ---------------------------------------------------------------------------
 
-def may_match(x: Column, y: Column) -> Column:
-    """Necessary for a confidence above 0, and cheap: same kind, places within a quarter of their letters."""
-    p, q = x["place"], y["place"]
-    longest = F.greatest(F.length(p), F.length(q))
-    # the bounded distance is cheaper; it suffices up to 32 letters
-    close = F.when(p == q, True).when(longest <= 32, F.levenshtein(p, q, 8).between(0, longest * 0.25)).otherwise(F.levenshtein(p, q) <= longest * 0.25)
-    return (x["kind"] == y["kind"]) & ((F.length(p) == 0) | (F.length(q) == 0) | ((F.abs(F.length(p) - F.length(q)) <= longest * 0.25) & close))
+_CITED = ("author", "year", "volume")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -232,81 +194,286 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
+def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variants, nodes): (cid, node, n) of each title with its cited fields, and (source,
+    node, n, fields) of each node.
+
+    A node is a title of a table with its most frequent fields. A variant that
+    contradicts two of its author, year and volume is a node of its own.
+    """
+    key = ("source", "title", "kind")
+    own = rows.groupBy(*key, *_CITED).agg(F.count("*").alias("n"), F.max("page").alias("page"), F.max("journal").alias("journal"))
+    variants = written(own.withColumn("cid", F.xxhash64(*key, *_CITED)), "works-variants")
+    fields = (*_CITED, "page", "journal")
+    usual = [F.max_by(f, F.struct(F.length(f) > 0, "n", "cid")).alias(f + "_usual") for f in fields]
+    titles = written(variants.groupBy(*key).agg(F.sum("n").alias("n_title"), *usual).withColumn("sig", F.xxhash64(*key)), "works-titles")
+    both = variants.join(titles, list(key))
+    x, y = (lambda f: F.col(f)), (lambda f: F.col(f + "_usual"))
+    known = lambda f: (F.length(x(f)) > 0) & (F.length(y(f)) > 0)
+    against = {"author": _alike(x("author"), y("author")) < AUTHOR, "year": F.abs(F.expr("try_cast(year as int)") - F.expr("try_cast(year_usual as int)")) > 1, "volume": x("volume") != y("volume")}
+    apart = sum((F.when(known(f) & against[f], 1).otherwise(0) for f in _CITED), F.lit(0)) >= 2
+    told = written(both.select("*", F.when(apart, F.xxhash64("sig", *_CITED)).otherwise(F.col("sig")).alias("node")), "works-told")
+    alone = told.where("node <> sig").select("source", "node", "n", "title", "kind", *fields)
+    usually = titles.select("source", F.col("sig").alias("node"), F.col("n_title").alias("n"), "title", "kind", *[F.col(f + "_usual").alias(f) for f in fields])
+    return told.select("cid", "node", "n"), written(usually.unionByName(alone), "works-nodes")
+
+
+# Sorted neighbourhood --------------------------------------------------------------
+
+
+def _pairs_in(batch: pa.RecordBatch, window: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of nodes of a sorted batch (k, node, kind, tail, cited) that may match,
+    as rows (smaller, larger): at most ``window`` places apart, same kind, and tails
+    whose letters allow for their similarity or the same author, year and volume.
+    ``place`` tells the rows' places where some between them are left out."""
+    n = batch.num_rows
+    place = np.arange(n) if place is None else place
+    k, node, kind, cited = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+    tail = pa.concat_arrays([batch.column(3)])  # offsets from 0
+    ends = np.frombuffer(tail.buffers()[1], np.int32, n + 1) if n else np.zeros(1, np.int32)
+    letters = np.frombuffer(tail.buffers()[2] or b"", np.uint8, int(ends[-1]))
+    row = np.repeat(np.arange(n), np.diff(ends))
+    # a bound on the edit distance: half the difference of the letters' counts
+    bags = np.bincount(row * 32 + (letters & 31), minlength=n * 32).reshape(n, 32).astype(np.int16)
+    size = np.diff(ends)
+    out = []
+    for d in range(1, min(window, n - 1) + 1):
+        a, b = slice(0, n - d), slice(d, n)
+        at = np.flatnonzero((k[a] == k[b]) & (kind[a] == kind[b]) & (place[b] - place[a] <= window))
+        far = np.abs(bags[at] - bags[at + d]).sum(1)
+        close = far <= 2 * np.floor(np.maximum(size[at], size[at + d]) * (1 - TAIL))
+        same = (cited[at] == cited[at + d]) & (cited[at] != 0)
+        at = at[close | same]
+        out.append(np.stack([np.minimum(node[at], node[at + d]), np.maximum(node[at], node[at + d])], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def neighbours(nodes: DataFrame, keys: list[Column], window: int = WINDOW) -> DataFrame:
+    """(a, b): distinct pairs of nodes within ``window`` places of each other in the
+    order of any key, that may match.
+
+    All keys are sorted at once by range, ties by node, so equal keys are split.
+    Each sorted partition is read once; its first and last ``window`` rows are kept
+    aside, and pairs over the partitions' borders are found among those alone.
+    """
+    keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), key.alias("key")) for i, key in enumerate(keys)]))
+    tail = F.substring_index("title", " ", -1)
+    cited = F.when((F.length("author") > 0) & (F.length("year") > 0) & (F.length("volume") > 0), F.xxhash64(*_CITED)).otherwise(F.lit(0))
+    rows = nodes.select(F.xxhash64("kind").alias("kind"), tail.alias("tail"), cited.alias("cited"), "node", keyed.alias("x")).select("x.k", "x.key", "node", "kind", "tail", "cited")
+    ordered = rows.repartitionByRange("k", "key", "node").sortWithinPartitions("k", "key", "node").select("k", "node", "kind", "tail", "cited")
+    schema = "a bigint, b bigint, part int, place int, k int, node bigint, kind bigint, tail string, cited bigint"
+
+    def packed(pairs: np.ndarray, edge: pa.RecordBatch | None = None, part: int = 0, place: int = 0) -> pa.RecordBatch:
+        n, m = len(pairs), edge.num_rows if edge is not None else 0
+        none = lambda kind, size: pa.nulls(size, kind)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        left = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), none(pa.int64(), m)]) for i in (0, 1)]
+        at = [pa.concat_arrays([none(pa.int32(), n), pa.array(x, pa.int32())]) for x in (np.full(m, part), place + np.arange(m))]
+        rest = [pa.concat_arrays([none(t, n), edge.column(i) if m else none(t, 0)]) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([*left, *at, *rest], names=["a", "b", "part", "place", "k", "node", "kind", "tail", "cited"])
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if seen < window:
+                yield packed(np.zeros((0, 2), np.int64), batch.slice(0, window - seen), part, seen)
+            seen += batch.num_rows
+            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            yield packed(_pairs_in(whole, window))
+            last = whole.slice(max(whole.num_rows - window, 0))
+        if last is not None:
+            first = seen - last.num_rows
+            skip = max(window - first, 0)  # rows told as first ones
+            if skip < last.num_rows:
+                yield packed(np.zeros((0, 2), np.int64), last.slice(skip), part, first + skip)
+
+    told = written(ordered.mapInArrow(slide, schema), "works-near")
+
+    def over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if own:
+            whole = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            part, place = (whole.column(i).to_numpy() for i in (0, 1))
+            last = np.flatnonzero(np.append(part[1:] != part[:-1], True))  # its last row tells a partition's size
+            before = np.concatenate([[0], np.cumsum(place[last].astype(np.int64) + 1)])
+            pairs = _pairs_in(pa.RecordBatch.from_arrays(whole.columns[2:], names=whole.schema.names[2:]), window, before[np.searchsorted(last, np.arange(len(part)))] + place)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    # two windows of rows a partition, however many rows there are
+    borders = told.where("part is not null").select("part", "place", "k", "node", "kind", "tail", "cited").coalesce(1).sortWithinPartitions("part", "place")
+    return told.where("a is not null").select("a", "b").unionByName(borders.mapInArrow(over_borders, "a bigint, b bigint")).where("a <> b").distinct()
+
+
 def confidence(x: Column, y: Column) -> Column:
-    """Weighted similarity of the fields that both have; 0 for another part or place."""
-    a, b = F.split(x["head"], " "), F.split(y["head"], " ")
+    """Weighted similarity of the fields that both have; 0 for another part or subject.
+
+    Titles with other last words are of other subjects, unless all words of one
+    stand in the longer other and author, year and volume agree: it was cut.
+    """
+    tail, head = (lambda c: F.substring_index(c["title"], " ", -1)), (lambda c: F.expr("''") if c is None else F.trim(F.substring(c["title"], F.lit(1), F.length(c["title"]) - F.length(F.substring_index(c["title"], " ", -1)))))
+    a, b = F.split(head(x), " "), F.split(head(y), " ")
     words = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(3))
+    year = lambda c: F.try_to_number(c["year"], F.lit("9999"))
     sims = {
-        "place": _alike(x["place"], y["place"]),
-        "head": F.when(x["head"] == y["head"], 1.0).when(words == 1, 1.0).otherwise(F.greatest(_alike(x["head"], y["head"]), words)),
+        "tail": _alike(tail(x), tail(y)),
+        "head": F.when((head(x) == head(y)) | (words == 1), 1.0).otherwise(F.greatest(_alike(head(x), head(y)), words)),
         "author": _alike(x["author"], y["author"]),
-        "year": F.when(x["year"] == y["year"], 1.0).when(F.abs(x["year"].cast("int") - y["year"].cast("int")) <= 1, 0.7).otherwise(0.0),
+        "year": F.when(x["year"] == y["year"], 1.0).when(F.abs(year(x) - year(y)) <= 1, 0.7).otherwise(0.0),
         "volume": (x["volume"] == y["volume"]).cast("double"),
         "page": (x["page"] == y["page"]).cast("double"),
         "journal": (x["journal"] == y["journal"]).cast("double"),
     }
-    both = {f: (F.length(x[f]) > 0) & (F.length(y[f]) > 0) for f in sims}
+    both = {f: (F.length(x[f]) > 0) & (F.length(y[f]) > 0) for f in WEIGHTS if f not in ("tail", "head")}
+    as_cited = both["author"] & (sims["author"] >= 0.8) & both["volume"] & (sims["volume"] == 1) & both["year"] & (sims["year"] >= 0.7)
+    p, q = F.split(x["title"], " "), F.split(y["title"], " ")
+    cut = as_cited & (F.size(p) != F.size(q)) & (F.size(F.array_intersect(p, q)) == F.least(F.size(F.array_distinct(p)), F.size(F.array_distinct(q))))
+    same_tail = sims["tail"] >= TAIL
+    both |= {"tail": same_tail, "head": same_tail & (F.length(head(x)) > 0) & (F.length(head(y)) > 0)}
     total = sum((F.when(both[f], F.lit(w)).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
     got = sum((F.when(both[f], w * sims[f]).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
-    # without a place, title and authors are not enough: the same title may be about another
-    as_cited = both["author"] & (sims["author"] >= 0.8) & both["volume"] & (sims["volume"] == 1) & both["year"] & (sims["year"] >= 0.7)
-    same_place = F.when(both["place"], sims["place"] >= 0.75).otherwise(as_cited)
     same_head = ~both["head"] | (sims["head"] >= 0.5)
-    return F.when((x["kind"] == y["kind"]) & same_place & same_head & (total >= 0.4), got / total).otherwise(0.0)
-
+    return F.when((x["kind"] == y["kind"]) & ((same_tail & same_head & (total >= 0.4)) | cut), got / total).otherwise(0.0)
+
+
+# One to one ------------------------------------------------------------------------
+
+
+def best_total(value: np.ndarray) -> np.ndarray:
+    """Column of each row (-1 for none) so that the sum of ``value`` is largest; only
+    positive values are taken. Shortest augmenting paths over a square of costs."""
+    n, m = value.shape
+    size = max(n, m)
+    cost = np.zeros((size + 1, size + 1))
+    cost[1 : n + 1, 1 : m + 1] = -np.maximum(value, 0)
+    u, v, row, way = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, int), np.zeros(size + 1, int)
+    for i in range(1, size + 1):
+        row[0], j0 = i, 0
+        least, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
+        while True:
+            used[j0] = True
+            i0 = row[j0]
+            slack = cost[i0] - u[i0] - v
+            better = ~used & (slack < least)
+            better[0] = False
+            least[better], way[better] = slack[better], j0
+            free = np.where(used, np.inf, least)
+            free[0] = np.inf
+            j1 = int(np.argmin(free))
+            delta = free[j1]
+            u[row[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            j0 = j1
+            if row[j0] == 0:
+                break
+        while j0:
+            row[j0] = row[way[j0]]
+            j0 = way[j0]
+    out = np.full(n, -1)
+    for j in range(1, m + 1):
+        i = row[j] - 1
+        if 0 <= i < n and value[i, j - 1] > 0:
+            out[i] = j - 1
+    return out
 
-def _sig(source: Column) -> Column:
-    """Id of a row's signature: its whole head, its place and its kind; without a
-    place, where one title may be several works, its author, year and volume, too."""
-    cited = [F.when(F.length("place") == 0, F.col(f)).otherwise("") for f in ("author", "year", "volume")]
-    return F.xxhash64(source, "head", "place", "kind", *cited)
 
+def auction(pairs: DataFrame, least_raise: float = RAISE) -> DataFrame:
+    """(a, b, value): one-to-one by rounds of bids, for components of any size; the
+    total is within ``least_raise`` a pair of the largest.
 
-def signatures(rows: DataFrame, source: str) -> DataFrame:
-    """(source, sig, fields, n): one row per signature; of each field the most frequent value."""
-    mode = [F.mode(F.when(F.length(f) > 0, F.col(f)), True).alias(f) for f in FIELDS]
-    own = rows.groupBy(_sig(F.lit(source)).alias("sig")).agg(F.count("*").alias("n"), *mode)
-    return own.select(F.lit(source).alias("source"), "sig", *[F.coalesce(f, F.lit("")).alias(f) for f in FIELDS], "n")
+    Each round all free ``a`` bid for their best ``b`` what it is worth to them above
+    their second best; each ``b`` goes to its highest bidder. Prices only rise, so it
+    ends. A round is joins and aggregates over tables in the shared folder.
+    """
+    empty = pairs.select("a", "b", F.col("value").alias("price")).limit(0)
+    held = written(empty, "works-held")
+    while True:
+        free = pairs.join(held.select("a"), "a", "left_anti").join(held.select("b", "price"), "b", "left")
+        net = F.col("value") - F.coalesce("price", F.lit(0.0))
+        offers = free.withColumn("net", net).where("net > 0").groupBy("a").agg(F.max(F.struct("net", "b", F.coalesce("price", F.lit(0.0)).alias("price"))).alias("top"), F.slice(F.sort_array(F.collect_list("net"), False), 2, 1).alias("next"))
+        bids = offers.select("a", "top.b", (F.col("top.price") + F.col("top.net") - F.coalesce(F.get("next", F.lit(0)), F.lit(0.0)) + least_raise).alias("price"))
+        won = written(bids.groupBy("b").agg(F.max_by("a", F.struct("price", "a")).alias("a"), F.max("price").alias("price")).select("a", "b", "price"), "works-won")
+        if not won.limit(1).count():
+            return pairs.join(held.select("a", "b"), ["a", "b"])
+        held = written(held.join(won.select("b"), "b", "left_anti").select("a", "b", "price").unionByName(won), "works-held")
+
+
+def assigned(pairs: DataFrame, exact: int = EXACT) -> DataFrame:
+    """(a, b, confidence): works of both sides one to one, so that the total of
+    confidences is largest (equal ones by ``support``).
+
+    Pairs without a rival on either side are taken as they are. The others are
+    assigned within their connected component: exactly where it has at most ``exact``
+    pairs, else by auction.
+    """
+    worth = F.col("confidence") + F.least(F.col("support"), F.lit(1000)) * 1e-7
+    rivals = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n_" + c))
+    told = written(pairs.withColumn("value", worth).join(rivals("a"), "a").join(rivals("b"), "b"), "works-rivals")
+    out = told.where("n_a = 1 and n_b = 1").select("a", "b", "confidence")
+    rest = told.where("n_a > 1 or n_b > 1").select("a", "b", "confidence", "value")
+    if not rest.limit(1).count():
+        return out
+    roots = components(rest.select("a", "b"), "works-rival-roots")
+    grouped = rest.join(roots, "a")
+    sized = written(grouped.join(grouped.groupBy("root").agg(F.count("*").alias("size")), "root"), "works-sized")
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["a"].unique(), rows["b"].unique()
+        value = np.zeros((len(a), len(b)))
+        i, j = pd.Index(a).get_indexer(rows["a"]), pd.Index(b).get_indexer(rows["b"])
+        value[i, j] = rows["value"]
+        return rows[best_total(value)[i] == j][["a", "b", "confidence"]]
+
+    small = sized.where(F.col("size") <= exact).select("root", "a", "b", "confidence", "value")
+    out = out.unionByName(small.groupBy("root").applyInPandas(solve, "a bigint, b bigint, confidence double"))
+    large = sized.where(F.col("size") > exact).select("a", "b", "confidence", "value")
+    if large.limit(1).count():
+        out = out.unionByName(auction(large).select("a", "b", "confidence"))
+    return out
 
 
-def assigned(pairs: DataFrame) -> DataFrame:
-    """(a, b, confidence): one-to-one, each round taking the pairs that are the best
-    of both their sides (ties to smaller ids), until no pair is left."""
-    left, out = pairs, None
-    while True:
-        order = lambda c, o: Window.partitionBy(c).orderBy(F.desc("confidence"), F.desc("support"), o)
-        took = left.withColumn("i", F.row_number().over(order("a", "b"))).withColumn("j", F.row_number().over(order("b", "a"))).where("i = 1 and j = 1").select("a", "b", "confidence", "support")
-        took = written(took, "works-taken")
-        out = took if out is None else out.unionByName(took)
-        left = written(left.join(took.select("a"), "a", "left_anti").join(took.select("b"), "b", "left_anti"), "works-left")
-        if not took.limit(1).count() or not left.limit(1).count():
-            return out
+# Works -----------------------------------------------------------------------------
 
 
-def match(citations: DataFrame, refs: DataFrame) -> DataFrame:
-    """(mapping_id, ref_row_id, confidence) of rows that describe the same work.
+def work_members(citations: DataFrame, refs: DataFrame) -> DataFrame:
+    """(source, id, work, confidence): the rows of both tables whose works are assigned
+    to each other, source 'c' and 'r'.
 
     Rows without any readable title are never matched. A row may lack any field;
     equal rows count once; empty tables give no rows.
     """
-    c, r = written(read_citations(citations), "works-citations"), written(read_references(refs), "works-references")
-    c, r = (x.where((F.length("head") > 0)) for x in (c, r))
-    sigs = written(signatures(c, "c").unionByName(signatures(r, "r")), "works-signatures")
+    rows = written(read_citations(citations).unionByName(read_references(refs)).where(F.length("title") > 0), "works-rows")
+    variants, nodes = nodes_of(rows)
+    title, tail = F.col("title"), F.substring_index("title", " ", -1)
     keys = [
-        F.concat_ws(" ", "place", "kind", "head"),
-        F.concat_ws(" ", F.reverse("place"), "kind", "head"),
-        F.concat_ws(" ", "author", "year", "volume", "place"),
-        F.concat_ws(" ", "head", "year", "volume", "place"),
+        F.concat_ws(" ", tail, "kind", title),
+        F.concat_ws(" ", F.reverse(tail), "kind", title),
+        F.concat_ws(" ", "author", "year", "volume", tail),
+        F.concat_ws(" ", F.substring_index(title, " ", 4), "year", "volume", tail),
     ]
-    near = neighbours(sigs, keys)
-    scored = near.select("x", "y", confidence(F.col("x"), F.col("y")).alias("confidence")).where(F.col("confidence") >= LEAST)
-    links = written(scored.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.source").alias("sa"), F.col("y.source").alias("sb"), F.least("x.n", "y.n").alias("n"), "confidence").distinct(), "works-links")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("source", "n", *FIELDS).alias("x" if c == "a" else "y"))
+    scored = neighbours(nodes, keys).join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("x.source").alias("sa"), F.col("y.source").alias("sb"), F.least("x.n", "y.n").alias("n"), confidence(F.col("x"), F.col("y")).alias("confidence"))
+    links = written(scored.where(F.col("confidence") >= LEAST), "works-links")
     # works of each table
-    own = components(links.where("sa = sb").select("a", "b"), "works-roots")
-    work = written(sigs.select("sig", "source").join(own.withColumnRenamed("a", "sig"), "sig", "left").select("sig", "source", F.coalesce("root", "sig").alias("work")), "works-works")
-    cross = links.where("sa <> sb").select(F.when(F.col("sa") == "c", F.col("a")).otherwise(F.col("b")).alias("cs"), F.when(F.col("sa") == "c", F.col("b")).otherwise(F.col("a")).alias("rs"), "n", "confidence").distinct()
-    of = lambda c: work.select(F.col("sig").alias(c), F.col("work").alias(c + "_work"))
+    own = components(links.where("sa = sb").select("a", "b"), "works-roots").withColumnRenamed("a", "node")
+    work = written(nodes.select("node").join(own, "node", "left").select("node", F.coalesce("root", "node").alias("work")), "works-works")
+    in_c = F.col("sa") == "c"
+    cross = links.where("sa <> sb").select(F.when(in_c, F.col("a")).otherwise(F.col("b")).alias("cs"), F.when(in_c, F.col("b")).otherwise(F.col("a")).alias("rs"), "n", "confidence")
+    of = lambda c: work.select(F.col("node").alias(c), F.col("work").alias(c + "_work"))
     pairs = cross.join(of("cs"), "cs").join(of("rs"), "rs").groupBy(F.col("cs_work").alias("a"), F.col("rs_work").alias("b")).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("support"))
-    best = assigned(written(pairs, "works-pairs"))
-    rows = lambda x, s, name, side: x.select(F.col("id").alias(name), _sig(F.lit(s)).alias("sig")).join(work, "sig").select(name, F.col("work").alias(side))
-    return best.join(rows(c, "c", "mapping_id", "a"), "a").join(rows(r, "r", "ref_row_id", "b"), "b").select("mapping_id", "ref_row_id", "confidence").distinct()
+    best = written(assigned(written(pairs, "works-pairs")), "works-best")
+    # a pair of works goes by the id of its first
+    ends = best.select(F.col("a").alias("work"), F.col("a").alias("pair"), "confidence").unionByName(best.select(F.col("b").alias("work"), F.col("a").alias("pair"), "confidence"))
+    facts = written(variants.join(work, "node").join(ends, "work").select("cid", "n", F.col("pair").alias("work"), "confidence"), "works-facts")
+    ids = rows.select("source", "id", F.xxhash64("source", "title", "kind", *_CITED).alias("cid"))
+    return join_hot(ids, facts, ["cid"], "n").select("source", "id", "work", "confidence").distinct()
+
+
+def match(citations: DataFrame, refs: DataFrame) -> DataFrame:
+    """(mapping_id, ref_row_id, confidence) of rows that describe the same work; see :func:`work_members`."""
+    members = written(work_members(citations, refs), "works-members")
+    c = members.where("source = 'c'").select("work", F.col("id").alias("mapping_id"), "confidence")
+    r = members.where("source = 'r'").select("work", F.col("id").alias("ref_row_id"))
+    return c.join(r, "work").select("mapping_id", "ref_row_id", "confidence")

@@ -176,7 +176,44 @@ def test_works_sharing_word_starts(spark):
     fields = "ref_row_id long, article_title string, author string, ref_year string, journal string, volume string, first_page string, ref_full string"
     assert {(x.mapping_id, x.ref_row_id) for x in works.match(cites, spark.createDataFrame(r, fields)).collect()} == {(1, 10), (2, 11)}
     bare = [(i, "Notes on public railway reconstruction", f"{a} J", y, None, v, None, None) for i, a, y, v in ((20, "Smith", "1950", "5"), (21, "Olsson", "1990", "61"), (22, "Smith", "1950", "5"))]
-    assert works.signatures(works.read_references(spark.createDataFrame(bare, fields)), "r").count() == 2
+    assert works.nodes_of(works.read_references(spark.createDataFrame(bare, fields)))[1].count() == 2
+
+
+def test_works_titles_without_a_place(spark):
+    # three works whose titles end alike, without ' in ', are three pairs and not nine
+    known = [("Ahlgren", "Robust training of recurrent neural networks", "Annals of Soil Science", "1988", "12", "101"), ("Botha", "Pruning and compression of spiking neural networks", "Journal of River Engineering", "2004", "31", "77"), ("Cerny", "A short history of artificial neural networks", "Letters on Cave Biology", "2017", "58", "412")]
+    cites = spark.createDataFrame([(i, f"{a}, J. ({y}). {t}. {j}, {v}, {p}-{int(p) + 9}.") for i, (a, t, j, y, v, p) in enumerate(known)], "mapping_id long, ref_full_text string")
+    refs = spark.createDataFrame([(10 + i, t, f"{a} J", y, j, v, p, None) for i, (a, t, j, y, v, p) in enumerate(known)], "ref_row_id long, article_title string, author string, ref_year string, journal string, volume string, first_page string, ref_full string")
+    assert {(x.mapping_id, x.ref_row_id) for x in works.match(cites, refs).collect()} == {(0, 10), (1, 11), (2, 12)}
+    assert {(x.source, x.id) for x in works.work_members(cites, refs).collect()} == {("c", i) for i in range(3)} | {("r", 10 + i) for i in range(3)}
+
+
+def test_assignment_has_the_largest_total(spark):
+    import itertools
+
+    rng = random.Random(4)
+    for trial in range(3):
+        value = {(i, 100 + j): round(0.8 + 0.2 * rng.random(), 3) for i in range(5) for j in range(5) if rng.random() < 0.6}
+        best = max(sum(value.get((i, 100 + j), 0) for i, j in enumerate(p)) for p in itertools.permutations(range(5)))
+        pairs = spark.createDataFrame([(a, b, v, 1) for (a, b), v in value.items()], "a long, b long, confidence double, support long")
+        exact = works.assigned(pairs).collect()
+        assert len({r.a for r in exact}) == len(exact) == len({r.b for r in exact}) and abs(sum(r.confidence for r in exact) - best) < 1e-4
+        if trial == 0:  # the way for components of any size
+            bid = works.assigned(pairs, exact=1).collect()
+            assert len({r.a for r in bid}) == len(bid) == len({r.b for r in bid}) and sum(r.confidence for r in bid) >= best - 5 * works.RAISE
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_neighbours_cross_partitions(spark, cut):
+    # neighbours of one order, whichever partitions it is cut into
+    rows = [(i, "c", f"study of x{i % 7} word{i:03d}abcdefgh", "", "", "", "", "", "", 1) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, source string, title string, kind string, author string, year string, volume string, page string, journal string, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", cut)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    got = {(r.a, r.b) for r in works.neighbours(nodes, [F.substring_index("title", " ", -1)], window=3).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, min(i + 4, 60))}
 
 
 def test_noise(spark):
