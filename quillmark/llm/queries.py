@@ -67,6 +67,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return leakage.without_spans(docs, leakage.leaks(docs, load(spark, sf_dir, "eval_items")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(load(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_works, p5_found, p7_found, p7_scores, p8_ids, p9_found, p10_found, p10_pieces)
+    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_works, p5_found, p7_found, p7_scores, p8_ids, p9_found, p9_cleaned, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 

@@ -73,6 +73,25 @@ def test_leaks(spark):
     assert leakage.leaks(docs.drop("item_id"), items.limit(0)).count() == 0
     found = leakage.leaks(docs.drop("item_id"), items)
     assert {r.doc_id for r in leakage.without_leaks(docs, found).collect()} == {2, 3, 4, 5}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs.drop("item_id"), items, block_words=50).collect()} == got
+    clean = {r.doc_id: r for r in leakage.without_spans(docs, found).collect()}
+    assert clean[1].text == "Start.  end." and clean[2].text == rows[1][1] and clean[4].text is None and clean[6].text == "{{t|}}"
+    assert [clean[i].n_spans for i in (1, 2, 4, 5)] == [1, 0, 0, 0] and clean[7].text == rows[6][1][: -len(" ".join(passage[1:]))]
+
+
+def test_leaks_need_the_passage_itself(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(40)]
+    # three runs of four words with foreign ones between span most of it, but hold 12 of 40 words
+    scattered = [w if i in (0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23) else word() for i, w in enumerate(passage)]
+    # single words exchanged close to each other
+    changed = [word() if i in (3, 6, 9, 15) else w for i, w in enumerate(passage[:24])]
+    docs = spark.createDataFrame([(1, " ".join(scattered)), (2, " ".join(changed)), (3, "it is Brief Text here"), (4, "brief it text")], "doc_id long, text string")
+    # more distinct words than a product of four fits 64 bits
+    items = [(10, " ".join(passage)), (11, "brief, text"), *[(100 + i, " ".join(word() for _ in range(60))) for i in range(1100)]]
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    assert got == {(2, 10), (3, 11)}
 
 
 @pytest.mark.parametrize(
