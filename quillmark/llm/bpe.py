@@ -1,7 +1,8 @@
 """Encoding with a public byte-level BPE vocabulary by a distinct-word shuffle.
 
 Texts are split into pre-tokens on the JVM, every distinct pre-token is encoded
-once, and the ids are joined back by word and reassembled by position.
+once, and the ids are joined back by word and reassembled by position. In the join
+a bounded number of hot words is broadcast; the others meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # numbers, other signs, white space). Java needs (?U) for Unicode white space.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Distinct words and their bytes up to which the encoded word table is
-#: broadcast; beyond either, the ids are joined by a shuffle on the word.
-MAX_BROADCAST_WORDS = 2_000_000
-MAX_BROADCAST_BYTES = 64_000_000
+#: The words that stand in most rows are joined by broadcast: at most so many, of at
+#: most so many letters each (a bound of about 30 MB at any size of the corpus).
+HOT_WORDS, HOT_LENGTH = 65_536, 64
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,13 +50,13 @@ def unassigned(text: Column) -> Column:
 
 
 def split_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words): pre-tokens of every row; null text gives a null array.
+    """(key, text_hash, words): pre-tokens of every row; null text gives a null array.
 
     Rows with code points that the JVM does not know are split in Python, so the
     result does not depend on the JVM's Unicode version.
     """
-    rows = docs.select(F.col(key), F.col(text).alias("_text"))
-    plain = rows.where(F.col("_text").isNull() | ~unassigned(F.col("_text"))).select(key, pre_tokens(F.col("_text")).alias("words"))
+    rows = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("_text"))
+    plain = rows.where(F.col("_text").isNull() | ~unassigned(F.col("_text"))).select(key, "text_hash", pre_tokens(F.col("_text")).alias("words"))
     schema = plain.schema
 
     def in_python(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,48 +64,49 @@ def split_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         find = regex.compile(PRE_TOKEN).findall
         for batch in batches:
-            words = pa.array([find(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=[key, "words"])
+            words = pa.array([find(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=[key, "text_hash", "words"])
 
     odd = rows.where(F.col("_text").isNotNull() & unassigned(F.col("_text"))).mapInArrow(in_python, schema)
     return plain.unionByName(odd)
 
 
-def distinct_words(words: DataFrame) -> DataFrame:
-    """(word): pre-aggregated within each row and each partition before the shuffle."""
-    return words.select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+def counted_words(words: DataFrame) -> DataFrame:
+    """(word, n): in how many rows each word stands; pre-aggregated within each row
+    and each partition before the shuffle."""
+    return words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def encode_words(words: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """(word, ids): every distinct word encoded once."""
+    """(word, n, ids): every distinct word encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(ranks_path).encode_ordinary
         for batch in batches:
             ids = pa.array([one(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
 
-    return words.mapInArrow(encode, "word string, ids array<int>")
+    return words.mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
 class WordTable:
-    """The encoded words in flat arrays, for use inside Python workers."""
+    """Encoded words in flat arrays, for use inside Python workers."""
 
     def __init__(self, packed: bytes):
         table = pa.ipc.open_stream(pa.py_buffer(packed)).read_all().combine_chunks()
-        words = table.column("word").combine_chunks()
-        ids = table.column("ids").combine_chunks()
+        words, ids = (table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("word", "ids"))
         self.row = {w: i for i, w in enumerate(words.to_pylist())}
         self.values = ids.flatten().to_numpy()
-        offsets = ids.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        self.start, self.size = offsets[:-1], np.diff(offsets)
+        # the last row stands for all other words and has no ids
+        self.start = np.append(np.cumsum(sizes := np.diff(ids.offsets.to_numpy().astype(np.int64))) - sizes, 0)
+        self.size = np.append(sizes, 0)
 
-    def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Row in the table of each distinct word, and each word's place among those."""
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Row in the table of each word, the last one for words that aren't there."""
         coded = words.dictionary_encode()
-        at = np.fromiter((self.row[w] for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        return at, coded.indices.to_numpy()
+        other = len(self.row)
+        at = np.fromiter((self.row.get(w, other) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        return at[coded.indices.to_numpy()]
 
 
 def flat_words(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -117,29 +118,27 @@ def flat_words(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _join_by_broadcast(words: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    sink = pa.BufferOutputStream()
-    table = vocabulary.toArrow()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    shipped = words.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+def _pieced(words: DataFrame, key: str, packed) -> DataFrame:
+    """(key, text_hash, ids, cold, at): ids of the hot words in their order; the other
+    words and the number of ids before each."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table_by_value(shipped)
+        table = word_table_by_value(packed)
         for batch in batches:
-            flat, offsets = flat_words(batch.column(1))
-            at, place = table.rows(flat)
-            size = table.size[at][place]
-            ends = np.cumsum(size)
-            first = table.start[at][place]
-            total = int(ends[-1]) if len(ends) else 0
-            values = table.values[np.repeat(first - (ends - size), size) + np.arange(total)]
-            bounds = np.concatenate([[0], ends])[offsets].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+            flat, offsets = flat_words(batch.column(2))
+            row = table.rows(flat)
+            size = table.size[row]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            values = table.values[np.repeat(table.start[row] - ends[:-1], size) + np.arange(int(ends[-1]))]
+            list_of = lambda bounds, x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), x)
+            cold = np.flatnonzero(row == len(table.row))
+            bounds = np.searchsorted(cold, offsets)
+            before = ends[cold] - ends[offsets[np.searchsorted(offsets, cold, side="right") - 1]]
+            columns = [list_of(ends[offsets], pa.array(values, pa.int32())), list_of(bounds, flat.take(pa.array(cold))), list_of(bounds, pa.array(before, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, "text_hash", "ids", "cold", "at"])
 
     kind = words.schema[key].dataType.simpleString()
-    return words.mapInArrow(join, f"{key} {kind}, ids array<int>")
+    return words.mapInArrow(join, f"{key} {kind}, text_hash bigint, ids array<int>, cold array<string>, at array<int>")
 
 
 _unpacked: list = []
@@ -155,41 +154,78 @@ def word_table_by_value(broadcast) -> WordTable:
     return _unpacked[0][1]
 
 
-def _join_by_shuffle(words: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """The same join for vocabularies of any size: positions of a word within a
-    document travel as one array, so a hot word costs one row per document."""
-    spread = words.select(key, F.posexplode("words").alias("pos", "word")).groupBy(key, "word").agg(F.collect_list("pos").alias("at"))
-    salts = 16
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    copies = vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
-    pieces = salted.join(copies, ["word", "salt"]).select(key, F.explode("at").alias("pos"), "ids")
-    whole = pieces.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return words.select(key).join(whole, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+def _filled(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, ids): ``more`` (place, ids of a word) put into each row's ids by their places."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                whole, last = [], 0
+                for x in more:
+                    whole += ids[last : x["at"]]
+                    whole += x["word_ids"]
+                    last = x["at"]
+                out.append(whole + ids[last:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    kind = pieces.schema[key].dataType.simpleString()
+    return pieces.select(key, "ids", "more").mapInArrow(fill, f"{key} {kind}, ids array<int>")
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = RANKS, max_broadcast_words: int = MAX_BROADCAST_WORDS, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = RANKS, hot_words: int = HOT_WORDS) -> DataFrame:
     """(key, ids) of every row of ``docs``.
 
     Null and empty texts get an empty list; strings that look like special
-    tokens are ordinary text; ``key`` must be unique (each row keeps its own
-    list in the broadcast join; the shuffle join needs unique keys). Other
-    columns are ignored; an empty table gives an empty table.
+    tokens are ordinary text. Rows with equal keys each get their own text's list.
+    Other columns are ignored; an empty table gives an empty table.
+
+    The plan is the same at every size: the ``hot_words`` words of most rows are
+    joined by broadcast, all others by a shuffle on the word, so none of those
+    holds more than that share of the rows.
     """
     words = split_words(docs, key, text)
-    vocabulary = written(encode_words(distinct_words(words), ranks_path), "bpe-words")
-    n, size = vocabulary.agg(F.count("*"), F.coalesce(F.sum(F.length("word") + 4 * F.size("ids")), F.lit(0))).first()
-    if n <= max_broadcast_words and size <= max_broadcast_bytes:
-        return _join_by_broadcast(words, key, vocabulary)
-    return _join_by_shuffle(words, key, vocabulary)
+    vocabulary = written(encode_words(counted_words(words.select(key, "words")), ranks_path), "bpe-words")
+    top = vocabulary.where(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(hot_words)
+    sink = pa.BufferOutputStream()
+    hot = top.select("word", "n", "ids").toArrow() if hot_words else vocabulary.limit(0).toArrow()
+    with pa.ipc.new_stream(sink, hot.schema) as writer:
+        writer.write_table(hot)
+    pieces = written(_pieced(words, key, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())), "bpe-pieces")
+    whole = pieces.where(F.size("cold") == 0).select(key, "ids")
+    # all that is not hot: after the last hot word in their order, or too long
+    last = hot.slice(hot.num_rows - 1).to_pylist() if hot.num_rows == hot_words and hot_words else []
+    after = F.lit(False) if not last and hot_words else F.lit(True) if not last else (F.col("n") < last[0]["n"]) | ((F.col("n") == last[0]["n"]) & (F.col("word") > last[0]["word"]))
+    cold = vocabulary.where(after | (F.length("word") > HOT_LENGTH)).select("word", F.col("ids").alias("word_ids"))
+    broken = pieces.where(F.size("cold") > 0)
+    spread = broken.select(key, "text_hash", F.posexplode(F.arrays_zip("cold", "at")).alias("pos", "x")).select(key, "text_hash", "pos", F.col("x.at").alias("at"), F.col("x.cold").alias("word"))
+    # rows that repeat a key and a text are one here
+    found = spread.join(cold, "word").groupBy(key, "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "at", "word_ids"))).alias("more"))
+    told = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "more")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash"))
+    return whole.unionByName(_filled(broken.join(told, same), key))
+
+
+@functools.lru_cache(maxsize=4)
+def token_bytes(ranks_path: str) -> pa.BinaryArray:
+    """The bytes of every token, by its id."""
+    with open(ranks_path, "rb") as file:
+        table = {int(n): base64.b64decode(b) for b, n in map(bytes.split, file)}
+    return pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
 
 
 def decode_corpus(ids: DataFrame, key: str = "doc_id", column: str = "ids", ranks_path: str = RANKS) -> DataFrame:
-    """(key, text): the token-byte table joined back; an empty list gives ''."""
+    """(key, text): the token-byte table, of the vocabulary's fixed size, joined to the
+    ids of each batch; an empty list gives '', null gives null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = encoder(ranks_path).decode_bytes
+        table = token_bytes(ranks_path)
         for batch in batches:
-            text = [None if x is None else whole(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            flat, offsets = flat_words(batch.column(1))
+            own = table.take(flat)
+            ends = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1)[offsets] if len(own) else np.zeros(len(offsets), np.int64)
+            data = own.buffers()[2].to_pybytes() if len(own) else b""
+            text = [data[a:b].decode("utf-8", "replace") if known else None for a, b, known in zip(ends, ends[1:], batch.column(1).is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=[key, "text"])
 
     kind = ids.schema[key].dataType.simpleString()

@@ -62,6 +62,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.decode_corpus(p8_ids(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id").distinct()
@@ -81,7 +85,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_works, p5_found, p7_found, p7_scores, p8_ids, p9_found, p9_cleaned, p10_found, p10_pieces)
+    own = (p1_found, p1_repaired, p2_found, p2_entities, p3_found, p3_levels, p4_found, p4_works, p5_found, p7_found, p7_scores, p8_ids, p8_decoded, p9_found, p9_cleaned, p10_found, p10_pieces)
     return {f.__name__: f for f in own}
 
 

@@ -142,7 +142,7 @@ def split_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
-    words = bpe.split_words(docs.where(F.length(text) > 0), key, text)
+    words = bpe.split_words(docs.where(F.length(text) > 0), key, text).select(key, "words")
     ints = ["piece", "n_pieces", "start_token", "end_token", "n_tokens", "start_pos", "end_pos"]
     names = [key, *ints, *["piece_text"] * with_text]
 

@@ -15,15 +15,24 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("words", F.lit(1))
 
 
-def test_encoding_both_joins(spark, docs):
+def test_encoding(spark, docs):
     e = bpe.encoder(bpe.RANKS)
     true = {i: e.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
-    for limit in (10**6, 0):
-        got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(docs, max_broadcast_words=limit).collect()}
+    for hot in (bpe.HOT_WORDS, 5, 1, 0):  # all words hot, few, none
+        got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(docs, hot_words=hot).collect()}
         assert got == true
     back = {r.doc_id: r.text for r in bpe.decode_corpus(bpe.encode_corpus(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert bpe.encode_corpus(docs.limit(0)).count() == 0
+    assert bpe.decode_corpus(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).collect() == [(1, None), (2, "")]
+
+
+def test_encoding_of_repeated_keys(spark):
+    e = bpe.encoder(bpe.RANKS)
+    rows = [(1, "one text of a key"), (1, "and another text"), (1, "one text of a key"), (None, "no key here"), (None, None)]
+    for hot in (bpe.HOT_WORDS, 2, 0):
+        got = sorted(((r.doc_id or 0, list(r.ids)) for r in bpe.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string"), hot_words=hot).collect()))
+        assert got == sorted((i or 0, e.encode_ordinary(t) if t else []) for i, t in rows)
 
 
 def test_doubling_is_walking():
