@@ -67,10 +67,11 @@ def forms(word: Column) -> Column:
 
 
 _FOLDED = str.maketrans(SIGNS | LIGATURES)
+_FOLDS = re.compile(f"[{''.join((*SIGNS, *LIGATURES))}]").search
 
 
 def fold_text(word: str) -> str:
-    return word.translate(_FOLDED)
+    return word.translate(_FOLDED) if _FOLDS(word) else word
 
 
 def skeleton_text(word: str) -> str:

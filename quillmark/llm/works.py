@@ -10,6 +10,7 @@ assigned works are pairs.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.names import components, plain
@@ -50,10 +51,12 @@ _VOLUME = re.compile(r"vol\.?\s*(\d+)|,\s*(\d+)\s*\(|,\s*(\d+),|\s(\d+)\s*:|\s(\
 _PAGE = re.compile(r"(\d+)\s*[-–—]\s*\d+\W*$|p\.\s*(\d+)\W*$")
 _NEXT = re.compile(r",|;|&|\(|\band\b|\bet\s+al\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _LABEL = re.compile(r"^\[\d+\]\s*")
 _ET_AL = re.compile(r"\bet\s+al\b", re.I)
 
-FIELDS = ("title", "kind", "author", "year", "volume", "page", "journal")
+#: Fields and their types; the journal is a hash of its words' first letters. Strings are never null, the others are null where a field is missing.
+FIELDS = {"title": "string", "kind": "string", "author": "string", "year": "int", "volume": "bigint", "page": "bigint", "journal": "bigint"}
 
 
 def cleaned(text: str) -> str:
@@ -67,7 +70,7 @@ def cleaned(text: str) -> str:
 
 def title_key(title: str) -> str:
     """Folded words of the main title, without those that name a part or reply."""
-    main = _MAIN.split(KIND.sub(" ", title), maxsplit=1)[0]
+    main = _MAIN.split(KIND.sub(" ", title) if KIND.search(title) else title, maxsplit=1)[0]
     return " ".join(_WORDS.findall(plain(fold_text(main))))
 
 
@@ -86,15 +89,26 @@ def kind_of(text: str) -> str:
     return {"i": "", "1": "", "two": "ii", "2": "ii", "three": "iii", "3": "iii", "4": "iv"}.get(n, n)
 
 
+@functools.lru_cache(maxsize=65_536)
 def journal_key(text: str) -> str:
     """First letters of a journal's words, so that its short form has the same."""
-    return "".join(w[0] for w in re.findall(r"[a-z]+", plain(text)) if w not in ("of", "on", "in", "and", "the", "for"))
+    return "".join(w[0] for w in re.findall(r"[a-z]+", plain(_VOL.sub("", text))) if w not in ("of", "on", "in", "and", "the", "for"))
+
+
+def _nothing() -> dict:
+    return {f: "" if kind == "string" else None for f, kind in FIELDS.items()} | {"journal": ""}
+
+
+def _number(m: re.Match | None) -> int | None:
+    """The number that a pattern found, null where it is too long for one."""
+    found = m[m.lastindex or 0] if m else ""
+    return int(found) if found and len(found) <= 18 else None
 
 
 def parse_text(text: str) -> dict:
     """Fields of a reference in running text, whichever its style."""
     s = cleaned(text)
-    out = dict.fromkeys(FIELDS, "")
+    out = _nothing()
     # in capitals 'et al' cannot start or carry on a title
     m = _TITLE.search(_ET_AL.sub(lambda x: x.group().upper(), s) if " al" in s else s)
     if not m:
@@ -105,14 +119,11 @@ def parse_text(text: str) -> dict:
     rest = after[len(tail) :]
     out["kind"] = kind_of(" " + title + " " + tail)
     out["author"] = _family(_LABEL.sub("", before))
-    year = _YEAR.search(before[-12:]) or _YEAR.search(rest)
-    out["year"] = year[1] if year else ""
+    out["year"] = _number(_YEAR.search(before[-12:]) or _YEAR.search(rest))
     j = _JOURNAL.match(rest)
-    out["journal"] = journal_key(_VOL.sub("", j[1])) if j else ""
-    v = _VOLUME.search(rest)
-    out["volume"] = v[v.lastindex] if v else ""
-    p = _PAGE.search(rest[-24:])
-    out["page"] = p[p.lastindex] if p else ""
+    out["journal"] = journal_key(j[1]) if j else ""
+    out["volume"] = _number(_VOLUME.search(rest))
+    out["page"] = _number(_PAGE.search(rest[-24:]))
     return out
 
 
@@ -126,7 +137,7 @@ def _family(authors: str) -> str:
 
 def parse_fields(title, author, year, journal, volume, page, text) -> dict:
     """Fields of an index entry; what the entry lacks is read from its text."""
-    out = parse_text(text) if text and text.strip() else dict.fromkeys(FIELDS, "")
+    out = parse_text(text) if text and text.strip() else _nothing()
     if title and title.strip():
         t = cleaned(title)
         out["title"] = title_key(t)
@@ -134,12 +145,12 @@ def parse_fields(title, author, year, journal, volume, page, text) -> dict:
     if author and author.strip() and not out["author"]:
         out["author"] = _family(_first_of(author))
     if year and (y := _YEAR.search(year)):
-        out["year"] = y[1]
+        out["year"] = _number(y)
     if journal and journal.strip():
         out["journal"] = journal_key(journal)
     for field, value in (("volume", volume), ("page", page)):
-        if value and (d := re.search(r"\d+", value)):
-            out[field] = d[0]
+        if value and (d := _DIGITS.search(value)):
+            out[field] = _number(d)
     return out
 
 
@@ -163,14 +174,16 @@ def _first_of(value: str) -> str:
 
 def _parsed(df: DataFrame, parse, source: str) -> DataFrame:
     """(source, id, fields) by ``parse`` over the columns after the first."""
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [parse(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]))]
-            fields = [pa.array([r[f] for r in rows], pa.string()) for f in FIELDS]
+            fields = [pa.array([r[f] for r in rows], pa.string() if f == "journal" else types[kind]) for f, kind in FIELDS.items()]
             yield pa.RecordBatch.from_arrays([pa.repeat(source, batch.num_rows), batch.column(0), *fields], names=["source", "id", *FIELDS])
 
-    return df.mapInArrow(run, "source string, id bigint, " + ", ".join(f"{f} string" for f in FIELDS))
+    told = df.mapInArrow(run, "source string, id bigint, " + ", ".join(f"{f} {'string' if f == 'journal' else kind}" for f, kind in FIELDS.items()))
+    return told.withColumn("journal", F.when(F.length("journal") > 0, F.xxhash64("journal")))
 
 
 def read_citations(citations: DataFrame) -> DataFrame:
@@ -202,50 +215,73 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     contradicts two of its author, year and volume is a node of its own.
     """
     key = ("source", "title", "kind")
-    own = rows.groupBy(*key, *_CITED).agg(F.count("*").alias("n"), F.max("page").alias("page"), F.max("journal").alias("journal"))
-    variants = written(own.withColumn("cid", F.xxhash64(*key, *_CITED)), "works-variants")
+    variants = rows.groupBy(*key, *_CITED).agg(F.count("*").alias("n"), F.max("page").alias("page"), F.max("journal").alias("journal"))
+    variants = variants.withColumn("cid", F.xxhash64(*key, *_CITED)).withColumn("sig", F.xxhash64(*key))
+    # variants were counted before the shuffle, so a frequent title is few rows here
+    order = Window.partitionBy("sig").orderBy(F.desc("n"), "cid")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fields = (*_CITED, "page", "journal")
-    usual = [F.max_by(f, F.struct(F.length(f) > 0, "n", "cid")).alias(f + "_usual") for f in fields]
-    titles = written(variants.groupBy(*key).agg(F.sum("n").alias("n_title"), *usual).withColumn("sig", F.xxhash64(*key)), "works-titles")
-    both = variants.join(titles, list(key))
-    x, y = (lambda f: F.col(f)), (lambda f: F.col(f + "_usual"))
-    known = lambda f: (F.length(x(f)) > 0) & (F.length(y(f)) > 0)
-    against = {"author": _alike(x("author"), y("author")) < AUTHOR, "year": F.abs(F.expr("try_cast(year as int)") - F.expr("try_cast(year_usual as int)")) > 1, "volume": x("volume") != y("volume")}
-    apart = sum((F.when(known(f) & against[f], 1).otherwise(0) for f in _CITED), F.lit(0)) >= 2
-    told = written(both.select("*", F.when(apart, F.xxhash64("sig", *_CITED)).otherwise(F.col("sig")).alias("node")), "works-told")
+    told = variants.select("*", F.row_number().over(order).alias("place"), F.sum("n").over(whole).alias("n_title"), *[F.first(F.when(F.length(f) > 0, F.col(f)) if f == "author" else F.col(f), True).over(whole).alias("usual_" + f) for f in fields])
+    against = [(F.length("author") > 0) & (_alike(F.col("author"), F.coalesce("usual_author", "author")) < AUTHOR), F.abs(F.col("year") - F.col("usual_year")) > 1, F.col("volume") != F.col("usual_volume")]
+    apart = sum((F.when(x, 1).otherwise(0) for x in against), F.lit(0)) >= 2
+    told = written(told.withColumn("node", F.when(apart, F.xxhash64("sig", *_CITED)).otherwise(F.col("sig"))), "works-variants")
     alone = told.where("node <> sig").select("source", "node", "n", "title", "kind", *fields)
-    usually = titles.select("source", F.col("sig").alias("node"), F.col("n_title").alias("n"), "title", "kind", *[F.col(f + "_usual").alias(f) for f in fields])
-    return told.select("cid", "node", "n"), written(usually.unionByName(alone), "works-nodes")
+    usually = told.where("place = 1").select("source", F.col("sig").alias("node"), F.col("n_title").alias("n"), "title", "kind", F.coalesce("usual_author", F.lit("")).alias("author"), *[F.col("usual_" + f).alias(f) for f in fields[1:]])
+    return told.select("cid", "node", "n"), usually.unionByName(alone)
 
 
 # Sorted neighbourhood --------------------------------------------------------------
 
 
+#: What the sliding window reads of a node, and what stands for it at a partition's border.
+_SEEN = {"k": pa.int32(), "node": pa.int64(), "kind": pa.int64(), "tail": pa.string(), "author": pa.string(), "year": pa.int32(), "volume": pa.int64(), "page": pa.int64(), "journal": pa.int64()}
+
+
+def _bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of letters, lengths) of strings; half the difference of two counts is a
+    lower bound of their edit distance."""
+    own = pa.concat_arrays([column])  # offsets from 0
+    ends = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1)
+    letters = np.frombuffer(own.buffers()[2] or b"", np.uint8, int(ends[-1]))
+    size = np.diff(ends)
+    row = np.repeat(np.arange(len(own)), size)
+    return np.bincount(row * 32 + (letters & 31), minlength=len(own) * 32).reshape(len(own), 32).astype(np.int16), size
+
+
 def _pairs_in(batch: pa.RecordBatch, window: int, place: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of nodes of a sorted batch (k, node, kind, tail, cited) that may match,
-    as rows (smaller, larger): at most ``window`` places apart, same kind, and tails
-    whose letters allow for their similarity or the same author, year and volume.
+    """Pairs of nodes of a sorted batch (``_SEEN``) that may match, as rows (smaller,
+    larger): at most ``window`` places apart and of one kind, where the most that their
+    confidence can be is ``LEAST``, or of the same author, year and volume.
     ``place`` tells the rows' places where some between them are left out."""
     n = batch.num_rows
+    if n < 2:
+        return np.zeros((0, 2), np.int64)
     place = np.arange(n) if place is None else place
-    k, node, kind, cited = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-    tail = pa.concat_arrays([batch.column(3)])  # offsets from 0
-    ends = np.frombuffer(tail.buffers()[1], np.int32, n + 1) if n else np.zeros(1, np.int32)
-    letters = np.frombuffer(tail.buffers()[2] or b"", np.uint8, int(ends[-1]))
-    row = np.repeat(np.arange(n), np.diff(ends))
-    # a bound on the edit distance: half the difference of the letters' counts
-    bags = np.bincount(row * 32 + (letters & 31), minlength=n * 32).reshape(n, 32).astype(np.int16)
-    size = np.diff(ends)
+    col = {f: batch.column(i) if t == pa.string() else batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False) for i, (f, t) in enumerate(_SEEN.items())}
+    (tail, tail_size), (author, author_size) = _bags(col["tail"]), _bags(col["author"])
     out = []
     for d in range(1, min(window, n - 1) + 1):
         a, b = slice(0, n - d), slice(d, n)
-        at = np.flatnonzero((k[a] == k[b]) & (kind[a] == kind[b]) & (place[b] - place[a] <= window))
-        far = np.abs(bags[at] - bags[at + d]).sum(1)
-        close = far <= 2 * np.floor(np.maximum(size[at], size[at + d]) * (1 - TAIL))
-        same = (cited[at] == cited[at + d]) & (cited[at] != 0)
-        at = at[close | same]
-        out.append(np.stack([np.minimum(node[at], node[at + d]), np.maximum(node[at], node[at + d])], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        at = np.flatnonzero((col["k"][a] == col["k"][b]) & (col["kind"][a] == col["kind"][b]) & (place[b] - place[a] <= window))
+        to = at + d
+        at_most = lambda bag, size: 1 - np.abs(bag[at] - bag[to]).sum(1) / 2 / np.maximum(np.maximum(size[at], size[to]), 1)
+        sims = {"tail": at_most(tail, tail_size), "author": at_most(author, author_size)}
+        both = {"author": (author_size[at] > 0) & (author_size[to] > 0)}
+        for f in ("year", "volume", "page", "journal"):
+            x, y = col[f][at], col[f][to]
+            both[f] = (x != -1) & (y != -1)
+            sims[f] = np.where(x == y, 1.0, np.where(np.abs(x - y) <= 1, 0.7, 0.0) if f == "year" else 0.0)
+        got, total = WEIGHTS["tail"] * sims["tail"] + WEIGHTS["head"], np.full(len(at), WEIGHTS["tail"] + WEIGHTS["head"])
+        for f, known in both.items():
+            got += known * WEIGHTS[f] * sims[f]
+            total += known * WEIGHTS[f]
+        cited = both["author"] & (sims["author"] >= 0.8) & both["year"] & (sims["year"] > 0) & both["volume"] & (sims["volume"] == 1)
+        # the head counts as the same, and left out where that is more
+        without = (got - WEIGHTS["head"]) / np.maximum(total - WEIGHTS["head"], 1e-9)
+        keep = cited | ((sims["tail"] >= TAIL) & (np.maximum(got / total, without) >= LEAST - 1e-9))
+        x, y = col["node"][at[keep]], col["node"][to[keep]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def neighbours(nodes: DataFrame, keys: list[Column], window: int = WINDOW) -> DataFrame:
@@ -257,20 +293,16 @@ def neighbours(nodes: DataFrame, keys: list[Column], window: int = WINDOW) -> Da
     aside, and pairs over the partitions' borders are found among those alone.
     """
     keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), key.alias("key")) for i, key in enumerate(keys)]))
-    tail = F.substring_index("title", " ", -1)
-    cited = F.when((F.length("author") > 0) & (F.length("year") > 0) & (F.length("volume") > 0), F.xxhash64(*_CITED)).otherwise(F.lit(0))
-    rows = nodes.select(F.xxhash64("kind").alias("kind"), tail.alias("tail"), cited.alias("cited"), "node", keyed.alias("x")).select("x.k", "x.key", "node", "kind", "tail", "cited")
-    ordered = rows.repartitionByRange("k", "key", "node").sortWithinPartitions("k", "key", "node").select("k", "node", "kind", "tail", "cited")
-    schema = "a bigint, b bigint, part int, place int, k int, node bigint, kind bigint, tail string, cited bigint"
+    rows = nodes.select("node", F.xxhash64("kind").alias("kind"), F.substring_index("title", " ", -1).alias("tail"), "author", "year", "volume", "page", "journal", keyed.alias("x")).select("x.key", "x.k", *list(_SEEN)[1:])
+    ordered = rows.repartitionByRange("k", "key", "node").sortWithinPartitions("k", "key", "node").select(*_SEEN)
+    schema = "a bigint, b bigint, part int, place int, " + ", ".join(f"{f} {'string' if t == pa.string() else 'int' if t == pa.int32() else 'bigint'}" for f, t in _SEEN.items())
 
     def packed(pairs: np.ndarray, edge: pa.RecordBatch | None = None, part: int = 0, place: int = 0) -> pa.RecordBatch:
         n, m = len(pairs), edge.num_rows if edge is not None else 0
-        none = lambda kind, size: pa.nulls(size, kind)
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-        left = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), none(pa.int64(), m)]) for i in (0, 1)]
-        at = [pa.concat_arrays([none(pa.int32(), n), pa.array(x, pa.int32())]) for x in (np.full(m, part), place + np.arange(m))]
-        rest = [pa.concat_arrays([none(t, n), edge.column(i) if m else none(t, 0)]) for i, t in enumerate(types)]
-        return pa.RecordBatch.from_arrays([*left, *at, *rest], names=["a", "b", "part", "place", "k", "node", "kind", "tail", "cited"])
+        left = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), pa.nulls(m, pa.int64())]) for i in (0, 1)]
+        at = [pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(x, pa.int32())]) for x in (np.full(m, part), place + np.arange(m))]
+        rest = [pa.concat_arrays([pa.nulls(n, t), edge.column(i) if m else pa.nulls(0, t)]) for i, t in enumerate(_SEEN.values())]
+        return pa.RecordBatch.from_arrays([*left, *at, *rest], names=["a", "b", "part", "place", *_SEEN])
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, last = TaskContext.get().partitionId(), 0, None
@@ -302,39 +334,42 @@ def neighbours(nodes: DataFrame, keys: list[Column], window: int = WINDOW) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     # two windows of rows a partition, however many rows there are
-    borders = told.where("part is not null").select("part", "place", "k", "node", "kind", "tail", "cited").coalesce(1).sortWithinPartitions("part", "place")
+    borders = told.where("part is not null").select("part", "place", *_SEEN).coalesce(1).sortWithinPartitions("part", "place")
     return told.where("a is not null").select("a", "b").unionByName(borders.mapInArrow(over_borders, "a bigint, b bigint")).where("a <> b").distinct()
 
 
-def confidence(x: Column, y: Column) -> Column:
-    """Weighted similarity of the fields that both have; 0 for another part or subject.
+def scored(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (x, y) with their confidence: the weighted similarity of the fields that
+    both have; 0 for another part or subject.
 
     Titles with other last words are of other subjects, unless all words of one
     stand in the longer other and author, year and volume agree: it was cut.
     """
-    tail, head = (lambda c: F.substring_index(c["title"], " ", -1)), (lambda c: F.expr("''") if c is None else F.trim(F.substring(c["title"], F.lit(1), F.length(c["title"]) - F.length(F.substring_index(c["title"], " ", -1)))))
-    a, b = F.split(head(x), " "), F.split(head(y), " ")
-    words = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(3))
-    year = lambda c: F.try_to_number(c["year"], F.lit("9999"))
-    sims = {
-        "tail": _alike(tail(x), tail(y)),
-        "head": F.when((head(x) == head(y)) | (words == 1), 1.0).otherwise(F.greatest(_alike(head(x), head(y)), words)),
-        "author": _alike(x["author"], y["author"]),
-        "year": F.when(x["year"] == y["year"], 1.0).when(F.abs(year(x) - year(y)) <= 1, 0.7).otherwise(0.0),
-        "volume": (x["volume"] == y["volume"]).cast("double"),
-        "page": (x["page"] == y["page"]).cast("double"),
-        "journal": (x["journal"] == y["journal"]).cast("double"),
-    }
-    both = {f: (F.length(x[f]) > 0) & (F.length(y[f]) > 0) for f in WEIGHTS if f not in ("tail", "head")}
-    as_cited = both["author"] & (sims["author"] >= 0.8) & both["volume"] & (sims["volume"] == 1) & both["year"] & (sims["year"] >= 0.7)
-    p, q = F.split(x["title"], " "), F.split(y["title"], " ")
-    cut = as_cited & (F.size(p) != F.size(q)) & (F.size(F.array_intersect(p, q)) == F.least(F.size(F.array_distinct(p)), F.size(F.array_distinct(q))))
-    same_tail = sims["tail"] >= TAIL
-    both |= {"tail": same_tail, "head": same_tail & (F.length(head(x)) > 0) & (F.length(head(y)) > 0)}
-    total = sum((F.when(both[f], F.lit(w)).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
-    got = sum((F.when(both[f], w * sims[f]).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
-    same_head = ~both["head"] | (sims["head"] >= 0.5)
-    return F.when((x["kind"] == y["kind"]) & ((same_tail & same_head & (total >= 0.4)) | cut), got / total).otherwise(0.0)
+    x, y = F.col("x"), F.col("y")
+    words = lambda c: F.split(c["title"], " ")
+    split = pairs.withColumn("p", words(x)).withColumn("q", words(y))
+    # similarities first, so that each is computed once
+    p, q = F.col("p"), F.col("q")
+    head = lambda c: F.array_join(F.slice(c, 1, F.size(c) - 1), " ")
+    told = split.select(
+        *pairs.columns, p, q, head(p).alias("hx"), head(q).alias("hy"),
+        _alike(F.element_at(p, -1), F.element_at(q, -1)).alias("tail"),
+        F.when((F.length(x["author"]) > 0) & (F.length(y["author"]) > 0), _alike(x["author"], y["author"])).alias("author"),
+        F.when(x["year"] == y["year"], 1.0).when(F.abs(x["year"] - y["year"]) <= 1, 0.7).when(x["year"].isNotNull() & y["year"].isNotNull(), 0.0).alias("year"),
+        *[(x[f] == y[f]).cast("double").alias(f) for f in ("volume", "page", "journal")],
+    )
+    common = F.size(F.array_intersect(p, q))
+    shorter = F.least(F.size(F.array_distinct(p)), F.size(F.array_distinct(q)))
+    as_cited = (F.col("author") >= 0.8) & (F.col("volume") == 1) & (F.col("year") >= 0.7)
+    shared = F.size(F.array_intersect(F.split("hx", " "), F.split("hy", " "))) / F.greatest(F.least(F.size(p), F.size(q)) - 1, F.lit(3))
+    same_tail = F.col("tail") >= TAIL
+    alike = F.when(F.col("hx") == F.col("hy"), 1.0).otherwise(F.greatest(_alike(F.col("hx"), F.col("hy")), shared))
+    told = told.withColumn("head", F.when(same_tail & (F.length("hx") > 0) & (F.length("hy") > 0), F.when(shared == 1, 1.0).otherwise(alike)))
+    told = told.withColumn("cut", F.coalesce(~same_tail & as_cited & (F.size(p) != F.size(q)) & (common == shorter), F.lit(False))).withColumn("tail", F.when(same_tail, F.col("tail")))
+    total = sum((F.when(F.col(f).isNotNull(), w).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
+    got = sum((F.coalesce(F.col(f) * w, F.lit(0.0)) for f, w in WEIGHTS.items()), F.lit(0.0))
+    match = (x["kind"] == y["kind"]) & (F.col("cut") | (F.col("tail").isNotNull() & F.coalesce(F.col("head") >= 0.5, F.lit(True)) & (total >= 0.4)))
+    return told.select(*pairs.columns, F.when(match, got / total).otherwise(0.0).alias("confidence"))
 
 
 # One to one ------------------------------------------------------------------------
@@ -450,12 +485,13 @@ def work_members(citations: DataFrame, refs: DataFrame) -> DataFrame:
     keys = [
         F.concat_ws(" ", tail, "kind", title),
         F.concat_ws(" ", F.reverse(tail), "kind", title),
-        F.concat_ws(" ", "author", "year", "volume", tail),
-        F.concat_ws(" ", F.substring_index(title, " ", 4), "year", "volume", tail),
+        F.concat_ws(" ", "author", F.col("year").cast("string"), F.col("volume").cast("string"), tail),
+        F.concat_ws(" ", F.substring_index(title, " ", 4), F.col("year").cast("string"), F.col("volume").cast("string"), tail),
     ]
     side = lambda c: nodes.select(F.col("node").alias(c), F.struct("source", "n", *FIELDS).alias("x" if c == "a" else "y"))
-    scored = neighbours(nodes, keys).join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("x.source").alias("sa"), F.col("y.source").alias("sb"), F.least("x.n", "y.n").alias("n"), confidence(F.col("x"), F.col("y")).alias("confidence"))
-    links = written(scored.where(F.col("confidence") >= LEAST), "works-links")
+    near = scored(neighbours(nodes, keys).join(side("a"), "a").join(side("b"), "b"))
+    # written before the filter, which would compute the confidence twice
+    links = written(near.select("a", "b", F.col("x.source").alias("sa"), F.col("y.source").alias("sb"), F.least("x.n", "y.n").alias("n"), "confidence"), "works-links").where(F.col("confidence") >= LEAST)
     # works of each table
     own = components(links.where("sa = sb").select("a", "b"), "works-roots").withColumnRenamed("a", "node")
     work = written(nodes.select("node").join(own, "node", "left").select("node", F.coalesce("root", "node").alias("work")), "works-works")

@@ -234,8 +234,8 @@ def test_assignment_has_the_largest_total(spark):
 @pytest.mark.parametrize("cut", [True, False])
 def test_neighbours_cross_partitions(spark, cut):
     # neighbours of one order, whichever partitions it is cut into
-    rows = [(i, "c", f"study of x{i % 7} word{i:03d}abcdefgh", "", "", "", "", "", "", 1) for i in range(60)]
-    nodes = spark.createDataFrame(rows, "node long, source string, title string, kind string, author string, year string, volume string, page string, journal string, n long")
+    rows = [(i, "c", f"study of x{i % 7} word{i:03d}abcdefgh", "", "", None, None, None, None, 1) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, source string, title string, kind string, author string, year int, volume long, page long, journal long, n long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", cut)
     spark.conf.set("spark.sql.shuffle.partitions", 40)
     got = {(r.a, r.b) for r in works.neighbours(nodes, [F.substring_index("title", " ", -1)], window=3).collect()}
