@@ -5,10 +5,14 @@ furniture. Correction candidates come from a character q-gram inverted join of
 the corpus's own words; a boosted ranking chooses replacements; boosted line and
 line-pair classifiers handle furniture and joins. All models are trained on
 bounded samples of the corpus that label themselves.
+
+All texts are read twice: once to count words, compounds and broken pairs, and once
+to list what may be noise in each row.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import random
 import re
@@ -20,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.boost import Boosted
-from quillmark.llm.sentences import FURNITURE
 from quillmark.shared import join_hot, written
 
 # Signs that scanning puts in place of letters, and letter groups it confuses.
@@ -29,17 +32,18 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 GROUPS = (("cl", "d"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("im", "nn"), ("li", "h"))
 CONFUSED = {"c": "e", "i": "l", "h": "b"}
 HYPHENS = "-‐¬­"
+#: Signs that are letters of some languages, too.
+LETTERS = "â"
 #: Characters that are evidence of misreading inside a word, whether or not their letter is known.
 ODD = "".join(dict.fromkeys([*SIGNS, *LIGATURES, *"0123456789"]))
 
 WORD = r"[0-9A-Za-z†À-ÖØ-öø-ɏ̀-ͯﬀ-ﬆ]+"
 #: Codes and numbers are no words (fewer than three letters, or capitals before digits), unless ``no_codes`` knows the word.
 CODE = r"^(?:(?:[^\p{L}]*\p{L}){0,2}[^\p{L}]*|\p{Lu}+\p{N}+[\p{Lu}\p{N}]*|\p{N}+\p{Lu}*)$"
-BREAK = rf"(\p{{L}}+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(\p{{L}}+)"
 #: Words that may be the right spelling; least ratio of its count to the wrong one's.
 TRUSTED, RATIO = 4, 5
-#: q-gram size; words and lines in the training samples.
-Q, SAMPLE = 3, 3_000
+#: q-gram size; words (and as many compounds) and texts with lines in the training samples, the latter's longest text.
+Q, SAMPLE, LINES, LONGEST = 3, 3_000, 20_000, 20_000
 #: Most frequent clean words, left out before the words are shuffled (a bounded broadcast).
 COMMON = 20_000
 
@@ -85,25 +89,49 @@ def forms_text(word: str) -> set[str]:
     return {skeleton_text(word), fold_text(word).translate(str.maketrans(CONFUSED))}
 
 
-def joined(text: Column) -> Column:
+_WORD = re.compile(WORD)
+_WRAP = re.compile(rf"[{HYPHENS}][ \t]*\r?\n")
+_PAIR = re.compile(rf"([^\W\d_]+)([{HYPHENS}])[ \t]*\r?\n[ \t]*([^\W\d_]+)")
+_JOIN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+
+
+def joined(text: str) -> str:
     """Hyphenated line ends joined; what stands there on purpose is judged elsewhere."""
-    return F.when(text.contains("\n"), F.regexp_replace(text, rf"[{HYPHENS}](?<=\p{{L}}.)[ \t]*\r?\n[ \t]*(?=\p{{L}})", "")).otherwise(text)
+    return _JOIN.sub("", text) if _WRAP.search(text) else text
 
 
-def row_words(rows: DataFrame) -> DataFrame:
-    """(record_kind, record_id, words): words and codes of each row, as written."""
-    return rows.select("record_kind", "record_id", F.regexp_extract_all(joined(F.col("text")), F.lit(WORD), F.lit(0)).alias("words"))
+def counted(rows: DataFrame) -> DataFrame:
+    """(tag, item, n): how often each word and code ('w'), compound ('c') and pair broken
+    at a line end ('b', its left part, sign and right part between tabs) stands in the
+    texts, as written, and the number of texts with lines ('l').
 
+    Counted within each batch before the shuffle.
+    """
 
-def vocabulary(words: DataFrame) -> DataFrame:
-    """(word, n, skeleton, signs): every distinct word, how often it stands, its
-    skeleton, and its number of signs of misreading."""
-    return of_spellings(spellings(words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = {tag: collections.Counter() for tag in "wcbl"}
+            for text in batch.column(0).to_pylist():
+                if "\n" in text or "\x0c" in text:
+                    n["l"][""] += 1
+                    if _WRAP.search(text):
+                        n["b"].update("\t".join(m) for m in _PAIR.findall(text))
+                        text = _JOIN.sub("", text)
+                n["w"].update(_WORD.findall(text))
+                if "-" in text:
+                    n["c"].update(_COMPOUND.findall(text))
+            told = [(tag, item, k) for tag, own in n.items() for item, k in own.items()]
+            columns = list(zip(*told)) if told else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["tag", "item", "n"])
+
+    return rows.select("text").mapInArrow(run, "tag string, item string, n bigint").groupBy("tag", "item").agg(F.sum("n").alias("n"))
 
 
-def spellings(words: DataFrame) -> DataFrame:
-    """(word, n): every distinct word and code as written."""
-    return words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def vocabulary(words: DataFrame) -> DataFrame:
+    """(word, n, skeleton, signs) of (words): every distinct word, how often it stands,
+    its skeleton, and its number of signs of misreading."""
+    return of_spellings(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 
 
 def of_spellings(written_so: DataFrame) -> DataFrame:
@@ -164,8 +192,11 @@ def candidates(words: DataFrame) -> DataFrame:
     near = index.join(right, "key").where((F.col("n_right") >= RATIO * F.col("n")) & (F.col("word") != F.col("right")) & (F.levenshtein("form", "form_r", 1) >= 0))
     out = near.select("word", "n", "signs", "right", "n_right").distinct()
     # a sign of misreading is its own evidence: the folded word is a candidate, too
-    other = "".join(k for k in (*SIGNS, *LIGATURES) if k != "â")
-    alone = words.where(F.length(F.translate("word", other, "")) < F.length("word")).select("word", "n", "signs", folded(F.col("word")).alias("right"), F.lit(0).cast("bigint").alias("n_right"))
+    signed = words.where(F.length(F.translate("word", "".join((*SIGNS, *LIGATURES)), "")) < F.length("word")).select("word", "n", "signs", folded(F.col("word")).alias("right"))
+    # unless its sign is a letter of some language: then the word stands more often than without it
+    known = words.select(F.col("word").alias("right"), F.col("n").alias("m"))
+    own_letter = (F.col("n") >= TRUSTED) & (F.col("n") > F.coalesce("m", F.lit(0))) & (F.length(F.translate("word", LETTERS, "")) < F.length("word"))
+    alone = signed.join(known, "right", "left").where(~own_letter).select("word", "n", "signs", "right", F.lit(0).cast("bigint").alias("n_right"))
     return out.unionByName(alone)
 
 
@@ -285,161 +316,250 @@ def corrections(words: DataFrame) -> DataFrame:
 
 # Lines --------------------------------------------------------------------------
 
+_LINES = re.compile(r"[^\n\x0c]+")
+_RUNS = re.compile(r"\d+|[^\W\d_](?:[\w'’-]*[^\W\d_])?")
+
+
+def shape(line: str) -> str:
+    """A line's outline: 9 for numbers, A, Aa or a for words by their case, equal
+    neighbours once; signs and wide gaps stay."""
+    def of(m: re.Match) -> str:
+        w = m.group()
+        return "9" if w[0].isdigit() else "A" if w.isupper() else "Aa" if w[0].isupper() else "a"
+
+    parts = re.sub(r"\s", " ", _RUNS.sub(of, line.strip())).split(" ")
+    return " ".join(p for i, p in enumerate(parts) if not i or p != parts[i - 1] or not p)
+
+
+def _cut(line: str) -> bool:
+    """Whether a line ends within a word."""
+    return line[-1:] in HYPHENS and line[-2:-1].isalpha()
+
 
 def _line_features(before: str, line: str, after: str) -> list[float]:
     s = line.strip()
     n = max(len(s), 1)
-    # as the classifier of units does: a line by itself, between two others
-    alone = FURNITURE.fullmatch("\n" + s + "\n", 1, len(s) + 1) is not None
     return [
-        float(alone), sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, float(len(s)), float(len(s.split())),
-        float(before.rstrip()[-1:] in ".!?…"), float(after.lstrip()[:1].islower()), float(s[:1].islower()), float(s[-1:] in ".!?…"), float("  " in s),
+        sum(c.isdigit() for c in s) / n, sum(c.isupper() for c in s) / n, float(len(s)), float(len(s.split())),
+        float(before.rstrip()[-1:] in ".!?…"), float(after.lstrip()[:1].islower()), float(s[:1].islower()), float(s[-1:] in ".!?…"), float("  " in s), float(_cut(s)), float(_cut(before.rstrip())),
     ]
 
 
-_LINES = re.compile(r"[^\n\x0c]+")
+BEFORE_ENDS, AFTER_LOWER, STARTS_LOWER, WITH_HYPHEN = 4, 5, 6, 9
 
 
 def lines_of(text: str) -> list[tuple[int, int, list[float]]]:
     """(start, end, features) of each inner line with text on both sides."""
     parts = [(m.start(), m.end(), m.group()) for m in _LINES.finditer(text) if not m.group().isspace()]
-    return [(s, e, _line_features(parts[k - 1][2], line, parts[k + 1][2] if k + 1 < len(parts) else "")) for k, (s, e, line) in enumerate(parts) if k and k + 1 < len(parts)]
+    return [(s, e, _line_features(parts[k - 1][2], line, parts[k + 1][2])) for k, (s, e, line) in enumerate(parts) if k and k + 1 < len(parts)]
 
 
-def line_model(sample: list[str]) -> Boosted:
-    """Furniture lines: seeds are inner lines that interrupt a running sentence
-    (or are bare numbers); the others carry it on."""
-    x, y = [], []
-    for text in sample:
-        for s, e, f in lines_of(text):
-            inside = not f[5] and f[6]
-            if f[0] and inside:
-                x.append(f)
-                y.append(1)
-            elif f[7] or not f[0]:
-                x.append(f)
-                y.append(0)
-    if not any(y):  # no page at hand: a furniture line as such
-        x += [[1.0, 1.0, 0, 3, 1, 0, 1, 0, 0, 0]] * 20
-        y += [1] * 20
-        x += [[0.0, 0, 0.02, 60, 9, 0, 1, 1, 0, 0]] * 20
-        y += [0] * 20
-    return Boosted(rounds=20).fit(np.array(x, float).reshape(-1, 10), np.array(y))
-
-
-def furniture(text: str, model: Boosted) -> list[tuple[int, int]]:
-    """Spans of the furniture lines of a text; first and last lines can't be told from text."""
-    lines = lines_of(text)
-    if not lines:
-        return []
-    p = model.score(np.array([f for _, _, f in lines]))
-    return [(s, e) for (s, e, _), q in zip(lines, p) if q >= 0.5]
-
-
-def pair_model(words: list[str], compounds: list[str]) -> Boosted:
-    """Line pairs to join: words of the sample cut anywhere, against compounds cut
-    at their own hyphen. Features: log counts of the joined word and of the
-    compound, whether the sign is only ever a line end's, right part in lower case."""
+class Lines:
+    """Classifier of furniture lines.
+
+    What tells furniture is repetition: its outline stands in many texts, and there
+    between a line that has not ended its sentence and one that goes on with it,
+    while it is no part of the sentence itself. The outlines of the sample (``LINES``
+    texts) with their counts and shares of such places label its lines; the
+    classifier learns these labels from the outline's figures and the line's own.
+    """
+
+    def __init__(self, sample: list[str]):
+        seen = [(shape(t[s:e]), f) for t in sample for s, e, f in lines_of(t)]
+        self.outlines: dict[str, list[float]] = {}
+        for own, f in seen:
+            n = self.outlines.setdefault(own, [0.0, 0.0])
+            n[0] += 1
+            n[1] += self._between(f)
+        x = [self._features(own, f) for own, f in seen]
+        y = [float(n >= FEW and share >= BETWEEN and not f[STARTS_LOWER] and not f[WITH_HYPHEN]) for (_, f), n, share in ((z, *self.outlines[z[0]]) for z in seen) for share in [share / n]]
+        if not any(y):  # no pages in this sample
+            x, y = [[0.0] * (2 + 11)] * 2, [0.0, 0.0]
+        self.model = Boosted(rounds=20).fit(np.array(x), np.array(y))
+
+    @staticmethod
+    def _between(f: list[float]) -> bool:
+        """Whether a line stands inside of a sentence without being a part of it."""
+        return bool(f[AFTER_LOWER]) and not f[BEFORE_ENDS] and not f[STARTS_LOWER] and not f[WITH_HYPHEN]
+
+    def _features(self, own: str, f: list[float]) -> list[float]:
+        n, between = self.outlines.get(own, (0.0, 0.0))
+        return [math.log1p(n), between / max(n, 1.0), *f]
+
+    def furniture(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the furniture lines of a text; first and last lines can't be told from text."""
+        lines = lines_of(text)
+        if not lines:
+            return []
+        p = self.model.score(np.array([self._features(shape(text[s:e]), f) for s, e, f in lines]))
+        return [(s, e) for (s, e, _), q in zip(lines, p) if q >= 0.5]
+
+
+#: An outline's least number of lines in the sample, and its least share inside of sentences.
+FEW, BETWEEN = 5, 0.25
+
+
+# Line pairs ---------------------------------------------------------------------
+
+
+def _lookups(tagged: DataFrame) -> DataFrame:
+    """(key, n): counts of words, and of compounds, in lower case."""
+    return tagged.where("tag in ('w', 'c')").groupBy(F.lower("item").alias("key")).agg(F.sum("n").alias("n"))
+
+
+def _pair_counts(parts: DataFrame, lookups: DataFrame) -> DataFrame:
+    """(left, sign, rest, n, features) of pairs: counts of the joined word (elsewhere), of
+    the compound, of both parts; whether the sign is only ever a line end's, whether
+    the right part goes on as a word does."""
+    forms = {"joined": F.concat("left", "rest"), "compound": F.concat_ws("-", "left", "rest"), "l": F.col("left"), "r": F.col("rest")}
+    keyed = parts.select("left", "sign", "rest", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.lower(c).alias("key")) for k, c in forms.items()])).alias("x")).select("left", "sign", "rest", "n", "x.form", "x.key")
+    found = keyed.join(lookups.withColumnRenamed("n", "m"), "key", "left")
+    wide = found.groupBy("left", "sign", "rest").agg(F.max("n").alias("n"), *[F.coalesce(F.max(F.when(F.col("form") == k, F.col("m"))), F.lit(0)).alias(k) for k in forms])
+    log = lambda c: F.log1p(F.greatest(c, F.lit(0)).cast("double"))
+    goes_on = (F.substring("rest", 1, 1) == F.lower(F.substring("rest", 1, 1))) | ((F.col("left") == F.upper("left")) & (F.col("rest") == F.upper("rest")))
+    return wide.select("left", "sign", "rest", log(F.col("joined") - F.col("n")).alias("f0"), log(F.col("compound")).alias("f1"), log(F.col("l")).alias("f2"), log(F.col("r")).alias("f3"), F.col("sign").isin("¬", "\u00ad").cast("double").alias("f4"), goes_on.cast("double").alias("f5"))
+
+
+def pair_model(tagged: DataFrame, lookups: DataFrame) -> Boosted:
+    """Line pairs to join, from words and compounds of the corpus (a sample of ``SAMPLE``
+    each) with their own counts elsewhere: words cut at some place are to be joined,
+    compounds cut at their own hyphen are not."""
     rng = random.Random(11)
-    x = [[rng.choice([0.0, 1.0, 3.0, 6.0]), 0.0, float(rng.random() < 0.3), 1.0] for _ in words] + [[0.0, rng.choice([1.0, 3.0, 6.0]), 0.0, 1.0] for _ in words]
-    y = [1.0] * len(words) + [0.0] * len(words)
-    return Boosted(rounds=10).fit(np.array(x).reshape(-1, 4), np.array(y))
-
-
-def broken_words(rows: DataFrame, words: DataFrame, sample: list[str]) -> DataFrame:
-    """(record_kind, record_id) of rows with a word broken across lines."""
-    found = rows.where(F.col("text").contains("\n") & F.col("text").rlike(rf"[{HYPHENS}][ \t]*\r?\n")).select("record_kind", "record_id", F.explode(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0))).alias("at"))
-    parts = found.select("record_kind", "record_id", *[F.regexp_extract("at", BREAK, i + 1).alias(c) for i, c in enumerate(("left", "sign", "rest"))])
-    pairs = parts.select("left", "sign", "rest").distinct()
-    compound = rows.where(F.col("text").contains("-") & F.col("text").rlike(r"-(?<=\p{L}-)\p{L}")).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("c")).groupBy(F.lower("c").alias("compound")).agg(F.count("*").alias("n_compound"))
-    counted = pairs.withColumn("word", F.lower(F.concat("left", "rest"))).join(words.select("word", "n"), "word", "left").withColumn("compound", F.lower(F.concat_ws("-", "left", "rest"))).join(compound, "compound", "left")
-    log = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(0)).cast("double"))
-    lower = (F.substring("rest", 1, 1) == F.lower(F.substring("rest", 1, 1))) | (F.col("left") == F.upper("left"))
-    inputs = counted.select("left", "sign", "rest", log("n"), log("n_compound"), F.col("sign").isin("¬", "­").cast("double"), lower.cast("double"))
-    model = rows.sparkSession.sparkContext.broadcast(pair_model(sample, []))
+    words = [(r["item"], r["n"]) for r in tagged.where((F.col("tag") == "w") & F.col("item").rlike(r"^\p{L}{5,}$")).orderBy(F.xxhash64("item")).limit(SAMPLE).collect()]
+    compounds = [(r["item"], r["n"]) for r in tagged.where("tag = 'c'").orderBy(F.xxhash64("item")).limit(SAMPLE).collect()]
+    signs = [r["item"].split("\t")[1] for r in tagged.where("tag = 'b'").orderBy(F.xxhash64("item")).limit(SAMPLE).collect()] or ["-"]
+    cut = {}
+    for word, n in words:
+        at = rng.randrange(2, len(word) - 1)
+        cut[(word[:at], rng.choice(signs), word[at:])] = (1.0, n)
+    for word, n in compounds:
+        left, rest = word.split("-")
+        cut[(left, "-", rest)] = (0.0, n)
+    # one occurrence is the cut one, so it is not counted
+    given = tagged.sparkSession.createDataFrame([(*k, 1 if y else 0) for k, (y, _) in cut.items()] or [("", "", "", 0)], "left string, sign string, rest string, n bigint")
+    rows = _pair_counts(given, lookups).collect()
+    x, y = [], []
+    for r in rows:
+        label, n = cut.get((r["left"], r["sign"], r["rest"]), (1.0, 1))
+        f = [r[f"f{i}"] for i in range(6)]
+        if not label:
+            f[1] = math.log1p(max(math.expm1(f[1]) - 1, 0))
+        x.append(f)
+        y.append(label)
+    return Boosted(rounds=40).fit(np.array(x, float).reshape(-1, 6), np.array(y))
+
+
+def broken_pairs(tagged: DataFrame) -> DataFrame:
+    """(left, sign, rest) of the line pairs that are one word."""
+    lookups = written(_lookups(tagged), "noise-lookups")
+    part = F.split("item", "\t")
+    parts = tagged.where("tag = 'b'").select(part[0].alias("left"), part[1].alias("sign"), part[2].alias("rest"), "n")
+    model = tagged.sparkSession.sparkContext.broadcast(pair_model(tagged, lookups))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]], 1)
-            keep = pa.array(np.flatnonzero((model.value.score(x) >= 0.5) & (x[:, 3] > 0)))
+            keep = pa.array(np.flatnonzero(model.value.score(x) >= 0.5))
             yield pa.RecordBatch.from_arrays([c.take(keep) for c in batch.columns[:3]], names=["left", "sign", "rest"])
 
-    broken = inputs.mapInArrow(score, "left string, sign string, rest string")
-    return parts.join(broken, ["left", "sign", "rest"]).select("record_kind", "record_id").distinct()
+    return _pair_counts(parts, lookups).mapInArrow(score, "left string, sign string, rest string")
 
 
 class Judgement:
     """What the operator finds in ``rows`` (record_kind, record_id, text)."""
 
     def __init__(self, rows: DataFrame):
-        self.rows = rows.where(F.length("text") > 0)
-        self.words = row_words(self.rows)
-        spelled = written(spellings(self.words), "noise-spellings")
+        self.rows = rows.where(F.length("text") > 0).select("record_kind", "record_id", "text")
+        tagged = written(counted(self.rows), "noise-counts")
+        spelled = tagged.where("tag = 'w'").select(F.col("item").alias("word"), "n")
         self.vocabulary = written(of_spellings(spelled), "noise-words")
-        self.sample = [r[0] for r in self.vocabulary.where((F.col("n") >= TRUSTED) & F.col("word").rlike("^[a-z]{5,}$")).orderBy(F.xxhash64("word")).limit(SAMPLE).select("word").collect()]
         told = corrections(self.vocabulary).withColumn("code", F.lit(False)).unionByName(no_codes(spelled, self.vocabulary).withColumn("code", F.lit(True)))
         self.corrections = written(told, "noise-corrections")
-        n = max(self.rows.count(), 1)
+        self.broken = written(broken_pairs(tagged), "noise-pairs")
+        n = (tagged.where("tag = 'l'").agg(F.sum("n")).first()[0]) or 1
         chance = F.pmod(F.xxhash64("record_kind", "record_id"), F.lit(1 << 30)) / float(1 << 30)
-        lines = self.rows.where(F.col("text").rlike(r"[\n\x0c]") & (chance * n < 10 * SAMPLE)).select("text").limit(SAMPLE)
-        self.lines = rows.sparkSession.sparkContext.broadcast(line_model([r[0] for r in lines.collect()]))
-
-    def misread(self) -> DataFrame:
-        """(record_kind, record_id, word, right) of every misread word in a row."""
+        lines = self.rows.where((F.length("text") <= LONGEST) & F.col("text").rlike(r"[\n\x0c]") & (chance * n < 2 * LINES)).select("text").limit(LINES)
+        self.lines = rows.sparkSession.sparkContext.broadcast(Lines([r[0] for r in lines.collect()]))
+        self._seen = None
+
+    def seen(self) -> DataFrame:
+        """(record_kind, record_id, tag, item) of what may be noise in each row: ligature
+        signs and lines of furniture ('f'), words that are not common clean ones ('w'),
+        pairs broken at a line end ('b')."""
+        if self._seen is not None:
+            return self._seen
         clean = self.vocabulary.join(self.corrections.where("not code").select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(COMMON)
         common = clean.select(F.explode(F.array_distinct(F.array("word", F.initcap("word"), F.upper("word")))).alias("as_written"))
-        own = self.words.select("record_kind", "record_id", F.explode("words").alias("as_written"))
-        few = own.join(F.broadcast(common), "as_written", "left_anti").withColumn("code", F.col("as_written").rlike(CODE)).where(~F.col("code") | maybe_misread(F.col("as_written"))).select("record_kind", "record_id", F.lower("as_written").alias("word"), "code")
-        # written, since the join below reads it twice
-        rare = written(few, "noise-rare")
-        return join_hot(rare, self.corrections, ["word", "code"], "n").select("record_kind", "record_id", "word", "right")
-
-    def with_signs(self) -> DataFrame:
-        """Rows with ligature signs, or â outside of text that has French function words."""
-        french = F.col("text").rlike(r"(?i)(?<!\p{L})(?:le|la|les|des|une|du|dans|est)(?!\p{L})")
-        return self.rows.where(F.col("text").rlike("[ﬀ-ﬆ]") | (F.col("text").contains("â") & ~french)).select("record_kind", "record_id")
-
-    def with_furniture(self) -> DataFrame:
+        known = self.rows.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in common.collect()))
         model = self.lines
+        ligature = re.compile(f"[{''.join(LIGATURES)}]")
 
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [i for i, t in enumerate(batch.column(2).to_pylist()) if furniture(t, model.value)]
-                yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
+                at, tags, items = [], [], []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    own = set()
+                    if ligature.search(text):
+                        own.add(("f", ""))
+                    if "\n" in text or "\x0c" in text:
+                        if model.value.furniture(text):
+                            own.add(("f", ""))
+                        if _WRAP.search(text):
+                            own.update(("b", "\t".join(m)) for m in _PAIR.findall(text))
+                            text = _JOIN.sub("", text)
+                    own.update(("w", w) for w in set(_WORD.findall(text)) - known.value)
+                    for tag, item in own:
+                        at.append(i)
+                        tags.append(tag)
+                        items.append(item)
+                place = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(tags, pa.string()), pa.array(items, pa.string())], names=["record_kind", "record_id", "tag", "item"])
+
+        self._seen = written(self.rows.mapInArrow(run, "record_kind string, record_id bigint, tag string, item string"), "noise-seen")
+        return self._seen
+
+    def misread(self) -> DataFrame:
+        """(record_kind, record_id, word, right) of every misread word in a row."""
+        words = self.seen().where("tag = 'w'").withColumn("code", F.col("item").rlike(CODE)).where(~F.col("code") | maybe_misread(F.col("item")))
+        rare = words.select("record_kind", "record_id", F.lower("item").alias("word"), "code")
+        return join_hot(rare, self.corrections, ["word", "code"], "n").select("record_kind", "record_id", "word", "right")
 
-        own = self.rows.where(F.col("text").rlike(r"[\n\x0c]")).select("record_kind", "record_id", "text")
-        return own.mapInArrow(find, "record_kind string, record_id bigint")
+    def broken_words(self) -> DataFrame:
+        """(record_kind, record_id, item) of the pairs in a row that are one word."""
+        told = self.broken.select(F.concat_ws("\t", "left", "sign", "rest").alias("item"))
+        return self.seen().where("tag = 'b'").join(told, "item").select("record_kind", "record_id", "item")
 
     def found(self) -> DataFrame:
         """(record_kind, record_id) of the noisy rows, distinct."""
-        parts = [self.misread().select("record_kind", "record_id"), self.with_signs(), self.with_furniture(), broken_words(self.rows, self.vocabulary, self.sample)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.distinct()
+        own = ["record_kind", "record_id"]
+        return self.misread().select(*own).unionByName(self.broken_words().select(*own)).unionByName(self.seen().where("tag = 'f'").select(*own)).distinct()
 
     def repaired(self) -> DataFrame:
-        """(record_kind, record_id, repaired_text): continuous paragraphs of every row."""
-        model = self.lines
-        fixes = self.misread().groupBy("record_kind", "record_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
-        joined_rows = self.rows.select("record_kind", "record_id", "text").join(fixes, ["record_kind", "record_id"], "left")
+        """(record_kind, record_id, repaired_text): readable paragraphs of every row."""
+        model, own = self.lines, ["record_kind", "record_id"]
+        none = F.lit(None).cast("string")
+        told = self.misread().select(*own, "word", "right", none.alias("item")).unionByName(self.broken_words().select(*own, none.alias("word"), none.alias("right"), "item"))
+        fixes = told.groupBy(*own).agg(F.map_from_entries(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "right")))).alias("fixes"), F.collect_set("item").alias("joins"))
+        rows = self.rows.join(fixes, own, "left").select(*own, "text", "fixes", "joins")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [repair(t, dict(f or ()), model.value) for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["record_kind", "record_id", "repaired_text"])
+                out = [repair(t, dict(f or ()), set(j or ()), model.value) for t, f, j in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=[*own, "repaired_text"])
 
-        return joined_rows.mapInArrow(run, "record_kind string, record_id bigint, repaired_text string")
+        return rows.mapInArrow(run, "record_kind string, record_id bigint, repaired_text string")
 
 
 _TOKEN = re.compile(r"[^\W_†]*†?[^\W_]+(?:†[^\W_]*)*†?|[^\W_]+")
 
 
-def repair(text: str, fixes: dict[str, str], model: Boosted) -> str:
-    """One text: furniture out, broken words joined, misread words replaced, lines reflowed."""
-    for s, e in reversed(furniture(text, model)):
+def repair(text: str, fixes: dict[str, str], joins: set[str], model: Lines) -> str:
+    """One text: furniture out, broken words joined, misread words replaced, lines
+    reflowed. Blank lines end a paragraph; a hyphen that is a compound's own stays."""
+    for s, e in reversed(model.furniture(text)):
         text = text[:s].rstrip() + "\n" + text[e:].lstrip()
-    text = re.sub(rf"(?<=[^\W\d_])[{HYPHENS}][ \t]*\r?\n\s*(?=[^\W\d_])", "", text)
+    # a pair may share its right part with the next one's left
+    text = re.sub(rf"([^\W\d_]+)([{HYPHENS}])[ \t]*\r?\n[ \t]*(?=([^\W\d_]+))", lambda m: m[1] + ("" if "\t".join(m.groups()) in joins else "-"), text)
     for sign, letters in LIGATURES.items():
         text = text.replace(sign, letters)
 
@@ -450,7 +570,8 @@ def repair(text: str, fixes: dict[str, str], model: Boosted) -> str:
             return own
         return right.upper() if own.isupper() and len(own) > 1 else right[:1].upper() + right[1:] if own[:1].isupper() else right
 
-    return re.sub(r"\s+", " ", _TOKEN.sub(fix, text)).strip()
+    paragraphs = re.split(r"\n[ \t]*\r?\n\s*", _TOKEN.sub(fix, text).strip())
+    return "\n\n".join(" ".join(p.split()) for p in paragraphs if not p.isspace())
 
 
 def records(sentences: DataFrame, citations: DataFrame) -> DataFrame:

@@ -244,15 +244,27 @@ def test_neighbours_cross_partitions(spark, cut):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, min(i + 4, 60))}
 
 
+PAGES = [(f"The old {a}\n{line}\n{b} was lost in it.") for i in range(8) for a, b in (("market", "border"), ("public", "valley")) for line in (f"- {i + 3} -", f"{40 + i}  Annals of River Engineering", f"Page {i} of 9")] + [f"The old {a}\nand {b} were lost\nin the valley." for a in ("market", "border", "timber") for b in ("session", "public", "harbour")]
+
+
 def test_noise(spark):
     words = ["museum", "market", "valley", "timber", "harbour", "session", "modern", "border", "public", "region"]
-    rows = [("sentence", i, f"The {w} of the old {v} was lost in the long-term plan.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
-    cases = {900: "The mu5eum was lost.", 901: "The modcrn plan was lost.", 902: "The har-\nbour was lost in it.", 903: "The ﬁrst plan was lost.", 904: "The old\n- 38 -\nmarket was lost.", 905: "The tirnber was lost.", 906: "The marekt was lost.", 907: "The plan K45-8 held H2O.", 908: "The old\nmarket was lost.", 909: "The long-\nterm plan was lost."}
-    rows += [("sentence", i, t) for i, t in cases.items()] + [("sentence", 990, None), ("citation", 991, "")]
+    rows = [("sentence", i, f"The {w} of the old {v} was lost in the long-term plan of the well-known site.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
+    rows += [("sentence", 300 + i, t) for i, t in enumerate(PAGES)]
+    cases = {900: "The mu5eum was lost.", 901: "The modcrn plan was lost.", 902: "The har-\nbour was lost in it.", 903: "The ﬁrst plan was lost.", 904: "The old\n- 38 -\nmarket was lost.", 905: "The tirnber was lost.", 906: "The marekt was lost.", 907: "The plan K45-8 held H2O.", 908: "The old\nmarket was lost.", 909: "The long-\nterm plan was lost.", 910: "The old\n88  Annals of River Engineering\nmarket was lost."}
+    rows += [("sentence", i, t) for i, t in cases.items()] + [("sentence", 990, None), ("citation", 991, ""), ("sentence", 920, "The well-\nknown har-\nbour was\nlost.\n\nThe old mu5eum\nwas lost.")]
     judged = noise.Judgement(spark.createDataFrame(rows, "record_kind string, record_id long, text string").withColumn("word", F.lit("x")))
-    assert {r.record_id for r in judged.found().collect()} == {900, 901, 902, 903, 904, 905}
+    assert {r.record_id for r in judged.found().where("record_id >= 900").collect()} == {900, 901, 902, 903, 904, 905, 910, 920}
     fixed = {r.record_id: r.repaired_text for r in judged.repaired().collect()}
     assert fixed[900] == "The museum was lost." and fixed[902] == "The harbour was lost in it." and fixed[904] == "The old market was lost." and fixed[905] == "The timber was lost."
+    assert fixed[909] == "The long-term plan was lost." and fixed[920] == "The well-known harbour was lost.\n\nThe old museum was lost."
+
+
+def test_furniture_lines_by_repetition():
+    # no outline is written down anywhere: repetition tells them, and running text with a line to itself stays
+    lines = noise.Lines(PAGES)
+    assert [bool(lines.furniture(t)) for t in ("It was\nPage 3 of 8\nlost here.", "It was\nlost in\nthe valley.", "A sentence.\nAnother one there.\nThe last one.")] == [True, False, False]
+    assert noise.shape("  - 38 - ") == "- 9 -" and noise.shape("VON TAL ET AL.") == "A A." and noise.shape("231  Annals of Cave Biology") == "9  Aa a Aa"
 
 
 def test_noise_candidates_at_every_length(spark):
