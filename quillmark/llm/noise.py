@@ -13,6 +13,7 @@ to list what may be noise in each row.
 from __future__ import annotations
 
 import collections
+import functools
 import math
 import random
 import re
@@ -43,7 +44,7 @@ CODE = r"^(?:(?:[^\p{L}]*\p{L}){0,2}[^\p{L}]*|\p{Lu}+\p{N}+[\p{Lu}\p{N}]*|\p{N}+
 #: Words that may be the right spelling; least ratio of its count to the wrong one's.
 TRUSTED, RATIO = 4, 5
 #: q-gram size; words (and as many compounds) and texts with lines in the training samples, the latter's longest text.
-Q, SAMPLE, LINES, LONGEST = 3, 3_000, 20_000, 20_000
+Q, SAMPLE, LINES, LONGEST = 3, 3_000, 5_000, 20_000
 #: Most frequent clean words, left out before the words are shuffled (a bounded broadcast).
 COMMON = 20_000
 
@@ -120,7 +121,7 @@ def counted(rows: DataFrame) -> DataFrame:
                         text = _JOIN.sub("", text)
                 n["w"].update(_WORD.findall(text))
                 if "-" in text:
-                    n["c"].update(_COMPOUND.findall(text))
+                    n["c"].update(c for part in text.split() if "-" in part for c in _COMPOUND.findall(part))
             told = [(tag, item, k) for tag, own in n.items() for item, k in own.items()]
             columns = list(zip(*told)) if told else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["tag", "item", "n"])
@@ -150,6 +151,13 @@ def maybe_misread(word: Column) -> Column:
     return (F.length(word) >= 3) & word.rlike(r"\p{L}") & word.rlike(f"[{''.join(SIGNS)}]")
 
 
+@functools.lru_cache(maxsize=262_144)
+def _no_word(word: str) -> bool:
+    """Codes and numbers that ``CODE`` takes for such and ``maybe_misread`` does not: too few letters, no sign."""
+    letters = sum(map(str.isalpha, word))
+    return letters < 3 and (len(word) < 3 or not letters or not any(c in SIGNS for c in word))
+
+
 def no_codes(written_so: DataFrame, words: DataFrame) -> DataFrame:
     """(word, right, n): what looks like a code, but is a known word with its signs
     read as letters. Short ones need a trusted word and more letters than signs."""
@@ -164,12 +172,11 @@ def _padded(s: Column) -> Column:
     return F.concat(F.lit("^" * (Q - 1)), s, F.lit("$" * (Q - 1)))
 
 
-def _places(s: Column) -> Column:
-    return F.sequence(F.lit(1), F.length(s) + (Q - 1))
-
-
-def _grams(s: Column) -> Column:
-    return F.array_distinct(F.transform(_places(s), lambda i: _padded(s).substr(i, F.lit(Q))))
+def _grams(forms_: DataFrame) -> DataFrame:
+    """(form, size, i, g): the q-grams of each form with their places."""
+    s = F.col("padded")
+    every = F.transform(F.sequence(F.lit(1), F.col("size") + (Q - 1)), lambda i: s.substr(i, F.lit(Q)))
+    return forms_.withColumn("padded", _padded(F.col("form"))).select("form", "size", F.posexplode(every).alias("i", "g"))
 
 
 def candidates(words: DataFrame) -> DataFrame:
@@ -180,16 +187,20 @@ def candidates(words: DataFrame) -> DataFrame:
     the ``Q + 1`` rarest of each form is left in both, as far from the start or
     from the end as before: no pair of two or more characters is lost.
     """
-    own = written(words.select("word", "n", "signs", F.explode(forms(F.col("word"))).alias("form")).where(F.length("form") > 0), "noise-forms")
-    grams = own.select("form").distinct().select("form", F.explode(_grams(F.col("form"))).alias("g"))
+    # which letters a form has, as bits: one exchanged character changes two of them at most
+    letters = F.aggregate(F.split("form", ""), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 64)))
+    own = written(words.select("word", "n", "signs", F.explode(forms(F.col("word"))).alias("form")).where(F.length("form") > 0).withColumns({"size": F.length("form"), "letters": letters}), "noise-forms")
+    grams = _grams(own.select("form", "size").distinct())
     rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
-    rarest = grams.join(rarity, "g").groupBy("form").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, Q + 1), lambda x: x["g"]).alias("prefix"))
-    gram = lambda i: _padded(F.col("form")).substr(i, F.lit(Q))
-    kept = F.filter(_places(F.col("form")), lambda i: F.array_contains("prefix", gram(i)))
-    keys = F.flatten(F.transform(kept, lambda i: F.array(F.xxhash64(gram(i), i), F.xxhash64(gram(i), i - F.length("form") - Q))))
-    index = written(own.join(rarest, "form").select("word", "n", "signs", "form", F.explode(keys).alias("key")), "noise-grams")
-    right = index.where((F.col("signs") == 0) & (F.col("n") >= TRUSTED)).select("key", F.col("form").alias("form_r"), F.col("word").alias("right"), F.col("n").alias("n_right"))
-    near = index.join(right, "key").where((F.col("n_right") >= RATIO * F.col("n")) & (F.col("word") != F.col("right")) & (F.levenshtein("form", "form_r", 1) >= 0))
+    # repeated q-grams of a form are one of its rarest together
+    placed = grams.join(rarity, "g").groupBy("form", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g", "i"))).alias("all"))
+    border = F.element_at(F.array_distinct(F.transform("all", lambda x: F.struct(x["df"], x["g"]))), F.least(F.lit(Q + 1), F.size(F.array_distinct(F.transform("all", lambda x: x["g"])))))
+    rarest = placed.withColumn("border", border).select("form", F.explode(F.filter("all", lambda x: F.struct(x["df"], x["g"]) <= F.col("border"))).alias("x"), "size")
+    keys = rarest.select("form", F.explode(F.array(F.xxhash64("x.g", "x.i"), F.xxhash64("x.g", F.col("x.i") - F.col("size") - Q))).alias("gram"))
+    index = written(own.join(keys, "form"), "noise-grams")
+    # forms at most one character apart differ by no more in length
+    right = index.where((F.col("signs") == 0) & (F.col("n") >= TRUSTED)).select(F.explode(F.array(*[F.xxhash64("gram", F.col("size") + i) for i in (-1, 0, 1)])).alias("key"), F.col("form").alias("form_r"), F.col("letters").alias("letters_r"), F.col("word").alias("right"), F.col("n").alias("n_right"))
+    near = index.select("word", "n", "signs", "form", "letters", F.xxhash64("gram", "size").alias("key")).join(right, "key").where((F.col("n_right") >= RATIO * F.col("n")) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_r"))) <= 2) & (F.col("word") != F.col("right")) & (F.levenshtein("form", "form_r", 1) >= 0))
     out = near.select("word", "n", "signs", "right", "n_right").distinct()
     # a sign of misreading is its own evidence: the folded word is a candidate, too
     signed = words.where(F.length(F.translate("word", "".join((*SIGNS, *LIGATURES)), "")) < F.length("word")).select("word", "n", "signs", folded(F.col("word")).alias("right"))
@@ -388,11 +399,17 @@ class Lines:
 
     def furniture(self, text: str) -> list[tuple[int, int]]:
         """Spans of the furniture lines of a text; first and last lines can't be told from text."""
-        lines = lines_of(text)
-        if not lines:
-            return []
-        p = self.model.score(np.array([self._features(shape(text[s:e]), f) for s, e, f in lines]))
-        return [(s, e) for (s, e, _), q in zip(lines, p) if q >= 0.5]
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """The same of many texts at once."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        lines = [(i, s, e, f) for i, text in enumerate(texts) for s, e, f in lines_of(text)]
+        if lines:
+            p = self.model.score(np.array([self._features(shape(texts[i][s:e]), f) for i, s, e, f in lines]))
+            for k in np.flatnonzero(p >= 0.5).tolist():
+                out[lines[k][0]].append(lines[k][1:3])
+        return out
 
 
 #: An outline's least number of lines in the sample, and its least share inside of sentences.
@@ -497,17 +514,17 @@ class Judgement:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, tags, items = [], [], []
-                for i, text in enumerate(batch.column(2).to_pylist()):
+                texts = batch.column(2).to_pylist()
+                with_lines = [i for i, t in enumerate(texts) if "\n" in t or "\x0c" in t]
+                found = dict(zip(with_lines, model.value.of_all([texts[i] for i in with_lines])))
+                for i, text in enumerate(texts):
                     own = set()
-                    if ligature.search(text):
+                    if found.get(i) or ligature.search(text):
                         own.add(("f", ""))
-                    if "\n" in text or "\x0c" in text:
-                        if model.value.furniture(text):
-                            own.add(("f", ""))
-                        if _WRAP.search(text):
-                            own.update(("b", "\t".join(m)) for m in _PAIR.findall(text))
-                            text = _JOIN.sub("", text)
-                    own.update(("w", w) for w in set(_WORD.findall(text)) - known.value)
+                    if i in found and _WRAP.search(text):
+                        own.update(("b", "\t".join(m)) for m in _PAIR.findall(text))
+                        text = _JOIN.sub("", text)
+                    own.update(("w", w) for w in set(_WORD.findall(text)) - known.value if not _no_word(w))
                     for tag, item in own:
                         at.append(i)
                         tags.append(tag)
