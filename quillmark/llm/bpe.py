@@ -1,8 +1,10 @@
 """Encoding with a public byte-level BPE vocabulary by a distinct-word shuffle.
 
-Texts are split into pre-tokens on the JVM, every distinct pre-token is encoded
-once, and the ids are joined back by word and reassembled by position. In the join
-a bounded number of hot words is broadcast; the others meet in a shuffle.
+Texts are split into pre-tokens on the JVM. Blocks of texts keep the positions of
+their distinct words as small codes; every distinct word of the corpus is encoded
+once, its ids are joined back to the blocks' words by a shuffle on the word, and each
+block's texts are reassembled by their codes. A frequent word is one row a block, so
+no word is hot, and nothing that grows with the corpus is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # numbers, other signs, white space). Java needs (?U) for Unicode white space.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: The words that stand in most rows are joined by broadcast: at most so many, of at
-#: most so many letters each (a bound of about 30 MB at any size of the corpus).
-HOT_WORDS, HOT_LENGTH = 65_536, 64
+#: A block of texts ends where it has so many distinct words or pre-tokens (or with its
+#: text, which may have more).
+BLOCK_WORDS, BLOCK_TOKENS = 50_000, 2_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,13 +53,13 @@ def unassigned(text: Column) -> Column:
 
 
 def split_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text_hash, words): pre-tokens of every row; null text gives a null array.
+    """(key, words): pre-tokens of every row; null text gives a null array.
 
     Rows with code points that the JVM does not know are split in Python, so the
     result does not depend on the JVM's Unicode version.
     """
-    rows = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("_text"))
-    plain = rows.where(F.col("_text").isNull() | ~unassigned(F.col("_text"))).select(key, "text_hash", pre_tokens(F.col("_text")).alias("words"))
+    rows = docs.select(F.col(key), F.col(text).alias("_text"))
+    plain = rows.where(F.col("_text").isNull() | ~unassigned(F.col("_text"))).select(key, pre_tokens(F.col("_text")).alias("words"))
     schema = plain.schema
 
     def in_python(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,49 +67,23 @@ def split_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         find = regex.compile(PRE_TOKEN).findall
         for batch in batches:
-            words = pa.array([find(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=[key, "text_hash", "words"])
+            words = pa.array([find(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=[key, "words"])
 
     odd = rows.where(F.col("_text").isNotNull() & unassigned(F.col("_text"))).mapInArrow(in_python, schema)
     return plain.unionByName(odd)
 
 
-def counted_words(words: DataFrame) -> DataFrame:
-    """(word, n): in how many rows each word stands; pre-aggregated within each row
-    and each partition before the shuffle."""
-    return words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-
 def encode_words(words: DataFrame, ranks_path: str = RANKS) -> DataFrame:
-    """(word, n, ids): every distinct word encoded once."""
+    """(word, ids): every distinct word encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(ranks_path).encode_ordinary
         for batch in batches:
             ids = pa.array([one(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
-
-    return words.mapInArrow(encode, "word string, n bigint, ids array<int>")
-
-
-class WordTable:
-    """Encoded words in flat arrays, for use inside Python workers."""
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["word", "ids"])
 
-    def __init__(self, packed: bytes):
-        table = pa.ipc.open_stream(pa.py_buffer(packed)).read_all().combine_chunks()
-        words, ids = (table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("word", "ids"))
-        self.row = {w: i for i, w in enumerate(words.to_pylist())}
-        self.values = ids.flatten().to_numpy()
-        # the last row stands for all other words and has no ids
-        self.start = np.append(np.cumsum(sizes := np.diff(ids.offsets.to_numpy().astype(np.int64))) - sizes, 0)
-        self.size = np.append(sizes, 0)
-
-    def rows(self, words: pa.Array) -> np.ndarray:
-        """Row in the table of each word, the last one for words that aren't there."""
-        coded = words.dictionary_encode()
-        other = len(self.row)
-        at = np.fromiter((self.row.get(w, other) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        return at[coded.indices.to_numpy()]
+    return words.mapInArrow(encode, "word string, ids array<int>")
 
 
 def flat_words(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -118,92 +95,82 @@ def flat_words(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _pieced(words: DataFrame, key: str, packed) -> DataFrame:
-    """(key, text_hash, ids, cold, at): ids of the hot words in their order; the other
-    words and the number of ids before each."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table_by_value(packed)
-        for batch in batches:
-            flat, offsets = flat_words(batch.column(2))
-            row = table.rows(flat)
-            size = table.size[row]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            values = table.values[np.repeat(table.start[row] - ends[:-1], size) + np.arange(int(ends[-1]))]
-            list_of = lambda bounds, x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), x)
-            cold = np.flatnonzero(row == len(table.row))
-            bounds = np.searchsorted(cold, offsets)
-            before = ends[cold] - ends[offsets[np.searchsorted(offsets, cold, side="right") - 1]]
-            columns = [list_of(ends[offsets], pa.array(values, pa.int32())), list_of(bounds, flat.take(pa.array(cold))), list_of(bounds, pa.array(before, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, "text_hash", "ids", "cold", "at"])
-
-    kind = words.schema[key].dataType.simpleString()
-    return words.mapInArrow(join, f"{key} {kind}, text_hash bigint, ids array<int>, cold array<string>, at array<int>")
-
-
-_unpacked: list = []
-
-
-def word_table_by_value(broadcast) -> WordTable:
-    """The broadcast table, unpacked once per Python worker."""
-    value = broadcast.value
-    for known, table in _unpacked:
-        if known is value:
-            return table
-    _unpacked[:] = [(value, WordTable(value))]
-    return _unpacked[0][1]
+def _parts(offsets: np.ndarray, place: np.ndarray, most_words: int, most_tokens: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that are one block each."""
+    start, seen = 0, set()
+    for i in range(len(offsets) - 1):
+        if i > start and (len(seen) >= most_words or offsets[i] - offsets[start] >= most_tokens):
+            yield start, i
+            start, seen = i, set()
+        seen.update(np.unique(place[offsets[i] : offsets[i + 1]]).tolist())
+    if len(offsets) > 1:
+        yield start, len(offsets) - 1
 
 
-def _filled(pieces: DataFrame, key: str) -> DataFrame:
-    """(key, ids): ``more`` (place, ids of a word) put into each row's ids by their places."""
+def blocks_of(words: DataFrame, key: str, most_words: int = BLOCK_WORDS, most_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(block, key, width, codes, words): a row for each text with the places of its
+    pre-tokens among its block's distinct words, packed in ``width`` bytes each, and a
+    row for each block with those words."""
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out = []
-            for ids, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                whole, last = [], 0
-                for x in more:
-                    whole += ids[last : x["at"]]
-                    whole += x["word_ids"]
-                    last = x["at"]
-                out.append(whole + ids[last:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
-
-    kind = pieces.schema[key].dataType.simpleString()
-    return pieces.select(key, "ids", "more").mapInArrow(fill, f"{key} {kind}, ids array<int>")
+            flat, offsets = flat_words(batch.column(1))
+            coded = flat.dictionary_encode()
+            place = coded.indices.to_numpy()
+            whole = list(_parts(offsets, place, most_words, most_tokens)) if len(coded.dictionary) > most_words or len(flat) > most_tokens else [(0, batch.num_rows)]
+            for a, b in whole:
+                own, code = np.unique(place[offsets[a] : offsets[b]], return_inverse=True)
+                width = 2 if len(own) < 1 << 16 else 4
+                packed = code.astype(np.uint16 if width == 2 else np.uint32).tobytes()
+                bounds = pa.array((offsets[a : b + 1] - offsets[a]) * width, pa.int32())
+                codes = pa.Array.from_buffers(pa.binary(), b - a, [None, bounds.buffers()[1], pa.py_buffer(packed)])
+                n = b - a
+                columns = [pa.array(np.full(n, block)), batch.column(0).slice(a, n), pa.array(np.full(n, width, np.int32)), codes, pa.nulls(n, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                known = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), coded.dictionary.take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), known], names=names)
+                block += 1
+
+    names = ["block", key, "width", "codes", "words"]
+    kind = words.schema[key].dataType.simpleString()
+    return words.select(key, "words").mapInArrow(run, f"block bigint, {key} {kind}, width int, codes binary, words array<string>")
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = RANKS, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str = RANKS, block_words: int = BLOCK_WORDS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(key, ids) of every row of ``docs``.
 
     Null and empty texts get an empty list; strings that look like special
     tokens are ordinary text. Rows with equal keys each get their own text's list.
-    Other columns are ignored; an empty table gives an empty table.
-
-    The plan is the same at every size: the ``hot_words`` words of most rows are
-    joined by broadcast, all others by a shuffle on the word, so none of those
-    holds more than that share of the rows.
+    Other columns are ignored; an empty table gives an empty table. The plan is the
+    same at every size.
     """
-    words = split_words(docs, key, text)
-    vocabulary = written(encode_words(counted_words(words.select(key, "words")), ranks_path), "bpe-words")
-    top = vocabulary.where(F.length("word") <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(hot_words)
-    sink = pa.BufferOutputStream()
-    hot = top.select("word", "n", "ids").toArrow() if hot_words else vocabulary.limit(0).toArrow()
-    with pa.ipc.new_stream(sink, hot.schema) as writer:
-        writer.write_table(hot)
-    pieces = written(_pieced(words, key, docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())), "bpe-pieces")
-    whole = pieces.where(F.size("cold") == 0).select(key, "ids")
-    # all that is not hot: after the last hot word in their order, or too long
-    last = hot.slice(hot.num_rows - 1).to_pylist() if hot.num_rows == hot_words and hot_words else []
-    after = F.lit(False) if not last and hot_words else F.lit(True) if not last else (F.col("n") < last[0]["n"]) | ((F.col("n") == last[0]["n"]) & (F.col("word") > last[0]["word"]))
-    cold = vocabulary.where(after | (F.length("word") > HOT_LENGTH)).select("word", F.col("ids").alias("word_ids"))
-    broken = pieces.where(F.size("cold") > 0)
-    spread = broken.select(key, "text_hash", F.posexplode(F.arrays_zip("cold", "at")).alias("pos", "x")).select(key, "text_hash", "pos", F.col("x.at").alias("at"), F.col("x.cold").alias("word"))
-    # rows that repeat a key and a text are one here
-    found = spread.join(cold, "word").groupBy(key, "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "at", "word_ids"))).alias("more"))
-    told = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "more")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash"))
-    return whole.unionByName(_filled(broken.join(told, same), key))
+    blocks = written(blocks_of(split_words(docs, key, text), key, block_words, block_tokens), "bpe-blocks")
+    texts = blocks.where(F.col("codes").isNotNull()).select("block", key, "width", "codes")
+    words = blocks.where(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("code", "word"))
+    encoded = written(encode_words(words.select("word").distinct(), ranks_path), "bpe-words")
+    known = words.join(encoded, "word").select(F.col("block").alias("word_block"), "code", "ids")
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        ids = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
+        values = ids.flatten().to_numpy()
+        ends = np.cumsum(ids.value_lengths().to_numpy()) if right.num_rows else np.zeros(0, np.int64)
+        row = np.empty(right.num_rows, np.int64)
+        row[right.column("code").to_numpy()] = np.arange(right.num_rows)
+        size = np.diff(ends, prepend=0)[row]
+        start = ends[row] - size
+        width = left.column("width")[0].as_py() if left.num_rows else 2
+        codes = left.column("codes").to_pylist()
+        place = np.frombuffer(b"".join(codes), np.uint16 if width == 2 else np.uint32).astype(np.int64)
+        long = size[place]
+        last = np.concatenate([[0], np.cumsum(long)])
+        out = values[np.repeat(start[place] - last[:-1], long) + np.arange(int(last[-1]))]
+        bounds = last[np.cumsum([0, *(len(c) // width for c in codes)])].astype(np.int32)
+        return pa.table({key: left.column(key), "ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(out, pa.int32()))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return texts.groupBy("block").cogroup(known.groupBy("word_block")).applyInArrow(fill, f"{key} {kind}, ids array<int>")
 
 
 @functools.lru_cache(maxsize=4)

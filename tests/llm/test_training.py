@@ -18,8 +18,8 @@ def docs(spark):
 def test_encoding(spark, docs):
     e = bpe.encoder(bpe.RANKS)
     true = {i: e.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
-    for hot in (bpe.HOT_WORDS, 5, 1, 0):  # all words hot, few, none
-        got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(docs, hot_words=hot).collect()}
+    for most in ((bpe.BLOCK_WORDS, bpe.BLOCK_TOKENS), (5, 20), (1, 1)):  # one block a partition, a few, one a text
+        got = {r.doc_id: list(r.ids) for r in bpe.encode_corpus(docs, block_words=most[0], block_tokens=most[1]).collect()}
         assert got == true
     back = {r.doc_id: r.text for r in bpe.decode_corpus(bpe.encode_corpus(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
@@ -30,8 +30,8 @@ def test_encoding(spark, docs):
 def test_encoding_of_repeated_keys(spark):
     e = bpe.encoder(bpe.RANKS)
     rows = [(1, "one text of a key"), (1, "and another text"), (1, "one text of a key"), (None, "no key here"), (None, None)]
-    for hot in (bpe.HOT_WORDS, 2, 0):
-        got = sorted(((r.doc_id or 0, list(r.ids)) for r in bpe.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string"), hot_words=hot).collect()))
+    for most in (bpe.BLOCK_WORDS, 1):
+        got = sorted(((r.doc_id or 0, list(r.ids)) for r in bpe.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string"), block_words=most).collect()))
         assert got == sorted((i or 0, e.encode_ordinary(t) if t else []) for i, t in rows)
 
 
