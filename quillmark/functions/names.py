@@ -40,3 +40,9 @@ def names_match(a: Column, b: Column, threshold: float = 0.8) -> Column:
     alike = (shortest / longest >= 0.7) & (1 - F.levenshtein(x, y) / longest >= threshold)
     same = (x == y) | x.contains(y) | y.contains(x) | few | alike
     return F.coalesce((n > 0) & (m > 0) & same, F.lit(False))
+
+
+def letters_shared(a: Column, b: Column) -> Column:
+    """Share of the distinct letters of two normalised names that both have."""
+    x, y = (F.array_distinct(F.split(normal_author(c), "")) for c in (a, b))
+    return F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 4)

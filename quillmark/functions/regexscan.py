@@ -1,4 +1,4 @@
-"""Regular-expression matches with their places, and the overlap sweep."""
+"""Regular-expression matches with their places, as column expressions."""
 
 from __future__ import annotations
 
@@ -25,18 +25,3 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct((a["at"] + p["g"] + F.coalesce(size, F.lit(0))).alias("at"), F.when(p["h"].isNull(), a["found"]).otherwise(F.array_append(a["found"], item)).alias("found"))
 
     return F.aggregate(parts, start, step)["found"]
-
-
-def swept(items: Column, schema: str) -> Column:
-    """Non-overlapping items: ordered by start, longest first, then by their order;
-    an item is kept where it starts at or after the last kept end.
-
-    ``items`` are structs of (start_pos, size negated, order, ..., end_pos).
-    """
-    empty = F.from_json(F.lit("[]"), f"array<{schema}>")
-    start = F.struct(F.lit(0).alias("last"), empty.alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        return F.when(x["start_pos"] >= a["last"], F.struct(x["end_pos"].alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a)
-
-    return F.aggregate(F.array_sort(items), start, step)["kept"]

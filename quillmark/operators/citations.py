@@ -1,15 +1,20 @@
 """In-text citations: scan, sweep, expansion, standard form, context, statistics.
 
-Every operator takes one row per document and keeps ``doc_id``; extraction is
-row-local (arrays), so it needs no shuffle.
+Every operator takes one row per document and keeps ``doc_id``. Extraction is
+row-local, so it needs no shuffle: a text goes through each pattern once, and time
+grows with its length and its hits.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.regexscan import located, swept
 from quillmark.functions.text import squash
 
 # The citation patterns, in the order that decides ties.
@@ -37,10 +42,10 @@ PATTERNS = {
     "doi_pattern": r"https?://doi\.org/[\w\./\-]+",
 }
 # Capitalised words that start no citation.
-NON_AUTHORS = (
-    "January February March April May June July August September October November December Table Figure Chapter Section Appendix Volume Issue Part Equation Model Phase Step "
-    "Experiment Hypothesis Criterion Category Factor Panel Supplement Group Type Level Stage Version Component Dimension Cluster Wave Trial Sample Grade Item Number"
-).split()
+NON_AUTHORS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Table", "Figure", "Chapter", "Section", "Appendix", "Volume", "Issue", "Part", "Equation", "Model", "Phase", "Step",
+    "Experiment", "Hypothesis", "Criterion", "Category", "Factor", "Panel", "Supplement", "Group", "Type", "Level", "Stage", "Version", "Component", "Dimension", "Cluster", "Wave", "Trial", "Sample", "Grade", "Item", "Number",
+]
 _NUMERIC = ("numbered_simple", "numbered_multiple", "superscript")
 _IN_NUMERIC_TEXT = tuple(p for p in PATTERNS if p.startswith("narrative")) + ("author_year_in_press",)
 SUBSETS = {
@@ -49,33 +54,66 @@ SUBSETS = {
     "numeric_bracketed": _NUMERIC[:2] + _IN_NUMERIC_TEXT,
     "author_year": tuple(p for p in PATTERNS if p not in _NUMERIC),
 }
-ITEM = "struct<start_pos:int,negative:int,ord:int,end_pos:int,citation_type:string,citation_id:string,citation_text:string>"
+_NAME = re.compile(r"\(?([A-Z][A-Za-z'-]+)")
+_COMPILED = {name: re.compile(p, re.ASCII) for name, p in PATTERNS.items()}
 
 
-def is_author(hit: Column, name: str) -> Column:
+def is_author(hit: str, name: str) -> bool:
     """False for hits of author patterns that start with a word that is no author."""
     if not ("narrative" in name or "author_year" in name):
-        return F.lit(True)
-    return ~F.regexp_extract(hit, r"\(?([A-Z][A-Za-z'-]+)", 1).isin(*NON_AUTHORS)
+        return True
+    m = _NAME.search(hit)
+    return m is None or m[1] not in _NO_AUTHORS
+
+
+_NO_AUTHORS = frozenset(NON_AUTHORS)
+Hit = tuple[int, int, int, int, str, str, str]
+
+
+def hits_of(text: str, names: tuple[str, ...], sweep: bool) -> list[Hit]:
+    """(start, size negated, pattern's order, end, type, id, text) of the hits of a text, sorted.
+
+    Ids number the hits of a pattern before false ones are dropped, so they may have
+    gaps. Swept, a hit is kept where it starts at or after the last kept end: the
+    longest of a start first, then in the patterns' order.
+    """
+    found: list[Hit] = []
+    for order, name in enumerate(PATTERNS):
+        if name in names:
+            for k, m in enumerate(_COMPILED[name].finditer(text), 1):
+                if is_author(m.group(), name):
+                    found.append((m.start() + 1, m.start() + 1 - m.end(), order, m.end(), name, f"{name}_{k}", m.group()))
+    found.sort()
+    if not sweep:
+        return found
+    kept, last = [], 0
+    for hit in found:
+        if hit[0] >= last:
+            kept.append(hit)
+            last = hit[3]
+    return kept
+
+
+_FIELDS = {"citation_ord": pa.int32(), "citation_type": pa.string(), "citation_id": pa.string(), "citation_text": pa.string(), "start_pos": pa.int32(), "end_pos": pa.int32()}
+_AROUND = {"words_before": pa.string(), "words_after": pa.string(), "n_before": pa.int32(), "n_after": pa.int32()}
 
 
-def scanned(text: Column, citation_type: str = "all") -> Column:
-    """Array of all hits of all patterns; ids number the hits of a pattern before
-    false ones are dropped, so they may have gaps."""
-    def item(name: str, order: int):
-        return lambda h: F.struct(
-            h["start_pos"].alias("start_pos"), (h["start_pos"] - h["end_pos"]).alias("negative"), F.lit(order).alias("ord"), h["end_pos"].alias("end_pos"),
-            F.lit(name).alias("citation_type"), F.concat(F.lit(name + "_"), h["k"].cast("string")).alias("citation_id"), h["hit"].alias("citation_text"),
-        )
+def _ddl(fields: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{f} {'int' if t == pa.int32() else 'string'}" for f, t in fields.items())
 
-    def true_hit(name: str):
-        return lambda h: is_author(h["hit"], name)
 
-    parts = []
-    for order, (name, pattern) in enumerate(PATTERNS.items()):
-        if name in SUBSETS[citation_type]:
-            parts.append(F.transform(F.filter(located(text, pattern), true_hit(name)), item(name, order)))
-    return F.concat(*parts)
+def _emitted(batch: pa.RecordBatch, rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows (place in the batch, fields...) with their document's id."""
+    columns = list(zip(*rows)) if rows else [()] * (len(fields) + 1)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int32())), *(pa.array(c, t) for c, t in zip(columns[1:], fields.values()))], names=["doc_id", *fields])
+
+
+def _listed(found: list[Hit]) -> list[tuple]:
+    return [(k, h[4], h[5], h[6], h[0], h[3]) for k, h in enumerate(found, 1)]
+
+
+def _source(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("doc_id", squash(F.col(text)).alias("_t")).where(F.length("_t") > 0)
 
 
 def scan(docs: DataFrame, text: str = "text", citation_type: str = "all", sweep: bool = True) -> DataFrame:
@@ -83,10 +121,15 @@ def scan(docs: DataFrame, text: str = "text", citation_type: str = "all", sweep:
 
     Places are in the text with squashed white space. Null texts have none.
     """
-    found = scanned(F.col("_t"), citation_type)
-    source = docs.select("doc_id", squash(F.col(text)).alias("_t"))
-    hits = source.select("doc_id", (swept(found, ITEM) if sweep else F.array_sort(found)).alias("c"))
-    return hits.select("doc_id", F.posexplode("c").alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("citation_ord"), "x.citation_type", "x.citation_id", "x.citation_text", "x.start_pos", "x.end_pos")
+    names = SUBSETS[citation_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) for x in _listed(hits_of(t, names, sweep))]
+            yield _emitted(batch, rows, _FIELDS)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _source(docs, text).mapInArrow(run, f"doc_id {kind}, {_ddl(_FIELDS)}")
 
 
 def expand(citations: DataFrame) -> DataFrame:
@@ -113,29 +156,87 @@ def standardize(citations: DataFrame) -> DataFrame:
     return out.withColumn("standardized_citation", standard).withColumn("citation_text_clean", F.coalesce("standardized_citation", "citation_text"))
 
 
-def contexts(docs: DataFrame, citations: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
-    """The ``window`` words before and after each citation; the words after stop at
-    the next citation that starts later. Also the number of all words before and of
-    the clipped words after, and of the words in the window."""
-    word = r"[\p{L}\p{M}\p{N}_]+"
-    whole = docs.select("doc_id", squash(F.col(text)).alias("_t"))
-    starts = citations.groupBy("doc_id").agg(F.array_sort(F.collect_set("start_pos")).alias("starts"))
-    joined = citations.join(starts, "doc_id").join(whole, "doc_id")
-    following = F.get(F.filter("starts", lambda s: s > F.col("end_pos")), F.lit(0))
-    before = F.regexp_extract_all(F.col("_t").substr(F.lit(1), F.col("start_pos") - 1), F.lit(word), F.lit(0))
-    after_text = F.col("_t").substr(F.col("end_pos") + 1, F.coalesce(F.col("following") - F.col("end_pos") - 1, F.length("_t")))
-    after = F.regexp_extract_all(after_text, F.lit(word), F.lit(0))
-    out = joined.withColumn("following", following).withColumn("b", before).withColumn("a", after)
-    first = F.slice("b", F.greatest(F.size("b") - window + 1, F.lit(1)), F.lit(window))
-    out = out.withColumn("words_before", F.array_join(first, " ")).withColumn("words_after", F.array_join(F.slice("a", 1, window), " "))
-    return out.select(
+def _around(text: str, spans: list[tuple[int, int]], window: int) -> list[tuple[str, str, int, int]]:
+    """(words before, words after, number of all words before, and after up to the next
+    later start) of each (start, end), from one pass over the words of ``text``."""
+    import regex
+
+    words = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}_]+", text)]
+    begins, ends = [w[0] for w in words], [w[1] for w in words]
+    starts = sorted({s for s, _ in spans})
+    out = []
+    for s, e in spans:
+        n_before = bisect_left(begins, s - 1)
+        # a word that runs into the citation counts up to it
+        before = [text[a : min(b, s - 1)] for a, b in words[max(n_before - window, 0) : n_before]]
+        k = bisect_right(starts, e)
+        limit = starts[k] - 1 if k < len(starts) else len(text)
+        first, last = bisect_right(ends, e), bisect_left(begins, limit)
+        after = [text[max(a, e) : min(b, limit)] for a, b in words[first : min(first + window, last)]]
+        out.append((" ".join(before), " ".join(after), n_before, max(last - first, 0)))
+    return out
+
+
+def _with_kind(found: DataFrame, window: int) -> DataFrame:
+    n = lambda c: F.least(F.col(c), F.lit(window))
+    return found.select(
         "doc_id", "citation_id", "citation_type", "citation_text", "start_pos", "end_pos", "words_before", "words_after",
-        F.trim(F.concat_ws(" ", "words_before", "citation_text", "words_after")).alias("full_context"), (F.size("b") + F.size("a")).alias("context_word_count"),
-        (F.least(F.size("b"), F.lit(window)) + F.least(F.size("a"), F.lit(window))).alias("window_word_count"),
+        F.trim(F.concat_ws(" ", "words_before", "citation_text", "words_after")).alias("full_context"), (F.col("n_before") + F.col("n_after")).alias("context_word_count"),
+        (n("n_before") + n("n_after")).alias("window_word_count"),
         F.col("citation_type").contains("narrative").alias("is_narrative"), (F.col("citation_type") == "parsed_from_multiple").alias("is_parsed_multiple"),
     )
 
 
+def scan_contexts(docs: DataFrame, window: int = 10, text: str = "text", citation_type: str = "all") -> DataFrame:
+    """:func:`contexts` of the swept citations, found in the same pass: no join, no shuffle."""
+    names = SUBSETS[citation_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = hits_of(t, names, True)
+                rows += [(i, *x, *y) for x, y in zip(_listed(found), _around(t, [(h[0], h[3]) for h in found], window))]
+            yield _emitted(batch, rows, _FIELDS | _AROUND)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_kind(_source(docs, text).mapInArrow(run, f"doc_id {kind}, {_ddl(_FIELDS | _AROUND)}"), window)
+
+
+def contexts(docs: DataFrame, citations: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
+    """The ``window`` words before and after each citation; the words after stop at
+    the next citation that starts later. Also the number of all words before and of
+    the clipped words after, and of the words in the window.
+
+    A document's citations meet its text in one row; its words are read once.
+    """
+    columns = ["citation_type", "citation_id", "citation_text", "start_pos", "end_pos"]
+    own = citations.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "citation_id", *[c for c in columns if c not in ("start_pos", "citation_id")]))).alias("cites"))
+    joined = _source(docs, text).join(own, "doc_id")
+    fields = {c: _FIELDS[c] for c in columns} | _AROUND
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (t, cites) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                rows += [(i, *(c[f] for f in columns), *y) for c, y in zip(cites, _around(t, [(c["start_pos"], c["end_pos"]) for c in cites], window))]
+            yield _emitted(batch, rows, fields)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _with_kind(joined.mapInArrow(run, f"doc_id {kind}, {_ddl(fields)}"), window)
+
+
+def with_matches(found: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Contexts with what their citations match; a citation with several numbers has a row for each."""
+    told = mapping.select("doc_id", "citation_id", "matched_ref_id", "ref_full_text", "match_confidence")
+    return found.join(told, ["doc_id", "citation_id"], "left")
+
+
+def complex_counts(citations: DataFrame) -> DataFrame:
+    """How many citations each multiple citation was parsed into."""
+    return citations.where(F.col("citation_type") == "parsed_from_multiple").groupBy("doc_id", "original_complex_citation").agg(F.count("*").alias("individual_citations_extracted"))
+
+
 def section_spans(sections: DataFrame) -> DataFrame:
     """(doc_id, section, first_pos, last_pos) of sections laid end to end with one blank between."""
     size = F.length(squash(F.col("text"))) + 1

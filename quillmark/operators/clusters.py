@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.words import ngrams, word_arrays, word_rows
+
 
 def tf_idf(counted: DataFrame, doc: list[str], section: str = "section", term: str = "ngram", n: str = "n") -> DataFrame:
     """tf over all terms of a section, idf = ln(sections / sections with the term)
@@ -46,6 +48,34 @@ def title_of(reference: Column) -> Column:
     return F.when(F.length(F.trim(after)) > 0, F.trim(after)).otherwise(F.trim(piece))
 
 
-def references_per_section(citations: DataFrame) -> DataFrame:
+def references_per_section(cited: DataFrame, doc: list[str], section: str = "section", reference: str = "ref_full_text") -> DataFrame:
     """Distinct references cited in each section."""
-    return citations.groupBy("paper_id", "section").agg(F.countDistinct("matched_ref_id").alias("n_references"))
+    return cited.groupBy(*doc, section).agg(F.countDistinct(reference).alias("n_references"))
+
+
+def cited_in_sections(citations: DataFrame, mapping: DataFrame, doc: list[str]) -> DataFrame:
+    """(doc, section, ref_full_text): references matched to the citations of each
+    section, joined on the citations' clean text; each once."""
+    places = citations.select(*doc, "citation_text_clean", "section").where(F.col("section").isNotNull()).distinct()
+    found = mapping.select(*doc, "citation_text_clean", "ref_full_text").where(F.col("ref_full_text").isNotNull()).distinct()
+    return places.join(found, [*doc, "citation_text_clean"]).select(*doc, "section", "ref_full_text").distinct()
+
+
+def title_terms(cited: DataFrame, doc: list[str], stopwords: DataFrame | None = None, min_word_length: int = 3, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc, section, ngram, ngram_size, n): n-grams of the titles of the references of
+    each section; stop words, short words and numbers leave before n-grams are built."""
+    titled = cited.select(*doc, "section", "ref_full_text", title_of(F.col("ref_full_text")).alias("title")).where(F.length("title") > 0)
+    keys = [*doc, "section", "ref_full_text"]
+    arrays = word_arrays(word_rows(titled, keys, "title", min_word_length, stopwords=stopwords), keys)
+    sized = lambda k: F.transform(ngrams(F.col("words"), k), lambda g: F.struct(g.alias("ngram"), F.lit(k).alias("ngram_size")))
+    grams = arrays.select(*doc, "section", F.explode(F.concat(*[sized(k) for k in sizes])).alias("g"))
+    return grams.groupBy(*doc, "section", "g.ngram", "g.ngram_size").agg(F.count("*").alias("n"))
+
+
+def describe(citations: DataFrame, mapping: DataFrame, doc: list[str], k: int = 10, stopwords: DataFrame | None = None, min_word_length: int = 3, sizes: tuple[int, ...] = (1, 2)) -> tuple[DataFrame, DataFrame]:
+    """(terms, summary): the ``k`` terms most characteristic of the titles cited in each
+    section, and per section its number of references and its terms in one string."""
+    cited = cited_in_sections(citations, mapping, doc)
+    top = top_terms(tf_idf(title_terms(cited, doc, stopwords, min_word_length, sizes), doc), doc, k)
+    summary = section_summary(top, doc).join(references_per_section(cited, doc), [*doc, "section"], "left")
+    return top, summary.select(*doc, "section", "n_references", "top_terms")

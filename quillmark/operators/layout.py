@@ -137,9 +137,37 @@ def without_first_page_footer(lined: DataFrame) -> DataFrame:
     return rows.where(~(first & F.col("_f").isNotNull() & (F.col("line_y") >= F.col("_f")))).drop("_q", "_f")
 
 
+def assign_columns(words: DataFrame, n_columns: int, thresholds: DataFrame | None = None, keys: list[str] = PAGE) -> DataFrame:
+    """Words with their column of ``n_columns``: one more than the thresholds to their
+    left (a word on a threshold is left of it). Without ``thresholds`` (keys,
+    thresholds array) the width of the page is cut into equal parts."""
+    if thresholds is None:
+        low, high = F.min("x"), F.max("x")
+        cut = F.transform(F.sequence(F.lit(1), F.lit(n_columns - 1)), lambda k: F.col("low") + (F.col("high") - F.col("low")) / n_columns * k) if n_columns > 1 else F.array().cast("array<double>")
+        thresholds = words.groupBy(*keys).agg(low.alias("low"), high.alias("high")).select(*keys, cut.alias("thresholds"))
+    rows = words.join(thresholds.select(*keys, "thresholds"), keys)
+    return rows.withColumn("column", (F.size(F.filter("thresholds", lambda t: F.col("x") > t)) + 1)).drop("thresholds")
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
-    """Pages of a document in order, hyphens at line ends and white space tidied."""
+    """Pages of a document in order; numbered and capital headings and sentences apart,
+    hyphens at line ends and white space tidied."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
     t = pages.groupBy("doc_id").agg(text.alias("text"))
-    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"-\s*\n\s*", ""), r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return t.select("doc_id", F.trim(tidy).alias("text"))
+    tidy = F.col("text")
+    for pattern, to in (
+        (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Z][A-Za-z\s]{3,50})", "\n\n$1"), (r"\s+([A-Z][A-Z\s]{10,60})\s+", "\n\n$1\n\n"), (r"([.!?])\s+([A-Z][a-z])", "$1\n\n$2"), (r"\n{3,}", "\n\n"),
+        (r"-\s*\n", ""), (r"-\s+", ""), (r"[ \t]+", " "), (r"\n ", "\n"), (r"^\s+|\s+$", ""),
+    ):
+        tidy = F.regexp_replace(tidy, pattern, to)
+    return t.select("doc_id", tidy.alias("text"))
+
+
+def document_text(words: DataFrame, plain: DataFrame, least: int = 100) -> DataFrame:
+    """(doc_id, text): the columns' text of each document's word boxes; the plain text
+    (doc_id, text) where that is missing or shorter than ``least``."""
+    lined = column_lines(words, global_gutter(words))
+    texts = page_text(lined, [*PAGE, "column"])
+    laid = joined_pages(texts.select("doc_id", (F.col("page") * 10 + F.col("column")).alias("page"), "text"))
+    both = laid.withColumnRenamed("text", "laid").join(plain.select("doc_id", F.col("text").alias("plain")), "doc_id", "full")
+    return both.select("doc_id", F.when(F.coalesce(F.length("laid"), F.lit(0)) < least, F.coalesce("plain", "laid")).otherwise(F.col("laid")).alias("text"))

@@ -113,12 +113,86 @@ def reconcile(df: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.round(conf, 3)).withColumn("method", method)
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """(batch_id, id, move, step, confidence) from a model's JSON answers, fenced or
+def move_label(code: Column, tax: Column, lexicon=None) -> Column:
+    """'M1: label' of a move's code in a taxonomy; the code itself where it has none."""
+    labels = {(t, m): label for t, m, label, *_ in lexicon or LEXICON}
+    known = F.create_map(*[F.lit(x) for (t, m), label in labels.items() for x in (f"{t}/{m}", label)])
+    return F.concat(code, F.lit(": "), F.coalesce(F.element_at(known, F.concat_ws("/", tax, code)), code))
+
+
+# Sections whose moves are not analysed.
+NOT_ANALYSED = r"(?i)(results|findings|references|appendix|acknowledg|bibliography|full_text|preface|preamble|method|material|experimental|procedure)"
+
+
+def analysed_sections(sections: DataFrame) -> DataFrame:
+    return sections.where(~F.col("section").rlike(NOT_ANALYSED))
+
+
+def batches(sentences: DataFrame, size: int = 20, keys: list[str] | None = None) -> DataFrame:
+    """Sentences numbered within batches of ``size`` of one document and taxonomy:
+    batch and id columns. A batch goes to a model as one prompt."""
+    keys = ["doc_id", "taxonomy_type"] if keys is None else keys
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy("sentence_id"))
+    numbered = sentences.where(F.col("taxonomy_type").isNotNull()).withColumn("_k", k)
+    return numbered.withColumn("batch", F.ceil(F.col("_k") / size).cast("int")).withColumn("id", ((F.col("_k") - 1) % size + 1).cast("int")).drop("_k")
+
+
+def prompts(batched: DataFrame, keys: list[str] | None = None, lexicon=None) -> DataFrame:
+    """(keys, batch, n_sentences, prompt): the taxonomy and the numbered sentences of each batch."""
+    keys = ["doc_id", "taxonomy_type"] if keys is None else keys
+    told: dict[str, list[str]] = {}
+    for tax, move, label, step, *_ in lexicon or LEXICON:
+        lines = told.setdefault(tax, [])
+        if f"{move}: {label}" not in lines:
+            lines.append(f"{move}: {label}")
+        lines.append(f"  - {step}")
+    known = F.create_map(*[F.lit(x) for tax, lines in told.items() for x in (tax, "\n".join(lines))])
+    sentence = F.concat(F.col("id").cast("string"), F.lit(". "), F.col("text"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", sentence.alias("s")))), lambda x: x["s"]), "\n")
+    out = batched.groupBy(*keys, "batch").agg(F.count("*").alias("n_sentences"), listed.alias("listed"))
+    ask = F.concat(F.lit(PROMPT_HEAD), F.element_at(known, F.col("taxonomy_type")), F.lit("\n\n"), F.col("listed"), F.lit(PROMPT_TAIL))
+    return out.select(*keys, "batch", "n_sentences", ask.alias("prompt"))
+
+
+PROMPT_HEAD = "Label each numbered sentence of a scientific paper with its rhetorical move and step. Moves and steps:\n"
+PROMPT_TAIL = "\n\nAnswer with a JSON array only, one object for each sentence: id, move (its code), step, confidence between 0 and 1."
+
+
+def with_answers(batched: DataFrame, answers: DataFrame, keys: list[str] | None = None, lexicon=None) -> DataFrame:
+    """Sentences with a model's labels (move_llm, step_llm, conf_llm) from parsed answers
+    (keys, batch, id, move, step, confidence); of several for one sentence the first by
+    move and step."""
+    keys = ["doc_id", "taxonomy_type"] if keys is None else keys
+    one = answers.groupBy(*keys, "batch", "id").agg(F.min(F.struct("move", "step", "confidence")).alias("x"))
+    out = batched.join(one, [*keys, "batch", "id"], "left")
+    return out.withColumn("move_llm", F.when(F.col("x").isNotNull(), move_label(F.col("x.move"), F.col("taxonomy_type"), lexicon))).withColumn("step_llm", F.col("x.step")).withColumn("conf_llm", F.coalesce("x.confidence", F.lit(0.0))).drop("x")
+
+
+def classify(sections: DataFrame, answers: DataFrame | None = None, batch_size: int = 20, lexicon=None) -> dict[str, DataFrame]:
+    """The whole analysis of sections (doc_id, section_ord, section, text): sentences with
+    move, step, confidence and method, their blocks, distributions, flow and methods.
+
+    ``answers`` are parsed answers to :func:`prompts`; without them the rules decide.
+    """
+    own = segment(analysed_sections(sections)).withColumn("taxonomy_type", taxonomy(F.col("section"))).where(F.col("taxonomy_type").isNotNull())
+    ruled = batches(rule_based(own, lexicon), batch_size)
+    none = F.lit(None).cast("string")
+    told = with_answers(ruled, answers, lexicon=lexicon) if answers is not None else ruled.withColumns({"move_llm": none, "step_llm": none, "conf_llm": F.lit(0.0)})
+    out = reconcile(told).select("doc_id", "sentence_id", "section", "text", "position_pct", "move", "step", "confidence", "method")
+    keys = ["doc_id", "section"]
+    return {
+        "sentences": out, "blocks": blocks(out, keys, "sentence_id"), "moves": distribution(out, keys, ["move"]), "steps": distribution(out, keys, ["move", "step"]),
+        "flow": flow(out, keys, "sentence_id"), "methods": out.groupBy("doc_id", "method").agg(F.count("*").alias("n")),
+    }
+
+
+def parse_responses(responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, id, move, step, confidence; the key is batch_id by default) from a model's JSON answers, fenced or
     not; errors and malformed answers give no rows, confidences are clamped."""
     body = F.regexp_extract("response", r"(?s)(\[.*\])", 1)
     items = F.from_json(F.when(~F.col("response").startswith("ERROR:"), body), "array<struct<id:int,move:string,step:string,confidence:double>>")
-    rows = responses.select("batch_id", F.explode(items).alias("x")).select("batch_id", "x.*").where(F.col("id").isNotNull() & F.col("move").isNotNull())
+    keys = ["batch_id"] if keys is None else keys
+    rows = responses.select(*keys, F.explode(items).alias("x")).select(*keys, "x.*").where(F.col("id").isNotNull() & F.col("move").isNotNull())
     return rows.withColumn("confidence", F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 

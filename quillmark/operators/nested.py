@@ -8,14 +8,17 @@ gets its own schema.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillmark.shared import shared_dir
+
 
 @dataclass(frozen=True)
 class Level:
@@ -75,6 +78,9 @@ def visit(level: Level, key: int, value, places: tuple[int, ...] = (), parent: s
                 yield from visit(child, key, item.get(child.name), at, own)
 
 
+EMITTED = "tag string, item_id string, parent_item_id string, root_id bigint, ord1 int, ord2 int, payload string"
+
+
 def emit(df: DataFrame, key: str, column: str, level: Level) -> DataFrame:
     """(tag, item_id, parent_item_id, root_id, ord1, ord2, payload) of ``column``.
 
@@ -95,7 +101,14 @@ def emit(df: DataFrame, key: str, column: str, level: Level) -> DataFrame:
             )
 
     source = df.select(F.col(key).cast("bigint"), F.col(column).cast("string")).where(F.length(F.trim(F.col(column))) > 0)
-    return source.mapInArrow(run, "tag string, item_id string, parent_item_id string, root_id bigint, ord1 int, ord2 int, payload string")
+    return source.mapInArrow(run, EMITTED)
+
+
+#: Payload of each child table.
+SCHEMAS = {
+    "affiliation": "name string, text string, place struct<city:string,country:string>", "affiliation_department": "name string, text string, room string", "affiliation_id": "id string, `id-type` string, text string",
+    "ref_author": "family string, given string, name string, text string, sequence string", "ref_author_affiliation": "name string, text string", "subject": "term string, text string, scheme string", "subject_broader": "term string, text string, code string",
+}
 
 
 def write_tables(emitted: DataFrame, path: str) -> None:
@@ -103,14 +116,28 @@ def write_tables(emitted: DataFrame, path: str) -> None:
     emitted.write.partitionBy("tag").parquet(path)
 
 
-def child_table(emitted: DataFrame, tag: str, schema: StructType | str) -> DataFrame:
-    """The rows of one tag with ``schema`` applied to their payload."""
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_tables` wrote; a filter on the tag reads that part only. With no
+    item at all it is empty."""
+    return spark.read.schema(EMITTED).option("basePath", path).parquet(path)
+
+
+def flattened(emitted: DataFrame, label: str = "nested") -> DataFrame:
+    """``emitted`` written partitioned by tag into the shared folder, and read back."""
+    path = f"{shared_dir(emitted.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    write_tables(emitted, path)
+    return read_tables(emitted.sparkSession, path)
+
+
+def child_table(emitted: DataFrame, tag: str, schema: StructType | str | None = None) -> DataFrame:
+    """The rows of one tag with its schema (or another one) applied to their payload; fields that are missing are null."""
     own = emitted.where(F.col("tag") == tag)
-    return own.select("item_id", "parent_item_id", "root_id", "ord1", "ord2", F.from_json("payload", schema).alias("p")).select("item_id", "parent_item_id", "root_id", "ord1", "ord2", "p.*")
+    keys = ["item_id", "parent_item_id", "root_id", "ord1", "ord2"]
+    return own.select(*keys, F.from_json("payload", schema or SCHEMAS[tag]).alias("p")).select(*keys, "p.*")
 
 
 def child_items(authors: DataFrame, refs: DataFrame, metadata: DataFrame) -> DataFrame:
     """(item_kind, parent_id, ord1, ord2) of every child item of the three tables, distinct."""
     parts = [emit(authors, "author_id", "affiliation", AFFILIATION), emit(refs, "ref_row_id", "author", REF_AUTHOR), emit(metadata, "paper_id", "subject", SUBJECT)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = flattened(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return rows.select(F.col("tag").alias("item_kind"), F.col("root_id").alias("parent_id"), "ord1", "ord2").distinct()

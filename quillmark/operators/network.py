@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.words import truncated
+
 
 def edges(pairs: DataFrame, max_distance: int = 1000) -> DataFrame:
     """Edges within the distance, with width and the colour class of their distance."""
@@ -28,8 +30,7 @@ def nodes(pairs: DataFrame, citations: DataFrame, min_connections: int = 1) -> D
     out = degrees(pairs).where(F.col("connections") >= min_connections).join(named, ["doc_id", "citation"], "left")
     out = out.withColumn("sections", F.coalesce("sections", F.lit("Unknown"))).withColumn("n_sections", F.coalesce("n_sections", F.lit(1))).withColumn("primary_section", F.coalesce("primary_section", F.lit("Unknown")))
     size = F.least(F.greatest(15 + F.col("connections") * 3, F.lit(15)), F.lit(40)) / 2
-    label = F.when(F.length("citation") > 25, F.concat(F.substring("citation", 1, 22), F.lit("..."))).otherwise(F.col("citation"))
-    return out.withColumn("size", F.round(size, 3)).withColumn("border", F.when(F.col("n_sections") > 1, 3).otherwise(1)).withColumn("label", label)
+    return out.withColumn("size", F.round(size, 3)).withColumn("border", F.when(F.col("n_sections") > 1, 3).otherwise(1)).withColumn("label", truncated(F.col("citation"), 25))
 
 
 def surviving(pairs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -44,3 +45,8 @@ def stats(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     a = kept.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum((F.col("n_sections") > 1).cast("int")).alias("multi_section_nodes"))
     b = pairs.groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.round(F.avg(F.abs("distance")), 1).alias("avg_distance"))
     return a.join(b, "doc_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+def sections_of(kept: DataFrame) -> DataFrame:
+    """Nodes by their first section."""
+    return kept.groupBy("doc_id", F.col("primary_section").alias("section")).agg(F.count("*").alias("n_nodes"))

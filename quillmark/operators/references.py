@@ -132,3 +132,20 @@ def complete_from_works(refs: DataFrame, works: DataFrame) -> DataFrame:
         pick(F.col("n_authors"), F.col("w.n_authors")).alias("n_authors"), F.when(F.col("w").isNotNull(), F.concat_ws(". ", "w.first_author", "w.title", "w.source_display_name")).alias("ref_full_text2"),
         F.when(wins, "works").when(F.col("w").isNotNull(), "gaps").otherwise("none").alias("completed_by"),
     )
+
+
+def from_index(refs: DataFrame) -> DataFrame:
+    """References as the index holds them (doc_id, ref_ord, author, ref_year,
+    article_title, journal, doi, ref_full) in the form of parsed ones: their text, a
+    second text put together from the fields, the author without words in capitals,
+    and the number of authors counted from the commas before the year's bracket."""
+    part = lambda c, before, after: F.when(F.col(c).isNotNull(), F.concat(F.lit(before), F.col(c), F.lit(after))).otherwise("")
+    whole = F.concat_ws(" ", part("author", "", ","), part("ref_year", "(", "),"), part("article_title", "", "."), part("journal", "", "."))
+    first = F.initcap(F.trim(F.regexp_replace("author", r"(?<![\p{L}\p{N}_])[A-Z]+(?![\p{L}\p{N}_])\s*", "")))
+    authors = F.regexp_extract("ref_full", r"^(.*?)\s*\(", 1)
+    commas = F.length(authors) - F.length(F.replace(authors, F.lit(","), F.lit("")))
+    n = F.when(F.col("ref_full").contains("("), ((commas + 1) / 2).cast("int"))
+    return refs.select(
+        "doc_id", "ref_ord", F.concat(F.lit("REF_"), F.col("ref_ord").cast("string")).alias("ref_id"), F.col("ref_full").alias("ref_full_text"), F.col("author").alias("ref_authors"), "ref_year", F.col("journal").alias("ref_journal"),
+        first.alias("ref_first_author"), F.lower(first).alias("ref_first_author_normalized"), n.alias("n_authors"), "doi", F.trim(F.regexp_replace(whole, r"\s+", " ")).alias("ref_full_text2"), F.lit("crossref").alias("ref_source"),
+    )

@@ -16,11 +16,11 @@ SECTION_NAMES = (
     "Conclusion", "Conclusions", "Acknowledgment", "Acknowledgments", "Acknowledgement", "Acknowledgements", "References", "Bibliography", "Appendix",
 )
 # Nouns before a number that is no citation.
-COUNTED = (
-    "page pages table tables figure figures fig figs chapter chapters section sections step steps item items part parts equation equations eq eqs line lines row rows column columns volume vol issue number no sample group groups "
-    "stage stages grade grades level levels type types model models trial trials wave waves phase phases version day days week weeks month months year years age aged appendix panel supplement experiment experiments criterion criteria "
-    "factor factors dimension dimensions category categories cluster clusters component components participant participants subject subjects patient patients respondent respondents hypothesis hypotheses"
-).split()
+COUNTED = [
+    "page", "pages", "table", "tables", "figure", "figures", "fig", "figs", "chapter", "chapters", "section", "sections", "step", "steps", "item", "items", "part", "parts", "equation", "equations", "eq", "eqs", "line", "lines", "row", "rows", "column", "columns", "volume", "vol", "issue", "number", "no", "sample", "group", "groups",
+    "stage", "stages", "grade", "grades", "level", "levels", "type", "types", "model", "models", "trial", "trials", "wave", "waves", "phase", "phases", "version", "day", "days", "week", "weeks", "month", "months", "year", "years", "age", "aged", "appendix", "panel", "supplement", "experiment", "experiments", "criterion", "criteria",
+    "factor", "factors", "dimension", "dimensions", "category", "categories", "cluster", "clusters", "component", "components", "participant", "participants", "subject", "subjects", "patient", "patients", "respondent", "respondents", "hypothesis", "hypotheses",
+]
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), (" ", " "))
 _SUPER = "¹²³⁴⁵⁶⁷⁸⁹⁰"
 
@@ -33,30 +33,103 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def heads(text: Column, names=SECTION_NAMES) -> Column:
-    """Array of (start_pos, end_pos, name): heading lines after a blank line, numbered or not."""
-    line = r"(?im)(?:(?<=\n\n)|(?<=\A))[ \t]*(?:\d+(?:\.\d+)*\.?[ \t]+)?(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")[ \t]*(?=\n|\z)"
-    return F.transform(located(text, line), lambda h: F.struct(h["start_pos"], h["end_pos"], F.regexp_replace(F.trim(h["hit"]), r"^\d+(?:\.\d+)*\.?\s+", "").alias("name")))
+# Heading patterns around a name: after a blank line, and the looser one after any
+# line break; both with a section number, the former also one on its own line.
+_STRICT = (r"\n\n(?:[0-9]+(?:\.[0-9]+)*\.?\s*(?:\n\n|\|\s*))?", r"(?=[\s.:])")
+_LOOSE = (r"\n\s*(?:[0-9]+(?:\.[0-9]+)*\.?\s*\|?\s+)?", r"(?=[\s.:])")
+# The reference list looked for last, from the strictest pattern to the loosest.
+REFERENCE_NAMES = ("References", "REFERENCES", "Bibliography", "BIBLIOGRAPHY")
+REFERENCE_PATTERNS = (r"\n\n\s*{}\s*\n", r"\n\s*{}\s*\n", r"\n\n\s*{}\s", r"\n\s*{}\s", r"\s{}\s+(?=[A-Z][a-z])", r"\s{}\s*\n")
+LIKE_REFERENCES = r"^\s*[A-Z][a-zÀ-ÿ]|^\s*\[?\d+\]?[.\s]|^\s*\d+\.\s"
+_HEAD = "struct<start_pos:int,pass:int,i:int,size:int,name:string>"
+_QUOTED = r"([.|?*+^$()\[\]{}\\])"
 
 
-def split_sections(docs: DataFrame, text: str = "text", names=SECTION_NAMES) -> DataFrame:
-    """(doc_id, section_ord, section, text) of each document.
+def _head(t: Column, name: Column, i: Column) -> Column:
+    """First heading of a name, by the strict pattern or else by the looser one; null for none."""
+    def at(number: int, around: tuple[str, str]) -> tuple[Column, Column]:
+        quoted = F.concat(F.lit(around[0]), F.regexp_replace(name, _QUOTED, r"\\$1"), F.lit(around[1]))
+        first = F.concat(F.lit(r"(?is)^(.*?)("), quoted, F.lit(")"))
+        part = lambda k: F.length(F.call_function("regexp_extract", t, first, F.lit(k)))
+        return part(2), F.struct((part(1) + 1).alias("start_pos"), F.lit(number).alias("pass"), i.alias("i"), part(2).alias("size"), name.alias("name"))
 
+    (strict, first), (loose, second) = at(0, _STRICT), at(1, _LOOSE)
+    return F.when(strict > 0, first).when(loose > 0, second).cast(_HEAD)
+
+
+def _heads(t: Column, names: Column) -> Column:
+    # most names don't stand in a text at all
+    found = F.transform(names, lambda n, i: F.when(F.contains(F.lower(t), F.lower(n)), _head(t, n, i)))
+    return F.filter(found, lambda h: h.isNotNull())
+
+
+def _last_references(t: Column) -> Column:
+    """The last place past the middle that looks like the start of a reference list."""
+    tries = []
+    for name in REFERENCE_NAMES:
+        for pattern in REFERENCE_PATTERNS:
+            hit = F.element_at(located(t, pattern.format(name)), -1)
+            fits = F.substring(t, hit["end_pos"] + 1, F.lit(301)).rlike(LIKE_REFERENCES) & (hit["start_pos"] > F.length(t) * 0.5)
+            one = F.struct(hit["start_pos"].alias("start_pos"), F.lit(2).alias("pass"), F.lit(0).alias("i"), (hit["end_pos"] - hit["start_pos"] + 1).alias("size"), F.lit("Bibliography" if "iblio" in name or "IBLIO" in name else "References").alias("name"))
+            tries.append(F.when(F.contains(t, F.lit(name)) & t.rlike(pattern.format(name)) & fits, one).cast(_HEAD))
+    return F.coalesce(*tries)
+
+
+def toc_names(toc: Column) -> Column:
+    """Section names of a table of contents: without numbers, of at most 80 characters, each once."""
+    names = F.transform(toc, lambda n: plain_ligatures(F.regexp_replace(n, r"^[0-9]+(\.[0-9]+)*\s+", "")))
+    return F.array_distinct(F.filter(names, lambda n: (F.length(n) > 0) & (F.length(n) <= 80)))
+
+
+def normalised(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Ligatures plain, running headers out, letter-spaced headings put together."""
+    plain = docs.withColumn(text, plain_ligatures(F.col(text)))
+    return without_headers(plain, running_headers(plain, text), text).withColumn(text, spaced_headers(F.col(text)))
+
+
+def split_sections(docs: DataFrame, text: str = "text", names=SECTION_NAMES, toc: str | None = None) -> DataFrame:
+    """(doc_id, section_ord, section, text) of each document, Full_text first (section_ord 0).
+
+    Names are those of the document's own table of contents (column ``toc``) where any
+    of them is found, else ``names``; each by its first heading after a blank line,
+    else by a looser pattern; a reference list is also looked for in the second half.
     Text of more than 50 characters before a first heading beyond character 100
-    is the Preface; Bibliography is References; repeated names get a number;
-    empty sections are dropped; a document without headings is one Full_text.
+    is the Preface; Bibliography is References where there is none; empty sections
+    are dropped. Null texts give no rows. Texts are taken as they are (:func:`normalised`).
     """
-    found = docs.select("doc_id", F.col(text).alias("t"), heads(F.col(text), names).alias("h"))
-    size = F.size("h")
-    nexts = F.transform("h", lambda x, i: F.struct((i + 1).alias("k"), x["name"].alias("name"), _stripped(F.col("t").substr(x["end_pos"] + 1, F.coalesce(F.get("h", i + 1)["start_pos"], F.length("t") + 1) - x["end_pos"] - 1)).alias("text")))
+    given = F.array(*[F.lit(n) for n in names])
+    found = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("t"), *([toc_names(F.col(toc)).alias("own")] if toc else []))
+    if toc:
+        found = found.withColumn("h", _heads(F.col("t"), F.coalesce("own", F.array().cast("array<string>")))).withColumn("h", F.when(F.size("h") > 0, F.col("h")).otherwise(_heads(F.col("t"), given)))
+    else:
+        found = found.withColumn("h", _heads(F.col("t"), given))
+    known = F.exists("h", lambda x: x["name"].isin(*REFERENCE_NAMES))
+    found = found.withColumn("r", F.when(~known, _last_references(F.col("t"))))
+    found = found.withColumn("h", F.array_sort(F.when(F.col("r").isNotNull(), F.array_append("h", F.col("r"))).otherwise(F.col("h"))))
+    until = lambda i: F.coalesce(F.get("h", i + 1)["start_pos"], F.length("t") + 1)
+    body = F.transform("h", lambda x, i: F.struct((i + 1).alias("k"), x["name"].alias("name"), _stripped(F.col("t").substr(x["start_pos"] + x["size"], F.greatest(until(i) - x["start_pos"] - x["size"], F.lit(0)))).alias("text")))
     first = F.get("h", F.lit(0))["start_pos"]
     preface = _stripped(F.col("t").substr(F.lit(1), first - 1))
-    lead = F.when((first > 100) & (F.length(preface) > 50), F.array(F.struct(F.lit(0).alias("k"), F.lit("Preface").alias("name"), preface.alias("text")))).otherwise(F.slice(nexts, 1, 0))
-    rows = found.select("doc_id", F.when(size > 0, F.concat(lead, nexts)).otherwise(F.array(F.struct(F.lit(1).alias("k"), F.lit("Full_text").alias("name"), F.col("t").alias("text")))).alias("s"))
-    rows = rows.select("doc_id", F.explode("s").alias("x")).select("doc_id", "x.*").where(F.length("text") > 0).withColumn("name", F.when(F.lower("name") == "bibliography", "References").otherwise(F.col("name")))
-    again = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("k"))
-    rows = rows.withColumn("section_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("k"))).withColumn("again", again)
-    return rows.select("doc_id", "section_ord", F.when(F.col("again") > 1, F.concat("name", F.lit(" ("), F.col("again").cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("section"), "text")
+    lead = F.when((first > 100) & (F.length(preface) > 50), F.array(F.struct(F.lit(0).alias("k"), F.lit("Preface").alias("name"), preface.alias("text")))).otherwise(F.slice(body, 1, 0))
+    kept = found.select("doc_id", "t", F.filter(F.concat(lead, body), lambda x: F.length(x["text"]) > 0).alias("s"))
+    renamed = F.exists("s", lambda x: x["name"] == "Bibliography") & ~F.exists("s", lambda x: x["name"] == "References")
+    kept = kept.withColumn("s", F.when(renamed, F.concat(F.filter("s", lambda x: x["name"] != "Bibliography"), F.transform(F.filter("s", lambda x: x["name"] == "Bibliography"), lambda x: F.struct(x["k"].alias("k"), F.lit("References").alias("name"), x["text"].alias("text"))))).otherwise(F.col("s")))
+    rows = kept.select("doc_id", F.posexplode(F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.lit("Full_text").alias("name"), F.col("t").alias("text"))), "s")).alias("section_ord", "x"))
+    return rows.select("doc_id", "section_ord", F.col("x.name").alias("section"), "x.text")
+
+
+def analysed(sections: DataFrame) -> DataFrame:
+    """Sections that are analysed: neither the full text again nor the reference list."""
+    return sections.where(~F.col("section").isin("Full_text", "References"))
+
+
+def tidy_ai_text(text: Column, citation_type: str = "author_year") -> Column:
+    """Text from a model: numbered headings apart, sentences at line ends apart, other
+    line breaks and hyphens at them away; superscript citations where they are of that type."""
+    t = F.regexp_replace(text, r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Za-z][A-Za-z\s]{3,50})", "\n\n$1\n\n")
+    for pattern, to in ((r"\n\s*\n", "\n\n"), (r"([.!?])\s*\n\s*([A-Z][a-z])", "$1\n\n$2"), (r"(?<![.!?\n])\n(?![A-Z0-9\n])", " "), (r"-\s", "")):
+        t = F.regexp_replace(t, pattern, to)
+    return superscript_citations(t) if citation_type == "numeric_superscript" else t
 
 
 def is_reference_start(block: Column) -> Column:
@@ -102,7 +175,8 @@ def superscript_citations(text: Column) -> Column:
 
 def spaced_headers(text: Column) -> Column:
     """Lines of letter-spaced capitals put together ('R E S U L T S'): four groups or
-    more of up to four letters, half of them of one or two, seven characters in all."""
+    more of up to four letters, half of them of one or two, seven characters in all;
+    headings with a bar that follow a sentence stand apart."""
 
     def line(x: Column) -> Column:
         groups = F.split(F.trim(x), " ")
@@ -110,7 +184,9 @@ def spaced_headers(text: Column) -> Column:
         spaced = x.rlike(r"^\s*(?:[A-Z]{1,4} ){3,}[A-Z]{1,4}\s*$") & (short * 2 >= F.size(groups)) & (F.length(F.trim(x)) >= 7)
         return F.when(spaced, F.replace(x, F.lit(" "), F.lit(""))).otherwise(x)
 
-    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    joined = F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    # headings with a bar that follow a sentence ('... end. 2 | METHODS')
+    return F.regexp_replace(joined, r"(?<=\.)\s+(?=[0-9]+(?:\.[0-9]+)*\s*\|\s*[A-Z])", "\n\n")
 
 
 def running_headers(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -89,10 +89,20 @@ def word_distribution(parts: DataFrame, terms: DataFrame, keys: list[str], stopw
     return found.groupBy(*keys, "word").agg(F.count("*").alias("count")).join(total, keys).withColumn("relative_frequency", F.round(F.col("count") / F.col("total_words"), 6))
 
 
-def dense(distribution: DataFrame, parts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+def dense(distribution: DataFrame, parts: DataFrame, terms: list[str], keys: list[str]) -> DataFrame:
     """The distribution with zeros for every term in every part.
 
-    The terms are the caller's short list; every part is paired with each."""
-    spine = parts.select(*keys).distinct().withColumn("word", F.explode(F.array(*[F.lit(r[0]) for r in terms.select("word").distinct().limit(1000).collect()])))
+    ``terms`` is the caller's own list, whatever its length; every part is a row for each."""
+    spine = parts.select(*keys).distinct().withColumn("word", F.explode(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")))
     out = spine.join(distribution, [*keys, "word"], "left")
     return out.select(*keys, "word", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("relative_frequency", F.lit(0.0)).alias("relative_frequency"))
+
+
+def top_words(frequencies: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent words of each group."""
+    return frequencies.where(F.col("rank") <= k)
+
+
+def truncated(text: Column, width: int) -> Column:
+    """At most ``width`` characters, three dots in place of what is cut."""
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)

@@ -20,6 +20,19 @@ PAPERS = """papers AS (
   SELECT paper_id AS doc_id, string_agg('The site was described by ' || citation_text || ' in some detail', '. ' ORDER BY mapping_id, citation_text) AS text
   FROM (SELECT DISTINCT paper_id, mapping_id, citation_text FROM matched_citations WHERE citation_text IS NOT NULL) GROUP BY 1)"""
 
+_ONE = r"^\(([A-Z][A-Za-z'-]+[^()]*\d{4}[a-z]?)\)$"
+
+
+def grouped_papers(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): all plain citations of a paper in one pair of brackets."""
+    c = load(spark, d, "matched_citations").where(F.col("citation_text_clean").rlike(_ONE)).select("paper_id", "mapping_id", F.regexp_extract("citation_text_clean", _ONE, 1).alias("c")).distinct()
+    g = c.groupBy(F.col("paper_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mapping_id", "c"))), lambda x: x["c"]), "; ").alias("c"))
+    return g.select("doc_id", F.concat(F.lit("The site was described ("), "c", F.lit(") in some detail")).alias("text"))
+
+
+GROUPED = """papers AS (SELECT paper_id AS doc_id, 'The site was described (' || string_agg(c, '; ' ORDER BY mapping_id, c) || ') in some detail' AS text FROM
+  (SELECT DISTINCT paper_id, mapping_id, regexp_extract(citation_text_clean, '""" + _ONE.replace("'", "''") + """', 1) AS c FROM matched_citations WHERE regexp_matches(citation_text_clean, '""" + _ONE.replace("'", "''") + """')) GROUP BY 1)"""
+
 #: Names of the ten equal parts into which a paper's text is cut as its sections.
 PARTS = ("Introduction", "Background", "Materials and methods", "Results", "Discussion")
 
@@ -80,3 +93,20 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 BOXES = """boxes AS (
   SELECT doc_id, CAST(i // 400 + 1 AS INT) AS page, CAST(i + 1 AS INT) AS word_ord, CAST(50 + ((i % 400) // 200) * 260 + (i % 5) * 45 AS DOUBLE) AS x, CAST(60 + ((i % 200) // 5) * 12 AS DOUBLE) AS y, text FROM (
     SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE length(text) > 0)))"""
+
+
+HEADER, OPENING, FOOTER = "Journal of Applied Acoustics and of Soil Science, ISSN 1234", "1. Introduction", "Correspondence: e-mail to the authors"
+
+
+def headed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, page, line_y, line): a running header, an opening line, one line of
+    words for each fifth of a column, and a footer on each page."""
+    b = boxes(spark, d).where("x < 300")
+    own = b.groupBy("doc_id", "page", F.col("y").alias("line_y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_ord", "text"))), lambda w: w["text"]), " ").alias("line"))
+    pages = b.select("doc_id", "page").distinct()
+    fixed = [pages.select("doc_id", "page", F.lit(y).alias("line_y"), F.lit(line).alias("line")) for y, line in ((20.0, HEADER), (30.0, OPENING), (700.0, FOOTER))]
+    return own.unionByName(fixed[0]).unionByName(fixed[1]).unionByName(fixed[2])
+
+
+HEADED = f"""headed AS (SELECT doc_id, page, y AS line_y, string_agg(text, ' ' ORDER BY word_ord) AS line FROM boxes WHERE x < 300 GROUP BY 1, 2, 3
+  UNION ALL SELECT doc_id, page, v.y, v.line FROM (SELECT DISTINCT doc_id, page FROM boxes WHERE x < 300), (VALUES (20.0, '{HEADER}'), (30.0, '{OPENING}'), (700.0, '{FOOTER}')) v(y, line))"""

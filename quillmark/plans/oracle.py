@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from quillmark.functions import names
 from quillmark.operators import moves
-from quillmark.operators.citations import NON_AUTHORS, PATTERNS
+from quillmark.operators import sections as se
+from quillmark.operators.citations import NON_AUTHORS, PATTERNS, SUBSETS
 from quillmark.operators.words import STOPWORDS
-from quillmark.plans.inputs import BOXES, PAPERS, PARTS, SECTIONS, TERMS
+from quillmark.plans.inputs import BOXES, GROUPED, HEADED, PAPERS, PARTS, SECTIONS, TERMS
 
 SQL: dict[str, str] = {}
 _W = r"[\p{L}\p{M}\p{N}_]+"
@@ -115,7 +116,7 @@ _SWEEP = f"""{_HITS}, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTI
  swept AS (SELECT r.doc_id, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.rn) AS citation_ord, citation_type, citation_id, citation_text, CAST(start_pos AS INT) AS start_pos, CAST(end_pos AS INT) AS end_pos FROM ranked r JOIN walk w ON r.doc_id = w.doc_id AND r.rn = w.rn)"""
 _WITH = f"WITH RECURSIVE {_SWEEP}"
 SQL["citation_sweep"] = f"{_WITH} SELECT * FROM swept"
-_EXP = r""", expanded AS (SELECT doc_id, citation_ord, citation_type, citation_id, citation_text, start_pos, end_pos, NULL AS original_complex_citation FROM swept WHERE citation_type NOT IN ('complex_multiple_citations', 'multiple_citations_semicolon')
+_EXP = r""", expanded AS (SELECT doc_id, citation_ord, citation_type, citation_id, citation_text, start_pos, end_pos, CAST(NULL AS VARCHAR) AS original_complex_citation FROM swept WHERE citation_type NOT IN ('complex_multiple_citations', 'multiple_citations_semicolon')
  UNION ALL SELECT doc_id, citation_ord, 'parsed_from_multiple', 'parsed_multiple_' || citation_ord || '_' || j, '(' || trim(p[j]) || ')', start_pos, end_pos, citation_text FROM (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM (
    SELECT *, regexp_split_to_array(regexp_replace(regexp_replace(citation_text, '^\((?:see\s+)?(?:e\.g\.\s+)?(?:cf\.\s+)?(?:compare\s+)?', ''), '\)$', ''), '\s*;\s*') AS p FROM swept WHERE citation_type IN ('complex_multiple_citations', 'multiple_citations_semicolon')))
  WHERE regexp_matches(p[j], '\d{4}'))"""
@@ -244,3 +245,315 @@ SQL["match_numbered"] = rf"""WITH {_CITES}, n AS (SELECT doc_id, citation_id, re
  r AS (SELECT DISTINCT paper_id AS doc_id, matched_ref_id AS ref_id FROM matched_citations WHERE matched_ref_id IS NOT NULL)
 SELECT u.doc_id, citation_id, number_ord, ref_id AS matched_ref_id, CASE WHEN number IS NULL THEN 'no_match_missing_number' WHEN ref_id IS NULL THEN 'no_match_numbered' ELSE 'high_numbered' END AS match_confidence
 FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND r.ref_id = 'REF_' || CAST(CAST(number AS BIGINT) AS VARCHAR)"""
+
+# Words, clusters and networks of other forms -----------------------------------------
+SQL["word_top20"] = f"SELECT * FROM ({SQL['word_frequencies']}) WHERE rank <= 20"
+_cut = lambda k: f"CASE WHEN length(text) > {k} THEN substring(text, 1, {k - 3}) || '...' ELSE text END AS upto_{k}"
+SQL["text_previews"] = f"SELECT DISTINCT sentence_id, {_cut(25)}, {_cut(200)}, {_cut(20)} FROM sentences WHERE text IS NOT NULL"
+_TITLE = r"coalesce(nullif(trim(regexp_extract(ref_full_text, '\(\d{4}[a-z]?\)\.?\s*([^.]+)', 1)), ''), trim(regexp_split_to_array(ref_full_text, '\.\s')[2]))"
+_CLUSTER = f"""c AS (SELECT DISTINCT paper_id, mapping_id, citation_text_clean, ref_full_text FROM matched_citations WHERE citation_text_clean IS NOT NULL),
+ pl AS (SELECT DISTINCT paper_id, citation_text_clean, [{', '.join(map(_q, PARTS))}][ntile({len(PARTS)}) OVER (PARTITION BY paper_id ORDER BY mapping_id, citation_text_clean, ref_full_text NULLS FIRST)] AS section FROM c),
+ cited AS (SELECT DISTINCT pl.paper_id, section, ref_full_text FROM pl JOIN c ON pl.paper_id = c.paper_id AND pl.citation_text_clean = c.citation_text_clean WHERE ref_full_text IS NOT NULL),
+ titled AS (SELECT *, {_TITLE} AS title FROM cited),
+ tw AS (SELECT paper_id, section, ref_full_text, list_filter(regexp_extract_all(lower(title), '{_W}'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {_STOP}) AS ws FROM titled WHERE length(title) > 0),
+ a AS (SELECT * FROM tw), {_grams('paper_id, section', (1, 2))}, terms AS (SELECT paper_id, section, ngram, sum(1) AS n FROM g GROUP BY 1, 2, 3),"""
+_CLUSTER_TOP = _CLUSTER + _TFIDF.partition("tot AS")[1] + _TFIDF.partition("tot AS")[2]
+SQL["cluster_terms"] = f"WITH {_CLUSTER_TOP}, top AS (SELECT * FROM (SELECT paper_id, section, ngram, n, tf, idf, tf_idf, row_number() OVER (PARTITION BY paper_id, section ORDER BY tf_idf DESC, ngram) AS rank FROM tfidf) WHERE rank <= 10) SELECT * FROM top"
+SQL["cluster_references"] = f"""WITH {_CLUSTER_TOP}, {_TOP(10)}, nr AS (SELECT paper_id, section, count(DISTINCT ref_full_text) AS n_references FROM cited GROUP BY 1, 2)
+SELECT t.paper_id, t.section, n_references, top_terms FROM (SELECT paper_id, section, string_agg(ngram, ', ' ORDER BY rank) AS top_terms FROM top GROUP BY 1, 2) t LEFT JOIN nr ON t.paper_id = nr.paper_id AND t.section = nr.section"""
+SQL["citation_subsets"] = f"WITH {_HITS} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS subset, citation_type, count(*) AS n FROM hits WHERE citation_type IN ({', '.join(map(_q, own))}) GROUP BY 1, 2, 3" for name, own in SUBSETS.items() if name != "all")
+_GROUPED = _WITH.replace(PAPERS, GROUPED)
+SQL["citation_complex"] = f"{_GROUPED}{_EXP} SELECT doc_id, original_complex_citation, count(*) AS individual_citations_extracted FROM expanded WHERE citation_type = 'parsed_from_multiple' GROUP BY 1, 2"
+SQL["citation_expand_groups"] = f"{_GROUPED}{_EXP} SELECT * FROM expanded"
+SQL["network_sections"] = f"{_WITH}{_PAIRS}{_EDGES}{_PARTS}{_NODES} SELECT doc_id, primary_section AS section, count(*) AS n_nodes FROM nodes GROUP BY 1, 2"
+SQL["name_letters"] = rf"""WITH c AS (SELECT DISTINCT cite_author, regexp_extract(ref_authors, '(\p{{Lu}}[\p{{L}}''-]{{2,}})', 1) AS ref_name FROM matched_citations WHERE ref_authors IS NOT NULL AND cite_author IS NOT NULL),
+n AS (SELECT cite_author, ref_name, list_distinct(string_split({_normal('cite_author')}, '')) AS x, list_distinct(string_split({_normal('ref_name')}, '')) AS y FROM c WHERE length(ref_name) > 0)
+SELECT cite_author, ref_name, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 4) AS share FROM n"""
+
+# References of a paper, of an index, of works -------------------------------------------
+SQL["references_split"] = f"WITH {_REFS}, k AS (SELECT doc_id, ref_full_text, ref_ord FROM prefs WHERE length(trim(ref_full_text)) >= 15) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_ord) AS INT) AS ref_ord, trim(ref_full_text) AS ref_full_text FROM k"
+_INDEX = """ir AS (SELECT ref_row_id, r.*, row_number() OVER (PARTITION BY r.paper_id ORDER BY ref_row_id) AS ref_ord FROM (SELECT ref_row_id, min(struct_pack(paper_id := paper_id, author := author, ref_year := ref_year, article_title := article_title, journal := journal, doi := doi, ref_full := ref_full)) AS r FROM crossref_refs GROUP BY 1))"""
+_part = lambda c, a, b: f"CASE WHEN {c} IS NOT NULL THEN '{a}' || {c} || '{b}' ELSE '' END"
+SQL["reference_from_index"] = rf"""WITH {_INDEX}, w AS (SELECT *, regexp_extract_all(author, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS ts FROM ir),
+x AS (SELECT *, CASE WHEN author IS NULL THEN NULL ELSE array_to_string(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN regexp_matches(ts[i], '^[A-Z]+$') THEN '' WHEN i > 1 AND regexp_matches(ts[i - 1], '^[A-Z]+$') THEN regexp_replace(ts[i], '^\s+', '') ELSE ts[i] END), '') END AS kept FROM w),
+y AS (SELECT *, array_to_string(list_transform(string_split(lower(trim(kept)), ' '), lambda v: upper(v[1]) || v[2:]), ' ') AS first FROM x)
+SELECT paper_id AS doc_id, ref_ord, 'REF_' || ref_ord AS ref_id, ref_full AS ref_full_text, author AS ref_authors, ref_year, journal AS ref_journal, first AS ref_first_author, lower(first) AS ref_first_author_normalized,
+ CASE WHEN contains(ref_full, '(') THEN CAST(floor((len(string_split(regexp_extract(ref_full, '^(.*?)\s*\(', 1), ',')) - 1 + 1) / 2) AS INT) END AS n_authors, doi,
+ trim(regexp_replace({_part('author', '', ',')} || ' ' || {_part('ref_year', '(', '),')} || ' ' || {_part('article_title', '', '.')} || ' ' || {_part('journal', '', '.')}, '\s+', ' ', 'g')) AS ref_full_text2, 'crossref' AS ref_source FROM y"""
+_WORKS = """works AS (SELECT m.m.doi AS doi, m.paper_id AS work_id, m.m.title AS title, m.m.publication_year AS publication_year, m.m.journal_title AS source, a.names FROM
+  (SELECT paper_id, arg_max(struct_pack(doi := doi, title := title, publication_year := publication_year, journal_title := journal_title), struct_pack(a := fetched_at, b := doi, c := title, d := publication_year, e := journal_title)) AS m FROM main_metadata GROUP BY 1) m
+  LEFT JOIN (SELECT paper_id, list(name ORDER BY author_ord NULLS FIRST, author_id) AS names FROM (SELECT author_id, a.paper_id AS paper_id, a.author_ord AS author_ord, trim(concat_ws(' ', a.given_name, a.family_name)) AS name FROM
+   (SELECT author_id, min(struct_pack(paper_id := paper_id, author_ord := author_ord, given_name := given_name, family_name := family_name)) AS a FROM authors WHERE family_name IS NOT NULL GROUP BY 1)) GROUP BY 1) a ON m.paper_id = a.paper_id)"""
+_PARTICLES = "['van', 'von', 'de', 'di', 'da', 'del', 'della', 'le', 'la', 'du', 'des']"
+_at = lambda w: f"coalesce(nullif(list_position(list_transform({w}[1:len({w}) - 1], lambda z: list_contains({_PARTICLES}, lower(z))), true), 0), len({w}))"
+_sur = lambda w: f"array_to_string({w}[{_at(w)}:len({w})], ' ')"
+SQL["works_citations"] = rf"""WITH {_WORKS}, w AS (SELECT *, list_transform(coalesce(names, []), lambda n: regexp_split_to_array(trim(n), '\s+')) AS ws FROM works)
+SELECT doi, work_id, len(ws) AS n_authors, CASE WHEN len(ws) > 0 THEN {_sur('ws[1]')} END AS first_author,
+ CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, lambda v: {_sur('v')} || CASE WHEN {_at('v')} > 1 THEN ', ' || array_to_string(list_transform(v[1:{_at('v')} - 1], lambda u: u[1]), '.') || '.' ELSE '' END), ', ') ELSE 'Unknown' END || ' (' || coalesce(CAST(publication_year AS VARCHAR), 'n.d.') || ') ' ||
+ CASE WHEN length(trim(title)) > 0 THEN title ELSE 'Untitled' END || ', ' || CASE WHEN length(trim(source)) > 0 THEN source ELSE 'Unknown source' END || '.' AS ref_full_name FROM w"""
+_SURNAME = r"(?:(?:de|van|von|di|da|del|della|der|den|la|le|ten|du)\s+)*[A-ZÀ-ÞŠŽŁØ][\p{L}''-]+"
+
+
+def _author_sql(a: str) -> dict[str, str]:
+    s = rf"trim(regexp_replace({a}, '^\[?\d+\]?\.?\s*', ''))"
+    first = rf"nullif(regexp_extract({s}, '^({_SURNAME})', 1), '')"
+    n = rf"CASE WHEN length({s}) = 0 THEN NULL WHEN regexp_matches({s}, 'et\s+al') THEN 99 ELSE greatest(len(regexp_extract_all({s}, '[A-ZÀ-Þ]\.(?:\s*-?[A-ZÀ-Þ]\.)*')), 1) END"
+    second = rf"CASE WHEN {n} >= 2 THEN nullif(regexp_extract({s}, '[A-ZÀ-Þ]\.(?:\s*[A-ZÀ-Þ]\.)*\s*[,&]\s*&?\s*({_SURNAME})', 1), '') END"
+    return {"first": first, "second": second, "n": n}
+
+
+def _lettered(x: str) -> str:
+    return f"regexp_replace({_plain(f'lower({x})')}, '[^a-z'' -]', '', 'g')"
+
+
+_Y4 = r"regexp_extract(ref_year, '^(\d{4})', 1)"
+_YEARED = "yeared AS (SELECT r.*, ys.ref_format, ys.ref_year FROM prefs r JOIN (" + SQL["reference_years"].replace("WITH " + _REFS + ",", "WITH ") + ") ys ON r.doc_id = ys.doc_id AND r.ref_ord = ys.ref_ord)"
+_A = _author_sql("ref_authors")
+SQL["reference_parse"] = rf"""WITH {_REFS}, {_YEARED},
+p AS (SELECT *, {_Y4} AS bare, strpos(ref_full_text, '(' || {_Y4}) AS at_paren, strpos(ref_full_text, {_Y4}) AS at_year FROM yeared),
+q AS (SELECT *, coalesce(CASE WHEN ref_format = 'author_year_paren' AND at_paren > 0 THEN trim(substring(ref_full_text, 1, at_paren - 1)) WHEN at_year > 0 THEN trim(regexp_replace(substring(ref_full_text, 1, at_year - 1), '[,&\s(]+$', '')) END, trim(regexp_extract(ref_full_text, '^([^.]{{0,200}})', 1))) AS ref_authors FROM p),
+t AS (SELECT *, strpos(ref_full_text, ref_year) AS after, regexp_replace(substring(ref_full_text, strpos(ref_full_text, ref_year) + length(ref_year)), '^\)?\.?\s*', '') AS rest FROM q)
+SELECT doc_id, ref_ord, 'REF_' || ref_ord AS ref_id, ref_full_text, ref_format, ref_authors, ref_year, {_A['first']} AS ref_first_author, {_lettered(_A['first'])} AS ref_first_author_normalized, {_A['second']} AS ref_second_author, {_lettered(_A['second'])} AS ref_second_author_normalized, {_A['n']} AS n_authors,
+ CASE WHEN ref_year IS NOT NULL AND after > 0 THEN trim(coalesce(nullif(regexp_extract(rest, '^(.*?)(?:\.\s+[A-Z]|\d+\s*\(\d+\))', 1), ''), regexp_extract(rest, '^([^.]+)', 1))) END AS ref_title,
+ nullif(regexp_replace(regexp_extract(ref_full_text, '(10\.\d{{4,}}/[^\s,]+)', 1), '[.,;)]+$', ''), '') AS ref_doi FROM t"""
+_B = _author_sql("r.b")
+_OWN = rf"""own AS (SELECT doc_id, ref_id, TRY_CAST(nullif(regexp_extract(ref_id, '(\d+)', 1), '') AS INT) AS ref_ord, r.a2 AS ref_full_text, r.c AS ref_year, lower(regexp_extract(r.b, '(\p{{Lu}}[\p{{L}}''-]{{2,}})', 1)) AS ref_first_author, lower({_B['second']}) AS ref_second_author, {_B['n']} AS n_authors FROM
+  (SELECT paper_id AS doc_id, matched_ref_id AS ref_id, min(struct_pack(a1 := mapping_id, a2 := ref_full_text, b := ref_authors, c := ref_year)) AS r FROM matched_citations WHERE matched_ref_id IS NOT NULL GROUP BY 1, 2))"""
+SQL["citation_drop_beyond"] = rf"""{_WITH}, {_OWN}, n AS (SELECT doc_id, count(*) AS k FROM own GROUP BY 1)
+SELECT s.doc_id, citation_id, citation_text FROM swept s LEFT JOIN n ON s.doc_id = n.doc_id WHERE NOT coalesce(citation_type LIKE 'numbered\_%' ESCAPE '\' AND len(list_filter(regexp_extract_all(citation_text, '\d+'), lambda x: TRY_CAST(x AS INT) > k)) > 0, false)"""
+_AUTH = r"regexp_extract(author, '(\p{Lu}[\p{L}''-]{2,})', 1)"
+SQL["reference_enrich"] = rf"""WITH {_INDEX}, {_OWN}, i AS (SELECT paper_id AS doc_id, CAST(ref_row_id AS VARCHAR) AS ref_id, ref_full AS ref_full_text, ref_year, {_AUTH} AS ref_first_author FROM ir),
+h AS (SELECT i.doc_id, i.ref_id, o.ref_full_text AS page_text, o.ref_second_author AS page_second, o.n_authors AS page_n, row_number() OVER (PARTITION BY i.doc_id, i.ref_id ORDER BY ref_ord NULLS FIRST) AS k FROM i JOIN own o ON i.doc_id = o.doc_id AND regexp_extract(i.ref_year, '^(\d{{4}})', 1) = regexp_extract(o.ref_year, '^(\d{{4}})', 1)
+ WHERE coalesce(length(i.ref_full_text), 0) <= 60 AND (lower(i.ref_first_author) = lower(o.ref_first_author) OR contains(lower(i.ref_first_author), lower(o.ref_first_author)) OR contains(lower(o.ref_first_author), lower(i.ref_first_author))))
+SELECT i.doc_id, i.ref_id, CASE WHEN length(page_text) > coalesce(length(ref_full_text), 0) THEN page_text ELSE ref_full_text END AS ref_full_text, ref_first_author, ref_year, page_second AS ref_second_author, page_n AS n_authors, page_text IS NOT NULL AS enriched FROM i LEFT JOIN h ON i.doc_id = h.doc_id AND i.ref_id = h.ref_id AND k = 1"""
+_same = lambda x, y: f"(length({x}) > 0 AND length({y}) > 0 AND ({x} = {y} OR contains({x}, {y}) OR contains({y}, {x}) OR (length({x}) = length({y}) AND len(list_filter(range(1, length({x}) + 1), lambda i: {x}[i] <> {y}[i])) <= CASE WHEN length({x}) > 5 THEN 2 ELSE 1 END) OR (least(length({x}), length({y})) / greatest(length({x}), length({y})) >= 0.7 AND 1 - levenshtein({x}, {y}) / greatest(length({x}), length({y})) >= 0.8)))"
+SQL["works_completion"] = rf"""WITH {_INDEX}, r AS (SELECT *, nullif({_AUTH}, '') AS first, lower(trim(regexp_replace(doi, '^(https?://(dx\.)?doi\.org/|doi:\s*)', ''))) AS k FROM ir WHERE doi IS NOT NULL),
+w AS (SELECT k, arg_min(struct_pack(id := ref_row_id, title := article_title, y := CAST(nullif(regexp_extract(ref_year, '(\d{{4}})', 1), '') AS INT), src := journal, first := first), ref_row_id) AS w FROM r WHERE length(trim(doi)) > 0 GROUP BY 1),
+j AS (SELECT r.*, w.w AS w, {_normal('r.first')} AS x, {_normal('w.w.first')} AS z FROM r LEFT JOIN w ON r.k = w.k),
+v AS (SELECT *, w IS NOT NULL AND NOT coalesce(first IS NOT NULL AND w.first IS NOT NULL AND length(trim(first)) > 0 AND length(trim(w.first)) > 0 AND NOT {_same('x', 'z')}, false) AS wins FROM j)
+SELECT paper_id AS doc_id, ref_row_id AS ref_id, doi, CASE WHEN wins THEN coalesce(w.first, first) ELSE first END AS ref_first_author, CASE WHEN wins THEN coalesce(CAST(w.y AS VARCHAR), ref_year) ELSE coalesce(ref_year, CAST(w.y AS VARCHAR)) END AS ref_year,
+ CASE WHEN wins THEN coalesce(w.src, journal) ELSE coalesce(journal, w.src) END AS ref_journal, NULL AS n_authors, CASE WHEN w IS NOT NULL THEN concat_ws('. ', w.first, w.title, w.src) END AS ref_full_text2, CASE WHEN wins THEN 'works' WHEN w IS NOT NULL THEN 'gaps' ELSE 'none' END AS completed_by FROM v"""
+
+# Matching -----------------------------------------------------------------------------
+_PARTICLE_NAME = r"^((?:[Dd]i|[Dd]e|[Vv]an|[Vv]on|[Dd]er|[Dd]en|[Ll]a|[Ll]e|[Dd]el|[Dd]ella)\s+[\p{L}''-]+)"
+_surname_of = lambda x: rf"coalesce(nullif(regexp_extract({x}, '{_PARTICLE_NAME}', 1), ''), nullif(regexp_extract({x}, '^([\p{{L}}''-]+)', 1), ''))"
+
+
+def _narrative(cites: str) -> str:
+    """CTE ``narr`` from citations (doc_id, citation_id, citation_type, clean) and ``own`` references."""
+    return rf"""i0 AS (SELECT doc_id, citation_id, trim(regexp_replace(regexp_replace(clean, '^\(|\)$', '', 'g'), '^\(?(see|e\.g\.|cf\.|i\.e\.|viz\.|compare)\s+', '')) AS s FROM {cites} WHERE citation_type NOT LIKE 'numbered\_%' ESCAPE '\'),
+ i1 AS (SELECT *, {_surname_of('s')} AS cite_author, nullif(regexp_extract(s, '(\d{{4}}[a-z]?)', 1), '') AS cite_year, regexp_matches(s, 'et\s+al\.') AS cite_has_etal, trim(regexp_extract(s, '(?:and|&)\s+(\p{{L}}[\p{{L}}\s''-]+?)(?:,|\s+\()', 1)) AS aft FROM i0),
+ i2 AS (SELECT *, CASE WHEN regexp_matches(s, '\s+and\s+|\s+&\s+') AND NOT cite_has_etal AND length(aft) > 0 THEN lower({_surname_of('aft')}) END AS cite_second_author, lower(cite_author) AS a, regexp_replace(cite_year, '[a-z]$', '') AS bare FROM i1),
+ m0 AS (SELECT i.*, r.ref_id, r.ref_ord, r.ref_year, lower(r.ref_first_author) AS r1, lower(r.ref_second_author) AS r2, r.n_authors, CASE WHEN r.ref_year = cite_year THEN 0 WHEN r.ref_year = bare THEN 1 END AS yt FROM i2 i JOIN own r ON i.doc_id = r.doc_id AND i.bare = regexp_replace(r.ref_year, '[a-z]$', '') WHERE a IS NOT NULL AND cite_year IS NOT NULL),
+ m1 AS (SELECT * FROM (SELECT *, min(yt) OVER (PARTITION BY doc_id, citation_id) AS by_ FROM m0 WHERE yt IS NOT NULL) WHERE yt = by_),
+ m2 AS (SELECT *, CASE WHEN a = r1 THEN 0 WHEN {_plain('a')} = {_plain('r1')} THEN 1 WHEN contains({_plain('a')}, {_plain('r1')}) OR contains({_plain('r1')}, {_plain('a')}) THEN 2 END AS at_ FROM m1),
+ m3 AS (SELECT * FROM (SELECT *, min(at_) OVER (PARTITION BY doc_id, citation_id) AS ba FROM m2) WHERE at_ = ba),
+ m4 AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY ref_id) AS by_id, row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY ref_ord NULLS FIRST) AS by_ord, sum(coalesce(CAST(r2 = cite_second_author AS INT), 0)) OVER w AS n2, sum(coalesce(CAST(n_authors >= 3 AS INT), 0)) OVER w AS n3, CASE WHEN regexp_matches(cite_year, '[a-z]$') THEN ascii(cite_year[-1]) - 96 END AS ix FROM m3 WINDOW w AS (PARTITION BY doc_id, citation_id)),
+ m5 AS (SELECT *, CASE WHEN n = 1 AND cite_has_etal AND n_authors < 3 THEN 'medium_etal_inconsistent' WHEN n = 1 THEN 'high' WHEN ix IS NOT NULL AND ix <= n THEN 'high_suffix_disambiguated' WHEN ix IS NOT NULL THEN 'medium_suffix_out_of_range' WHEN n2 = 1 THEN 'high_second_author' WHEN n2 > 1 THEN 'medium_multiple_with_second' WHEN cite_has_etal AND n3 > 0 THEN 'medium_etal_heuristic' WHEN cite_has_etal THEN 'medium_crossref_etal' ELSE 'medium_multiple_matches' END AS label,
+  CASE WHEN n = 1 THEN 0 WHEN ix IS NOT NULL THEN CASE WHEN by_id = least(ix, n) THEN 0 ELSE 1 END WHEN n2 > 0 THEN CASE WHEN coalesce(r2 = cite_second_author, false) THEN by_ord ELSE 1073741824 END WHEN cite_has_etal AND n3 > 0 THEN 1048576 - coalesce(n_authors, 0) ELSE by_ord END AS o FROM m4),
+ m6 AS (SELECT doc_id, citation_id, ref_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, citation_id ORDER BY o, by_ord) AS pick FROM m5) WHERE pick = 1),
+ my AS (SELECT DISTINCT doc_id, citation_id FROM m1),
+ narr AS (SELECT i.doc_id, i.citation_id, cite_author, cite_second_author, cite_year, cite_has_etal, m6.ref_id AS matched_ref_id, CASE WHEN a IS NULL OR cite_year IS NULL THEN 'no_match_missing_info' WHEN my.doc_id IS NULL THEN 'no_match_year' WHEN label IS NULL THEN 'no_match_author' ELSE label END AS match_confidence FROM i2 i LEFT JOIN m6 ON i.doc_id = m6.doc_id AND i.citation_id = m6.citation_id LEFT JOIN my ON i.doc_id = my.doc_id AND i.citation_id = my.citation_id)"""
+
+
+def _numbered(cites: str) -> str:
+    """CTE ``numb`` from citations (doc_id, citation_id, citation_type, citation_text) and ``own`` references."""
+    return rf"""nn0 AS (SELECT doc_id, citation_id, regexp_extract_all(citation_text, '\d+') AS ns FROM {cites} WHERE citation_type LIKE 'numbered\_%' ESCAPE '\'),
+ nn1 AS (SELECT doc_id, citation_id, unnest(ns) AS number FROM nn0 UNION ALL SELECT doc_id, citation_id, NULL FROM nn0 WHERE len(ns) = 0),
+ numb AS (SELECT n.doc_id, n.citation_id, o.ref_id AS matched_ref_id, CASE WHEN number IS NULL THEN 'no_match_missing_number' WHEN o.ref_id IS NULL THEN 'no_match_numbered' ELSE 'high_numbered' END AS match_confidence FROM nn1 n LEFT JOIN own o ON n.doc_id = o.doc_id AND o.ref_id = 'REF_' || regexp_replace(number, '^0+(.)', '\1'))"""
+
+
+_MC = f"{_CITES}, mc AS (SELECT doc_id, citation_id, c.a AS citation_type, c.b AS citation_text, c.c AS clean FROM cites), {_OWN}, {_narrative('mc')}, {_numbered('mc')}"
+SQL["match_narrative"] = f"WITH {_MC} SELECT * FROM narr"
+SQL["match_quality"] = f"WITH {_MC}, b AS (SELECT match_confidence FROM narr UNION ALL SELECT match_confidence FROM numb) SELECT match_confidence, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 1) AS percentage FROM b GROUP BY 1"
+_MAPPED = f"""{_EXP}{_STD}, sc AS (SELECT doc_id, citation_id, citation_type, citation_text, start_pos, end_pos, coalesce('(' || trim(author_part) || ', ' || translate(year_part, '()', '') || ')', citation_text) AS clean FROM std), {_OWN}, {_narrative('sc')}, {_numbered('sc')},
+ mapped AS (SELECT b.*, own.ref_full_text FROM (SELECT doc_id, citation_id, matched_ref_id, match_confidence FROM narr UNION ALL SELECT * FROM numb) b LEFT JOIN own ON b.doc_id = own.doc_id AND b.matched_ref_id = own.ref_id),
+ st AS (SELECT DISTINCT doc_id, start_pos FROM sc), sn AS (SELECT DISTINCT doc_id, end_pos FROM sc), fo AS (SELECT sn.doc_id, sn.end_pos, min(st.start_pos) AS following FROM sn LEFT JOIN st ON sn.doc_id = st.doc_id AND st.start_pos > sn.end_pos GROUP BY 1, 2),
+ cx AS (SELECT s.*, regexp_extract_all(substring(t, 1, s.start_pos - 1), '{_W}') AS b, regexp_extract_all(substring(t, s.end_pos + 1, coalesce(following - s.end_pos - 1, length(t))), '{_W}') AS a FROM sc s JOIN sq ON s.doc_id = sq.doc_id JOIN fo ON s.doc_id = fo.doc_id AND s.end_pos = fo.end_pos)"""
+SQL["contexts_matched"] = f"{_WITH}{_MAPPED} SELECT x.doc_id, x.citation_id, array_to_string(b[greatest(len(b) - 9, 1):len(b)], ' ') AS words_before, array_to_string(a[1:10], ' ') AS words_after, len(b) + len(a) AS context_word_count, matched_ref_id, ref_full_text, match_confidence FROM cx x LEFT JOIN mapped m ON x.doc_id = m.doc_id AND x.citation_id = m.citation_id"
+SQL["analysis_summary"] = rf"""{_WITH}{_MAPPED}, tk AS (SELECT doc_id, count(*) AS n, count(DISTINCT word) AS u FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS word FROM papers) WHERE length(word) >= 3 AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY 1),
+ kc AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN citation_type LIKE '%narrative%' THEN 1 ELSE 0 END) AS nar, sum(CASE WHEN citation_type = 'parsed_from_multiple' THEN 1 ELSE 0 END) AS mul FROM sc GROUP BY 1), ln AS (SELECT doc_id, round(avg(len(a) + len(b)), 4) AS l FROM cx GROUP BY 1),
+ rp AS (SELECT doc_id, count(*) AS n FROM own GROUP BY 1), lb AS (SELECT doc_id, match_confidence, count(*) AS k, sum(count(*)) OVER (PARTITION BY doc_id) AS al FROM mapped GROUP BY 1, 2),
+ qu AS (SELECT doc_id, sum(CASE WHEN match_confidence IN ('high', 'high_second_author', 'medium_multiple_matches', 'medium_fuzzy') THEN k ELSE 0 END) AS good, string_agg(match_confidence || ' ' || k || ' ' || round(k / al * 100, 1), '; ' ORDER BY match_confidence) AS q FROM lb GROUP BY 1)
+SELECT sq.doc_id, coalesce(tk.n, 0) AS total_words_analyzed, coalesce(tk.u, 0) AS unique_words, coalesce(kc.n, 0) AS citations_extracted, coalesce(nar, 0) AS narrative_citations, coalesce(kc.n, 0) - coalesce(nar, 0) AS parenthetical_citations, coalesce(mul, 0) AS complex_citations_parsed, round(tk.u / tk.n, 6) AS lexical_diversity,
+ coalesce(l, 0.0) AS average_citation_context_length, round(coalesce(kc.n, 0) / len(regexp_split_to_array(t, '\s+')) * 1000, 2) AS citation_density_per_1000_words, coalesce(rp.n, 0) AS references_parsed, coalesce(good, 0) AS citations_matched_to_refs, q AS match_quality, 'all' AS citation_type_used
+FROM sq LEFT JOIN tk ON sq.doc_id = tk.doc_id LEFT JOIN kc ON sq.doc_id = kc.doc_id LEFT JOIN ln ON sq.doc_id = ln.doc_id LEFT JOIN rp ON sq.doc_id = rp.doc_id LEFT JOIN qu ON sq.doc_id = qu.doc_id"""
+
+# Sections -----------------------------------------------------------------------------
+_ESC = r"regexp_replace(name, '([.|?*+^$()\[\]{}\\])', '\\\1', 'g')"
+
+
+def _sections(source: str, names: str) -> str:
+    """CTE ``secs`` (doc_id, section_ord, section, text) from ``source`` (doc_id, t) and ``names`` (doc_id, i, name)."""
+    hit = lambda p, k: f"regexp_extract(t, '{p[0]}' || {_ESC} || '{p[1]}', {k})"
+    strict = (r"(?is)^(.*?)(\n\n(?:[0-9]+(?:\.[0-9]+)*\.?\s*(?:\n\n|\|\s*))?", r")[\s.:]")
+    loose = (r"(?is)^(.*?)(\n\s*(?:[0-9]+(?:\.[0-9]+)*\.?\s*\|?\s+)?", r")[\s.:]")
+    tries = []
+    for k, name in enumerate(se.REFERENCE_NAMES):
+        for j, p in enumerate(se.REFERENCE_PATTERNS):
+            tries.append((k * 10 + j, name, p.format(name).replace(r"\s+(?=[A-Z][a-z])", r"\s+")))
+    # a looked-ahead capital is tested on what follows the last match instead
+    last = " UNION ALL ".join(
+        f"SELECT doc_id, {o} AS o, '{'Bibliography' if name.lower().startswith('b') else 'References'}' AS name, t, hs, gs, {len(p)} AS x FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS hs, regexp_split_to_array(t, '{p}') AS gs FROM {source} WHERE contains(t, '{name}'))" for o, name, p in tries
+    )
+    return rf"""sn0 AS (SELECT n.doc_id, i, name, t, {hit(strict, 1)} AS sa, {hit(strict, 2)} AS sb, {hit(loose, 1)} AS la, {hit(loose, 2)} AS lb FROM {names} n JOIN {source} d ON n.doc_id = d.doc_id WHERE contains(lower(t), lower(name))),
+ sn1 AS (SELECT doc_id, i, name, CASE WHEN sb <> '' THEN 0 ELSE 1 END AS pass, CASE WHEN sb <> '' THEN length(sa) + 1 ELSE length(la) + 1 END AS sp, CASE WHEN sb <> '' THEN length(sb) ELSE length(lb) END AS sz FROM sn0 WHERE sb <> '' OR lb <> ''),
+ er0 AS ({last}), er1 AS (SELECT doc_id, o, name, t, length(t) - length(gs[-1]) - length(hs[-1]) + 1 AS sp, length(hs[-1]) AS sz FROM er0 WHERE len(hs) > 0),
+ er2 AS (SELECT doc_id, arg_min(struct_pack(name := name, sp := sp, sz := sz), o) AS e FROM er1 WHERE sp > length(t) * 0.5 AND regexp_matches(substring(t, sp + sz, 301), '^\s*[A-Z][a-zÀ-ÿ]|^\s*\[?\d+\]?[.\s]|^\s*\d+\.\s') AND (o % 10 <> 4 OR regexp_matches(substring(t, sp + sz, 2), '^[A-Z][a-z]')) GROUP BY 1),
+ hd AS (SELECT * FROM sn1 UNION ALL SELECT doc_id, 0, e.name, 2, e.sp, e.sz FROM er2 WHERE doc_id NOT IN (SELECT doc_id FROM sn1 WHERE name IN ('References', 'REFERENCES', 'Bibliography', 'BIBLIOGRAPHY'))),
+ od AS (SELECT hd.*, t, row_number() OVER w AS k, lead(sp) OVER w AS nx, min(sp) OVER (PARTITION BY hd.doc_id) AS f FROM hd JOIN {source} d ON hd.doc_id = d.doc_id WINDOW w AS (PARTITION BY hd.doc_id ORDER BY sp, pass, i)),
+ bd AS (SELECT doc_id, k, name, regexp_replace(substring(t, sp + sz, greatest(coalesce(nx, length(t) + 1) - sp - sz, 0)), '^\s+|\s+$', '', 'g') AS text FROM od UNION ALL SELECT DISTINCT doc_id, 0, 'Preface', regexp_replace(substring(t, 1, f - 1), '^\s+|\s+$', '', 'g') FROM od WHERE f > 100 AND length(regexp_replace(substring(t, 1, f - 1), '^\s+|\s+$', '', 'g')) > 50),
+ kp AS (SELECT *, count(*) FILTER (name = 'References') OVER (PARTITION BY doc_id) AS hasr FROM bd WHERE length(text) > 0),
+ secs AS (SELECT doc_id, 0 AS section_ord, 'Full_text' AS section, t AS text FROM {source} UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN name = 'Bibliography' AND hasr = 0 THEN 1 ELSE 0 END, k), CASE WHEN name = 'Bibliography' AND hasr = 0 THEN 'References' ELSE name END, text FROM kp)"""
+
+
+_AS_PAPERS = r"""ap AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^==([^=]+)==\s*$', E'\n\n2. Results\n', 'g'), '(?m)^===+([^=]+)===+\s*$', E'\n3 Discussion: ', 'g') || E'\n\nConclusions. It was.' || CASE WHEN doc_id % 2 = 0 THEN E'\n\nBibliography\n[1] Smith, J.' ELSE ' so it ends. References Smith, J. and others' END AS t FROM documents WHERE length(text) > 0)"""
+_DEFAULT = f"dn AS (SELECT doc_id, unnest(range({len(se.SECTION_NAMES)})) AS i, unnest([{', '.join(map(_q, se.SECTION_NAMES))}]) AS name FROM ap)"
+SQL["section_split"] = f"WITH {_AS_PAPERS}, {_DEFAULT}, {_sections('ap', 'dn')} SELECT doc_id, section_ord, section, length(text) AS n_chars FROM secs"
+SQL["section_exclusion"] = f"WITH {_AS_PAPERS}, {_DEFAULT}, {_sections('ap', 'dn')} SELECT doc_id, section_ord, section, length(text) AS n_chars FROM secs WHERE section NOT IN ('Full_text', 'References')"
+SQL["references_normalize"] = rf"""WITH {_REFS}, g AS (SELECT doc_id, string_agg(ref_full_text, E'\n\n' ORDER BY ref_ord) AS t FROM prefs GROUP BY 1),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\d+)\.\s*\n\n+\s*([A-Z][a-zÀ-ÿ])', '\1. \2', 'g'), '(\[\d+\])\s*\n\n+\s*([A-Z][a-zÀ-ÿ])', '\1 \2', 'g') AS t FROM g),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([.;])\s+(\d+\.\s+[A-Z][a-z])', E'\\1\n\n\\2', 'g'), '([.;])\s+(\[\d+\]\s*[A-Z])', E'\\1\n\n\\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\.)\s+([A-Z][a-zÀ-ÿ]+(?:[-''][A-Z][a-z]+)?,\s+[A-Z]\.)', E'\\1\n\n\\2', 'g'), '(\.) +([A-Z][a-zÀ-ÿ]+(?:[-''][A-Z][a-z]+)?,\s+[A-Z]\.)', E'\\1\n\n\\2', 'g') AS t FROM b),
+l AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\n+')) AS b, unnest(range(len(regexp_split_to_array(t, '\n\n+')))) AS i FROM c), n AS (SELECT doc_id, i, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM l),
+s AS (SELECT *, CASE WHEN regexp_matches(b, '^\[\d+\]|^\d+\.\s+[A-Z]') OR (regexp_matches(b, '^[A-Z][a-zÀ-ÿ]+(?:[-''][A-Z][a-z]+)?,\s+[A-Z]\.') AND (regexp_matches(b, '\d{{4}}') OR length(b) >= 40)) OR (regexp_matches(b, '^[A-Z]{{2,}}[,.]') AND length(b) >= 40) OR row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1 THEN 1 ELSE 0 END AS new FROM n WHERE length(b) > 0),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS ref_ord FROM s) SELECT doc_id, ref_ord, string_agg(b, ' ' ORDER BY i) AS ref_text FROM r GROUP BY 1, 2"""
+_fence = lambda t: rf"replace(regexp_replace({t}, '(?s)```[a-zA-Z]*\n(.*?)```', '\1', 'g'), '```', '')"
+_MARKED = r"regexp_replace(text, '(?m)^==+[ \t\n\r\f]*(.*?)[ \t\n\r\f]*==+[ \t\n\r\f]*$', '## \1', 'g')"
+SQL["markdown_sections"] = rf"""WITH d AS (SELECT doc_id, string_split({_fence(_MARKED)}, E'\n') AS ls FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d), h AS (SELECT *, regexp_matches(line, '^##\s+[A-Z0-9]') OR (regexp_matches(line, '^#\s+[A-Z]') AND coalesce(length(trim(lag(line) OVER w)) = 0, true)) AS head FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM h),
+p AS (SELECT doc_id, g, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^#+', '')) END), 'Preamble') AS section, regexp_replace(coalesce(string_agg(line, E'\n' ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY 1, 2)
+SELECT doc_id, section, length(arg_max(text, g)) AS n_chars FROM p WHERE g > 0 OR length(text) > 10 GROUP BY 1, 2"""
+_STATE = "struct_pack(line := {}, mode := {}, blanks := {}, kept := {})"
+
+
+def _folded(source: str, step: str) -> str:
+    """doc_id, text: a fold over the lines of ``source`` (doc_id, t)."""
+    first = _STATE.format("''", "0", "0", "CAST('' AS VARCHAR)")
+    one = _STATE.format("l", "0", "0", "CAST('' AS VARCHAR)")
+    return f"SELECT doc_id, substring(list_reduce(list_prepend({first}, list_transform(string_split(t, E'\\n'), lambda l: {one})), lambda a, x: {step}).kept, 2) AS text FROM {source}"
+
+
+_keep = "a.kept || E'\\n' || x.line"
+_trow = lambda m, b, k: _STATE.format("''", m, b, k)
+SQL["table_removal"] = "WITH src AS (SELECT doc_id, text AS t FROM documents WHERE length(text) > 0) " + _folded("src", rf"""CASE WHEN regexp_matches(x.line, '(?i)^\s*(\*\*)?Table\s+\d+') OR contains(x.line, '|') OR regexp_matches(x.line, '^\s*[-|:]+\s*$') THEN {_trow('1', '0', 'a.kept')}
+ WHEN a.mode = 1 AND length(trim(x.line)) = 0 THEN {_trow('CASE WHEN a.blanks >= 1 THEN 0 ELSE 1 END', 'CASE WHEN a.blanks >= 1 THEN 0 ELSE a.blanks + 1 END', 'a.kept')} WHEN a.mode = 1 AND regexp_matches(x.line, '\s{{3,}}|-{{3,}}') THEN {_trow('1', '0', 'a.kept')} ELSE {_trow('0', '0', _keep)} END""")
+SQL["figure_caption_removal"] = r"WITH src AS (SELECT doc_id, regexp_replace(text, '(?m)^\* ', 'Figure 1: ', 'g') AS t FROM documents WHERE length(text) > 0) " + _folded("src", rf"""CASE WHEN regexp_matches(x.line, '(?i)^\s*(\*\*)?(Fig\.|Figure)\s+\d+[:.\s]') THEN {_trow("CASE WHEN regexp_matches(x.line, '[.!][ \t\r\f]*$') OR length(trim(x.line)) < 100 THEN 0 ELSE 1 END", '0', 'a.kept')}
+ WHEN a.mode = 1 THEN {_trow("CASE WHEN regexp_matches(x.line, '[.!][ \t\r\f]*$') OR length(trim(x.line)) = 0 THEN 0 ELSE 1 END", '0', 'a.kept')} ELSE {_trow('0', '0', _keep)} END""")
+
+
+def _chain(x: str, *pairs: tuple[str, str]) -> str:
+    for p, to in pairs:
+        x = f"regexp_replace({x}, '{p}', {to}, 'g')"
+    return x
+
+
+_noun, _num = "|".join(se.COUNTED), r"\d{1,3}(?:\s*[,\-]\s*\d{1,3})*"
+_MASK = (rf"(?i)(^|[^\p{{L}}])({_noun})\s+(\d+(?:\s*[,;\-]\s*\d+)*)", "'\\1\\2' || chr(1) || '\\3' || chr(2)")
+_GLUED = (rf"(?i)(^|[^\p{{L}}])({_noun})(\d{{1,3}})([^\d]|$)", "'\\1\\2' || chr(3) || '\\3\\4'")
+_COMMA = (r"(\d)\s*,\s*(\d[^\[\]]*\])", "'\\1,\\2'")
+_supers = _chain(
+    _chain("translate(regexp_replace(text, '([¹²³⁴⁵⁶⁷⁸⁹⁰]+)', '[\\1]', 'g'), '¹²³⁴⁵⁶⁷⁸⁹⁰', '1234567890')", (r"([.!?])\s+(\d{1,3})\s+([A-Z])", "'\\1[\\2] \\3'"), _MASK),
+    (rf"([a-z)])\s+({_num})(\s|[.,;!?]|$)", "'\\1[\\2]\\3'"), (r"([a-z])\s+(\d{1,3}e\d{1,3})(\s|[.,;!?]|$)", "'\\1[\\2]\\3'"), (r"(\n)(\d{1,3})\s+([A-Z])", "'\\1[\\2] \\3'"),
+    (r"\[\s+", "'['"), (r"\s+\]", "']'"), *[_COMMA] * 6, (r"\[(\d+)e(\d+)\]", "'[\\1-\\2]'"), _GLUED, _GLUED, (r"([a-z]{3,})(\d{1,3})(\s|[.,;!?]|$)", "'\\1[\\2]\\3'"),
+)
+SQL["superscript_convert"] = f"SELECT DISTINCT sentence_id, translate(replace({_supers}, chr(1), ' '), chr(2) || chr(3), '') AS text FROM sentences WHERE length(text) > 0"
+_HEADERS = r"""hp AS (SELECT doc_id, regexp_replace(text, '\. ', E'\n12\n\nAnnals of Applied Acoustics, the second volume of it\n', 'g') AS text FROM papers), hs AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '\d+\n\n')[2:], lambda x: substring(x, 1, 200))) AS tail FROM hp),
+ hg AS (SELECT doc_id, substring(tail, 1, 40) AS key, count(*) AS n, min(tail) AS a, max(tail) AS b FROM hs GROUP BY 1, 2 HAVING count(*) >= 3 AND length(substring(any_value(tail), 1, 40)) = 40),
+ heads AS (SELECT doc_id, trim(substring(a, 1, coalesce(list_min(list_filter(range(1, 201), lambda k: k > length(a) OR substring(a, k, 1) <> substring(b, k, 1))) - 1, 200))) AS header, n FROM hg)"""
+SQL["running_headers"] = f"WITH {PAPERS}, {_HEADERS} SELECT * FROM heads"
+SQL["headers_removed"] = f"WITH {PAPERS}, {_HEADERS}, one AS (SELECT doc_id, list(DISTINCT header) AS h FROM heads GROUP BY 1) SELECT hp.doc_id, CASE WHEN h IS NULL THEN text WHEN len(h) = 1 THEN replace(text, h[1], '') ELSE replace(replace(text, list_sort(h)[1], ''), list_sort(h)[2], '') END AS text FROM hp LEFT JOIN one ON hp.doc_id = one.doc_id"
+_spaced = r"array_to_string(list_transform(string_split(t, E'\n'), lambda l: CASE WHEN regexp_matches(l, '^\s*(?:[A-Z]{1,4} ){3,}[A-Z]{1,4}\s*$') AND len(list_filter(string_split(trim(l), ' '), lambda g: length(g) <= 2)) * 2 >= len(string_split(trim(l), ' ')) AND length(trim(l)) >= 7 THEN replace(l, ' ', '') ELSE l END), E'\n')"
+SQL["spaced_headings"] = rf"WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^==+.*$', 'R E S U L T S', 'g'), '\. ', '. 2 | METHODS of ', 'g') AS t FROM documents WHERE length(text) > 0) SELECT doc_id, regexp_replace({_spaced}, '(\.)\s+([0-9]+(?:\.[0-9]+)*\s*\|\s*[A-Z])', E'\\1\n\n\\2', 'g') AS text FROM s"
+SQL["plain_ligatures"] = "SELECT DISTINCT sentence_id, replace(replace(replace(replace(replace(replace(replace(text, 'fi', 'ﬁ'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(160), ' ') AS text FROM sentences WHERE length(text) > 0"
+SQL["code_fences"] = rf"""SELECT doc_id, {_fence("regexp_replace(text, '(?m)^==+.*$', E'```python\\nx = 1\\n```', 'g')")} AS text FROM documents WHERE length(text) > 0"""
+_LONE = (r"(^|[^.!?\n])\n([^A-Z0-9\n]|$)", "'\\1 \\2'")
+_ai = _chain("regexp_replace(regexp_replace(text, '(?m)^==+[ \\t\\n\\r\\f]*(.*?)[ \\t\\n\\r\\f]*==+[ \\t\\n\\r\\f]*$', '2.1. \\1', 'g'), ' of ', E' of\\n', 'g')", (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Za-z][A-Za-z\s]{3,50})", "E'\\n\\n\\\\1\\n\\n'"), (r"\n\s*\n", "E'\\n\\n'"), (r"([.!?])\s*\n\s*([A-Z][a-z])", "E'\\\\1\\n\\n\\\\2'"), _LONE, _LONE, (r"-\s", "''"))
+SQL["ai_text"] = f"SELECT doc_id, {_ai} AS text FROM documents WHERE length(text) > 0"
+_TOC_SRC = r"""td AS (SELECT doc_id, regexp_replace(text, '(?m)^==+[ \t\n\r\f]*([A-Za-z][A-Za-z ]*?)[ \t\n\r\f]*==+[ \t\n\r\f]*$', E'\n\n\\1\n', 'g') AS t, list_distinct(list_filter(regexp_extract_all(text, '(?m)^==+[ \t\n\r\f]*([A-Za-z][A-Za-z ]*?)[ \t\n\r\f]*==+[ \t\n\r\f]*$', 1), lambda h: length(h) <= 80)) AS toc FROM documents WHERE length(text) > 0),
+ tn AS (SELECT doc_id, unnest(range(len(toc))) AS i, unnest(toc) AS name FROM td), tf AS (SELECT DISTINCT n.doc_id FROM tn n JOIN td d ON n.doc_id = d.doc_id WHERE regexp_matches(t, '(?i)\n\s*(?:[0-9]+(?:\.[0-9]+)*\.?\s*\|?\s+)?' || name || '[\s.:]')),"""
+SQL["section_split_toc"] = f"WITH {_TOC_SRC} dn AS (SELECT * FROM tn WHERE doc_id IN (SELECT doc_id FROM tf) UNION ALL SELECT doc_id, unnest(range({len(se.SECTION_NAMES)})), unnest([{', '.join(map(_q, se.SECTION_NAMES))}]) FROM td WHERE doc_id NOT IN (SELECT doc_id FROM tf)), {_sections('td', 'dn')} SELECT doc_id, section_ord, section, length(text) AS n_chars FROM secs"
+
+# Moves ----------------------------------------------------------------------------------
+
+
+def _sentences(source: str) -> str:
+    """CTE ``segs`` from ``source`` (doc_id, section_ord, section, text)."""
+    t = "regexp_replace(regexp_replace(text, '(?m)^#+[ \\t\\n\\r\\f].*$', '', 'g'), '\\s+', ' ', 'g')"
+    for a in moves.ABBREVIATIONS:
+        t = f"regexp_replace({t}, '(^|[^\\p{{L}}]){a.replace('.', '[.]')}\\.', '\\1{a.replace('.', '§')}§', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(\\d)\\.(\\d)', '\\1§\\2', 'g'), '(\\d)\\.(\\d)', '\\1§\\2', 'g')"
+    return rf"""sg0 AS (SELECT doc_id, section_ord, section, string_split(regexp_replace({t}, '([.!?])\s+([A-Z"“''(])', '\1¶\2', 'g'), '¶') AS ps FROM {source} WHERE length(trim(text)) >= 10),
+ sg1 AS (SELECT doc_id, section_ord, section, unnest(range(len(ps))) AS i, trim(replace(unnest(ps), '§', '.')) AS text FROM sg0),
+ segs AS (SELECT doc_id, section_ord, section, row_number() OVER (PARTITION BY doc_id ORDER BY section_ord, i) AS sentence_id, text, CASE WHEN count(*) OVER (PARTITION BY doc_id, section_ord) = 1 THEN 50.0 ELSE round((row_number() OVER (PARTITION BY doc_id, section_ord ORDER BY i) - 1) / (count(*) OVER (PARTITION BY doc_id, section_ord) - 1) * 100, 1) END AS position_pct FROM sg1 WHERE length(text) >= 15)"""
+
+
+SQL["sentence_segments"] = f"WITH {SECTIONS}, {_sentences('sections')} SELECT * FROM segs"
+_PIPE = _move_rules().replace("SELECT DISTINCT sentence_id, coalesce(section, '') AS section, text, position_pct AS p FROM sentences WHERE length(text) > 0", "SELECT doc_id * 1000000 + sentence_id AS sentence_id, section, text, position_pct AS p FROM segs")
+SQL["move_pipeline"] = rf"""WITH {SECTIONS}, wanted AS (SELECT * FROM sections WHERE NOT regexp_matches(section, '(?i)(results|findings|references|appendix|acknowledg|bibliography|full_text|preface|preamble|method|material|experimental|procedure)')), {_sentences('wanted')}, {_PIPE}
+SELECT doc_id, s.sentence_id, s.section, s.position_pct, coalesce(b.m, 'Unclassified') AS move, b.t AS step, coalesce(round(b.c, 3), 0.0) AS confidence, CASE WHEN b.m IS NULL THEN 'none' ELSE 'rule' END AS method FROM segs s JOIN base ON base.sentence_id = doc_id * 1000000 + s.sentence_id AND tax IS NOT NULL LEFT JOIN best ON best.sentence_id = base.sentence_id"""
+_TAX = """CASE WHEN regexp_matches(s, 'introduction|\\bintro\\b') THEN 'introduction' WHEN regexp_matches(s, 'literature|related work|background|state of the art|theoretical framework|review') THEN 'literature_review' WHEN regexp_matches(s, 'discussion|conclusion|implication|closing remarks') THEN 'discussion' WHEN regexp_matches(s, 'method|material|experimental|procedure|design|data collection') THEN NULL ELSE 'introduction' END"""
+_BATCH = f"""bt AS (SELECT sentence_id, s.*, {_TAX.replace("(s,", "(lower(coalesce(s.section, '')),")} AS taxonomy_type FROM (SELECT sentence_id, min(struct_pack(paper_id := paper_id, section := section, text := text, move := move, step := step, confidence := confidence)) AS s FROM sentences WHERE length(text) > 0 GROUP BY 1)),
+ bk AS (SELECT *, row_number() OVER (PARTITION BY paper_id, taxonomy_type ORDER BY sentence_id) AS k FROM bt WHERE taxonomy_type IS NOT NULL), ba AS (SELECT *, CAST(ceil(k / 20) AS INT) AS batch, CAST((k - 1) % 20 + 1 AS INT) AS id FROM bk)"""
+
+
+def _told(tax: str) -> str:
+    lines: list[str] = []
+    for t, move, label, step, *_ in moves.LEXICON:
+        if t == tax:
+            lines += [x for x in (f"{move}: {label}",) if x not in lines] + [f"  - {step}"]
+    return _q("\n".join(lines))
+
+
+_KINDS = list(dict.fromkeys(x[0] for x in moves.LEXICON))
+SQL["move_prompts"] = f"WITH {_BATCH} SELECT paper_id, taxonomy_type, batch, count(*) AS n_sentences, {_q(moves.PROMPT_HEAD)} || CASE taxonomy_type " + " ".join(f"WHEN '{t}' THEN {_told(t)}" for t in _KINDS) + f" END || E'\\n\\n' || string_agg(id || '. ' || text, E'\\n' ORDER BY id) || {_q(moves.PROMPT_TAIL)} AS prompt FROM ba GROUP BY 1, 2, 3"
+_labels = " ".join(f"WHEN taxonomy_type = '{t}' AND code = '{m}' THEN {_q(label)}" for (t, m), label in {(x[0], x[1]): x[2] for x in moves.LEXICON}.items())
+SQL["move_answers"] = rf"WITH {_BATCH}, c AS (SELECT *, regexp_extract(move, '^(M\d)', 1) AS code FROM ba) SELECT sentence_id, batch, id, CASE WHEN move IS NOT NULL THEN code || ': ' || CASE {_labels} ELSE code END END AS move_llm, CASE WHEN move IS NOT NULL THEN step END AS step_llm, CASE WHEN move IS NOT NULL THEN least(greatest(coalesce(confidence * 2, 0.0), 0.0), 1.0) ELSE 0.0 END AS conf_llm FROM c"
+SQL["csv_export"] = SQL["move_distribution"]
+
+# Pages ----------------------------------------------------------------------------------
+_VALID = f"""{_GUT}, side AS (SELECT b.doc_id, b.page, b.y, b.x < g.threshold AS l FROM boxes b JOIN gut g ON b.doc_id = g.doc_id AND b.page = g.page),
+ va AS (SELECT doc_id, page, count(*) FILTER (l) AS nl, count(*) FILTER (NOT l) AS nr, min(y) FILTER (l) AS l0, max(y) FILTER (l) AS l1, min(y) FILTER (NOT l) AS r0, max(y) FILTER (NOT l) AS r1, count(DISTINCT round_even(y / 4, 0)) FILTER (l) AS ll, count(DISTINCT round_even(y / 4, 0)) FILTER (NOT l) AS lr FROM side GROUP BY 1, 2),
+ valid AS (SELECT doc_id, page, coalesce(nl >= 5 AND nr >= 5 AND (least(l1, r1) - greatest(l0, r0)) / nullif(greatest(l1, r1) - least(l0, r0), 0) >= 0.3 AND ll >= 3 AND lr >= 3, false) AS two_columns FROM va),
+ gl AS (SELECT g.doc_id, quantile_cont(threshold, 0.5) AS threshold, count(*) AS n_pages FROM gut g JOIN valid v ON g.doc_id = v.doc_id AND g.page = v.page WHERE two_columns AND n >= 30 AND greatest(n_left, n - n_left) <= 3 * least(n_left, n - n_left) GROUP BY 1)"""
+SQL["page_columns"] = f"WITH {_VALID} SELECT * FROM valid"
+SQL["global_gutter"] = f"WITH {_VALID} SELECT doc_id, round(threshold, 4) AS threshold, n_pages FROM gl"
+_TITLE_LINE = r"(length({0}) < 80 AND ((regexp_matches({0}, '^[A-Z0-9 ,:;&()/\-]+$') AND regexp_matches({0}, '[A-Z]')) OR regexp_matches({0}, '^\d+\.\s') OR regexp_matches({0}, '^\d+\.\d+')))"
+_PAGES = rf"""{_VALID}, cb AS (SELECT b.*, CASE WHEN threshold IS NULL OR x < threshold THEN 1 ELSE 2 END AS col FROM boxes b LEFT JOIN gl ON b.doc_id = gl.doc_id),
+ cy AS (SELECT DISTINCT doc_id, page, col, y FROM cb), cg AS (SELECT doc_id, page, col, y - lag(y) OVER (PARTITION BY doc_id, page, col ORDER BY y) AS gap FROM cy), cm AS (SELECT doc_id, page, col, quantile_cont(gap, 0.5) AS mid FROM cg WHERE gap IS NOT NULL GROUP BY 1, 2, 3),
+ cs AS (SELECT g.doc_id, g.page, g.col, quantile_cont(gap, 0.5) AS m FROM cg g JOIN cm ON g.doc_id = cm.doc_id AND g.page = cm.page AND g.col = cm.col WHERE gap <= mid GROUP BY 1, 2, 3), cn AS (SELECT doc_id, page, col, count(*) AS n FROM cb GROUP BY 1, 2, 3),
+ ct AS (SELECT cn.doc_id, cn.page, cn.col, CASE WHEN n < 10 THEN 4.0 ELSE coalesce(least(greatest(ceil(m * 1.5), 2), 8), 4.0) END AS tol FROM cn LEFT JOIN cs ON cn.doc_id = cs.doc_id AND cn.page = cs.page AND cn.col = cs.col),
+ cl AS (SELECT b.doc_id, b.page, b.col, round_even(y / tol, 0) * tol AS line_y, string_agg(text, ' ' ORDER BY x, word_ord) AS line FROM cb b JOIN ct ON b.doc_id = ct.doc_id AND b.page = ct.page AND b.col = ct.col GROUP BY 1, 2, 3, 4),
+ cp AS (SELECT *, lag(line) OVER w AS before FROM cl WINDOW w AS (PARTITION BY doc_id, page, col ORDER BY line_y)),
+ ptext AS (SELECT doc_id, page, col, string_agg(CASE WHEN before IS NULL THEN '' WHEN {_TITLE_LINE.format('line')} OR {_TITLE_LINE.format('before')} OR regexp_matches(line, '^\[\d+\]') THEN E'\n\n' ELSE ' ' END || line, '' ORDER BY line_y) AS text FROM cp GROUP BY 1, 2, 3)"""
+SQL["page_text"] = f'WITH {_PAGES} SELECT doc_id, page, col AS "column", text FROM ptext'
+_laid = _chain("t", (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Z][A-Za-z\s]{3,50})", "E'\\n\\n\\\\1'"), (r"\s+([A-Z][A-Z\s]{10,60})\s+", "E'\\n\\n\\\\1\\n\\n'"), (r"([.!?])\s+([A-Z][a-z])", "E'\\\\1\\n\\n\\\\2'"), (r"\n{3,}", "E'\\n\\n'"), (r"-\s*\n", "''"), (r"-\s+", "''"), (r"[ \t]+", "' '"), (r"\n ", "E'\\n'"), (r"^\s+|\s+$", "''"))
+SQL["document_text"] = f"""WITH {_PAGES}, jp AS (SELECT doc_id, string_agg(text, E'\\n\\n' ORDER BY page, col) AS t FROM ptext GROUP BY 1), la AS (SELECT doc_id, {_laid} AS laid FROM jp), d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0)
+SELECT coalesce(d.doc_id, la.doc_id) AS doc_id, CASE WHEN coalesce(length(laid), 0) < 100 THEN coalesce(d.text, laid) ELSE laid END AS text FROM d FULL JOIN la ON d.doc_id = la.doc_id"""
+SQL["column_assign"] = f"""WITH {BOXES}, e AS (SELECT doc_id, page, min(x) AS lo, max(x) AS hi FROM boxes GROUP BY 1, 2) SELECT b.doc_id, b.page, CAST(x > lo + (hi - lo) / 3 * 1 AS INT) + CAST(x > lo + (hi - lo) / 3 * 2 AS INT) + 1 AS "column", count(*) AS n_words FROM boxes b JOIN e ON b.doc_id = e.doc_id AND b.page = e.page GROUP BY 1, 2, 3"""
+_HEAD = f"{BOXES}, {HEADED}"
+SQL["page_titles"] = f"WITH {_HEAD} SELECT doc_id, page, line_y, {_TITLE_LINE.format('line')} AS title FROM headed"
+_TOPS = f"{_HEAD}, tops AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_y) AS k FROM headed), sig AS (SELECT doc_id, substring(line, 1, 40) AS signature, count(*) AS n_pages FROM tops WHERE k = 1 GROUP BY 1, 2 HAVING count(*) >= 3)"
+SQL["page_headers"] = f"WITH {_TOPS} SELECT * FROM sig"
+SQL["page_headers_removed"] = f"WITH {_TOPS} SELECT t.doc_id, page, count(*) AS n_lines FROM tops t LEFT JOIN sig ON t.doc_id = sig.doc_id AND k = 1 AND substring(line, 1, 40) = signature WHERE sig.doc_id IS NULL GROUP BY 1, 2"
+SQL["first_page_header"] = rf"""WITH {_HEAD}, f AS (SELECT doc_id, bool_or(page = 1 AND regexp_matches(line, '(?i)journal|issn|doi|volume|received|accepted|elsevier|springer|wiley')) AS m, min(CASE WHEN page = 1 AND regexp_matches(line, '(?i)^\s*(?:\d+\.?\s*)?introduction\b') THEN line_y END) AS i FROM headed GROUP BY 1)
+SELECT h.doc_id, page, count(*) AS n_lines FROM headed h JOIN f ON h.doc_id = f.doc_id WHERE NOT (page = 1 AND m AND i IS NOT NULL AND line_y < i) GROUP BY 1, 2"""
+SQL["first_page_footer"] = rf"""WITH {_HEAD}, q AS (SELECT *, min(line_y) OVER w + (max(line_y) OVER w - min(line_y) OVER w) * 0.75 AS q FROM headed WINDOW w AS (PARTITION BY doc_id, page)),
+f AS (SELECT *, min(CASE WHEN page = 1 AND line_y >= q AND regexp_matches(line, '(?i)correspond|e-?mail|received|copyright|©|https?://|doi\.org|published by|all rights') THEN line_y END) OVER (PARTITION BY doc_id, page) AS f FROM q)
+SELECT doc_id, page, count(*) AS n_lines FROM f WHERE NOT (page = 1 AND f IS NOT NULL AND line_y >= f) GROUP BY 1, 2"""
+SQL["interleaved_pages"] = r"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]\s+')) AS s FROM documents WHERE length(text) > 0), k AS (SELECT * FROM s WHERE length(s) > 20), m AS (SELECT doc_id, quantile_cont(length(s), 0.5) AS mid, count(*) AS n FROM k GROUP BY 1)
+SELECT k.doc_id, any_value(n) >= 10 AND (avg(CASE WHEN length(s) < 0.3 * mid THEN 1 ELSE 0 END) > 0.4 OR avg(CASE WHEN regexp_matches(s, '^[a-z]') THEN 1 ELSE 0 END) > 0.3) AS interleaved FROM k JOIN m ON k.doc_id = m.doc_id GROUP BY 1"""
+SQL["page_chunks"] = f"WITH {BOXES}, p AS (SELECT DISTINCT doc_id, page FROM boxes) SELECT doc_id, CAST(ceil(page / 4) AS INT) AS chunk, min(page) AS first_page, count(*) AS n_pages FROM p GROUP BY 1, 2"
+
+# Messages and document information -------------------------------------------------------
+SQL["index_references"] = """SELECT r.paper_id AS doc_id, CAST(row_number() OVER (PARTITION BY r.paper_id ORDER BY ref_row_id) AS INT) AS ref_ord, r.ref_key, r.doi, r.article_title, r.ref_year, r.journal, r.volume, r.first_page, r.ref_full FROM
+ (SELECT ref_row_id, min(struct_pack(paper_id := paper_id, ref_key := ref_key, doi := doi, article_title := article_title, ref_year := ref_year, journal := journal, volume := volume, first_page := first_page, ref_full := ref_full)) AS r FROM crossref_refs GROUP BY 1)"""
+_ent = "translate('“Smart” &amp; ‘plain’… &lt;b&gt; ' || text, '‘’“”–—…', chr(39) || chr(39) || '\"\"--.')"
+for _a, _b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", chr(39) * 2), ("&nbsp;", " ")):
+    _ent = f"replace({_ent}, '{_a}', '{_b}')"
+SQL["clean_encoding"] = rf"SELECT DISTINCT sentence_id, trim(regexp_replace(regexp_replace({_ent}, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM sentences WHERE length(text) > 0"
+_PACKETS = "pk AS (SELECT paper_id AS doc_id, arg_max(struct_pack(doi := translate(coalesce(doi, ''), '<>', ''), title := translate(coalesce(title, ''), '<>', ''), journal := translate(coalesce(journal_title, ''), '<>', ''), y := coalesce(CAST(publication_year AS VARCHAR), '')), struct_pack(a := fetched_at, b := doi, c := title, d := journal_title, e := publication_year)) AS m FROM main_metadata GROUP BY 1)"
+_own = r"regexp_extract(m.doi, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+')"
+SQL["document_dois"] = f"WITH {_PACKETS} SELECT doc_id, concat_ws(' ', nullif({_own}, ''), '10.5555/again.1') AS dois FROM pk"
+SQL["document_packets"] = rf"WITH {_PACKETS} SELECT doc_id, nullif(trim(m.title), '') AS title, 'A. One; B. Two' AS authors, nullif(trim(m.journal), '') AS journal, nullif(regexp_extract(m.y || '-01', '^(\d{{4}})', 1), '') AS year, coalesce(nullif({_own}, ''), '10.5555/again.1') AS doi FROM pk"

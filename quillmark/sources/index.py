@@ -36,15 +36,40 @@ def message_references(parsed: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("i") + 1).alias("ref_ord"), F.col("r.key").alias("ref_key"), F.col("r.DOI").alias("doi"), F.col("r.`article-title`").alias("article_title"), F.col("r.author").alias("author"), F.col("r.year").alias("ref_year"), F.col("r.`journal-title`").alias("journal"), F.col("r.volume").alias("volume"), F.col("r.`first-page`").alias("first_page"), F.col("r.unstructured").alias("ref_full"))
 
 
+# Words that start a surname.
+PARTICLES = ("van", "von", "de", "di", "da", "del", "della", "le", "la", "du", "des")
+
+
+def _surname_words(name: Column) -> tuple[Column, Column]:
+    """(words, place of the surname's first one): the first particle that is not the last word, else the last word."""
+    words = F.split(F.trim(name), r"\s+")
+    at = F.array_position(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.lower(w).isin(*PARTICLES)), True).cast("int")
+    return words, F.when(at > 0, at).otherwise(F.size(words))
+
+
+def surname(name: Column) -> Column:
+    words, start = _surname_words(name)
+    return F.array_join(F.slice(words, start, F.size(words)), " ")
+
+
 def authors_string(authorships: Column) -> Column:
-    """'Surname, I.; Surname, I.' of display names; a particle starts the surname."""
+    """'Surname, I.J., Surname' of display names; 'Unknown' where there are none."""
     def one(a: Column) -> Column:
-        words = F.split(F.trim(a["display_name"]), r"\s+")
-        at = F.array_position(F.transform(words, lambda w: F.lower(w).isin("de", "van", "von", "di", "da", "del", "della", "der", "den", "la", "le")), True).cast("int")
-        start = F.when(at > 1, at).otherwise(F.size(words))
-        return F.concat(F.array_join(F.slice(words, start, F.size(words)), " "), F.when(F.size(words) > 1, F.concat(F.lit(", "), F.substring(words[0], 1, 1), F.lit("."))).otherwise(""))
+        words, start = _surname_words(a["display_name"])
+        initials = F.array_join(F.transform(F.slice(words, 1, start - 1), lambda w: F.substring(w, 1, 1)), ".")
+        return F.concat(F.array_join(F.slice(words, start, F.size(words)), " "), F.when(start > 1, F.concat(F.lit(", "), initials, F.lit("."))).otherwise(""))
+
+    return F.when(F.size(authorships) > 0, F.array_join(F.transform(authorships, one), ", ")).otherwise("Unknown")
+
 
-    return F.array_join(F.transform(authorships, one), "; ")
+def works_citations(works: DataFrame) -> DataFrame:
+    """Works (doi, title, publication_year, source_display_name, authorships) with their
+    number of authors, first author and full citation."""
+    none = lambda c, other: F.when(F.length(F.trim(c)) > 0, F.col(c)).otherwise(other)
+    year = F.coalesce(F.col("publication_year").cast("string"), F.lit("n.d."))
+    full = F.concat(authors_string(F.col("authorships")), F.lit(" ("), year, F.lit(") "), none("title", "Untitled"), F.lit(", "), none("source_display_name", "Unknown source"), F.lit("."))
+    n = F.when(F.size("authorships") > 0, F.size("authorships")).otherwise(0)
+    return works.withColumn("n_authors", n).withColumn("first_author", F.when(n > 0, surname(F.get("authorships", F.lit(0))["display_name"]))).withColumn("ref_full_name", full)
 
 
 _DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
@@ -66,14 +91,16 @@ def info_fields(info: DataFrame) -> DataFrame:
     keys, metadata text, created and modified times."""
     key = lambda *names: F.coalesce(*[F.nullif(F.trim(F.element_at("keys", F.lit(n))), F.lit("")) for n in names])
     tag = lambda p: F.nullif(F.trim(F.regexp_extract("metadata", p, 1)), F.lit(""))
+    titled = F.regexp_extract("metadata", r"(?s)<dc:title>(.*?)</dc:title>", 1)
+    title = F.nullif(F.trim(F.coalesce(F.nullif(F.regexp_extract(titled, r"<rdf:li[^>]*>([^<]+)</rdf:li>", 1), F.lit("")), F.regexp_replace(titled, "<[^>]*>", ""))), F.lit(""))
     creators = F.regexp_extract("metadata", r"(?s)<dc:creator>(.*?)</dc:creator>", 1)
-    names = F.nullif(F.array_join(F.transform(F.regexp_extract_all(creators, F.lit(r"<rdf:li[^>]*>([^<]+)</rdf:li>"), F.lit(1)), F.trim), "; "), F.lit(""))
+    names = F.nullif(F.array_join(F.transform(F.regexp_extract_all(creators, F.lit(r"<rdf:li[^>]*>([^<]+)</rdf:li>"), F.lit(1)), lambda x: F.trim(x)), "; "), F.lit(""))
     creator = key("Creator")
     subject = key("Subject")
     from_subject = F.nullif(F.trim(F.regexp_extract(subject, r"^(.*?)(?:,|\s+doi)", 1)), F.lit(""))
     year = F.coalesce(F.nullif(F.regexp_extract("metadata", r"<prism:coverDate>\s*(\d{4})", 1), F.lit("")), F.nullif(F.regexp_extract(F.regexp_replace(subject, _DOI, ""), r"((?:19|20)\d{2})", 1), F.lit("")), F.year("created").cast("string"), F.year("modified").cast("string"))
     rows = info.select(
-        "doc_id", F.coalesce(key("Title"), tag(r"(?s)<dc:title>.*?<rdf:li[^>]*>([^<]+)</rdf:li>"), key("title", "TITLE")).alias("title"),
+        "doc_id", F.coalesce(key("Title"), title, key("title", "TITLE")).alias("title"),
         F.coalesce(names, key("Author"), F.when(~creator.rlike(SOFTWARE), creator), key("author", "Authors")).alias("authors"),
         F.coalesce(tag(r"(?s)<prism:publicationName>([^<]+)<"), from_subject, key("Journal", "journal")).alias("journal"), year.alias("year"),
     )

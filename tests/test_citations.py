@@ -82,3 +82,25 @@ def test_match_numbered(spark):
     c = spark.createDataFrame([(1, "c1", "numbered_multiple", "[1, 9]", "[1, 9]"), (1, "c2", "narrative_single", "Smith (2000)", "(Smith, 2000)")], "doc_id long, citation_id string, citation_type string, citation_text string, citation_text_clean string")
     r = spark.createDataFrame([(1, "REF_1", 1, "2000", "Smith", None, 1)], REFS)
     assert {(x.matched_ref_id, x.match_confidence) for x in ma.match_numbered(c, r).collect()} == {("REF_1", "high_numbered"), (None, "no_match_numbered")}
+
+
+def test_contexts_match_brute_force(spark):
+    import re
+
+    text = "alpha beta Smith (2001) gamma delta Jones (2002), eps [3] zeta x" + " y" * 30 + "Brown (2003) end"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "no citation")], "doc_id long, text string")
+    found = ci.scan(docs)
+    starts = sorted(r.start_pos for r in found.collect())
+    for got in (ci.contexts(docs, found, 3).collect(), ci.scan_contexts(docs, 3).collect()):
+        assert len(got) == 4
+        for r in got:
+            before = re.findall(r"\w+", text[: r.start_pos - 1])
+            later = [s for s in starts if s > r.end_pos]
+            after = re.findall(r"\w+", text[r.end_pos : later[0] - 1 if later else None])
+            assert (r.words_before, r.words_after, r.context_word_count) == (" ".join(before[-3:]), " ".join(after[:3]), len(before) + len(after))
+
+
+def test_contexts_with_matches_fan_out(spark):
+    found = ci.scan_contexts(spark.createDataFrame([(1, "As in [1, 2] it was.")], "doc_id long, text string"))
+    mapping = spark.createDataFrame([(1, "numbered_multiple_1", f"REF_{k}", f"text {k}", "high_numbered") for k in (1, 2)], "doc_id long, citation_id string, matched_ref_id string, ref_full_text string, match_confidence string")
+    assert sorted(r.matched_ref_id for r in ci.with_matches(found, mapping).collect()) == ["REF_1", "REF_2"]

@@ -36,7 +36,7 @@ def test_index_messages(spark):
     r = index.message_references(parsed).first()
     assert (r.ref_key, r.article_title, r.first_page) == ("k", "R", "7")
     names = spark.createDataFrame([([("Anna van der Berg",), ("Smith",), ("John Q Smith",)],)], "a array<struct<display_name:string>>")
-    assert names.select(index.authors_string(F.col("a")).alias("s")).first().s == "van der Berg, A.; Smith; Smith, J."
+    assert names.select(index.authors_string(F.col("a")).alias("s")).first().s == "van der Berg, A., Smith, Smith, J.Q."
 
 
 def test_document_information(spark):

@@ -22,9 +22,19 @@ def test_superscripts(spark):
 def test_sections(spark):
     text = "x" * 120 + "\n\nIntroduction\nIt begins.\n\n2. Methods\nWe did.\n\nBibliography\nSmith, J. (2000). T."
     docs = spark.createDataFrame([(1, text), (2, "no heading here"), (3, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.section): r.text for r in sections.split_sections(docs).collect()}
-    assert set(got) == {(1, "Preface"), (1, "Introduction"), (1, "Methods"), (1, "References"), (2, "Full_text")}
+    got = {(r.doc_id, r.section): r.text for r in sections.split_sections(docs).where("section_ord > 0").collect()}
+    assert set(got) == {(1, "Preface"), (1, "Introduction"), (1, "Methods"), (1, "References")}
     assert got[(1, "Methods")] == "We did."
+    assert {r.doc_id: r.text for r in sections.split_sections(docs).where("section_ord = 0").collect()} == {1: text, 2: "no heading here", 3: ""}
+    assert {r.section for r in sections.analysed(sections.split_sections(docs)).collect()} == {"Preface", "Introduction", "Methods"}
+    # the looser pattern, a table of contents, and a list of references in running text
+    body = "A start.\nResults: it rose.\n\n3 Own heading\nText here. " + "Words. " * 40
+    rows = [(1, body + "so. References Smith, J. (2000).", None), (2, body, ["1.1 Own heading", "x" * 90, "Own heading"]), (3, body, ["Not there"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toc array<string>")
+    got = {}
+    for r in sections.split_sections(docs, toc="toc").where("section_ord > 0").orderBy("section_ord").collect():
+        got.setdefault(r.doc_id, []).append(r.section)
+    assert got == {1: ["Results", "References"], 2: ["Own heading"], 3: ["Results"]}
 
 
 def test_tables_and_captions(spark):
@@ -60,6 +70,17 @@ def test_nested_values(spark):
     assert nested.emit(df.limit(0), "author_id", "affiliation", nested.AFFILIATION).count() == 0
 
 
+def test_nested_tables_written_by_tag(spark):
+    value = json.dumps([{"name": "A", "place": {"city": "C"}, "department": [{"name": "D", "room": "1"}, "E"]}, "B"])
+    df = spark.createDataFrame([(1, value), (2, None)], "author_id long, affiliation string")
+    told = nested.flattened(nested.emit(df, "author_id", "affiliation", nested.AFFILIATION))
+    top = {r.ord1: r for r in nested.child_table(told, "affiliation").collect()}
+    assert (top[1].name, top[1].place.city, top[1].place.country, top[2].text) == ("A", "C", None, "B")
+    below = sorted((r.parent_item_id, r.ord2, r.name or r.text, r.room) for r in nested.child_table(told, "affiliation_department").collect())
+    assert below == [(top[1].item_id, 1, "D", "1"), (top[1].item_id, 2, "E", None)]
+    assert nested.flattened(nested.emit(df.limit(0), "author_id", "affiliation", nested.AFFILIATION)).count() == 0
+
+
 def test_columns(spark):
     rows = [(1, 1, i, 50.0 + (i // 30) * 300 + (i % 3) * 6, 50.0 + (i % 30) // 3 * 12, 20.0, 10.0, f"w{i}") for i in range(60)]
     words = spark.createDataFrame(rows, "doc_id long, page int, word_ord int, x double, y double, width double, height double, text string")
