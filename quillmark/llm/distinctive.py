@@ -3,8 +3,10 @@
 Over the records of a collection a term's count comes from one of two Poisson
 components, a low one (mentioned in passing) and an elite one (the record is
 about it). The mixture is fitted by expectation-maximisation on the term's
-frequency histogram; an occurrence count is scored by the posterior of the elite
-component, as log odds, which order as the posterior does but do not saturate.
+frequency histogram; an occurrence count is scored by the posterior probability of
+the elite component. Where a term is absent from most records the low mean goes to
+0 and that posterior is 1 from the first occurrence on, so terms are ranked by the
+posterior times the count times minus the logarithm of the elite component's share.
 """
 
 from __future__ import annotations

@@ -2,9 +2,10 @@
 
 Merge and rematch: names with the same signature are one profile; profiles share
 a block when their spellings do up to one slip; within a block every profile is
-tied to the block's leading profile of the same given name (never pair by pair).
-Merged profiles union their spellings, given names and initials and enter the
-blocks again, until a round merges nothing.
+tied to the block's leading profile of the same given name, those it refuses to the
+next leader (never pair by pair). Merged profiles union their spellings, given names
+and initials and enter the blocks again, with all that stand there, until a round
+merges nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ NICKNAMES = {
     "matilda": "mattie tilda", "nicholas": "nick klaus nico", "oliver": "olli ollie", "patricia": "pat trish patty", "quentin": "quin", "richard": "dick rick ricky", "robert": "rob bob bobby", "susanna": "sue suzy",
     "theodore": "ted theo teddy", "ulrike": "uli", "veronica": "ronnie vera", "william": "bill will liam billy", "yolanda": "yola", "zacharias": "zach zak",
 }
-PARTICLES = frozenset("de la del der den van von di da du le ten ter vno".split())
+PARTICLES = frozenset("de la del der den van von di da du le ten ter".split())
 SUFFIX = re.compile(r"(?:,?\s*(?:\(eds?\.?\)|\bjr\b\.?|\bsr\b\.?|\bph\.?\s?d\b\.?|\bm\.?d\b\.$|\biii?\b))+\s*$", re.I)
 ORGANISATION = {
     "inst": "institute", "ins": "institute", "assoc": "association", "ass": "association", "cen": "centre", "com": "commission", "labor": "laboratory", "lab": "laboratory", "center": "centre", "ctr": "centre", "comm": "commission", "univ": "university", "soc": "society", "sci": "science", "text": "textile", "hist": "history", "med": "medicine",
@@ -243,41 +244,66 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return roots
 
 
-def _letters_differ(a: str, b: str):
+def _one_slip(a, b):
     """Two spellings within one slip: a letter more, less or other, or two exchanged."""
     same = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     d = F.levenshtein(a, b, 2)
-    return (d >= 0) & ((d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & (same(F.col(a)) == same(F.col(b)))))
+    return (d >= 0) & ((d <= 1) | ((d == 2) & (F.length(a) == F.length(b)) & (same(a) == same(b))))
 
 
-def round_edges(profiles: DataFrame) -> DataFrame:
-    """(a, b): profiles to merge, each with the leader of its block.
+def _any_slip(a: str, b: str):
+    """Whether any two spellings of two arrays are within one slip."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: _one_slip(x, y)))
 
-    ``profiles``: (pid, spellings, formals, initials, n). A block is a spelling
-    with at most one letter left out and the first initial. In it, profiles with
-    the same formal given name follow the largest of them; profiles of initials
-    only follow the one formal name there that agrees with their initials; where
-    several do or none, those with equal initials follow their largest.
-    """
-    spelled = profiles.select("pid", "n", "formals", "initials", F.explode("spellings").alias("s")).where(F.length("s") >= 3)
+
+def blocks(profiles: DataFrame) -> DataFrame:
+    """(pid, s, h): the blocks of each spelling of a profile: the spelling, with at most
+    one letter left out (short ones only as they are), and a first initial."""
+    spelled = profiles.select("pid", "initials", F.explode("spellings").alias("s"))
     left_out = F.when(F.length("s") >= 5, F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.concat(F.col("s").substr(F.lit(1), i - 1), F.col("s").substr(i + 1, F.length("s"))))).otherwise(F.array().cast("array<string>"))
-    keys = spelled.select("pid", "n", "formals", "initials", "s", F.explode(F.array_distinct(F.concat(F.array("s"), left_out))).alias("key")).select("*", F.explode(F.array_distinct(F.transform("initials", lambda i: F.substring(i, 1, 1)))).alias("first"))
-    keys = keys.where(F.length("first") > 0)
-    lead = F.max(F.struct("n", F.col("pid"), "s")).alias("lead")
-    named = keys.select("pid", "n", "s", "key", "first", "initials", F.explode("formals").alias("formal"))
-    leaders = named.groupBy("key", "first", "formal").agg(lead, F.array_distinct(F.flatten(F.collect_set("initials"))).alias("all_initials"))
-    by_name = named.join(leaders.select("key", "first", "formal", "lead"), ["key", "first", "formal"])
-    bare = keys.where(F.size("formals") == 0)
-    per_block = leaders.groupBy("key", "first").agg(F.collect_list(F.struct("lead", "all_initials")).alias("leaders"))
+    firsts = F.filter(F.array_distinct(F.transform("initials", lambda i: F.substring(i, 1, 1))), lambda i: F.length(i) > 0)
+    told = spelled.select("pid", "s", F.array_distinct(F.concat(F.array("s"), left_out)).alias("keys"), F.explode(firsts).alias("first"))
+    return told.select("pid", "s", "first", F.explode("keys").alias("key")).select("pid", "s", F.xxhash64("key", "first").alias("h"))
+
+
+def _led(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): members (pid, n, spelled) of each group tied to the group's largest one,
+    those without a spelling within a slip of one of its to the largest among
+    themselves, and so on until all are tied or alone."""
+    out, left = None, rows
+    while True:
+        leaders = left.groupBy(*by).agg(F.max(F.struct("n", "pid", "spelled")).alias("lead"))
+        both = left.join(leaders, by).where(F.col("pid") != F.col("lead.pid")).withColumns({"b": F.col("lead.pid"), "t": F.col("lead.spelled")})
+        told = written(both.select(*by, "pid", "n", "spelled", "b", _any_slip("spelled", "t").alias("tied")), "name-led")
+        tied = told.where("tied").select(F.col("pid").alias("a"), "b")
+        out = tied if out is None else out.unionByName(tied)
+        left = told.where("not tied").select(*by, "pid", "n", "spelled")
+        if not left.limit(1).count():
+            return out.distinct()
+
+
+def round_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): profiles to merge, each with a leader of its block.
+
+    ``rows``: (pid, n, formals, initials, spelled, h), the members of blocks with
+    their spellings there. In a block, profiles with the same formal given name follow
+    the largest of them; profiles of initials only follow the one formal name there
+    that agrees with their initials; where several do or none, those with equal
+    initials follow their largest.
+    """
+    named = rows.where(F.size("formals") > 0).select("pid", "n", "spelled", "h", "initials", F.explode("formals").alias("formal"))
+    bare = rows.where(F.size("formals") == 0).select("pid", "n", "spelled", "h", "initials")
+    leaders = named.groupBy("h", "formal").agg(F.max(F.struct("n", "pid", "spelled")).alias("lead"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("all_initials"))
+    # only blocks that have a bare member
+    per_block = leaders.join(bare.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.collect_list(F.struct("lead", "all_initials")).alias("leaders"))
     # the middle initial must not contradict
     agrees = lambda mine, theirs: F.exists(mine, lambda m: F.exists(theirs, lambda t: m.startswith(t) | t.startswith(m)))
-    fitting = bare.join(per_block, ["key", "first"], "left").withColumn("fits", F.filter(F.coalesce("leaders", F.expr("array()")), lambda x: agrees(F.col("initials"), x["all_initials"])))
-    alone = fitting.where(F.size("fits") == 1).select("pid", "s", F.get("fits", F.lit(0))["lead"].alias("lead"))
-    exploded = fitting.where(F.size("fits") != 1).select("pid", "n", "s", "key", F.explode("initials").alias("i"))
-    peers = exploded.join(exploded.groupBy("key", "i").agg(lead), ["key", "i"])
-    every = by_name.select("pid", "s", "lead").unionByName(alone).unionByName(peers.select("pid", "s", "lead"))
-    pairs = every.select("pid", "s", F.col("lead.pid").alias("b"), F.col("lead.s").alias("t")).where("pid <> b").distinct()
-    return pairs.where(_letters_differ("s", "t")).select(F.col("pid").alias("a"), "b").distinct()
+    # a merged profile may lead by several given names, it is one
+    fits = F.array_distinct(F.transform(F.filter(F.coalesce("leaders", F.expr("array()")), lambda x: agrees(F.col("initials"), x["all_initials"])), lambda x: F.struct(x["lead"]["pid"].alias("pid"), x["lead"]["spelled"].alias("t"))))
+    fitting = written(bare.join(per_block, "h", "left").select("pid", "n", "spelled", "h", "initials", fits.alias("fits")), "name-bare")
+    alone = fitting.where(F.size("fits") == 1).select(F.col("pid").alias("a"), "spelled", F.get("fits", F.lit(0))["pid"].alias("b"), F.get("fits", F.lit(0))["t"].alias("t")).where("a <> b").where(_any_slip("spelled", "t")).select("a", "b")
+    peers = _led(fitting.where(F.size("fits") != 1).select("pid", "n", "spelled", "h", F.explode("initials").alias("i")), ["h", "i"])
+    return _led(named.select("pid", "n", "spelled", "h", "formal"), ["h", "formal"]).unionByName(alone).unionByName(peers).distinct()
 
 
 def merged(profiles: DataFrame, roots: DataFrame) -> DataFrame:
@@ -287,13 +313,13 @@ def merged(profiles: DataFrame, roots: DataFrame) -> DataFrame:
     return tied.groupBy("pid").agg(union("spellings"), union("formals"), union("initials"), F.sum("n").alias("n"))
 
 
-def entities(authors: DataFrame, citations: DataFrame, most_rounds: int = 10) -> DataFrame:
+def entities(authors: DataFrame, citations: DataFrame) -> DataFrame:
     """(rec_id, is_author, entity) of every record that names someone.
 
     Records without a usable name are left out. Equal rows are one record; ties
     for a block's leader go to the larger number of rows, then the larger id.
-    Rounds end when one merges nothing (``most_rounds`` guards against a defect
-    only; a profile can merge finitely often).
+    Rounds end when one merges nothing, which they do, as each merge leaves fewer
+    profiles. After the first, only blocks that a merged profile enters are looked at.
     """
     names = written(typed_names(authors, citations), "names")
     forms = signatures(names, frequent_given(authors))
@@ -308,18 +334,42 @@ def entities(authors: DataFrame, citations: DataFrame, most_rounds: int = 10) ->
     own = written(profiles.select(F.col("pid").alias("form"), "pid"), "name-members")
     # one identifier, one person
     holders = records.where(F.col("orcid").isNotNull()).select("orcid", "pid").distinct()
-    edges = holders.join(holders.groupBy("orcid").agg(F.min("pid").alias("b")), "orcid").select(F.col("pid").alias("a"), "b").where("a <> b")
-    for k in range(most_rounds):
-        edges = written(edges if k == 0 else round_edges(profiles), "name-edges")
+    edges = written(holders.join(holders.groupBy("orcid").agg(F.min("pid").alias("b")), "orcid").select(F.col("pid").alias("a"), "b").where("a <> b"), "name-edges")
+    at_first = None  # the blocks of all profiles before any round
+    while True:
+        changed = None
         if edges.limit(1).count():
             roots = components(edges, "name-roots")
             profiles = written(merged(profiles, roots), "name-profiles")
             own = written(own.join(roots.withColumnRenamed("a", "pid"), "pid", "left").select("form", F.coalesce("root", "pid").alias("pid")), "name-members")
-        elif k:
+            changed = roots.select(F.col("root").alias("pid")).distinct()
+        elif at_first is not None:
             break
+        if at_first is None:
+            at_first = written(blocks(profiles).withColumnRenamed("pid", "form"), "name-blocks")
+            entered = at_first.withColumnRenamed("form", "pid")
+        else:
+            new = written(blocks(profiles.join(changed, "pid")), "name-new-blocks")
+            touched = new.select("h").distinct()
+            # what stood there, under its present profile
+            stood = at_first.join(touched, "h", "left_semi").join(own, "form").select("pid", "s", "h")
+            entered = written(stood.unionByName(new), "name-entered")
+        # a block of one profile ties nothing
+        crowded = entered.groupBy("h").agg(F.min("pid").alias("x"), F.max("pid").alias("y")).where("x <> y").select("h")
+        there = entered.join(crowded, "h", "left_semi").groupBy("pid", "h").agg(F.array_sort(F.collect_set("s")).alias("spelled"))
+        rows = written(there.join(profiles.select("pid", "n", "formals", "initials"), "pid"), "name-rows")
+        edges = written(round_edges(rows), "name-edges")
     return records.join(own.withColumnRenamed("pid", "entity"), records["pid"] == own["form"]).select("rec_id", "is_author", "entity").distinct()
 
 
+def sizes(found: DataFrame) -> DataFrame:
+    """``found`` with the number of links of each record: to the other author records of
+    its entity, and from these to its citation records."""
+    n = found.groupBy("entity").agg(F.sum(F.col("is_author").cast("bigint")).alias("a"), F.sum((~F.col("is_author")).cast("bigint")).alias("c"))
+    linked_ = F.when(F.col("is_author"), F.col("a") - 1 + F.col("c")).otherwise(F.col("a"))
+    return found.join(n, "entity").select("rec_id", "is_author", "entity", linked_.alias("n_links"))
+
+
 def linked(found: DataFrame) -> DataFrame:
     """(rec_a, rec_b): author records of one entity, and its author and citation records."""
     a = found.where("is_author").select(F.col("rec_id").alias("x"), "entity")

@@ -23,11 +23,11 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.entities(load(spark, sf_dir, "authors"), load(spark, sf_dir, "matched_citations"))
+    return names.sizes(names.entities(load(spark, sf_dir, "authors"), load(spark, sf_dir, "matched_citations")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.linked(p2_entities(spark, sf_dir))
+    return names.linked(names.entities(load(spark, sf_dir, "authors"), load(spark, sf_dir, "matched_citations")))
 
 
 def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

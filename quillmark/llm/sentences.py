@@ -2,10 +2,11 @@
 
 Spaced scripts: every run of terminators is a node; abbreviations, numbers,
 quotations, brackets and page furniture decide which nodes end a unit. Scripts
-without spaces between words: ideographic terminators, and for Thai, which has
-none, each gap is classified through the final words before it and the opening
-words after it, found on the best path of a dictionary word lattice. The opening
-and final words are learned from the starts and ends of the corpus's own rows.
+without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese):
+their terminators, and each gap is classified through the final words before it and
+the opening words after it, found on the best path of a dictionary word lattice
+through the whole runs on both sides. The opening and final words are learned from
+the starts and ends of the corpus's own rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ MAY = frozenset("al jr co ltd inc corp a.m p.m etc usw bros".split())
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 # Signs that scanning puts in place of letters.
 SLIPS = str.maketrans("0159†âôîûê", "olsgtaoiue")
-THAI = re.compile(r"[฀-๿]")
+# Scripts without spaces: those without terminators (Thai, Lao), and all of them.
+UNMARKED = re.compile(r"[\u0e00-\u0eff]")
+SPACELESS = {"thai": "\u0e00-\u0e7f", "lao": "\u0e80-\u0eff", "tibetan": "\u0f00-\u0f0c\u0f13-\u0fff", "burmese": "\u1000-\u1049\u104c-\u109f", "khmer": "\u1780-\u17d3\u17d6-\u17ff", "han": "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"}
+_CLASS = "[" + "".join(SPACELESS.values()) + "]"
+RUN = re.compile(_CLASS + "+")
+HAN_FINALS = ("だ", "です", "ます", "でした", "ました", "た", "か", "よ", "ね", "了", "吗", "呢", "吧", "啊")
 THAI_CONNECTORS = ("และ", "หรือ", "แต่", "ที่", "ซึ่ง", "ของ", "ใน", "จาก", "โดย", "กับ", "เพื่อ", "เพราะ", "ว่า", "ให้", "แล้ว", "ก็", "จึง", "ถึง", "ด้วย", "เป็น")
 THAI_FINALS = ("ฯ", "ครับ", "ค่ะ", "คะ", "นะ", "จ้ะ", "แล้ว", "เลย")
 # Lines of page furniture: numbers, running heads.
@@ -74,20 +80,23 @@ class Gaps:
     """Classifier of gaps between runs of a script without spaces."""
 
     def __init__(self, opening: dict[str, int], final: dict[str, int]):
-        self.opening, self.final = set(opening), set(final) | set(THAI_FINALS)
+        self.opening, self.final = set(opening), set(final) | set(THAI_FINALS) | set(HAN_FINALS)
         self.learned = bool(opening and final)
-        words = {w: 1.0 for w in (*THAI_CONNECTORS, *THAI_FINALS)}
+        words = {w: 1.0 for w in (*THAI_CONNECTORS, *THAI_FINALS, *HAN_FINALS)}
         for own in (opening, final):
             for w, n in own.items():
                 words[w] = words.get(w, 0.0) + n
         self.lattice = Lattice(words)
 
     def ends(self, before: str, after: str) -> bool:
-        """Whether a unit ends between these two runs."""
-        first = self.lattice.path(after[:60])[0]
-        last = self.lattice.path(before[-60:])[-1]
+        """Whether a unit ends between these two runs: in scripts without terminators at
+        a final or an opening word, in the others, where a gap without one is rare, at both."""
+        first = self.lattice.path(after)[0]
+        last = self.lattice.path(before)[-1]
         if first in THAI_CONNECTORS and first not in self.opening:
             return False
+        if not UNMARKED.match(after):
+            return last in self.final and first in self.opening
         return not self.learned or last in self.final or first in self.opening
 
 
@@ -142,7 +151,7 @@ def units(text: str, gaps: Gaps) -> list[tuple[int, int]]:
         if _ends(masked, a, b, e, n, start, inside):
             cuts.append(e)
             start = n
-    if THAI.search(masked):
+    if RUN.search(masked):
         cuts = _with_gaps(masked, cuts, pairs, gaps)
     out, begin = [], 0
     for cut in [*cuts, size]:
@@ -211,39 +220,43 @@ def _short(token: str, text: str, lead: int) -> bool:
 
 def _with_gaps(text: str, cuts: list[int], pairs: list[tuple[int, int]], gaps: Gaps) -> list[int]:
     known = set(cuts)
+    runs = {m.start(): m.group() for m in RUN.finditer(text)}
+    ends = {start + len(run): run for start, run in runs.items()}
     for m in re.finditer(r"\s+", text):
         a, b = m.span()
-        if a == 0 or b == len(text) or a in known or not THAI.match(text[b]):
+        if a == 0 or a in known or b not in runs or MARK in text[a - 1 : b + 1]:
             continue
-        if not (THAI.match(text[a - 1]) or text[a - 1].isdigit()) or MARK in text[a - 1 : b + 1]:
+        digits = re.search(r"[\d.,%]*\Z", text[max(0, a - 40) : a]).group()
+        left = ends.get(a - len(digits), "")
+        if not left and not digits[-1:].isdigit() or any(p[0] < a < p[1] for p in pairs):
             continue
-        if any(p[0] < a < p[1] for p in pairs):
+        if digits and not UNMARKED.match(text[b]):
             continue
-        left = re.search(r"[฀-๿]*[\d.,%]*\Z", text[max(0, a - 60) : a]).group()
-        right = re.match(r"[฀-๿]+", text[b : b + 60]).group()
-        if left[-1:].isdigit() or gaps.ends(left, right):
+        if digits[-1:].isdigit() or not digits and gaps.ends(left, runs[b]):
             known.add(a)
     return sorted(known)
 
 
-#: Least rows that begin (end) with an opening (final) word, least share of them, most words kept.
-LEAST_ROWS, LEAST_SHARE, MOST_WORDS = 5, 0.002, 20_000
+#: Least rows that begin (end) with an opening (final) word, least share of their script's
+#: rows, and the words' letters. A row has one word of each length at either end, so no
+#: script has more than 18 / LEAST_SHARE = 9,000 words of a kind, however many rows there are.
+LEAST_ROWS, LEAST_SHARE, LETTERS = 5, 0.002, (3, 20)
 
 
 def learned_words(rows: DataFrame, text: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Opening and final words: strings with which many distinct rows of Thai
-    script begin and end. At most ``MOST_WORDS`` of each reach the driver."""
-    thai = r"[฀-๿]"
-    own = rows.where(F.col(text).rlike(thai)).select(F.regexp_extract(text, rf"^\s*({thai}+)", 1).alias("a"), F.regexp_extract(text, rf"({thai}+)[\d.,%\s?!]*$", 1).alias("b")).distinct()
-    sizes = F.sequence(F.lit(3), F.lit(20))
-    parts = own.select(F.explode(F.concat(F.transform(F.filter(sizes, lambda n: n <= F.length("a")), lambda n: F.struct(F.lit("a").alias("end"), F.col("a").substr(F.lit(1), n).alias("w"))), F.transform(F.filter(sizes, lambda n: n <= F.length("b")), lambda n: F.struct(F.lit("b").alias("end"), F.expr("right(b, 99)").substr(F.length("b") - n + 1, n).alias("w"))))).alias("x"))
-    counted = parts.groupBy("x.end", "x.w").count()
-    total = own.count()
+    """Opening and final words: strings with which many distinct rows of a script
+    without spaces begin and end."""
     found: dict[str, dict[str, int]] = {"a": {}, "b": {}}
-    for end in found:
-        least = max(LEAST_ROWS, LEAST_SHARE * total)
-        for r in counted.where((F.col("end") == end) & (F.col("count") >= least)).orderBy(F.desc("count"), "w").limit(MOST_WORDS).collect():
-            found[end][r["w"]] = r["count"]
+    written_so = rows.where(F.col(text).rlike(_CLASS))
+    script = F.coalesce(*[F.when(F.col(text).rlike(f"[{c}]"), name) for name, c in SPACELESS.items()])
+    own = written_so.select(script.alias("script"), F.regexp_extract(text, rf"^\s*({_CLASS}+)", 1).alias("a"), F.regexp_extract(text, rf"({_CLASS}+)[\d.,%\s?!{STRONG}]*$", 1).alias("b")).distinct()
+    sizes = F.sequence(F.lit(LETTERS[0]), F.lit(LETTERS[1]))
+    words = lambda c, start: F.transform(F.filter(sizes, lambda n: n <= F.length(c)), lambda n: F.struct(F.lit(c).alias("end"), F.col(c).substr(start(n), n).alias("w")))
+    parts = own.select("script", F.explode(F.concat(words("a", lambda n: F.lit(1)), words("b", lambda n: F.length("b") - n + 1))).alias("x"))
+    total = own.groupBy("script").agg(F.count("*").alias("total"))
+    many = parts.groupBy("script", "x.end", "x.w").count().join(F.broadcast(total), "script").where((F.col("count") >= LEAST_ROWS) & (F.col("count") >= LEAST_SHARE * F.col("total")))
+    for r in many.collect():
+        found[r["end"]][r["w"]] = r["count"]
     return found["a"], found["b"]
 
 

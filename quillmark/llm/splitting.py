@@ -85,16 +85,15 @@ def cut(at: np.ndarray, cls: np.ndarray, limit: int, overlap: int) -> tuple[np.n
     rows = np.arange(len(at))
     end = greedy_ends(at, cls, rows, limit, limit // 2)
     end = np.where(at[rows] + limit >= at[last], last, end)
-    # The next piece starts at a natural boundary within the overlap, else at the nearest word boundary there.
-    low = np.searchsorted(at, at[end] - overlap, side="left")
-    nxt = np.maximum(low, rows + 1)
+    # The next piece starts at the last word boundary that shares the overlap, or at a
+    # natural one that shares up to twice as much; it must reach beyond this one.
+    nxt = np.searchsorted(at, at[end] - overlap, side="right") - 1
     natural = np.flatnonzero(cls >= SENTENCE)
     if len(natural):
-        k = np.searchsorted(natural, nxt, side="left")
-        found = natural[np.minimum(k, len(natural) - 1)]
-        good = (k < len(natural)) & (found <= end) & (found >= nxt)
-        nxt = np.where(good, found, nxt)
-    nxt = np.minimum(np.where(nxt > end, end, nxt), last)
+        found = natural[np.maximum(np.searchsorted(natural, nxt, side="right") - 1, 0)]
+        nxt = np.where((found <= nxt) & (at[found] >= at[end] - min(2 * overlap, limit // 2 - 1)), found, nxt)
+    beyond = np.searchsorted(at, at[np.minimum(end + 1, last)] - limit, side="left")
+    nxt = np.minimum(np.maximum(np.maximum(nxt, beyond), rows + 1), np.minimum(end, last))
     nxt = np.where(end == last, rows, nxt)  # the piece that reaches the end has no successor
     starts = np.flatnonzero(doubling(nxt, np.array([0])))
     return starts, end[starts]
@@ -134,8 +133,9 @@ def split_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
 
     Sizes are counted in the text's own encoding; tokens are numbered from 0,
     ends exclusive. Each piece has at most ``limit`` tokens; consecutive pieces
-    share at most ``overlap`` tokens, from a natural boundary where one lies
-    there. Cuts fall at paragraphs, else lines, else sentences, else words;
+    share ``overlap`` tokens, rounded up to a word's start, or up to twice as many
+    from a natural boundary that lies there; less only where the next piece would
+    else not reach beyond this one (before a pre-token nearly as long as the limit). Cuts fall at paragraphs, else lines, else sentences, else words;
     only a pre-token longer than ``limit`` is cut inside. Texts within the limit
     are one piece; null and empty texts give none. Repeated keys are cut row by
     row. Other columns are ignored.

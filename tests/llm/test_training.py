@@ -58,7 +58,9 @@ def test_splitting(spark, docs):
             continue
         assert own[0].start_pos == 1 and own[-1].end_pos == len(text)
         for a, b in zip(own, own[1:]):
-            assert a.start_pos < b.start_pos <= a.end_pos + 1 and a.end_token - b.start_token <= 10
+            assert a.start_pos < b.start_pos <= a.end_pos + 1 and a.end_token < b.end_token and a.end_token - b.start_token <= 24
+            # the overlap is at least what was asked for, or the next piece could not go on
+            assert a.end_token - b.start_token >= 10 or i == 6
         for r in own:
             assert r.n_tokens <= 50 and r.piece_text == text[r.start_pos - 1 : r.end_pos] and r.n_pieces == len(own)
     assert {r.doc_id for r in splitting.oversized(docs, limit=50, overlap=10).collect()} == {i for i, t in enumerate(TEXTS) if t and len(e.encode_ordinary(t)) > 50}
@@ -134,6 +136,16 @@ def test_thai_gaps(spark):
     assert len([r for r in got if r.sentence_id == 0]) == 2 and len([r for r in got if r.sentence_id == 9]) == 1
 
 
+def test_gaps_of_other_scripts(spark):
+    # a final particle before and an opening word after the gap, both learned
+    rows = [(i, f"港は{x}毎年道を変えた。") for i, x in enumerate("一二三四五六七")] + [(20 + i, f"市場は{x}橋を守った。") for i, x in enumerate("一二三四五六七")]
+    rows += [(90, "港は八毎年道を変えた 市場は九橋を守った。"), (91, "港は八毎年\n道を変えた。"), (92, "ບ້ານ" * 400 + " " + "ບ້ານ" * 400)]
+    got = {}
+    for r in sentences.sentence_units(spark.createDataFrame(rows, "sentence_id long, text string")).collect():
+        got.setdefault(r.sentence_id, []).append((r.start_pos, r.end_pos))
+    assert len(got[90]) == 2 and len(got[91]) == 1 and len(got[0]) == 1
+
+
 def test_two_poisson(spark):
     rows = [(p, "S", t, n) for p in range(60) for t, n in (("Data", 8), ("data ", 1), (f"own {p}", 12), (f"other {p % 3}", 1))] + [(0, "S", None, 3), (0, "S", " ", 3), (1, None, "x", 2), (0, "S", "own 0", 12)]
     df = spark.createDataFrame(rows, "paper_id long, section string, ngram string, n int").withColumn("weight", F.lit(1))
@@ -160,6 +172,17 @@ def test_names(spark):
     assert {(1, 2), (1, 4), (1, 6), (2, 4), (7, 8), (10, 11), (5, 50), (1, 3)} <= got
     assert not {(1, 5), (1, 50), (1, 7), (5, 6), (1, 9)} & got
     assert names.entities(authors.limit(0), cites.limit(0)).count() == 0
+    n = {(r.rec_id, r.is_author): r.n_links for r in names.sizes(names.entities(authors, cites)).collect()}
+    assert all(n[(i, True)] == sum(i in p for p in got) for i in (1, 2, 5, 7)) and n[(50, False)] == sum(50 in p for p in got)
+
+
+def test_names_refused_by_the_leader(spark):
+    # both differ from the largest spelling by two slips and from each other by one; short names by their spelling
+    a = [(i, "Henry", "Mannorfeld") for i in range(5)] + [(10, "Henry", "Mannofelds"), (11, "Henry", "Mannofeld")] + [(20, "Oliver", "Wu"), (21, "O.", "Wu"), (22, "Oliver", "Li")]
+    authors = spark.createDataFrame([(i, g, f, None) for i, g, f in a], "author_id long, given_name string, family_name string, orcid string")
+    cites = spark.createDataFrame([], "mapping_id long, cite_author string, ref_authors string")
+    got = {(r.rec_a, r.rec_b) for r in names.linked(names.entities(authors, cites)).collect()}
+    assert (10, 11) in got and (20, 21) in got and (20, 22) not in got
 
 
 def test_components_are_union_find(spark):
