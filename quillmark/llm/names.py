@@ -22,9 +22,9 @@ from quillmark.shared import written
 
 # Fixed values --------------------------------------------------------------------
 NICKNAMES = {
-    "alexander": "alex sandy sasha xander", "antonio": "toni tonio tony", "charlotte": "charlie lottie", "christopher": "chris kester topher", "dorothea": "dora thea dorrie",
-    "edward": "ned ed eddie", "elizabeth": "beth betty bess liz lizzie eliza", "francisco": "paco pancho chico", "frederik": "fred freddie rik", "gabriela": "gabi", "giuseppe": "peppe beppe",
-    "henry": "hal harry hank", "isabella": "bella izzy isa", "johannes": "hans", "josephine": "josie", "katherine": "kit kathy kate katie", "leonard": "leo len lenny", "margaret": "meg peggy maggie greta",
+    "alexander": "alex sandy sasha xander", "antonio": "toni tonio tony", "charlotte": "charlie lottie", "christopher": "chris kester topher kit", "dorothea": "dora thea dorrie",
+    "edward": "ned ed eddie ted", "elizabeth": "beth betty bess liz lizzie eliza", "francisco": "paco pancho chico", "frederik": "fred freddie rik", "gabriela": "gabi", "giuseppe": "peppe beppe",
+    "henry": "hal harry hank", "isabella": "bella izzy isa", "johannes": "hans jo", "josephine": "josie jo", "katherine": "kit kathy kate katie", "leonard": "leo len lenny", "margaret": "meg peggy maggie greta",
     "matilda": "mattie tilda", "nicholas": "nick klaus nico", "oliver": "olli ollie", "patricia": "pat trish patty", "quentin": "quin", "richard": "dick rick ricky", "robert": "rob bob bobby", "susanna": "sue suzy",
     "theodore": "ted theo teddy", "ulrike": "uli", "veronica": "ronnie vera", "william": "bill will liam billy", "yolanda": "yola", "zacharias": "zach zak",
 }
@@ -38,7 +38,8 @@ ORG_WORDS = frozenset("institute association laboratory centre commission univer
 NO_WORDS = frozenset("the of for and on in".split())
 FOLD = str.maketrans({"ø": "o", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d"})
 # ---------------------------------------------------------------------------------
-FORMAL = {n: k for k, v in NICKNAMES.items() for n in v.split()} | {k: k for k in NICKNAMES}
+#: Formal names of each nickname; some have several.
+FORMALS = {n: tuple(k for k, v in NICKNAMES.items() if n in v.split()) for v in NICKNAMES.values() for n in v.split()} | {k: (k,) for k in NICKNAMES}
 #: A word is a given name where at least so many rows have it as such; most such words kept.
 GIVEN_ROWS, GIVEN_WORDS = 5, 5_000
 
@@ -59,23 +60,23 @@ class Given:
     """Given names: formal ones for nicknames and for slips of frequent names."""
 
     def __init__(self, frequent: list[str]):
-        self.known = set(frequent) | set(FORMAL)
+        self.known = (set(frequent) | set(FORMALS)) - PARTICLES
         self.by_slip: dict[str, str] = {}
         for name in sorted(self.known):
             if len(name) > 4:
                 for s in slips(name):
                     self.by_slip.setdefault(s, name)
 
-    def formal(self, word: str) -> str | None:
-        """Formal name of a word that is a given name, maybe mistyped."""
+    def formal(self, word: str) -> tuple[str, ...]:
+        """Formal names that a word may stand for, maybe mistyped; none where it is no given name."""
         if word in self.known:
-            return FORMAL.get(word, word)
+            return FORMALS.get(word, (word,))
         if len(word) > 4:
             for s in slips(word):
                 hit = self.by_slip.get(s)
                 if hit and abs(len(hit) - len(word)) <= 1:
-                    return FORMAL.get(hit, hit)
-        return None
+                    return FORMALS.get(hit, (hit,))
+        return ()
 
 
 def _initials(part: str) -> list[str] | None:
@@ -87,20 +88,19 @@ def _initials(part: str) -> list[str] | None:
 
 
 def given_parts(text: str, given: Given) -> tuple[str, list[str]]:
-    """(formal given name or '', initials) of a given-name part."""
+    """(formal given name or '', initials) of a given-name part; a nickname of several
+    names has no formal one, but the initials of each."""
     initials = _initials(text)
     if initials is not None and len(initials) <= 3:
-        return "", initials
+        return "", ["".join(initials)]
     words = [plain(w) for w in re.findall(r"[^\W\d_]+", text)]
     if not words:
-        return "", []
-    first = words[0]
+        return "", [""]
+    first, middle = words[0], "".join(w[0] for w in words[1:])
     if len(first) == 1:
-        return "", [w[0] for w in words]
-    if first == "jo":  # of Johannes or of Josephine
-        return "", ["j", *[w[0] for w in words[1:]]]
-    formal = given.formal(first) or first
-    return formal, [formal[0], *[w[0] for w in words[1:]]]
+        return "", [first + middle]
+    formal = given.formal(first) or (first,)
+    return formal[0] if len(formal) == 1 else "", sorted({f[0] + middle for f in formal})
 
 
 def family_spellings(text: str) -> list[str]:
@@ -148,10 +148,10 @@ def parse(family: str | None, name: str | None, given: Given) -> tuple[list[str]
             elif plain(words[0]) not in PARTICLES:
                 name, family = " ".join(words[:n]), " ".join(words[n:])
     elif family and name:
-        head = re.findall(r"[^\W\d_]+", plain(family))
-        own = re.findall(r"[^\W\d_]+", plain(name))
-        looks = _initials(family) is not None or (head and head[0] in given.known and all(len(w) == 1 for w in head[1:]))
-        if looks and _initials(name) is None and not (own and own[0] in given.known):
+        head = [w for w in re.findall(r"[^\W\d_]+", plain(family)) if w not in PARTICLES]
+        own = [w for w in re.findall(r"[^\W\d_]+", plain(name)) if w not in PARTICLES]
+        a_given = bool(head) and all(len(w) == 1 for w in head[1:]) and (head[0] in given.known or bool(given.formal(head[0])) and not (own and given.formal(own[0])))
+        if (_initials(family) is not None or a_given) and _initials(name) is None and not (own and own[0] in given.known):
             family, name = name, family
     spellings = family_spellings(family)
     if not spellings:
@@ -198,7 +198,7 @@ def frequent_given(authors: DataFrame) -> list[str]:
 
 
 def signatures(names: DataFrame, given_words: list[str]) -> DataFrame:
-    """(family, given, spellings, formal, initials) of every distinct typed name."""
+    """(family, given, spellings, formal, initials; several between bars) of every distinct typed name."""
     forms = names.select("family", "given").distinct()
     shipped = names.sparkSession.sparkContext.broadcast(given_words)
 
@@ -216,7 +216,7 @@ def signatures(names: DataFrame, given_words: list[str]) -> DataFrame:
                     # the citation's own spelling of the family name
                     parsed = (sorted({*parsed[0], *family_spellings(cited)}), *parsed[1:])
                 if parsed:
-                    rows.append((family, name, parsed[0], parsed[1], "".join(parsed[2])))
+                    rows.append((family, name, parsed[0], parsed[1], "|".join(parsed[2])))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["family", "given", "spellings", "formal", "initials"])
 
@@ -330,7 +330,7 @@ def entities(authors: DataFrame, citations: DataFrame) -> DataFrame:
     records = written(names.join(keyed.select("family", "given", "pid"), (names["family"].eqNullSafe(keyed["family"])) & (names["given"].eqNullSafe(keyed["given"]))).select("rec_id", "is_author", "orcid", "pid"), "name-records")
     counts = records.groupBy("pid").agg(F.count("*").alias("n"))
     formals = F.when(F.length("formal") > 0, F.array("formal")).otherwise(F.array().cast("array<string>"))
-    profiles = written(keyed.select("pid", "spellings", formals.alias("formals"), F.array("initials").alias("initials")).dropDuplicates(["pid"]).join(counts, "pid"), "name-profiles")
+    profiles = written(keyed.select("pid", "spellings", formals.alias("formals"), F.split("initials", r"\|").alias("initials")).dropDuplicates(["pid"]).join(counts, "pid"), "name-profiles")
     own = written(profiles.select(F.col("pid").alias("form"), "pid"), "name-members")
     # one identifier, one person
     holders = records.where(F.col("orcid").isNotNull()).select("orcid", "pid").distinct()

@@ -176,6 +176,17 @@ def test_names(spark):
     assert all(n[(i, True)] == sum(i in p for p in got) for i in (1, 2, 5, 7)) and n[(50, False)] == sum(50 in p for p in got)
 
 
+def test_names_of_several_and_exchanged_with_particles(spark):
+    given = names.Given(["henry", "oliver", "de"])
+    assert given.formal("kit") == ("christopher", "katherine") and given.formal("xqzt") == () and given.formal("olivr") == ("oliver",)
+    assert names.parse("Henry", "de la Leitheil", given) == names.parse("de la Leitheil", "Henry", given)
+    assert names.parse("Olivre", "Zamborin", given)[1] in ("oliver", "zamborin")
+    a = [(1, "Edward", "Primoulil"), (2, "Ted", "Primoulil"), (3, "Theodore", "Zandovik"), (4, "Ted", "Zandovik"), (5, "Kit", "Primoulil")]
+    authors = spark.createDataFrame([(i, g, f, None) for i, g, f in a], "author_id long, given_name string, family_name string, orcid string")
+    cites = spark.createDataFrame([], "mapping_id long, cite_author string, ref_authors string")
+    assert {(r.rec_a, r.rec_b) for r in names.linked(names.entities(authors, cites)).collect()} == {(1, 2), (3, 4)}
+
+
 def test_names_refused_by_the_leader(spark):
     # both differ from the largest spelling by two slips and from each other by one; short names by their spelling
     a = [(i, "Henry", "Mannorfeld") for i in range(5)] + [(10, "Henry", "Mannofelds"), (11, "Henry", "Mannofeld")] + [(20, "Oliver", "Wu"), (21, "O.", "Wu"), (22, "Oliver", "Li")]
@@ -329,3 +340,18 @@ def test_boost_learns_and():
     x = np.random.default_rng(0).random((500, 3))
     y = (x[:, 0] > 0.5) & (x[:, 1] > 0.3)
     assert ((boost.Boosted().fit(x, y).score(x) > 0.5) == y).mean() > 0.97
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_repaired", "p2_found", "p2_entities", "p3_found", "p4_found", "p4_works", "p5_found", "p7_found", "p8_decoded", "p9_cleaned", "p10_pieces"])
+def test_queries_run(spark, sf, name):
+    from quillmark.llm import queries
+
+    df = queries.queries()[name](spark, sf)
+    columns = {
+        "p1_found": ["record_kind", "record_id"], "p2_found": ["rec_a", "rec_b"], "p3_found": ["doc_id", "reading_level"], "p4_found": ["mapping_id", "ref_row_id"],
+        "p5_found": ["sentence_id", "start_pos", "end_pos"], "p7_found": ["paper_id", "section", "ngram"],
+    }
+    rows = df.collect()
+    assert rows and (name not in columns or (df.columns == columns[name] and len(set(rows)) == len(rows)))
+    if name == "p8_decoded":
+        assert {r.doc_id: r.text for r in rows} == {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
