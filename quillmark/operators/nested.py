@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmark.shared import shared_dir
+from quillmark.shared import own_dir
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
 def flattened(emitted: DataFrame, label: str = "nested") -> DataFrame:
     """``emitted`` written partitioned by tag into the shared folder, and read back."""
-    path = f"{shared_dir(emitted.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(emitted.sparkSession)}/{label}-{uuid.uuid4().hex}"
     write_tables(emitted, path)
     return read_tables(emitted.sparkSession, path)
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from quillmark.shared import shared_dir
+from quillmark.shared import own_dir
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -23,6 +23,6 @@ def imported(spark, path: str, schema, fmt: str = "csv") -> DataFrame:
 
 def exported(df: DataFrame, fmt: str = "csv") -> DataFrame:
     """``df`` written to the shared folder in a format and read back."""
-    path = f"{shared_dir(df.sparkSession)}/export-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/export-{uuid.uuid4().hex}"
     export(df, path, fmt)
     return imported(df.sparkSession, path, df.schema, fmt)
