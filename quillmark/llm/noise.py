@@ -242,6 +242,15 @@ def features_text(word: str, right: str) -> list[int]:
 
 
 def _distance(a: str, b: str) -> int:
+    """Edit distance; what both start and end with costs nothing."""
+    least = min(len(a), len(b))
+    start = next((i for i in range(least) if a[i] != b[i]), least)
+    a, b = a[start:], b[start:]
+    least = min(len(a), len(b))
+    end = next((i for i in range(least) if a[-1 - i] != b[-1 - i]), least)
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
