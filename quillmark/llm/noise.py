@@ -168,6 +168,11 @@ def no_codes(written_so: DataFrame, words: DataFrame) -> DataFrame:
     return told.join(known, "right").where((F.col("n_right") >= F.col("n")) & (signs * 2 < F.length("word")) & sure).select("word", "right", "n")
 
 
+#: Frequent q-grams whose counts are broadcast. All others count as the rarest; any
+#: order of the q-grams gives the same candidates, a good one gives them from fewer pairs.
+HOT_GRAMS = 20_000
+
+
 def _padded(s: Column) -> Column:
     return F.concat(F.lit("^" * (Q - 1)), s, F.lit("$" * (Q - 1)))
 
@@ -191,13 +196,13 @@ def candidates(words: DataFrame) -> DataFrame:
     letters = F.aggregate(F.split("form", ""), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 64)))
     own = written(words.select("word", "n", "signs", F.explode(forms(F.col("word"))).alias("form")).where(F.length("form") > 0).withColumns({"size": F.length("form"), "letters": letters}), "noise-forms")
     grams = _grams(own.select("form", "size").distinct())
-    rarity = grams.groupBy("g").agg(F.count("*").alias("df"))
+    rarity = grams.groupBy("g").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "g").limit(HOT_GRAMS)
     # repeated q-grams of a form are one of its rarest together
-    placed = grams.join(rarity, "g").groupBy("form", "size").agg(F.sort_array(F.collect_list(F.struct("df", "g", "i"))).alias("all"))
+    placed = grams.join(F.broadcast(rarity), "g", "left").groupBy("form", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g", "i"))).alias("all"))
     border = F.element_at(F.array_distinct(F.transform("all", lambda x: F.struct(x["df"], x["g"]))), F.least(F.lit(Q + 1), F.size(F.array_distinct(F.transform("all", lambda x: x["g"])))))
     rarest = placed.withColumn("border", border).select("form", F.explode(F.filter("all", lambda x: F.struct(x["df"], x["g"]) <= F.col("border"))).alias("x"), "size")
-    keys = rarest.select("form", F.explode(F.array(F.xxhash64("x.g", "x.i"), F.xxhash64("x.g", F.col("x.i") - F.col("size") - Q))).alias("gram"))
-    index = written(own.join(keys, "form"), "noise-grams")
+    keys = rarest.select("form", "size", F.explode(F.array(F.xxhash64("x.g", "x.i"), F.xxhash64("x.g", F.col("x.i") - F.col("size") - Q))).alias("gram"))
+    index = written(own.join(keys, ["form", "size"]), "noise-grams")
     # forms at most one character apart differ by no more in length
     right = index.where((F.col("signs") == 0) & (F.col("n") >= TRUSTED)).select(F.explode(F.array(*[F.xxhash64("gram", F.col("size") + i) for i in (-1, 0, 1)])).alias("key"), F.col("form").alias("form_r"), F.col("letters").alias("letters_r"), F.col("word").alias("right"), F.col("n").alias("n_right"))
     near = index.select("word", "n", "signs", "form", "letters", F.xxhash64("gram", "size").alias("key")).join(right, "key").where((F.col("n_right") >= RATIO * F.col("n")) & (F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_r"))) <= 2) & (F.col("word") != F.col("right")) & (F.levenshtein("form", "form_r", 1) >= 0))
