@@ -149,16 +149,20 @@ def assign_columns(words: DataFrame, n_columns: int, thresholds: DataFrame | Non
     return rows.withColumn("column", (F.size(F.filter("thresholds", lambda t: F.col("x") > t)) + 1)).drop("thresholds")
 
 
+# Rewrites of joined pages, in their order.
+PAGE_TIDY = (
+    (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Z][A-Za-z\s]{3,50})", "\n\n$1"), (r"\s+([A-Z][A-Z\s]{10,60})\s+", "\n\n$1\n\n"), (r"([.!?])\s+([A-Z][a-z])", "$1\n\n$2"), (r"\n{3,}", "\n\n"),
+    (r"-\s*\n", ""), (r"-\s+", ""), (r"[ \t]+", " "), (r"\n ", "\n"), (r"^\s+|\s+$", ""),
+)
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """Pages of a document in order; numbered and capital headings and sentences apart,
     hyphens at line ends and white space tidied."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
     t = pages.groupBy("doc_id").agg(text.alias("text"))
     tidy = F.col("text")
-    for pattern, to in (
-        (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Z][A-Za-z\s]{3,50})", "\n\n$1"), (r"\s+([A-Z][A-Z\s]{10,60})\s+", "\n\n$1\n\n"), (r"([.!?])\s+([A-Z][a-z])", "$1\n\n$2"), (r"\n{3,}", "\n\n"),
-        (r"-\s*\n", ""), (r"-\s+", ""), (r"[ \t]+", " "), (r"\n ", "\n"), (r"^\s+|\s+$", ""),
-    ):
+    for pattern, to in PAGE_TIDY:
         tidy = F.regexp_replace(tidy, pattern, to)
     return t.select("doc_id", tidy.alias("text"))
 

@@ -33,11 +33,11 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-# Heading patterns around a name: after a blank line, and the looser one after any
+# Heading patterns around a name: after a blank line, and the looser one after any
 # line break; both with a section number, the former also one on its own line.
 _STRICT = (r"\n\n(?:[0-9]+(?:\.[0-9]+)*\.?\s*(?:\n\n|\|\s*))?", r"(?=[\s.:])")
 _LOOSE = (r"\n\s*(?:[0-9]+(?:\.[0-9]+)*\.?\s*\|?\s+)?", r"(?=[\s.:])")
-# The reference list looked for last, from the strictest pattern to the loosest.
+# Names and patterns of a reference list looked for last, from the strictest to the loosest, and what follows one.
 REFERENCE_NAMES = ("References", "REFERENCES", "Bibliography", "BIBLIOGRAPHY")
 REFERENCE_PATTERNS = (r"\n\n\s*{}\s*\n", r"\n\s*{}\s*\n", r"\n\n\s*{}\s", r"\n\s*{}\s", r"\s{}\s+(?=[A-Z][a-z])", r"\s{}\s*\n")
 LIKE_REFERENCES = r"^\s*[A-Z][a-zÀ-ÿ]|^\s*\[?\d+\]?[.\s]|^\s*\d+\.\s"
@@ -123,11 +123,17 @@ def analysed(sections: DataFrame) -> DataFrame:
     return sections.where(~F.col("section").isin("Full_text", "References"))
 
 
+# Rewrites of a model's text, in their order.
+AI_TIDY = (
+    (r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Za-z][A-Za-z\s]{3,50})", "\n\n$1\n\n"), (r"\n\s*\n", "\n\n"), (r"([.!?])\s*\n\s*([A-Z][a-z])", "$1\n\n$2"), (r"(?<![.!?\n])\n(?![A-Z0-9\n])", " "), (r"-\s", ""),
+)
+
+
 def tidy_ai_text(text: Column, citation_type: str = "author_year") -> Column:
     """Text from a model: numbered headings apart, sentences at line ends apart, other
     line breaks and hyphens at them away; superscript citations where they are of that type."""
-    t = F.regexp_replace(text, r"([0-9]+(?:\.[0-9]+)*\.\s+[A-Za-z][A-Za-z\s]{3,50})", "\n\n$1\n\n")
-    for pattern, to in ((r"\n\s*\n", "\n\n"), (r"([.!?])\s*\n\s*([A-Z][a-z])", "$1\n\n$2"), (r"(?<![.!?\n])\n(?![A-Z0-9\n])", " "), (r"-\s", "")):
+    t = text
+    for pattern, to in AI_TIDY:
         t = F.regexp_replace(t, pattern, to)
     return superscript_citations(t) if citation_type == "numeric_superscript" else t
 
