@@ -1,4 +1,4 @@
-"""Small gradient-boosted trees for bounded training samples (numpy only)."""
+"""Small gradient-boosted trees for training examples that are counted by equal ones (numpy only)."""
 
 from __future__ import annotations
 
@@ -6,47 +6,48 @@ import numpy as np
 
 
 class Boosted:
-    """Logistic boosting of depth-two trees over quantile bins.
+    """Logistic boosting of depth-two trees, cut at any value of the examples.
 
-    Training runs on the driver over a sample whose bound its caller documents;
-    the fitted model is a few kilobytes and scores arrays inside Python workers.
+    Training runs on the driver over examples whose bound its caller documents, each
+    with its weight, the number of equal ones; the fitted model is a few kilobytes
+    and scores arrays inside Python workers.
     """
 
-    def __init__(self, rounds: int = 40, rate: float = 0.3, bins: int = 32):
-        self.rounds, self.rate, self.bins = rounds, rate, bins
+    def __init__(self, rounds: int = 40, rate: float = 0.3):
+        self.rounds, self.rate = rounds, rate
         self.start = 0.0
         self.trees: list[tuple] = []
 
-    def _split(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float]:
+    @staticmethod
+    def _split(values: list[np.ndarray], codes: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float]:
         best = (1e-9, -1, 0.0)
         total = g.sum() ** 2 / (h.sum() + 1.0)
-        for k in range(x.shape[1]):
-            for cut in np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.bins + 1)[1:-1])) if len(x) else ():
-                left = x[:, k] <= cut
-                if not left.any() or left.all():
-                    continue
-                gl, hl = g[left].sum(), h[left].sum()
-                gain = gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - total
-                if gain > best[0]:
-                    best = (gain, k, float(cut))
+        for k, own in enumerate(values):
+            gl, hl, n = (np.bincount(codes[:, k], w, len(own)).cumsum()[:-1] for w in (g, h, None))
+            gain = np.where((n > 0) & (n < len(g)), gl**2 / (hl + 1.0) + (g.sum() - gl) ** 2 / (h.sum() - hl + 1.0) - total, 0.0)
+            if len(gain) and gain.max() > best[0]:
+                best = (float(gain.max()), k, float(own[gain.argmax()]))
         return best
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Boosted":
         x, y = np.asarray(x, float), np.asarray(y, float)
-        p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
+        weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+        p = np.clip(np.average(y, weights=weight) if len(y) else 0.5, 0.01, 0.99)
         self.start = float(np.log(p / (1 - p)))
         odds = np.full(len(y), self.start)
+        coded = [np.unique(column, return_inverse=True) for column in x.T]
+        values, codes = [v for v, _ in coded], np.stack([c for _, c in coded], 1) if coded else np.empty((len(y), 0), int)
         leaf = lambda g, h: -g.sum() / (h.sum() + 1.0)
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-odds))
-            g, h = q - y, q * (1 - q)
-            gain, k, cut = self._split(x, g, h)
+            g, h = (q - y) * weight, q * (1 - q) * weight
+            gain, k, cut = self._split(values, codes, g, h)
             if k < 0:
                 break
             sides = []
             left = x[:, k] <= cut
             for side in (left, ~left):
-                gain2, k2, cut2 = self._split(x[side], g[side], h[side])
+                gain2, k2, cut2 = self._split(values, codes[side], g[side], h[side])
                 if k2 < 0:
                     sides.append((0, np.inf, leaf(g[side], h[side]), 0.0))
                 else:

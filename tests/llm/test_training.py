@@ -334,6 +334,38 @@ def test_noise_codes_that_are_words(spark):
     assert ("tbe", "the") in {(r.word, r.right) for r in noise.candidates(judged.vocabulary).collect()}
 
 
+def test_noise_models_of_all_rows(spark):
+    # furniture of texts of more than 20,000 characters
+    rows = [("sentence", i, "The old valley was lost in it. " * 700 + f"The old market\n- {i + 3} -\nborder was lost.") for i in range(8)] + [("sentence", 99, "The old\nmarket was lost.")]
+    judged = noise.Judgement(spark.createDataFrame(rows, "record_kind string, record_id long, text string"))
+    assert {r.record_id for r in judged.found().collect()} == set(range(8))
+    assert all(r.repaired_text.endswith("The old market border was lost.") for r in judged.repaired().where("record_id < 9").collect())
+
+
+def test_noise_examples_of_all_words(spark):
+    import itertools
+
+    import numpy as np
+
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=5)][:7_000]
+    tagged = spark.createDataFrame([("w", w, 4) for w in words] + [("c", f"{w}-{w}", 1) for w in words] + [("b", "har\t\u00ac\tbour", 1), ("b", "har\t-\tbour", 1)], "tag string, item string, n long").repartition(7)
+    cut = noise.pair_examples(tagged).collect()
+    assert len(cut) == 14_000 and {r.left + r.rest for r in cut if not r.own} == set(words) and {r.sign for r in cut if not r.own} == {"-", "\u00ac"}
+    x, y, n = noise.tallied(tagged.where("tag = 'w'").select("item"), noise._examples)
+    assert n.sum() == sum(k for w in words for _, k in noise._examples(w)) and len(n) < 1_000 and set(y) == {0, 1}
+    # equal examples together or one by one: the same trees
+    one_by_one = boost.Boosted().fit(np.repeat(x, n.astype(int), 0), np.repeat(y, n.astype(int)))
+    assert np.allclose(boost.Boosted().fit(x, y, n).score(x), one_by_one.score(x))
+
+
+def test_noise_explained_replacements_first(spark):
+    words = ["describe", "museum", "market", "valley", "timber", "harbour", "session", "modern", "border", "public"]
+    rows = [("sentence", i, f"The {w} of the old {v} was lost.") for i, (w, v) in enumerate((w, v) for w in words for v in words)]
+    rows += [("sentence", 200 + i, "The descrlbed was lost.") for i in range(15)] + [("sentence", 900, "They de5cribe it.")]
+    judged = noise.Judgement(spark.createDataFrame(rows, "record_kind string, record_id long, text string"))
+    assert {(r.word, r.right) for r in judged.misread().where("record_id = 900").collect()} == {("de5cribe", "describe")}
+
+
 def test_boost_learns_and():
     import numpy as np
 
