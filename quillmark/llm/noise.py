@@ -73,7 +73,7 @@ def forms(word: Column) -> Column:
     return F.array_distinct(F.array(skeleton(word), F.translate(folded(word), "".join(CONFUSED), "".join(CONFUSED.values()))))
 
 
-_FOLDED = str.maketrans(SIGNS | LIGATURES)
+_FOLDED, _CONFUSED = str.maketrans(SIGNS | LIGATURES), str.maketrans(CONFUSED)
 _FOLDS = re.compile(f"[{''.join((*SIGNS, *LIGATURES))}]").search
 
 
@@ -85,11 +85,11 @@ def skeleton_text(word: str) -> str:
     word = fold_text(word)
     for group, letter in GROUPS:
         word = word.replace(group, letter)
-    return word.translate(str.maketrans(CONFUSED))
+    return word.translate(_CONFUSED)
 
 
 def forms_text(word: str) -> set[str]:
-    return {skeleton_text(word), fold_text(word).translate(str.maketrans(CONFUSED))}
+    return {skeleton_text(word), fold_text(word).translate(_CONFUSED)}
 
 
 _WORD = re.compile(WORD)
@@ -260,6 +260,7 @@ def features(word: Column, right: Column, signs: Column) -> list[Column]:
     ]
 
 
+@functools.lru_cache(maxsize=64)
 def apart_text(word: str, right: str) -> int:
     return min(_distance(a, b) for a in forms_text(word) for b in forms_text(right))
 
