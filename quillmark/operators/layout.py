@@ -1,6 +1,7 @@
 """Word boxes of pages to lines, columns and text.
 
-Input: (doc_id, page, word_ord, x, y, width, height, text).
+Input: (doc_id, page, word_ord, x, y, width, height, text); gutters, columns and their
+text also take documents of one row each (``documents``).
 """
 
 from __future__ import annotations
@@ -57,55 +58,213 @@ def without_running_headers(lined: DataFrame) -> DataFrame:
     return rows.join(running_headers(lined).select("doc_id", "signature"), ["doc_id", "signature"], "left_anti").drop("signature")
 
 
-def split_x(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Best split of x into two clusters by least squares, exactly, from running sums."""
-    w = Window.partitionBy(*keys).orderBy("x", "word_ord").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    rows = words.withColumn("k", F.count("*").over(w)).withColumn("s", F.sum("x").over(w)).withColumn("n", F.count("*").over(every)).withColumn("t", F.sum("x").over(every))
-    score = F.col("s") * F.col("s") / F.col("k") + (F.col("t") - F.col("s")) * (F.col("t") - F.col("s")) / (F.col("n") - F.col("k"))
-    rows = rows.where("k < n").withColumn("score", score)
-    best = rows.groupBy(*keys).agg(F.max(F.struct("score", "x", "k", "s", "n", "t")).alias("b"))
-    return best.select(*keys, (F.col("b.s") / F.col("b.k")).alias("left_center"), ((F.col("b.t") - F.col("b.s")) / (F.col("b.n") - F.col("b.k"))).alias("right_center"), F.col("b.n").alias("n"), F.col("b.k").alias("n_left"))
+def _let(value: Column, f) -> Column:
+    """[f(value)], with ``value`` computed once however often ``f`` names it."""
+    return F.transform(F.array(value), f)
+
+
+def _median(values: Column) -> Column:
+    ordered = F.struct(F.sort_array(F.array_compact(values)).alias("v"))
+    return F.get(_let(ordered, lambda o: F.get(o["v"], F.floor((F.size(o["v"]) - 1) / 2).cast("int")) * 0.5 + F.get(o["v"], F.floor(F.size(o["v"]) / 2).cast("int")) * 0.5), 0)
+
+
+def packed(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """(keys, words): the boxes of each page in one row, as an array of (x, word_ord, y, text)."""
+    return words.groupBy(*keys).agg(F.collect_list(F.struct("x", "word_ord", "y", "text")).alias("words"))
+
+
+def documents(words: DataFrame) -> DataFrame:
+    """(doc_id, pages): the boxes of each document in one row, as an array of (page, words).
+
+    Boxes that are stored so already stay as they are: all that follows is then
+    done where the row is, without a shuffle of words.
+    """
+    if "pages" in words.columns:
+        return words
+    return packed(words).groupBy("doc_id").agg(F.collect_list(F.struct("page", "words")).alias("pages"))
+
+
+def _page_rows(words: DataFrame, keys: list[str]) -> DataFrame:
+    # Outer, as an inner one has a filter on its input inferred, which computes the pages twice.
+    return words.select("doc_id", F.inline_outer("pages")) if "pages" in words.columns else packed(words, keys)
+
+
+def _split(words: Column, bins: int = 49) -> Column:
+    """[(threshold, n, n_left)] of one page, none for fewer than two words.
+
+    The best split of x into two clusters by least squares, exactly, from running
+    sums; then the right edge of the first emptiest bin between the centres. A split
+    inside a run of equal x never beats both ends of the run (the sum of squares is
+    convex there), so only these, the first known x and the last place but one are tried.
+    """
+    best = "struct<score:double,x:double,k:int,s:double>"
+
+    def runs(p):
+        ends = F.transform(p["xs"], lambda x, i: F.when(~x.eqNullSafe(F.get(p["xs"], i + 1)) | (i >= p["last"]) | (i == p["unknown"]), F.struct(x.alias("x"), (i + 1).alias("k"))))
+        return F.struct(F.array_compact(ends).alias("runs"), F.size(p["xs"]).alias("n"))
+
+    def weighted(p):
+        m = F.transform(p["runs"], lambda r, i: F.struct(r["x"].alias("x"), r["k"].alias("k"), (r["k"] - F.coalesce(F.get(p["runs"], i - 1)["k"], F.lit(0))).alias("m")))
+        return F.struct(m.alias("runs"), p["n"].alias("n"), F.aggregate(m, F.lit(0.0), lambda a, r: a + F.coalesce(r["x"] * r["m"], F.lit(0.0))).alias("t"))
+
+    def step(a, r, n, t):
+        x, k, s = r["x"], r["k"], a["s"] + F.coalesce(r["x"] * r["m"], F.lit(0.0))
+        score, known = s * s / k + (t - s) * (t - s) / (n - k), lambda v: F.when(x.isNotNull(), v)
+        return F.struct(s.alias("s"), F.greatest(a["b"], F.when(k < n, F.struct(known(score).alias("score"), x.alias("x"), k.alias("k"), known(s).alias("s")))).alias("b"))
+
+    def centres(p):
+        none = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast(best).alias("b"))
+        b = F.aggregate(p["runs"], none, lambda a, r: step(a, r, p["n"], p["t"]), lambda a: a["b"])
+        return F.struct(p["runs"].alias("runs"), p["n"].alias("n"), p["t"].alias("t"), b.alias("b"))
+
+    def sides(c):
+        return F.struct(c["runs"].alias("runs"), c["n"].alias("n"), c["b"]["k"].alias("k"), (c["b"]["s"] / c["b"]["k"]).alias("l"), ((c["t"] - c["b"]["s"]) / (c["n"] - c["b"]["k"])).alias("r"))
+
+    def filled(c):
+        inside = F.filter(c["runs"], lambda r: (r["x"] >= c["l"]) & (r["x"] <= c["r"]))
+        at = lambda x: F.least(F.floor(F.try_divide(x - c["l"], (c["r"] - c["l"]) / bins)) + 1, F.lit(bins)).cast("int")
+        return F.struct(c["n"].alias("n"), c["k"].alias("k"), c["l"].alias("l"), c["r"].alias("r"), F.transform(inside, lambda r: F.struct(at(r["x"]).alias("bin"), r["m"].alias("m"))).alias("at"))
+
+    def edge(c):
+        every = F.sequence(F.lit(1), F.lit(bins))
+        weight = lambda i: F.aggregate(c["at"], F.lit(0), lambda a, r: a + F.when(r["bin"] == i, r["m"]).otherwise(0))
+        fewest = F.array_min(F.transform(every, lambda i: F.struct(weight(i).alias("m"), i.alias("bin"))))["bin"]
+        b = F.coalesce(F.get(F.array_except(every, c["at"]["bin"]), 0), fewest)
+        return F.struct((c["l"] + b * (c["r"] - c["l"]) / bins).alias("threshold"), c["n"].alias("n"), c["k"].alias("n_left"))
+
+    def told(p):
+        unknown = F.when(F.get(p["xs"], 0).isNull(), F.size(F.filter(p["xs"], F.isnull))).otherwise(0)
+        return F.struct(p["xs"].alias("xs"), (F.size(p["xs"]) - 2).alias("last"), unknown.alias("unknown"))
+
+    page = F.filter(F.transform(_let(F.struct(F.sort_array(words["x"]).alias("xs")), lambda p: p), told), lambda p: p["last"] >= 0)
+    for part in (runs, weighted, centres, sides, filled, edge):
+        page = F.transform(page, part)
+    return page
 
 
 def gutter(words: DataFrame, keys: list[str] = PAGE, bins: int = 49) -> DataFrame:
     """(keys, threshold): right edge of the first emptiest of 49 bins between the centres."""
-    c = split_x(words, keys)
-    width = (F.col("right_center") - F.col("left_center")) / bins
-    spine = c.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    inside = words.join(c, keys).where((F.col("x") >= F.col("left_center")) & (F.col("x") <= F.col("right_center")))
-    counted = inside.groupBy(*keys, F.least(F.floor((F.col("x") - F.col("left_center")) / width) + 1, F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("m"))
-    best = spine.join(counted, [*keys, "bin"], "left").groupBy(*keys).agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "bin")).alias("b"), F.first("left_center").alias("left_center"), F.first("right_center").alias("right_center"), F.first("n").alias("n"), F.first("n_left").alias("n_left"))
-    edge = F.col("left_center") + F.col("b.bin") * (F.col("right_center") - F.col("left_center")) / bins
-    return best.select(*keys, F.when(F.col("n") < 2, (F.col("left_center") + F.col("right_center")) / 2).otherwise(edge).alias("threshold"), "n", "n_left")
+    return _page_rows(words, keys).select(*keys, F.inline(_split(F.col("words"), bins)))
+
+
+def _two_columns(words: Column, threshold: Column) -> Column:
+    """Whether both sides have five words and three lines each and overlap in y by 30 percent."""
+    ys = lambda c: F.transform(F.filter(words, c), lambda w: w["y"])
+
+    def side(s):
+        y = F.array_compact(s)
+        return F.struct(F.size(s).alias("n"), F.array_min(y).alias("low"), F.array_max(y).alias("high"), F.size(F.array_distinct(F.transform(y, lambda v: F.rint(v / 4)))).alias("lines"))
+
+    def good(p):
+        a, b = p["l"], p["r"]
+        overlap = F.try_divide(F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"]), F.greatest(a["high"], b["high"]) - F.least(a["low"], b["low"]))
+        return F.coalesce((a["n"] >= 5) & (b["n"] >= 5) & (overlap >= 0.3) & (a["lines"] >= 3) & (b["lines"] >= 3), F.lit(False))
+
+    left, right = F.get(_let(ys(lambda w: w["x"] < threshold), side), 0), F.get(_let(ys(lambda w: w["x"] >= threshold), side), 0)
+    return F.get(_let(F.struct(left.alias("l"), right.alias("r")), good), 0)
 
 
 def valid_columns(words: DataFrame, thresholds: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Pages whose two sides have five words and three lines each and overlap in y by 30 percent."""
-    rows = words.join(thresholds.select(*keys, "threshold"), keys).withColumn("left", F.col("x") < F.col("threshold"))
-    side = lambda c, f: f(F.when(c, F.col("y")))
-    l, r = F.col("left"), ~F.col("left")
-    a = rows.groupBy(*keys).agg(
-        F.sum(l.cast("int")).alias("nl"), F.sum(r.cast("int")).alias("nr"), side(l, F.min).alias("l0"), side(l, F.max).alias("l1"), side(r, F.min).alias("r0"), side(r, F.max).alias("r1"),
-        F.countDistinct(F.when(l, F.rint(F.col("y") / 4))).alias("ll"), F.countDistinct(F.when(r, F.rint(F.col("y") / 4))).alias("lr"),
-    )
-    overlap = (F.least("l1", "r1") - F.greatest("l0", "r0")) / (F.greatest("l1", "r1") - F.least("l0", "r0"))
-    good = (F.col("nl") >= 5) & (F.col("nr") >= 5) & (overlap >= 0.3) & (F.col("ll") >= 3) & (F.col("lr") >= 3)
-    return a.select(*keys, F.coalesce(good, F.lit(False)).alias("two_columns"))
+    rows = _page_rows(words, keys).join(thresholds.select(*keys, "threshold"), keys)
+    return rows.select(*keys, _two_columns(F.col("words"), F.col("threshold")).alias("two_columns"))
+
+
+def page_columns(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """(keys, two_columns): ``valid_columns`` of each page by its own gutter."""
+    told = F.transform(_split(F.col("words")), lambda g: F.struct(_two_columns(F.col("words"), g["threshold"]).alias("two_columns")))
+    return _page_rows(words, keys).select(*keys, F.inline(told))
+
+
+def _global(pages: Column) -> Column:
+    """(threshold, n_pages) of one document."""
+    def told(p):
+        n, left = lambda g: g["n"], lambda g: g["n_left"]
+        balanced = lambda g: F.greatest(left(g), n(g) - left(g)) <= 3 * F.least(left(g), n(g) - left(g))
+        good = F.filter(F.filter(_split(p["words"]), lambda g: (n(g) >= 30) & balanced(g)), lambda g: _two_columns(p["words"], g["threshold"]))
+        return F.transform(good, lambda g: g["threshold"])
+
+    thresholds = F.struct(F.flatten(F.transform(pages, told)).alias("t"))
+    return F.get(_let(thresholds, lambda d: F.struct(_median(d["t"]).alias("threshold"), F.size(d["t"]).cast("long").alias("n_pages"))), 0)
 
 
 def global_gutter(words: DataFrame) -> DataFrame:
     """(doc_id, threshold): median over valid pages of 30 words or more with balanced sides."""
-    t = gutter(words)
-    balanced = F.greatest(F.col("n_left"), F.col("n") - F.col("n_left")) <= 3 * F.least(F.col("n_left"), F.col("n") - F.col("n_left"))
-    ok = t.where((F.col("n") >= 30) & balanced).join(valid_columns(words, t).where("two_columns"), PAGE)
-    return ok.groupBy("doc_id").agg(F.percentile("threshold", F.lit(0.5)).alias("threshold"), F.count("*").alias("n_pages"))
+    return documents(words).select("doc_id", F.inline(F.filter(F.array(_global(F.col("pages"))), lambda g: g["n_pages"] > 0)))
+
+
+def _lines(words: Column) -> Column:
+    """[(line_y, line, line_x, n_words)] of some words, as ``lines``."""
+    def gaps(p):
+        below = F.slice(p["ys"], F.lit(2), F.greatest(F.size(p["ys"]) - 1, F.lit(0)))
+        return F.struct(p["w"].alias("w"), p["n"].alias("n"), F.transform(below, lambda y, i: y - F.get(p["ys"], i)).alias("gaps"))
+
+    def middle(p):
+        return F.struct(p["w"].alias("w"), p["n"].alias("n"), p["gaps"].alias("gaps"), _median(p["gaps"]).alias("mid"))
+
+    def tolerance(p):
+        m = _median(F.filter(p["gaps"], lambda g: g <= p["mid"]))
+        tol = F.when(p["n"] < 10, 4.0).otherwise(F.coalesce(F.least(F.greatest(F.ceil(m * 1.5), F.lit(2)), F.lit(8)).cast("double"), F.lit(4.0)))
+        return F.struct(p["w"].alias("w"), tol.alias("tol"))
+
+    def ordered(p):
+        return F.struct(F.sort_array(F.transform(p["w"], lambda w: F.struct((F.rint(w["y"] / p["tol"]) * p["tol"]).alias("line_y"), w["x"].alias("x"), w["word_ord"].alias("word_ord"), w["text"].alias("text")))).alias("w"))
+
+    def starts(p):
+        begins = F.transform(p["w"], lambda w, i: F.when((i == 0) | ~F.get(p["w"], i - 1)["line_y"].eqNullSafe(w["line_y"]), i))
+        return F.struct(p["w"].alias("w"), F.array_compact(begins).alias("at"))
+
+    def cut(p):
+        run = lambda s, j: F.slice(p["w"], s + 1, F.coalesce(F.get(p["at"], j + 1), F.size(p["w"])) - s)
+        line = lambda ws: F.struct(F.get(ws, 0)["line_y"].alias("line_y"), F.array_join(ws["text"], " ").alias("line"), F.array_min(ws["x"]).alias("line_x"), F.size(ws).cast("long").alias("n_words"))
+        return F.transform(p["at"], lambda s, j: F.get(F.transform(F.array(run(s, j)), line), 0))
+
+    page = _let(F.struct(words.alias("w")), lambda p: F.struct(p["w"].alias("w"), F.size(F.array_compact(p["w"]["y"])).alias("n"), F.sort_array(F.array_distinct(F.array_compact(p["w"]["y"]))).alias("ys")))
+    for part in (gaps, middle, tolerance, ordered, starts, cut):
+        page = F.transform(page, part)
+    return F.get(page, 0)
+
+
+def _by_column(pages: Column, threshold: Column) -> Column:
+    """[(page, column, words)] of one document: left of the threshold first; one column where there is none."""
+    def sides(p):
+        words = p["words"]
+        left = F.when(threshold.isNull(), words).otherwise(F.filter(words, lambda w: w["x"] < threshold))
+        right = F.when(threshold.isNotNull(), F.filter(words, lambda w: F.coalesce(w["x"] >= threshold, F.lit(True))))
+        side = lambda k, ws: F.struct(p["page"].alias("page"), F.lit(k).alias("column"), ws.alias("words"))
+        return F.array(side(1, left), side(2, right))
+
+    return F.filter(F.flatten(F.transform(pages, sides)), lambda c: F.size(c["words"]) > 0)
 
 
 def column_lines(words: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Lines by column: left of the document's threshold first; one column where it has none."""
-    rows = words.join(thresholds.select("doc_id", "threshold"), "doc_id", "left").withColumn("column", F.when(F.col("x") < F.col("threshold"), 1).when(F.col("threshold").isNull(), 1).otherwise(2)).drop("threshold")
-    return lines(rows, [*PAGE, "column"])
+    rows = documents(words).join(thresholds.select("doc_id", "threshold"), "doc_id", "left")
+    columns = rows.select("doc_id", F.inline_outer(_by_column(F.col("pages"), F.col("threshold"))))
+    return columns.select("doc_id", "page", "column", F.inline(_lines(F.col("words"))))
+
+
+def _joined(lines: Column) -> Column:
+    """Text of some lines in order, as ``page_text``."""
+    def told(p):
+        def piece(line, i):
+            apart = F.get(p["titles"], i) | F.get(p["titles"], i - 1) | line.rlike(r"^\[\d+\]")
+            return F.concat(F.when(i == 0, "").when(apart, "\n\n").otherwise(" "), line)
+
+        return F.array_join(F.transform(p["lines"], piece), "")
+
+    return F.get(F.transform(_let(lines["line"], lambda x: F.struct(x.alias("lines"), F.transform(x, is_title).alias("titles"))), told), 0)
+
+
+def _column_texts(pages: Column) -> Column:
+    """[(page, column, text)] of one document, its columns cut at its own threshold."""
+    told = lambda d: F.transform(_by_column(d["pages"], d["g"]["threshold"]), lambda c: F.struct(c["page"].alias("page"), c["column"].alias("column"), _joined(_lines(c["words"])).alias("text")))
+    return F.get(F.transform(_let(pages, lambda p: F.struct(p.alias("pages"), _global(p).alias("g"))), told), 0)
+
+
+def column_texts(words: DataFrame) -> DataFrame:
+    """(doc_id, page, column, text): text of each column of a document's pages."""
+    return documents(words).select("doc_id", F.inline(_column_texts(F.col("pages"))))
 
 
 def interleaved(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -156,22 +315,31 @@ PAGE_TIDY = (
 )
 
 
+def _tidy(text: Column) -> Column:
+    for pattern, to in PAGE_TIDY:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
 def joined_pages(pages: DataFrame) -> DataFrame:
     """Pages of a document in order; numbered and capital headings and sentences apart,
     hyphens at line ends and white space tidied."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n")
     t = pages.groupBy("doc_id").agg(text.alias("text"))
-    tidy = F.col("text")
-    for pattern, to in PAGE_TIDY:
-        tidy = F.regexp_replace(tidy, pattern, to)
-    return t.select("doc_id", tidy.alias("text"))
+    return t.select("doc_id", _tidy(F.col("text")).alias("text"))
+
+
+def _tidied(texts: Column) -> Column:
+    """One text of [(page, column, text)], as ``joined_pages``."""
+    ordered = F.sort_array(F.transform(texts, lambda t: F.struct((t["page"] * 10 + t["column"]).alias("at"), t["text"].alias("text"))))
+    return _tidy(F.array_join(ordered["text"], "\n\n"))
 
 
-def document_text(words: DataFrame, plain: DataFrame, least: int = 100) -> DataFrame:
+def document_text(words: DataFrame, plain: DataFrame | None = None, least: int = 100) -> DataFrame:
     """(doc_id, text): the columns' text of each document's word boxes; the plain text
-    (doc_id, text) where that is missing or shorter than ``least``."""
-    lined = column_lines(words, global_gutter(words))
-    texts = page_text(lined, [*PAGE, "column"])
-    laid = joined_pages(texts.select("doc_id", (F.col("page") * 10 + F.col("column")).alias("page"), "text"))
-    both = laid.withColumnRenamed("text", "laid").join(plain.select("doc_id", F.col("text").alias("plain")), "doc_id", "full")
+    (doc_id, text) where that is missing or shorter than ``least``. Without ``plain``
+    it is a column of that name beside the boxes."""
+    docs = documents(words)
+    laid = docs.select("doc_id", _tidied(_column_texts(F.col("pages"))).alias("laid"), *(["plain"] if plain is None else []))
+    both = laid if plain is None else laid.join(plain.select("doc_id", F.col("text").alias("plain")), "doc_id", "full")
     return both.select("doc_id", F.when(F.coalesce(F.length("laid"), F.lit(0)) < least, F.coalesce("plain", "laid")).otherwise(F.col("laid")).alias("text"))

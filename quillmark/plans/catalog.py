@@ -504,7 +504,7 @@ def line_binning(spark, d):
 
 
 def column_gutter(spark, d):
-    return la.gutter(inp.boxes(spark, d)).select("doc_id", "page", F.round("threshold", 4).alias("threshold"))
+    return la.gutter(inp.page_boxes(spark, d)).select("doc_id", "page", F.round("threshold", 4).alias("threshold"))
 
 
 def global_gutter(spark, d):
