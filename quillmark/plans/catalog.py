@@ -508,7 +508,7 @@ def column_gutter(spark, d):
 
 
 def global_gutter(spark, d):
-    return la.global_gutter(inp.boxes(spark, d)).select("doc_id", F.round("threshold", 4).alias("threshold"), "n_pages")
+    return la.global_gutter(inp.page_boxes(spark, d)).select("doc_id", F.round("threshold", 4).alias("threshold"), "n_pages")
 
 
 def page_text(spark, d):

@@ -27,3 +27,13 @@ def test_gutter_where_the_page_is(spark, sf):
     places = [(float(x), 1.0) for x in range(0, 200) for _ in range(1 + (x != 100))]
     r = layout.gutter(_words(spark, places)).first()
     assert 100 < r.threshold < 104 and r.n == 399
+
+
+def test_global_gutter_where_the_document_is(spark, sf):
+    assert not _moves_words(catalog.queries()["global_gutter"](spark, sf))
+    columns = [(50.0 + c * 300 + k * 20, 12.0 * i) for c in range(2) for i in range(10) for k in range(3)]
+    rows = [(1, p, i, x + p, y, "w") for p in (1, 2, 4) for i, (x, y) in enumerate(columns)] + [(1, 3, i, x, y, "w") for i, (x, y) in enumerate(columns[:20])]
+    words = spark.createDataFrame(rows, BOX)
+    each = {r.page: r.threshold for r in layout.gutter(words).collect()}
+    r = layout.global_gutter(words).first()
+    assert (r.threshold, r.n_pages) == (each[2], 3)
