@@ -512,9 +512,7 @@ def global_gutter(spark, d):
 
 
 def page_text(spark, d):
-    b = inp.boxes(spark, d)
-    lined = la.column_lines(b, la.global_gutter(b))
-    return la.page_text(lined, ["doc_id", "page", "column"])
+    return la.column_texts(inp.page_boxes(spark, d))
 
 
 def document_text(spark, d):

@@ -37,3 +37,13 @@ def test_global_gutter_where_the_document_is(spark, sf):
     each = {r.page: r.threshold for r in layout.gutter(words).collect()}
     r = layout.global_gutter(words).first()
     assert (r.threshold, r.n_pages) == (each[2], 3)
+
+
+def test_page_text_where_the_document_is(spark, sf):
+    assert not _moves_words(catalog.queries()["page_text"](spark, sf))
+    columns = [(50.0 + c * 300 + k * 6, 12.0 * i) for c in range(2) for i in range(10) for k in range(3)]
+    rows = [(1, 1, i, x, y, "RESULTS" if i // 3 == 30 // 3 else f"w{i}") for i, (x, y) in enumerate(columns)] + [(2, 1, i, 5.0 * i, 9.0, t) for i, t in enumerate("abc")]
+    got = {(r.doc_id, r.page, r.column): r.text for r in layout.column_texts(spark.createDataFrame(rows, BOX)).collect()}
+    assert set(got) == {(1, 1, 1), (1, 1, 2), (2, 1, 1)}
+    assert got[(1, 1, 1)] == " ".join(f"w{i}" for i in range(30)) and got[(2, 1, 1)] == "a b c"
+    assert got[(1, 1, 2)].startswith("RESULTS RESULTS RESULTS\n\nw33 w34 w35 w36")
