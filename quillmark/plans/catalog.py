@@ -517,8 +517,8 @@ def page_text(spark, d):
 
 def document_text(spark, d):
     """Text of the laid out documents, the plain one where that is short."""
-    plain = load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text")
-    return la.document_text(inp.boxes(spark, d), plain)
+    b = inp.page_boxes(spark, d)
+    return la.document_text(b, None if "plain" in b.columns else load(spark, d, "documents").where(F.length("text") > 0).select("doc_id", "text"))
 
 
 def column_assign(spark, d):

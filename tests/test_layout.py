@@ -47,3 +47,21 @@ def test_page_text_where_the_document_is(spark, sf):
     assert set(got) == {(1, 1, 1), (1, 1, 2), (2, 1, 1)}
     assert got[(1, 1, 1)] == " ".join(f"w{i}" for i in range(30)) and got[(2, 1, 1)] == "a b c"
     assert got[(1, 1, 2)].startswith("RESULTS RESULTS RESULTS\n\nw33 w34 w35 w36")
+
+
+def _documents(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_document_text_where_the_document_is(spark, sf, tmp_path):
+    query = catalog.queries()["document_text"]
+    assert not _moves_words(query(spark, sf))
+    long = " ".join(f"w{i}" for i in range(900))
+    d = _documents(spark, tmp_path / "a", [(1, long), (2, "short  one"), (3, " ")])
+    got = {r.doc_id: r.text for r in query(spark, d).collect()}
+    assert sorted(got[1].split()) == sorted(long.split()) and got[2] == "short  one" and got[3] == " "
+    # rows that share an id are one document, as in SQL
+    d = _documents(spark, tmp_path / "b", [(1, "one two"), (1, "three four"), (2, long)])
+    got = sorted((r.doc_id, r.text[:10]) for r in query(spark, d).collect())
+    assert got == [(1, "one two"), (1, "three four"), (2, "w0 w1 w2 w")]
