@@ -527,8 +527,7 @@ def column_assign(spark, d):
 
 def page_columns(spark, d):
     """Which pages have two columns."""
-    b = inp.boxes(spark, d)
-    return la.valid_columns(b, la.gutter(b))
+    return la.page_columns(inp.page_boxes(spark, d))
 
 
 def page_titles(spark, d):

@@ -65,3 +65,13 @@ def test_document_text_where_the_document_is(spark, sf, tmp_path):
     d = _documents(spark, tmp_path / "b", [(1, "one two"), (1, "three four"), (2, long)])
     got = sorted((r.doc_id, r.text[:10]) for r in query(spark, d).collect())
     assert got == [(1, "one two"), (1, "three four"), (2, "w0 w1 w2 w")]
+
+
+def test_page_columns_where_the_page_is(spark, sf):
+    assert not _moves_words(catalog.queries()["page_columns"](spark, sf))
+    # one line on both sides has no height to overlap
+    line = _words(spark, [(50.0 + 300 * (i // 6) + i % 6, 10.0) for i in range(12)])
+    assert [r.two_columns for r in layout.page_columns(line).collect()] == [False]
+    assert [r.two_columns for r in layout.valid_columns(line, layout.gutter(line)).collect()] == [False]
+    block = _words(spark, [(50.0 + 300 * (i // 30) + i % 3, 12.0 * (i % 30 // 3)) for i in range(60)])
+    assert [r.two_columns for r in layout.page_columns(block).collect()] == [True]
