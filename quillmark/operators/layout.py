@@ -69,8 +69,8 @@ def _median(values: Column) -> Column:
 
 
 def packed(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """(keys, words): the boxes of each page in one row, as an array of (x, word_ord, y, text)."""
-    return words.groupBy(*keys).agg(F.collect_list(F.struct("x", "word_ord", "y", "text")).alias("words"))
+    """(keys, words): the boxes of each page in one row, as an array of (y, x, word_ord, text)."""
+    return words.groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "word_ord", "text")).alias("words"))
 
 
 def documents(words: DataFrame) -> DataFrame:
@@ -100,8 +100,12 @@ def _split(words: Column, bins: int = 49) -> Column:
     best = "struct<score:double,x:double,k:int,s:double>"
 
     def runs(p):
-        ends = F.transform(p["xs"], lambda x, i: F.when(~x.eqNullSafe(F.get(p["xs"], i + 1)) | (i >= p["last"]) | (i == p["unknown"]), F.struct(x.alias("x"), (i + 1).alias("k"))))
-        return F.struct(F.array_compact(ends).alias("runs"), F.size(p["xs"]).alias("n"))
+        n, end = F.size(p["xs"]), lambda x, k: F.struct(x.alias("x"), k.cast("int").alias("k"))
+        # Up to 16 places are searched for, which takes less than to look at each word; more are seen word by word.
+        found = F.transform(p["places"], lambda x, j: end(x, F.coalesce(F.array_position(p["xs"], F.get(p["places"], j + 1)) - 1, n)))
+        found = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(end(F.get(p["xs"], n - 1), n - 1), end(F.get(p["xs"], n - 1), n)))
+        seen = F.array_compact(F.transform(p["xs"], lambda x, i: F.when(~x.eqNullSafe(F.get(p["xs"], i + 1)) | (i >= p["last"]) | (i == p["unknown"]), end(x, i + 1))))
+        return F.struct(F.when((p["unknown"] == 0) & (F.size(p["places"]) <= 16), found).otherwise(seen).alias("runs"), n.alias("n"))
 
     def weighted(p):
         m = F.transform(p["runs"], lambda r, i: F.struct(r["x"].alias("x"), r["k"].alias("k"), (r["k"] - F.coalesce(F.get(p["runs"], i - 1)["k"], F.lit(0))).alias("m")))
@@ -134,7 +138,7 @@ def _split(words: Column, bins: int = 49) -> Column:
 
     def told(p):
         unknown = F.when(F.get(p["xs"], 0).isNull(), F.size(F.filter(p["xs"], F.isnull))).otherwise(0)
-        return F.struct(p["xs"].alias("xs"), (F.size(p["xs"]) - 2).alias("last"), unknown.alias("unknown"))
+        return F.struct(p["xs"].alias("xs"), F.array_distinct(p["xs"]).alias("places"), (F.size(p["xs"]) - 2).alias("last"), unknown.alias("unknown"))
 
     page = F.filter(F.transform(_let(F.struct(F.sort_array(words["x"]).alias("xs")), lambda p: p), told), lambda p: p["last"] >= 0)
     for part in (runs, weighted, centres, sides, filled, edge):
@@ -149,18 +153,17 @@ def gutter(words: DataFrame, keys: list[str] = PAGE, bins: int = 49) -> DataFram
 
 def _two_columns(words: Column, threshold: Column) -> Column:
     """Whether both sides have five words and three lines each and overlap in y by 30 percent."""
-    ys = lambda c: F.transform(F.filter(words, c), lambda w: w["y"])
-
-    def side(s):
-        y = F.array_compact(s)
-        return F.struct(F.size(s).alias("n"), F.array_min(y).alias("low"), F.array_max(y).alias("high"), F.size(F.array_distinct(F.transform(y, lambda v: F.rint(v / 4)))).alias("lines"))
+    def side(ws):
+        y = F.array_distinct(ws["y"])
+        lines = F.array_distinct(F.transform(F.array_compact(y), lambda v: F.rint(v / 4)))
+        return F.struct(F.size(ws).alias("n"), F.array_min(y).alias("low"), F.array_max(y).alias("high"), F.size(lines).alias("lines"))
 
     def good(p):
         a, b = p["l"], p["r"]
         overlap = F.try_divide(F.least(a["high"], b["high"]) - F.greatest(a["low"], b["low"]), F.greatest(a["high"], b["high"]) - F.least(a["low"], b["low"]))
         return F.coalesce((a["n"] >= 5) & (b["n"] >= 5) & (overlap >= 0.3) & (a["lines"] >= 3) & (b["lines"] >= 3), F.lit(False))
 
-    left, right = F.get(_let(ys(lambda w: w["x"] < threshold), side), 0), F.get(_let(ys(lambda w: w["x"] >= threshold), side), 0)
+    left, right = (F.get(_let(F.filter(words, c), side), 0) for c in (lambda w: w["x"] < threshold, lambda w: w["x"] >= threshold))
     return F.get(_let(F.struct(left.alias("l"), right.alias("r")), good), 0)
 
 
@@ -181,8 +184,8 @@ def _global(pages: Column) -> Column:
     def told(p):
         n, left = lambda g: g["n"], lambda g: g["n_left"]
         balanced = lambda g: F.greatest(left(g), n(g) - left(g)) <= 3 * F.least(left(g), n(g) - left(g))
-        good = F.filter(F.filter(_split(p["words"]), lambda g: (n(g) >= 30) & balanced(g)), lambda g: _two_columns(p["words"], g["threshold"]))
-        return F.transform(good, lambda g: g["threshold"])
+        good = F.transform(F.filter(_split(p["words"]), lambda g: (n(g) >= 30) & balanced(g)), lambda g: g["threshold"])
+        return F.filter(good, lambda t: _two_columns(p["words"], t))
 
     thresholds = F.struct(F.flatten(F.transform(pages, told)).alias("t"))
     return F.get(_let(thresholds, lambda d: F.struct(_median(d["t"]).alias("threshold"), F.size(d["t"]).cast("long").alias("n_pages"))), 0)
@@ -205,22 +208,37 @@ def _lines(words: Column) -> Column:
     def tolerance(p):
         m = _median(F.filter(p["gaps"], lambda g: g <= p["mid"]))
         tol = F.when(p["n"] < 10, 4.0).otherwise(F.coalesce(F.least(F.greatest(F.ceil(m * 1.5), F.lit(2)), F.lit(8)).cast("double"), F.lit(4.0)))
-        return F.struct(p["w"].alias("w"), tol.alias("tol"))
+        return F.struct(p["w"].alias("w"), p["w"]["y"].alias("y"), tol.alias("tol"))
 
-    def ordered(p):
-        return F.struct(F.sort_array(F.transform(p["w"], lambda w: F.struct((F.rint(w["y"] / p["tol"]) * p["tol"]).alias("line_y"), w["x"].alias("x"), w["word_ord"].alias("word_ord"), w["text"].alias("text")))).alias("w"))
+    def runs(p):
+        begins = F.transform(p["w"]["y"], lambda y, i: F.when(~y.eqNullSafe(F.get(p["y"], i - 1)) | (i == 0), i))
+        ats = F.transform(F.array_compact(begins), lambda i: F.struct((F.rint(F.get(p["y"], i) / p["tol"]) * p["tol"]).alias("line_y"), i.alias("at")))
+        return F.struct(p["w"].alias("w"), ats.alias("runs"))
 
     def starts(p):
-        begins = F.transform(p["w"], lambda w, i: F.when((i == 0) | ~F.get(p["w"], i - 1)["line_y"].eqNullSafe(w["line_y"]), i))
-        return F.struct(p["w"].alias("w"), F.array_compact(begins).alias("at"))
+        first = F.filter(p["runs"], lambda r, j: (j == 0) | ~F.get(p["runs"], j - 1)["line_y"].eqNullSafe(r["line_y"]))
+        return F.struct(p["w"].alias("w"), first.alias("at"))
 
     def cut(p):
-        run = lambda s, j: F.slice(p["w"], s + 1, F.coalesce(F.get(p["at"], j + 1), F.size(p["w"])) - s)
-        line = lambda ws: F.struct(F.get(ws, 0)["line_y"].alias("line_y"), F.array_join(ws["text"], " ").alias("line"), F.array_min(ws["x"]).alias("line_x"), F.size(ws).cast("long").alias("n_words"))
-        return F.transform(p["at"], lambda s, j: F.get(F.transform(F.array(run(s, j)), line), 0))
+        def line(r, j):
+            last = F.coalesce(F.get(p["at"], j + 1)["at"], F.size(p["w"]))
+            return F.transform(F.array(F.slice(p["w"], r["at"] + 1, last - r["at"])), lambda ws: told(r, ws))
+
+        def told(r, ws):
+            even = F.get(ws, 0)["y"].eqNullSafe(F.get(ws, F.size(ws) - 1)["y"])
+            by_x = F.sort_array(F.transform(ws, lambda w: F.struct(w["x"].alias("x"), w["word_ord"].alias("word_ord"), w["text"].alias("text"))))
+            return F.struct(r["line_y"].alias("line_y"), F.array_join(F.when(even, ws["text"]).otherwise(by_x["text"]), " ").alias("line"), F.array_min(ws["x"]).alias("line_x"), F.size(ws).cast("long").alias("n_words"))
+
+        return F.flatten(F.transform(p["at"], line))
+
+    def places(w):
+        y = w["y"]
+        known = F.when(F.get(y, 0).isNull(), F.size(F.array_compact(y))).otherwise(F.size(y))
+        return F.struct(w.alias("w"), known.alias("n"), F.array_compact(F.array_distinct(y)).alias("ys"))
 
-    page = _let(F.struct(words.alias("w")), lambda p: F.struct(p["w"].alias("w"), F.size(F.array_compact(p["w"]["y"])).alias("n"), F.sort_array(F.array_distinct(F.array_compact(p["w"]["y"]))).alias("ys")))
-    for part in (gaps, middle, tolerance, ordered, starts, cut):
+    # By y, x and place: lines are runs of y, as the binning keeps the order.
+    page = _let(F.sort_array(words), places)
+    for part in (gaps, middle, tolerance, runs, starts, cut):
         page = F.transform(page, part)
     return F.get(page, 0)
 
@@ -258,7 +276,7 @@ def _joined(lines: Column) -> Column:
 
 def _column_texts(pages: Column) -> Column:
     """[(page, column, text)] of one document, its columns cut at its own threshold."""
-    told = lambda d: F.transform(_by_column(d["pages"], d["g"]["threshold"]), lambda c: F.struct(c["page"].alias("page"), c["column"].alias("column"), _joined(_lines(c["words"])).alias("text")))
+    told = lambda d: F.transform(F.get(_let(d["g"]["threshold"], lambda t: _by_column(d["pages"], t)), 0), lambda c: F.struct(c["page"].alias("page"), c["column"].alias("column"), _joined(_lines(c["words"])).alias("text")))
     return F.get(F.transform(_let(pages, lambda p: F.struct(p.alias("pages"), _global(p).alias("g"))), told), 0)
 
 
